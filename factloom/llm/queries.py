@@ -10,6 +10,7 @@ from . import oracles
 from .common import table
 from .decontam import decontaminate
 from .langid import identify_languages
+from .neardup import near_duplicates
 from .quality import quality_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 ORACLE_SQL["op9_benchmark_decontamination"] = oracles.DECONTAMINATION
+
+
+@query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+ORACLE_SQL["op5_minhash_near_dedup"] = oracles.NEAR_DUPLICATES
