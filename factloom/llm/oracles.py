@@ -34,3 +34,13 @@ r AS (SELECT doc_id, doc_id AS m FROM t UNION SELECT sym.b, r.m FROM r JOIN sym
 SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.m AS component_id, t.doc_id = c.m AS kept
 FROM t LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(m) AS m FROM r GROUP BY 1) c USING (doc_id)
 """
+
+CHAT_FORMATTING = """
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE role WHEN 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(12 + length(role) + 1 + length(text) + len(regexp_extract_all(text, '<\\\\*\\|')) + 10 + 1)::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id
+"""
