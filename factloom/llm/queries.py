@@ -15,6 +15,7 @@ from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_verdicts
+from .substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +69,8 @@ ORACLE_SQL["op7_chat_formatting"] = oracles.CHAT_FORMATTING
 @query
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
