@@ -14,7 +14,9 @@ from .decontam import decontaminate
 from .langid import identify_languages
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import find_personal_data, personal_data_digest
 from .quality import quality_verdicts
+from .secret_scan import find_secrets, secrets_digest
 from .substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +76,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
