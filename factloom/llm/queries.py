@@ -12,6 +12,7 @@ from .chat import encode_turns, read_back
 from .common import table
 from .decontam import decontaminate
 from .langid import identify_languages
+from .lm import score_texts
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import find_personal_data, personal_data_digest
@@ -86,3 +87,8 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
