@@ -28,6 +28,8 @@ UNKNOWN = "und"
 PROFILE = 400
 #: Profiles are broadcast: at most this many languages of PROFILE n-grams each.
 MAX_LANGUAGES = 2000
+#: n-grams that a task holds before it counts and sends them.
+HELD_GRAMS = 4_000_000
 
 
 @cache
@@ -58,17 +60,24 @@ def top_grams(text: str | None, size: int) -> np.ndarray:
 
 
 def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
-    """(lang, code, rank from 0) from all rows of docs(text, lang) with a language. Each batch sends one count per
-    language and n-gram, so what is shuffled follows the alphabets rather than the text."""
+    """(lang, code, rank from 0) from all rows of docs(text, lang) with a language. A task sends one count per language
+    and n-gram of every HELD_GRAMS, so what is shuffled follows the alphabets rather than the text."""
+
+    def sent(by: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in by.items():
+            codes, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, held = {}, 0
         for b in batches:
-            by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(lang, []).append(grams(text))
-            for lang, parts in by.items():
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["lang", "code", "n"])
+                by.setdefault(lang, []).append(g := grams(text))
+                held += len(g)
+                if held > HELD_GRAMS:
+                    yield from sent(by)
+                    by, held = {}, 0
+        yield from sent(by)
 
     counts = docs.where(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, code long, n long")
     totals = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
