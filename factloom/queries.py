@@ -4,7 +4,384 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import keys, names, paths
+from .operators import graphs, health, intervals, link, merge, modules, rules
+from .plans import adapters as ad
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its name, with the SQL that gives the same rows."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# Scalar expressions ---------------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+SELECT p_partkey, replace(replace(p_name, '\', '\\'), '|', '\|') || '|' || p_size || '|' AS key, 'structural|part|' || p_partkey AS fact,
+       'm_' || substr(sha256(array_to_string(list_sort([p_brand, p_type]), '|')), 1, 16) AS stable, '{"p_brand":"' || p_brand || '","p_size":' || p_size || '}' AS js
+FROM part""")
+def e1_e5_keys(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", keys.join_key("p_name", "p_size", F.lit(None)).alias("key"), keys.fact_id("structural", "part", "p_partkey").alias("fact"),
+        keys.stable_id("m", F.array("p_brand", "p_type")).alias("stable"), keys.stable_json("p_size", "p_brand").alias("js"),
+    )
+
+
+@query(rf"""
+WITH {ad.FILES_SQL}, x AS (SELECT *, regexp_extract(lower(parse_filename(rel_path)), '^.+\.([^.]*)$', 1) AS ext FROM files)
+SELECT root_name, rel_path, CASE WHEN ext = 'txt' THEN 'documentation' END AS class, NULL::VARCHAR AS language,
+       contains(lower(substr(content, 1, 500)), 'generated') AND contains(lower(substr(content, 1, 500)), 'do not edit') AS generated FROM x""")
+def e6_e7_s6_files(spark, sf_dir):
+    path = F.col("rel_path")
+    return ad.docs_as_files(spark, sf_dir).select("root_name", "rel_path", names.classify_path(path).alias("class"), names.language_of(path).alias("language"), names.looks_generated(F.col("content")).alias("generated"))
+
+
+SINGULAR = "CASE WHEN w LIKE '%ies' AND len(w) > 4 THEN w[:-4] || 'y' WHEN w LIKE '%ses' OR w LIKE '%xes' OR w LIKE '%hes' THEN w[:-3] WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND len(w) > 3 THEN w[:-2] ELSE w END"
+
+
+@query(rf"""
+SELECT doc_id, pos, w AS word, {SINGULAR} AS single FROM (
+  SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS pos FROM (
+    SELECT doc_id, list_filter(string_split_regex(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda w: len(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$')) AS x FROM documents))""")
+def e8_e9_words(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(names.words(F.col("text"))).alias("pos", "word"))
+    return d.withColumn("single", names.singular(F.col("word"))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""
+SELECT p_partkey, list_filter(string_split_regex(lower(p_type), '[^a-z0-9]+'), lambda w: len(w) > 1)[-1] AS field, string_split(lower(p_type), ' ')[-1] AS subject,
+       array_to_string(list_filter(string_split(lower(p_type), ' '), lambda w: w <> ''), ' ') AS readable, lower(p_type) AS plain,
+       regexp_matches(p_type, '(?i)\b(db|database|conn(ection)?|pool)\b|\bcommon\b|\bshared\b|\bclient\b') AS infra
+FROM part""")
+def e11_e13_e20_names(spark, sf_dir):
+    t = F.col("p_type")
+    return ad.table(spark, sf_dir, "part").select(
+        "p_partkey", names.field_token(t).alias("field"), names.subject_key(t).alias("subject"), names.readable_member(t, F.lit("Other")).alias("readable"), names.readable_subject(t).alias("plain"), names.looks_infrastructural(t).alias("infra"),
+    )
+
+
+@query(rf"""
+WITH {ad.ROUTES_SQL}
+SELECT page_id, regexp_extract(url, '^[a-zA-Z][A-Za-z0-9_+.-]*://[^/]*(/[^?#]*)?', 1) AS raw, path, regexp_replace(path, '^/(v[0-9]+|api)(/|$)', '\2') AS comparable, ltrim(path, '/') AS resolved,
+       (len(string_split(path, '/')) * 2)::INT AS score, NOT regexp_matches(host, '\bexample\.(com|org)$') AS real, host FROM p""")
+def e14_e19_paths(spark, sf_dir):
+    u = F.col("url")
+    p = paths.path_of(u)
+    return ad.table(spark, sf_dir, "pages").select(
+        "page_id", p.alias("raw"), paths.trim_slashes(p).alias("path"), paths.comparable_path(p).alias("comparable"), paths.resolve_dots(p).alias("resolved"),
+        paths.specificity(p).alias("score"), paths.is_real_integration(paths.host_of(u)).alias("real"), paths.host_of(u).alias("host"),
+    )
+
+
+# Linking ----------------------------------------------------------------------------------------------------------------------
+
+MATCH_SQL = r"""
+calls AS (SELECT page_id AS call_id, host, string_split(path, '/') AS qs FROM p),
+r AS (SELECT root_name, path, string_split(path, '/') AS ps FROM routes),
+m AS (SELECT call_id, host, root_name, path, list_sum(list_transform(ps, lambda s: CASE WHEN s LIKE ':%' THEN 1 ELSE 2 END)) AS score
+      FROM calls JOIN r ON len(ps) = len(qs) AND len(list_filter(list_zip(ps, qs), lambda z: NOT (z[1] LIKE ':%' OR z[1] = z[2]))) = 0)
+"""
+LINKED_SQL = """
+best AS (SELECT call_id, count(*) AS n, min(root_name) AS to_root, min(path) AS route_path FROM (SELECT *, rank() OVER (PARTITION BY call_id ORDER BY score DESC) AS k FROM {m}) WHERE k = 1 GROUP BY 1)
+SELECT p.page_id AS call_id, 'crawler' AS from_root, CASE WHEN n IS NULL THEN 'no-matching-route' WHEN n > 1 THEN 'ambiguous-match' ELSE 'linked' END AS outcome, coalesce(n, 0)::BIGINT AS n_candidates,
+       CASE n WHEN 1 THEN to_root END AS to_root, CASE n WHEN 1 THEN route_path END AS route_path, CASE n WHEN 1 THEN 'medium' END AS confidence
+FROM p LEFT JOIN best ON best.call_id = p.page_id"""
+
+
+@query(f"WITH {ad.ROUTES_SQL}, {MATCH_SQL}, {LINKED_SQL.format(m='m')}")
+def j4_link_calls(spark, sf_dir):
+    return link.link_calls(ad.pages_as_calls(spark, sf_dir), ad.pages_as_routes(spark, sf_dir))
+
+
+BINDING_SQL = f"""WITH {ad.ROUTES_SQL}, {MATCH_SQL},
+per AS (SELECT host, root_name, count(DISTINCT call_id) AS n FROM m GROUP BY 1, 2),
+top AS (SELECT host, max(n) AS matched, sum(n) AS total, first(root_name ORDER BY n DESC, root_name) AS to_root FROM per GROUP BY 1),
+bindings AS (SELECT host, matched, total, considered, CASE WHEN matched IS NULL THEN 'no call fits another root''s routes' WHEN matched < 3 THEN 'below the minimum of matches' WHEN matched < 0.6 * total THEN 'no clear majority' ELSE 'bound' END AS reason, to_root
+  FROM (SELECT host, count(*) AS considered FROM p GROUP BY 1) LEFT JOIN top USING (host))"""
+
+
+@query(BINDING_SQL + " SELECT 'crawler' AS from_root, host AS base_identifier, CASE reason WHEN 'bound' THEN to_root END AS bound_root, coalesce(matched, 0)::BIGINT AS matched, considered, reason FROM bindings")
+def j5_base_bindings(spark, sf_dir):
+    return link.infer_base_bindings(ad.pages_as_calls(spark, sf_dir), ad.pages_as_routes(spark, sf_dir))
+
+
+@query(BINDING_SQL + ", ms AS (SELECT m.* FROM m JOIN bindings USING (host) WHERE reason <> 'bound' OR to_root = root_name), " + LINKED_SQL.format(m="ms"))
+def j6_scoped_links(spark, sf_dir):
+    calls, routes = ad.pages_as_calls(spark, sf_dir), ad.pages_as_routes(spark, sf_dir)
+    return link.link_calls_scoped(calls, routes, link.infer_base_bindings(calls, routes))
+
+
+@query(f"WITH {ad.ROUTES_SQL}, {MATCH_SQL}, l AS (WITH {LINKED_SQL.format(m='m')})" + r"""
+SELECT 'internal' AS kind, from_root AS source, to_root AS target, count(*) AS weight FROM l WHERE outcome = 'linked' GROUP BY ALL
+UNION ALL SELECT DISTINCT 'external', 'crawler', host, 1 FROM p JOIN l ON l.call_id = p.page_id WHERE outcome <> 'linked' AND NOT regexp_matches(host, '\bexample\.(com|org)$')
+UNION ALL SELECT 'datastore', root_name, 'datastore', count(DISTINCT path) FROM routes GROUP BY ALL""")
+def d8_d9_j20_project_map(spark, sf_dir):
+    calls, routes = ad.pages_as_calls(spark, sf_dir), ad.pages_as_routes(spark, sf_dir)
+    links = link.link_calls(calls, routes)
+    return link.project_map(links, link.external_hosts(calls, links), routes.select("root_name", F.col("path").alias("name")))
+
+
+@query("""WITH known AS (SELECT DISTINCT p_brand AS name, p_type AS id FROM part WHERE p_size > 45)
+SELECT name, CASE WHEN ids IS NULL THEN 'unresolved' WHEN len(ids) = 1 THEN 'exact' ELSE 'ambiguous' END AS outcome, coalesce(ids, []) AS candidates
+FROM (SELECT DISTINCT p_brand AS name FROM part) LEFT JOIN (SELECT name, list(id ORDER BY id) AS ids FROM known GROUP BY 1) USING (name)""")
+def j22_reconcile(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    return link.reconcile(p.select(F.col("p_brand").alias("name")), p.where("p_size > 45").select(F.col("p_brand").alias("name"), F.col("p_type").alias("id")))
+
+
+# Interval joins ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ad.POINTS_SQL} SELECT event_id, root_name, 'events' AS rel_path, line, (SELECT first(symbol_id ORDER BY e - s, s, symbol_id) FROM ranges r WHERE r.root_name = points.root_name AND line BETWEEN s AND e) AS symbol_id FROM points")
+def j1_enclosing(spark, sf_dir):
+    return intervals.attach_enclosing(ad.events_as_points(spark, sf_dir), ad.events_as_ranges(spark, sf_dir), "event_id")
+
+
+@query(f"WITH {ad.POINTS_SQL} SELECT event_id, first(symbol_id ORDER BY s DESC, e, symbol_id) AS symbol_id FROM points JOIN ranges r ON r.root_name = points.root_name AND line BETWEEN s AND e GROUP BY 1")
+def j2_innermost_callable(spark, sf_dir):
+    return intervals.innermost_callable(ad.events_as_points(spark, sf_dir), ad.events_as_ranges(spark, sf_dir), "event_id")
+
+
+# Merging ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.CONTRIBUTIONS_SQL}
+SELECT 'order' AS kind, coalesce(h.key, l.key) AS key, coalesce(h.total, l.total) AS total, coalesce(h.status, l.status) AS status,
+  CASE WHEN h.key IS NULL THEN 'lines' WHEN l.key IS NULL THEN 'header' ELSE 'header,lines' END AS providers,
+  CASE WHEN h.key IS NULL OR l.key IS NULL THEN 0 ELSE (h.total <> l.total)::INT + (h.status <> l.status)::INT END AS n_conflicts,
+  CASE WHEN h.key IS NOT NULL AND l.key IS NOT NULL AND h.total <> l.total THEN l.total END AS lost_total,
+  CASE WHEN h.key IS NOT NULL AND l.key IS NOT NULL AND (h.total <> l.total OR h.status <> l.status) THEN 'most directly observed' ELSE 'agreed' END AS reason,
+  CASE WHEN h.key IS NULL THEN 'inferred' ELSE 'declared' END AS class
+FROM head h FULL JOIN lines l ON h.key = l.key""")
+def a1_a2_merge_facts(spark, sf_dir):
+    m = merge.merge_facts(ad.orders_as_contributions(spark, sf_dir))
+    lost = F.try_element_at(F.filter("conflicts", lambda c: c["field"] == "total"), F.lit(1))["value"]
+    return m.select("kind", "key", F.col("payload")["total"].alias("total"), F.col("payload")["status"].alias("status"), F.array_join("attributions", ",").alias("providers"), F.size("conflicts").alias("n_conflicts"), lost.alias("lost_total"), F.col("precedence_reason").alias("reason"), F.col("resolution_class").alias("class"))
+
+
+@query("""SELECT item AS key, first(text ORDER BY o, text) AS text, list(DISTINCT c ORDER BY c) AS collectors, list_sort(list_filter(list(DISTINCT text), lambda t: t <> first(text ORDER BY o, text))) AS conflicts
+FROM (SELECT o_custkey AS item, o_orderpriority AS text, 'status-' || o_orderstatus AS c, ascii(o_orderstatus) AS o FROM orders) GROUP BY 1""")
+def a3_merge_evidence(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders")
+    return merge.merge_evidence(o.select(F.col("o_custkey").alias("key"), F.col("o_orderpriority").alias("text"), F.concat(F.lit("status-"), F.col("o_orderstatus")).alias("collector_id"), F.ascii("o_orderstatus").alias("collector_order")))
+
+
+@query("""WITH d AS (SELECT DISTINCT p_brand AS provider_id, p_type AS kind, CASE WHEN len(p_type) % 2 = 0 THEN 'supplied' ELSE 'partial' END AS outcome FROM part),
+g AS (SELECT DISTINCT p_brand AS provider_id, p_type AS kind FROM part WHERE p_size = 1), r AS (SELECT p_brand AS provider_id, p_type AS kind, count(*) AS n FROM part WHERE p_size > 10 GROUP BY ALL)
+SELECT d.provider_id, d.kind, CASE WHEN g.kind IS NULL THEN d.outcome ELSE 'absent' END AS outcome, coalesce(n, 0) AS records FROM d LEFT JOIN g USING (provider_id, kind) LEFT JOIN r USING (provider_id, kind)""")
+def a5_capabilities(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider_id"), F.col("p_type").alias("kind"), "p_size")
+    return merge.summarize_capabilities(p.where("p_size > 10"), p.where("p_size = 1"), p.withColumn("level", F.when(F.length("kind") % 2 == 0, "full").otherwise("part")))
+
+
+@query("""SELECT p_type AS id, len(list(DISTINCT p_brand)) AS claims FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
+def a7_collisions(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").withColumnRenamed("p_type", "id")
+    return merge.detect_collisions(p, "id", "p_brand").select("id", F.size("claims").cast("long").alias("claims"))
+
+
+@query("""SELECT table_name, ordinal, len(columns) AS n FROM (SELECT o_custkey AS table_name, o_orderkey AS ordinal, list(l_partkey) AS columns,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderkey) AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2) WHERE k = 1""")
+def a9_fullest_declaration(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "orders").join(ad.table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("table_name"), F.col("o_orderkey").alias("ordinal")).agg(F.collect_list("l_partkey").alias("columns"))
+    return merge.fullest_declaration(c).select("table_name", "ordinal", F.size("columns").cast("long").alias("n"))
+
+
+# Findings ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.ACCESS_SQL}, g AS (SELECT entity, coalesce(list(DISTINCT root_name ORDER BY root_name) FILTER (operation = 'write'), []) AS w, coalesce(list(DISTINCT root_name ORDER BY root_name) FILTER (operation = 'read'), []) AS r FROM access GROUP BY 1)
+SELECT 'written-by-several' AS code, entity, array_to_string(w, ',') AS roots FROM g WHERE len(w) > 1
+UNION ALL SELECT 'read-by-non-owner', entity, array_to_string(list_filter(r, lambda x: NOT list_contains(w, x)), ',') FROM g WHERE len(w) > 0 AND len(list_filter(r, lambda x: NOT list_contains(w, x))) > 0""")
+def d10_ownership_findings(spark, sf_dir):
+    return health.ownership_findings(ad.lineitem_as_access(spark, sf_dir)).withColumn("roots", F.array_join("roots", ","))
+
+
+@query(f"WITH {ad.ACCESS_SQL} SELECT root_name, count(*) FILTER (operation = 'unknown') AS undetermined, count(*) AS total, (floor(100.0 * count(*) FILTER (operation = 'unknown') / count(*) + 0.5))::BIGINT AS pct FROM access GROUP BY 1")
+def d10_e31_undetermined(spark, sf_dir):
+    return health.undetermined_operations(ad.lineitem_as_access(spark, sf_dir)).withColumn("pct", health.percent(F.col("undetermined"), F.col("total")))
+
+
+@query(f"WITH {ad.ROUTES_SQL} SELECT NULL::VARCHAR AS method, regexp_replace(path, '/:id', '/:p') AS path, array_to_string(list(DISTINCT root_name ORDER BY root_name), ',') AS roots FROM routes GROUP BY 2 HAVING count(DISTINCT root_name) > 1")
+def d10_served_twice(spark, sf_dir):
+    return health.served_twice(ad.pages_as_routes(spark, sf_dir), paths.comparable_path(F.col("path"))).withColumn("roots", F.array_join("roots", ","))
+
+
+@query("""SELECT entity, count(DISTINCT shape) AS shapes, count(*) AS roots FROM (SELECT p_size AS entity, p_brand AS root_name, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS shape FROM part GROUP BY 1, 2) GROUP BY 1 HAVING count(DISTINCT shape) > 1""")
+def d10_shapes(spark, sf_dir):
+    return health.shape_disagreements(ad.table(spark, sf_dir, "part").select(F.col("p_size").alias("entity"), F.col("p_brand").alias("root_name"), F.col("p_type").alias("name")))
+
+
+@query(f"""WITH {ad.CONDITIONS_SQL}, k AS (SELECT *, lower(regexp_extract(subject, '([A-Z]?[a-z0-9]+|[A-Z0-9]+)$', 1)) AS subject_key FROM conditions),
+r AS (SELECT subject_key, literal, root_name, min(operator) AS operator, min(rule_id) AS rule_id FROM k GROUP BY 1, 2, 3 HAVING count(DISTINCT operator) = 1),
+g AS (SELECT subject_key, literal FROM r GROUP BY 1, 2 HAVING count(DISTINCT operator) > 1 AND (bool_and(operator IN ('>', '>=')) OR bool_and(operator IN ('<', '<='))))
+SELECT r.* FROM r JOIN g USING (subject_key, literal)""")
+def d12_divergence(spark, sf_dir):
+    c = ad.parts_as_conditions(spark, sf_dir)
+    # sizes a part apart in operator meet at one literal
+    return health.find_divergence(c)
+
+
+@query("""SELECT p_brand, p_partkey, p_retailprice, k AS place, greatest(n - 3, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE k <= 3""")
+def w3_top_per_group(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return health.top_per_group(p, ["p_brand"], [F.desc("p_retailprice"), F.asc("p_partkey")], 3)
+
+
+@query(f"WITH {ad.FILES_SQL} SELECT root_name, sha256(string_agg(rel_path || ':' || sha256(content), chr(10) ORDER BY rel_path, content)) AS digest, count(*) AS files FROM files GROUP BY 1")
+def d24_content_digest(spark, sf_dir):
+    return health.content_digests(ad.docs_as_files(spark, sf_dir))
+
+
+@query(f"""WITH {ad.FILES_SQL}, x AS (SELECT root_name, CASE WHEN size_bytes > 10000 THEN 'excluded' ELSE 'analyzed' END AS disposition FROM files)
+SELECT root_name, disposition, count(*) AS files FROM x GROUP BY ROLLUP (root_name, disposition)""")
+def d22_inventory_counts(spark, sf_dir):
+    f = ad.docs_as_files(spark, sf_dir).withColumn("disposition", F.when(F.col("size_bytes") > 10000, "excluded").otherwise("analyzed"))
+    return health.inventory_counts(f)
+
+
+@query("""WITH m AS (SELECT p_type AS metric, avg(p_size) AS value FROM part WHERE p_size > 5 GROUP BY 1)
+SELECT p_brand AS gate, bool_and(coalesce(value >= p_size, false)) AS passed, coalesce(array_to_string(list(DISTINCT metric ORDER BY metric) FILTER (NOT coalesce(value >= p_size, false)), ','), '') AS failing FROM part LEFT JOIN m ON metric = p_type GROUP BY 1""")
+def d28_gates(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    g = health.evaluate_gates(p.select(F.col("p_brand").alias("gate"), F.col("p_type").alias("metric"), F.col("p_size").alias("least")), p.where("p_size > 5").groupBy(F.col("p_type").alias("metric")).agg(F.avg("p_size").alias("value")))
+    return g.withColumn("failing", F.array_join(F.array_distinct("failing"), ","))
+
+
+# Graphs -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, entry AS (SELECT DISTINCT 'c' || o_custkey AS e FROM orders WHERE o_custkey % 50 = 0),
+l1 AS (SELECT DISTINCT e, callee_id AS n FROM entry JOIN edges ON caller_id = e), l2 AS (SELECT DISTINCT e, callee_id AS n FROM l1 JOIN edges ON caller_id = n WHERE callee_id IS NOT NULL)
+SELECT e AS entry_id, (1 + (SELECT count(*) FROM l1 WHERE l1.e = entry.e) + (SELECT count(*) FROM l2 WHERE l2.e = entry.e))::BIGINT AS n_steps, 'max-depth' AS truncation FROM entry""")
+def g1_build_traces(spark, sf_dir):
+    e = ad.supply_graph(spark, sf_dir)
+    entries = ad.table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.concat(F.lit("c"), "o_custkey").alias("entry_id")).distinct().withColumn("node", F.col("entry_id"))
+    symbols = e.select(F.col("caller_id").alias("id")).union(e.select("callee_id").where("callee_id is not null"))
+    t = graphs.build_traces(entries, symbols, e, max_depth=2, max_steps=100_000, max_branches=100_000)
+    return t.select("entry_id", F.size("steps").cast("long").alias("n_steps"), "truncation")
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, s AS (SELECT DISTINCT caller_id AS id FROM edges)
+SELECT id, CASE WHEN id LIKE 'c%' THEN 'precise' WHEN id LIKE 'o%' THEN 'candidate' ELSE 'structure-root' END AS class FROM s WHERE id LIKE 'c%' OR id LIKE 'o%' OR id NOT IN (SELECT callee_id FROM edges WHERE callee_id IS NOT NULL)""")
+def g2_entries(spark, sf_dir):
+    e = ad.supply_graph(spark, sf_dir)
+    s = e.select(F.col("caller_id").alias("id")).distinct().withColumns({"kind": F.lit("function"), "visibility": F.when(F.col("id").startswith("o"), "public").otherwise("private")})
+    return graphs.identify_entries(s.where("id like 'c%'").select("id"), s, e)
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, b AS (SELECT DISTINCT callee_id AS node, caller_id AS caller FROM edges WHERE callee_id IS NOT NULL), f AS (SELECT node, count(*) > 32 AS hub FROM b GROUP BY 1),
+s AS (SELECT DISTINCT 'n' || s_nationkey AS sink FROM supplier), h1 AS (SELECT DISTINCT sink, caller AS node FROM s JOIN b ON b.node = sink JOIN f ON f.node = sink WHERE NOT hub),
+h2 AS (SELECT DISTINCT sink, caller AS node FROM h1 JOIN b USING (node) JOIN f USING (node) WHERE NOT hub),
+x AS (SELECT sink, sink AS node, 0 AS hops FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2)
+SELECT sink, node, hops, coalesce(hub, false) AS hub FROM x LEFT JOIN f USING (node)""")
+def g4_reverse_reach(spark, sf_dir):
+    sinks = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("sink")).distinct().withColumn("node", F.col("sink"))
+    return graphs.reverse_reach(sinks, ad.supply_graph(spark, sf_dir))
+
+
+CHANGES_SQL = "ch AS (SELECT user_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, event_type AS t FROM events)"
+
+
+def type_changes(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return ad.table(spark, sf_dir, "events").select("user_id", F.lag("event_type").over(w).alias("from_root"), F.col("event_type").alias("to_root")).where("from_root is not null")
+
+
+@query(f"""WITH RECURSIVE {CHANGES_SQL}, e AS (SELECT DISTINCT f, t FROM ch WHERE f <> t), p AS (SELECT [f, t] AS path FROM e WHERE f < t UNION ALL SELECT list_append(path, t) FROM p JOIN e ON path[-1] = f WHERE t > path[1] AND NOT list_contains(path, t))
+SELECT array_to_string(path, '>') AS cycle FROM p JOIN e ON path[-1] = f AND path[1] = t WHERE len(path) <= 6""")
+def g7_root_cycles(spark, sf_dir):
+    return graphs.root_cycles(type_changes(spark, sf_dir)).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+@query(f"""WITH {CHANGES_SQL}, e AS (SELECT DISTINCT f, t FROM ch WHERE f IS NOT NULL) SELECT f AS src, t AS dst FROM e""")
+def g8_cyclic_part(spark, sf_dir):
+    """Every event type follows every other somewhere, so the whole graph stays."""
+    return graphs.cyclic_part(type_changes(spark, sf_dir).select(F.col("from_root").alias("src"), F.col("to_root").alias("dst")))
+
+
+@query(f"""WITH RECURSIVE {ad.GRAPH_SQL}, k AS (SELECT DISTINCT 'n' || s_nationkey AS name FROM supplier WHERE s_nationkey < 3 UNION SELECT caller_id FROM edges JOIN k ON callee_id = name) SELECT name FROM k""")
+def g9_transitive_scope(spark, sf_dir):
+    e = ad.supply_graph(spark, sf_dir).where("callee_id is not null")
+    scoped = ad.table(spark, sf_dir, "supplier").where("s_nationkey < 3").select(F.concat(F.lit("n"), "s_nationkey").alias("name"))
+    return graphs.transitive_scope(scoped, e.select(F.col("caller_id").alias("child"), F.col("callee_id").alias("parent")))
+
+
+# Rules ------------------------------------------------------------------------------------------------------------------------
+
+
+def size_sets(spark, sf_dir):
+    """Per brand, one value set of its part sizes, named after the types' last words; members are numbered."""
+    p = ad.table(spark, sf_dir, "part")
+    member = F.struct(F.concat(F.lit("Size"), F.col("p_size"), F.lit("C")).alias("name"), F.col("p_size").cast("long").alias("value"))
+    t = F.element_at(F.split("p_type", " "), -1)
+    return p.where("p_size % 7 < 3").groupBy(F.col("p_brand").alias("root_name"), F.concat_ws("_", F.lit("Part"), t, F.lit("Set")).alias("name")).agg(F.array_sort(F.collect_set(member)).alias("members")).withColumn("set_ord", F.concat_ws("|", "root_name", "name"))
+
+
+SETS_SQL = r"""s AS (SELECT p_brand AS root_name, string_split(p_type, ' ')[-1] AS w, 'Part_' || string_split(p_type, ' ')[-1] || '_Set' AS name, list(DISTINCT p_size ORDER BY p_size) AS m FROM part WHERE p_size % 7 < 3 GROUP BY ALL),
+c AS (SELECT *, string_split(subject, ' ')[-1] AS w FROM (SELECT p_partkey AS condition_id, p_brand AS root_name, p_type AS subject, (['==', '>', '<='])[p_partkey % 3 + 1] AS operator, p_size AS literal FROM part))"""
+
+
+def type_conditions(spark, sf_dir):
+    op = F.element_at(F.array(F.lit("=="), F.lit(">"), F.lit("<=")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    subject = F.regexp_replace("p_type", "^.* ", "part.")
+    return ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("condition_id"), F.col("p_brand").alias("root_name"), subject.alias("subject"), op.alias("operator"), F.col("p_size").cast("long").alias("literal"))
+
+
+SCORED_SQL = "x AS (SELECT c.condition_id, c.operator, c.literal, c.w, s.name, s.m, CASE WHEN s.root_name = c.root_name THEN 1000 ELSE 0 END - len(m) AS score, s.root_name || '|' || s.name AS ord FROM c JOIN s ON lower(c.w) = lower(s.w))"
+
+
+@query(f"""WITH {SETS_SQL}, {SCORED_SQL} SELECT condition_id, first(name ORDER BY score DESC, ord) AS set_name, 'Size' || first(literal) || 'C' AS member FROM x WHERE list_contains(m, literal) GROUP BY 1""")
+def j7_resolve_values(spark, sf_dir):
+    return rules.resolve_values(type_conditions(spark, sf_dir), size_sets(spark, sf_dir))
+
+
+@query(f"""WITH {SETS_SQL}, {SCORED_SQL} SELECT condition_id, first(name ORDER BY score DESC, ord) AS set_name, first(len(m) ORDER BY score DESC, ord) AS n FROM x GROUP BY 1""")
+def j8_best_sets(spark, sf_dir):
+    return rules.best_sets(type_conditions(spark, sf_dir), size_sets(spark, sf_dir)).select("condition_id", "set_name", F.size("members").cast("long").alias("n"))
+
+
+# Features and modules -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT CASE WHEN total >= 4 AND n >= 0.6 * total THEN prefix END AS prefix FROM (SELECT nullif(regexp_extract(lower(name), '^([a-z0-9]+[_-])', 1), '') AS prefix, count(*) AS n, sum(count(*)) OVER () AS total
+FROM (SELECT 'shop_' || lower(p_type) AS name FROM part WHERE p_size > 10 UNION ALL SELECT lower(p_brand) FROM part WHERE p_size <= 10) GROUP BY 1) WHERE prefix IS NOT NULL ORDER BY n DESC, prefix DESC LIMIT 1""")
+def d1_table_prefix(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    return health.common_table_prefix(p.select(F.when(F.col("p_size") > 10, F.concat(F.lit("shop_"), F.lower("p_type"))).otherwise(F.lower("p_brand")).alias("name")))
+
+
+@query(f"""WITH {ad.ROUTES_SQL}, w AS (SELECT DISTINCT path, unnest(list_filter(string_split_regex(lower(path), '[^a-z0-9]+'), lambda x: len(x) > 2 AND NOT regexp_matches(x, '^[0-9]+$'))) AS w FROM routes)
+SELECT string_split(path, '/')[2] AS key, string_split(path, '/')[2] AS name, count(*) AS entries FROM (SELECT root_name, path FROM routes) WHERE string_split(path, '/')[2] <> '' GROUP BY 1""")
+def d4_form_modules(spark, sf_dir):
+    r = ad.pages_as_routes(spark, sf_dir).withColumn("entry_id", keys.join_key("root_name", "path"))
+    return modules.form_modules(r).select("key", "name", "entries")
+
+
+@query(f"""WITH {ad.FILES_SQL}, x AS (SELECT root_name, string_split(rel_path, '/') AS p FROM files)
+SELECT DISTINCT root_name, array_to_string(p[1:k], '/') AS container, array_to_string(p[1:k+1], '/') AS member FROM x, range(1, 5) t(k) WHERE k < len(p)""")
+def x10_folder_containment(spark, sf_dir):
+    return modules.folder_containment(ad.docs_as_files(spark, sf_dir))
+
+
+@query(f"""WITH {ad.FILES_SQL} SELECT root_name, rel_path, CASE WHEN size_bytes % 2 = 0 THEN 'behavioural' WHEN size_bytes % 3 = 0 THEN 'infrastructural' WHEN size_bytes % 5 = 0 THEN 'technical' ELSE 'unclassified' END AS disposition FROM files""")
+def d7_dispositions(spark, sf_dir):
+    f = ad.docs_as_files(spark, sf_dir)
+    part = lambda k: f.where(F.col("size_bytes") % k == 0)
+    return modules.assign_dispositions(f.select("root_name", "rel_path"), part(2), part(3), part(5))
