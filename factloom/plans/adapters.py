@@ -127,7 +127,7 @@ conditions AS (SELECT p_partkey AS rule_id, p_brand AS root_name, 'part.' || rep
 
 
 def months_as_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM").alias("run_id"), F.concat(F.lit("user-"), F.col("user_id")).alias("id")).distinct()
+    return table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.concat(F.lit("user-"), F.col("user_id")).alias("id")).distinct()
 
 
-RUNS_SQL = "runs AS (SELECT DISTINCT strftime(ts, '%Y-%m') AS run_id, 'user-' || user_id AS id FROM events)"
+RUNS_SQL = "runs AS (SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS run_id, 'user-' || user_id AS id FROM events)"

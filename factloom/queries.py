@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import keys, names, paths
-from .operators import graphs, health, intervals, link, merge, modules, rules
+from .functions import grades, keys, names, paths
+from .operators import audit, behavior, graphs, health, history, intervals, link, merge, modules, rules
 from .plans import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -385,3 +385,224 @@ def d7_dispositions(spark, sf_dir):
     f = ad.docs_as_files(spark, sf_dir)
     part = lambda k: f.where(F.col("size_bytes") % k == 0)
     return modules.assign_dispositions(f.select("root_name", "rel_path"), part(2), part(3), part(5))
+
+
+# Grades -------------------------------------------------------------------------------------------------------------------------
+
+
+SLOTS_SQL = """slots AS (SELECT event_id, user_id, event_type, value, (['declared','resolved','inferred','unresolved'])[event_id % 4 + 1] AS class, (['low','medium','high'])[event_id % 3 + 1] AS conf FROM events)"""
+
+
+def slots(spark, sf_dir):
+    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (F.col("event_id") % n + 1).cast("int"))
+    return ad.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", pick(4, "declared", "resolved", "inferred", "unresolved").alias("class"), pick(3, "low", "medium", "high").alias("conf"))
+
+
+@query(f"""WITH {SLOTS_SQL} SELECT event_id, CASE WHEN event_type = 'error' THEN 'failed' WHEN value > 90 THEN 'partial' WHEN value < 5 THEN 'unsupported' WHEN event_type = 'view' THEN 'observed' ELSE 'unknown' END AS state,
+3 - (event_id % 4) AS rank, event_id % 4 <= (event_id + 1) % 4 AS weaker_next, event_id % 4 = 0 AS direct FROM slots""")
+def e26_e27_coverage(spark, sf_dir):
+    v, t, c = F.col("value"), F.col("event_type"), F.col("class")
+    state = grades.classify_coverage({"failed": t == "error", "truncated": v > 90, "unsupported": v < 5, "observed": t == "view"})
+    after = F.element_at(F.array(*map(F.lit, merge.DIRECTNESS)), ((F.col("event_id") + 1) % 4 + 1).cast("int"))
+    return slots(spark, sf_dir).select("event_id", state.alias("state"), grades.resolution_rank(c).cast("long").alias("rank"), grades.is_legal_transition(after, c).alias("weaker_next"), grades.is_directly_observed(c).alias("direct"))
+
+
+@query(f"""WITH {SLOTS_SQL} SELECT user_id, (['low','medium','high'])[min(event_id % 3) + 1] AS confidence FROM slots GROUP BY 1""")
+def e28_confidence(spark, sf_dir):
+    return slots(spark, sf_dir).groupBy("user_id").agg(grades.aggregate_confidence(F.col("conf")).alias("confidence"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN (p_size // 10, p_size % 10) > (2, 5) THEN 1 WHEN (p_size // 10, p_size % 10) < (2, 5) THEN -1 ELSE 0 END AS cmp, p_size // 10 = 2 AND p_size % 10 >= 5 AS compatible,
+CASE WHEN p_partkey % 2 = 0 THEN p_size // 10 || '.' || p_size % 10 || '.0' END AS pin, p_partkey % 2 = 0 OR p_size // 10 = 2 AS agrees FROM part""")
+def e25_e30_versions(spark, sf_dir):
+    v = F.concat_ws(".", F.floor(F.col("p_size") / 10), F.col("p_size") % 10, F.lit("0"))
+    constraint = F.when(F.col("p_partkey") % 2 == 0, v).otherwise(F.concat(F.lit("^"), v))
+    return ad.table(spark, sf_dir, "part").select(
+        "p_partkey", grades.compare_semver(v, F.lit("2.5.0")).alias("cmp"), grades.is_compatible(v, F.lit("2.5.0")).alias("compatible"),
+        grades.pinned_by_manifest(F.lit("npm"), constraint).alias("pin"), grades.agrees_with_constraint(constraint, F.lit("2.9.9")).alias("agrees"),
+    )
+
+
+@query(f"""WITH {SLOTS_SQL} SELECT event_id, CASE WHEN class = 'inferred' AND value >= 50 THEN 'inferred without confidence' WHEN class <> 'inferred' AND value < 50 THEN 'confidence on a class that has none'
+WHEN class = 'unresolved' AND event_type = 'click' THEN 'unresolved without a reason' WHEN class <> 'unresolved' AND event_type <> 'click' THEN 'a reason on a resolved fact' END AS violation FROM slots""")
+def v4_provenance(spark, sf_dir):
+    p = F.struct(F.col("class").alias("resolution_class"), F.struct(F.lit("a.go").alias("rel_path")).alias("source"), F.when(F.col("value") < 50, F.col("conf")).alias("confidence"), F.when(F.col("event_type") != "click", "dynamic").alias("unresolved_reason"))
+    return slots(spark, sf_dir).withColumn("p", p).select("event_id", grades.provenance_violation(F.col("p")).alias("violation"))
+
+
+@query(r"""SELECT doc_id, (len(string_split(substr(text, 1, len(text) // 2), chr(10))))::INT AS line, (len(string_split(substr(text, 1, len(text) // 2), chr(10))[-1]) + 1)::INT AS col FROM documents""")
+def e34_locate(spark, sf_dir):
+    at = grades.locate(F.col("text"), F.floor(F.length("text") / 2).cast("int"))
+    return ad.table(spark, sf_dir, "documents").select("doc_id", at["line"].alias("line"), at["column"].alias("col"))
+
+
+@query(r"""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
+def e35_json_path(spark, sf_dir):
+    return ad.table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query(r"""SELECT o_custkey, 'flowchart TD' || chr(10) || string_agg('  s' || k || '["' || o_orderpriority || '"]', chr(10) ORDER BY k) || coalesce(chr(10) || string_agg(CASE WHEN k > 0 THEN '  s' || (k - 1) || CASE WHEN o_orderstatus = 'F' THEN ' --> s' ELSE ' -.-> s' END || k END, chr(10) ORDER BY k), '') AS diagram
+FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders) GROUP BY 1""")
+def e33_flow_diagram(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.col("o_orderpriority").alias("label"), (F.col("o_orderstatus") == "F").alias("resolved")))).alias("s"))
+    return o.select("o_custkey", grades.flow_diagram(F.col("s")).alias("diagram"))
+
+
+# Histories ------------------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH ev AS (SELECT p.p_brand AS root_name, l_partkey % 20 AS t, l_linenumber AS c, l_orderkey AS f, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS r, l_suppkey AS pos, l_linestatus AS ty FROM lineitem JOIN part p ON p_partkey = l_partkey WHERE l_orderkey % 5 = 0),
+k AS (SELECT DISTINCT root_name, t, c FROM ev WHERE r < 2), x AS (SELECT * FROM ev WHERE r < 2 UNION ALL SELECT ev.root_name, ev.t, k.c, f, r, pos, ty FROM ev JOIN k ON k.root_name = ev.root_name AND k.t = ev.t WHERE r = 2),
+w AS (SELECT *, row_number() OVER (PARTITION BY root_name, t, c ORDER BY f DESC, r DESC, pos DESC, ty DESC) AS n FROM x)
+SELECT root_name, t AS table_name, c AS column_name FROM w WHERE n = 1 AND r = 0""")
+def x6_schema_history(spark, sf_dir):
+    action = F.when(F.col("l_returnflag") == "A", "drop-column").when(F.col("l_returnflag") == "R", "drop-table").otherwise("create")
+    li = ad.table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").join(ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    e = li.select(F.col("p_brand").alias("root_name"), F.col("l_orderkey").alias("file_seq"), action.alias("action"), F.col("l_suppkey").alias("pos"), (F.col("l_partkey") % 20).alias("table_name"), F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("column_name"), F.col("l_linestatus").alias("type"))
+    return history.fold_schema_history(e).drop("type")
+
+
+@query(f"""WITH l AS (SELECT DISTINCT p_brand AS root_name, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' ELSE 'a/b' END AS dir, p_type AS name, p_size::VARCHAR AS version FROM part WHERE p_size < 25),
+d AS (SELECT p_partkey AS dep, p_brand AS root_name, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b/c' ELSE 'x' END AS dir, p_type AS name FROM part),
+a AS (SELECT dep, l.dir, len(l.dir) AS depth, version FROM d JOIN l ON l.root_name = d.root_name AND l.name = d.name AND (l.dir = '' OR l.dir = d.dir OR d.dir LIKE l.dir || '/%')),
+n AS (SELECT dep, min(version) AS version, count(DISTINCT version) AS k FROM a WHERE depth = (SELECT max(depth) FROM a b WHERE b.dep = a.dep) GROUP BY 1)
+SELECT d.dep, CASE k WHEN 1 THEN version END AS version FROM d LEFT JOIN n USING (dep)""")
+def j19_resolve_versions(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    of = lambda c, *v: F.element_at(F.array(*map(F.lit, v)), (F.col(c) % 3 + 1).cast("int"))
+    deps = p.select(F.col("p_partkey").alias("dep"), F.col("p_brand").alias("root_name"), of("p_partkey", "a", "a/b/c", "x").alias("dir"), F.col("p_type").alias("name"))
+    locks = p.where("p_size < 25").select(F.col("p_brand").alias("root_name"), of("p_size", "", "a", "a/b").alias("dir"), F.col("p_type").alias("name"), F.col("p_size").cast("string").alias("version"))
+    return history.resolve_versions(deps, locks).select("dep", "version")
+
+
+@query("""WITH RECURSIVE g AS (SELECT c_custkey AS id, c_custkey // 4 AS parent, '/' || c_mktsegment AS prefix FROM customer),
+r AS (SELECT id, prefix, 1 AS n FROM g WHERE parent = 0 UNION ALL SELECT g.id, r.prefix || g.prefix, n + 1 FROM g JOIN r ON g.parent = r.id WHERE g.parent <> 0) SELECT id AS group_id, prefix, n AS depth FROM r""")
+def j29_compose_prefixes(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "customer")
+    parent = F.floor(F.col("c_custkey") / 4)
+    g = c.select(F.col("c_custkey").alias("group_id"), F.when(parent > 0, parent).alias("parent_id"), F.concat(F.lit("/"), "c_mktsegment").alias("prefix"), F.array("c_mktsegment").alias("middleware"))
+    return history.compose_prefixes(g).select("group_id", "prefix", F.size("middleware").cast("long").alias("depth"))
+
+
+@query("""SELECT p_partkey AS registration_id, CASE WHEN s_name IS NULL THEN '/' || p_partkey ELSE '/' || s_suppkey || '/' || p_partkey END AS path, CASE WHEN s_name IS NULL THEN 'inferred' ELSE 'direct' END AS class, CASE WHEN s_name IS NULL THEN 'file is not mounted' END AS failure
+FROM part LEFT JOIN supplier ON s_nationkey = p_size""")
+def j28_expand_mounts(spark, sf_dir):
+    r = ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("registration_id"), F.lit("svc").alias("root_name"), F.col("p_size").alias("rel_path"), F.concat(F.lit("/"), "p_partkey").alias("path"))
+    m = ad.table(spark, sf_dir, "supplier").select(F.lit("svc").alias("root_name"), F.col("s_nationkey").alias("rel_path"), F.concat(F.lit("/"), "s_suppkey").alias("prefix"))
+    return history.expand_mounts(r, m)
+
+
+# Behaviour ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.CONDITIONS_SQL} SELECT 'behavioral|condition|' || root_name || '|' || subject || '|' || operator || '|' || literal || '|' || rel_path || '|' || start_line AS fact_id, 'condition' AS kind, CASE WHEN literal > 25 THEN 'symbol' ELSE 'module' END AS scope, CASE WHEN literal % 2 = 0 THEN 'conditional' ELSE 'active' END AS activation FROM conditions""")
+def b1_condition_facts(spark, sf_dir):
+    c = ad.parts_as_conditions(spark, sf_dir).withColumns({"enclosing_function": F.when(F.col("literal") > 25, "f"), "guarded": F.col("literal") % 2 == 0})
+    return behavior.condition_facts(c)
+
+
+@query(f"""WITH {CHANGES_SQL} SELECT user_id AS subject, CASE WHEN f <> 'view' THEN f END AS from_state, CASE WHEN t <> 'view' THEN t END AS to_state, CASE WHEN t = 'view' THEN 'target is no state' WHEN f = 'view' THEN 'start is no state' END AS diagnostic, count(*) AS times FROM ch WHERE f IS NOT NULL GROUP BY ALL""")
+def b4_transitions(spark, sf_dir):
+    ch = type_changes(spark, sf_dir).toDF("subject", "from_state", "to_state")
+    states = ad.table(spark, sf_dir, "events").where("event_type <> 'view'").select(F.col("event_type").alias("state"))
+    return behavior.transition_facts(ch, states)
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, t AS (SELECT DISTINCT caller_id AS id FROM edges WHERE caller_id LIKE 'o%5' OR caller_id LIKE 'p%'), c AS (SELECT DISTINCT caller_id AS test_id, callee_id AS target_id FROM edges WHERE caller_id IN (SELECT id FROM t) AND (callee_id IS NULL OR callee_id NOT IN (SELECT id FROM t)))
+SELECT *, CASE WHEN target_id IS NULL THEN 'unresolved' ELSE 'covered' END AS status FROM c UNION ALL SELECT id, NULL, 'unknown' FROM t WHERE id NOT IN (SELECT test_id FROM c)""")
+def j17_test_relations(spark, sf_dir):
+    e = ad.supply_graph(spark, sf_dir)
+    s = e.select(F.col("caller_id").alias("id")).distinct().withColumn("is_test", F.col("id").like("o%5") | F.col("id").like("p%"))
+    return behavior.test_relations(s, e)
+
+
+@query("""SELECT o_custkey AS fact_id, min(ascii(o_orderstatus)) AS source_rank, count(DISTINCT o_orderstatus) > 1 AS shared FROM orders GROUP BY 1""")
+def b9_assemble(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("fact_id"), F.ascii("o_orderstatus").alias("source_rank"), "o_orderpriority")
+    facts, notes = behavior.assemble_behavior(o)
+    return facts.join(notes, "fact_id", "left").select("fact_id", "source_rank", F.col("diagnostic").isNotNull().alias("shared"))
+
+
+@query("""SELECT p_type AS kind, CASE WHEN count(DISTINCT p_brand) > 1 THEN 'several owners' END AS problem FROM part WHERE p_size < 10 GROUP BY 1 HAVING count(DISTINCT p_brand) > 1
+UNION ALL SELECT DISTINCT p_type, 'no owner' FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size < 10)""")
+def v2_ownership(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    return behavior.validate_ownership(p.where("p_size < 10").select(F.col("p_brand").alias("owner"), F.col("p_type").alias("kind")), p.select(F.col("p_type").alias("kind")))
+
+
+@query("""WITH d AS (SELECT p_type AS kind, p_brand AS language, max(p_size) AS level FROM part WHERE p_size > 40 GROUP BY ALL), s AS (SELECT p_type AS kind, min(p_size) AS level FROM part WHERE p_size > 45 GROUP BY 1), w AS (SELECT DISTINCT p_type AS kind, p_brand AS language FROM part)
+SELECT w.kind, w.language, coalesce(d.level, s.level) AS level FROM w LEFT JOIN d USING (kind, language) LEFT JOIN s USING (kind)""")
+def v6_capability(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_brand").alias("language"), "p_size")
+    declared = p.where("p_size > 40").groupBy("kind", "language").agg(F.max("p_size").alias("level")).unionByName(p.where("p_size > 45").groupBy("kind").agg(F.min("p_size").alias("level")).withColumn("language", F.lit("*")))
+    return behavior.capability_for(p.select("kind", "language").distinct(), declared)
+
+
+# Reports --------------------------------------------------------------------------------------------------------------------------
+
+
+def reports(spark, sf_dir):
+    """Conversations as reports: the turns, and a proportion of user turns that is wrong in every seventh, with cited files."""
+    c = ad.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("d"), F.count_if(F.col("role") == "user").alias("n"))
+    pct = F.floor(100 * F.col("n") / F.col("d") + 0.5) + F.when(F.col("conv_id") % 7 == 0, 5).otherwise(0)
+    text = F.concat(F.lit("# Counts\n"), pct.cast("string"), F.lit("% ("), F.col("n"), F.lit("/"), F.col("d"), F.lit(")\n## Files\n`part|"), F.col("conv_id") % 4, F.lit("` in lang/"), F.lit("en/"), F.col("conv_id"), F.lit(".txt and nowhere.xyz\n"))
+    return c.select(F.col("conv_id").alias("report_id"), "n", "d", text.alias("text"))
+
+
+REPORTS_SQL = r"""r AS (SELECT conv_id AS report_id, count(*) AS d, count(*) FILTER (role = 'user') AS n, floor(100.0 * count(*) FILTER (role = 'user') / count(*) + 0.5)::BIGINT + CASE WHEN conv_id % 7 = 0 THEN 5 ELSE 0 END AS pct FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"""WITH {REPORTS_SQL}, k AS (SELECT DISTINCT count(*) AS v FROM conversations WHERE role = 'user' GROUP BY conv_id UNION SELECT 2 UNION SELECT 4)
+SELECT report_id, 0 AS pos, pct AS stated, n AS numerator, d AS denominator, CASE WHEN d NOT IN (SELECT v FROM k) THEN 'unknown-denominator' WHEN report_id % 7 = 0 THEN 'wrong-proportion' END AS finding FROM r""")
+def q2_q7_proportions(spark, sf_dir):
+    known = ad.table(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("value")).select("value").union(spark.createDataFrame([(2,), (4,)], "value long"))
+    return audit.audit_proportions(audit.cited_proportions(reports(spark, sf_dir)), known)
+
+
+@query(f"""WITH {REPORTS_SQL} SELECT report_id, 'nowhere.xyz' AS path, 'cited-extension-absent' AS finding FROM r UNION ALL SELECT report_id, 'lang/en/' || report_id || '.txt', 'not-in-workspace' FROM r WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = report_id AND lang = 'en')""")
+def q1_q6_paths(spark, sf_dir):
+    files = ad.table(spark, sf_dir, "documents").select(F.concat(F.lit("src/lang/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("rel_path"))
+    return audit.audit_paths(audit.cited_paths(reports(spark, sf_dir)), files)
+
+
+@query(f"""WITH {REPORTS_SQL} SELECT report_id, 2 AS section, 'part|' || report_id % 4 AS identity FROM r""")
+def q3_q4_identities(spark, sf_dir):
+    s = audit.line_sections(reports(spark, sf_dir), "report_id")
+    return audit.cited_identities(s, spark.createDataFrame([("part",)], "namespace string"), "report_id")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+s AS (SELECT *, sum((regexp_matches(line, '^[A-Z][a-z]+ed under'))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l)
+SELECT doc_id, section::BIGINT AS section, count(*) AS lines, length(string_agg(line, chr(10) ORDER BY pos))::INT AS size FROM s GROUP BY ALL""")
+def x7_sections(spark, sf_dir):
+    """License lines as headings."""
+    s = audit.line_sections(ad.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "^[A-Z][a-z]+ed under")
+    return s.select("doc_id", "section", "lines", F.length("body").alias("size"))
+
+
+@query("""WITH f AS (SELECT source AS root_name, lang AS disposition FROM documents) SELECT root_name, disposition, count(*) AS value FROM f GROUP BY CUBE (root_name, disposition)""")
+def d27_denominators(spark, sf_dir):
+    return audit.denominators(ad.table(spark, sf_dir, "documents").select(F.col("source").alias("root_name"), F.col("lang").alias("disposition")))
+
+
+@query(f"""WITH {ad.RUNS_SQL} SELECT id, count(*) AS runs FROM runs GROUP BY 1 HAVING count(*) <> (SELECT count(DISTINCT run_id) FROM runs)""")
+def o4_identity_drift(spark, sf_dir):
+    return audit.identity_drift(ad.months_as_runs(spark, sf_dir))
+
+
+@query("""SELECT p_type AS kind, count(DISTINCT p_brand) AS tables FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1""")
+def o6_multi_table_kinds(spark, sf_dir):
+    return audit.multi_table_kinds(ad.table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_name"), F.col("p_type").alias("kind")))
+
+
+@query("""SELECT DISTINCT o_custkey AS id FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def o7_missing_items(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "id")
+    return audit.missing_items(o, o.where("o_orderstatus = 'P'"))
+
+
+@query("""SELECT CASE WHEN quality = 1 THEN CASE WHEN lang IS NULL THEN 'missed' ELSE 'found' END ELSE CASE WHEN lang IS NULL THEN 'clean' ELSE 'contradicted' END END AS verdict, count(*) AS n
+FROM labels l LEFT JOIN (SELECT DISTINCT doc_id, lang FROM documents WHERE n_chars > 1000) d ON d.doc_id = l.doc_id GROUP BY 1""")
+def d29_grade(spark, sf_dir):
+    truth = ad.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expects"))
+    return audit.grade(truth, ad.table(spark, sf_dir, "documents").where("n_chars > 1000").select(F.lit("text").alias("kind"), F.col("doc_id").alias("path")))
