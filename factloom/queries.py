@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import grades, keys, names, paths
-from .operators import audit, behavior, graphs, health, history, intervals, link, merge, modules, rules
+from .operators import audit, behavior, graphs, health, history, intervals, link, merge, modules, rules, scans
 from .plans import adapters as ad
+from .sources import base, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -606,3 +607,37 @@ FROM labels l LEFT JOIN (SELECT DISTINCT doc_id, lang FROM documents WHERE n_cha
 def d29_grade(spark, sf_dir):
     truth = ad.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.lit("text").alias("kind"), F.col("doc_id").alias("path"), F.when(F.col("quality") == 1, "present").otherwise("absent").alias("expects"))
     return audit.grade(truth, ad.table(spark, sf_dir, "documents").where("n_chars > 1000").select(F.lit("text").alias("kind"), F.col("doc_id").alias("path")))
+
+
+# Sources and scans ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.FILES_SQL}, x AS (SELECT root_name, size_bytes, CASE WHEN size_bytes % 5 = 0 THEN 'vendor/' || rel_path ELSE rel_path END AS p, contains(lower(substr(content, 1, 500)), 'generated') AND contains(lower(substr(content, 1, 500)), 'do not edit') AS g FROM files)
+SELECT root_name, p AS rel_path, size_bytes::BIGINT AS size_bytes, 'analyzed' AS disposition, 'documentation' AS classification, NULL::VARCHAR AS reason FROM x WHERE p NOT LIKE 'vendor/%'
+UNION ALL SELECT root_name, 'vendor', sum(size_bytes)::BIGINT, 'excluded', 'vendored', 'dependency folder' FROM x WHERE p LIKE 'vendor/%' GROUP BY 1""")
+def s2_inventory(spark, sf_dir):
+    f = ad.docs_as_files(spark, sf_dir)
+    return corpus.inventory(f.withColumn("rel_path", F.when(F.col("size_bytes") % 5 == 0, F.concat(F.lit("vendor/"), "rel_path")).otherwise(F.col("rel_path"))))
+
+
+@query("""SELECT source AS workspace, first(doc_id::VARCHAR ORDER BY n_chars DESC, doc_id::VARCHAR DESC) AS snapshot_id FROM documents WHERE lang <> 'fr' GROUP BY 1""")
+def s14_latest_snapshots(spark, sf_dir):
+    s = ad.table(spark, sf_dir, "documents").select(F.col("source").alias("workspace"), F.col("doc_id").cast("string").alias("snapshot_id"), F.when(F.col("lang") != "fr", F.col("n_chars")).alias("published_at"))
+    return base.latest_snapshots(s)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+c AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM l WHERE starts_with(trim(line), 'The'))
+SELECT doc_id, min(pos)::BIGINT AS start_line, count(*) AS lines, (sum(length(trim(substr(trim(line), 4)))) + count(*) - 1)::BIGINT AS size FROM c GROUP BY doc_id, island""")
+def x8_comment_blocks(spark, sf_dir):
+    """Lines that begin with The, as comment lines."""
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.col("doc_id").alias("rel_path"), F.col("text").alias("content"))
+    return scans.doc_comments(f, "The").select(F.col("rel_path").alias("doc_id"), "start_line", "lines", F.length("text").cast("long").alias("size"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '\b(the|und|les|que)\b')) AS w FROM documents) SELECT doc_id, w AS detail, count(*) AS n FROM m GROUP BY ALL""")
+def x1_scan_patterns(spark, sf_dir):
+    """The scan with a pattern of common words, by match; whole texts."""
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
+    m = scans.scan_patterns(f, (("word", ("txt",), r"\b(the|und|les|que)\b", "common", "low", 1),))
+    return m.groupBy(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc_id"), "detail").agg(F.count("*").alias("n"))
