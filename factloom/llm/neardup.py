@@ -7,7 +7,7 @@ concentrated as if t independent minima had been taken. Bands of ``rows`` coordi
 
 Documents with equal sets are one node. A bucket is not expanded into pairs: its members are compared with one
 member, verified links are contracted into components, and only buckets that still hold several components go
-on, with other centres and in the end with all pairs of different components, so no candidate link is lost.
+on, with other centres and in the end with a join of different components that verifies inside, so no candidate link is lost.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component; a null
 doc_id takes part in no link, has a null component and is kept; rows that repeat an id with the same text get equal
@@ -29,6 +29,7 @@ from .common import ASCII_LOWER, materialize
 from .graph import components
 
 ROWS, BANDS = 5, 40
+PARITY_LONGS = 16
 _CACHE: dict[bytes, int] = {}
 
 
@@ -101,16 +102,23 @@ def sketch_documents(docs: DataFrame, width: int, rows: int, bands: int) -> Data
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
+def parity_bits(elements: np.ndarray) -> np.ndarray:
+    """64 * PARITY_LONGS bits, each the parity of the number of elements hashed to it."""
+    at = (mix(elements) >> np.uint64(32)) % np.uint64(64 * PARITY_LONGS)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=64 * PARITY_LONGS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set array<long>) of the documents whose id is in ids(id)."""
+    """(id, set array<long>, parity array<long>) of the documents whose id is in ids(id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], longs), pa.array([parity_bits(s) for s in sets], longs)], names=["id", "set", "parity"])
 
     picked = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi")
-    return picked.mapInArrow(run, "id long, set array<long>")
+    return picked.mapInArrow(run, "id long, set array<long>, parity array<long>")
 
 
 def similar(a: Column, b: Column, percent: int) -> Column:
@@ -131,12 +139,19 @@ def _star_pairs(members: DataFrame, seed: int) -> DataFrame:
     return members.join(centre, "bucket").where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components in a bucket."""
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    m = members.join(mixed, "bucket").select("bucket", "id", "component")
-    other = m.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return m.join(other, "bucket").where("component <> cb and id < b").select(F.col("id").alias("a"), "b").distinct()
+def _residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between members of a bucket whose components differ, verified inside the join, so that only links leave it. The
+    parity bitmaps of two sets differ in at most as many bits as the sets in elements, which rules out all but close pairs
+    before their sets are intersected."""
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    m = members.join(mixed, "bucket").select("bucket", "id", "component").join(sets, "id").withColumn("n", F.size("set"))
+    m = m.select("bucket", "id", "component", "n", "set", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS)))
+    other = m.toDF(*(f"{c}_b" for c in m.columns))
+    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_LONGS)), F.lit(0))
+    # similar sets differ in (100 - percent) / (100 + percent) of their summed sizes at most
+    possible = (F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
+    joined = m.join(other, (m["bucket"] == other["bucket_b"]) & possible & similar(F.col("set"), F.col("set_b"), percent))
+    return joined.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, star_rounds: int = 3) -> DataFrame:
@@ -149,24 +164,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     busy = materialize(buckets.join(busy, "bucket"), "buckets")
     sets = materialize(shingle_sets(docs, busy.select("id").distinct(), width), "sets")
 
-    spark = docs.sparkSession
-    labels, tried, links = None, spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "a long, b long")
+    members, labels, tried, links = busy.withColumn("component", F.col("id")), None, None, None
     for k in range(star_rounds + 1):
-        if labels is None:
-            members = busy.withColumn("component", F.col("id"))
+        if k < star_rounds:
+            pairs = _star_pairs(members, k)
+            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+            tried = tried.union(pairs) if tried else pairs
+            found = materialize(verified(pairs, sets, percent), "links")
         else:
-            members = busy.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        pairs = _star_pairs(members, k) if k < star_rounds else _cross_pairs(members)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if k < star_rounds:
-                continue
-            break
-        tried = tried.union(pairs)
-        found = materialize(verified(pairs, sets, percent), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+            found = materialize(_residual_links(members, sets, percent), "links")
+        if found.isEmpty():
+            continue
+        links = links.union(found) if links else found
+        labels = components(links)
+        members = busy.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
     members = known.select("doc_id", "set_key").join(nodes.select("set_key", F.col("x.doc_id").alias("node")), "set_key").select("doc_id", "set_key", "node").distinct()
     if labels is not None:
