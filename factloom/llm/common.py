@@ -45,3 +45,20 @@ def crc_mod(id_col: str, mod: int) -> Column:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
+
+
+def text_hash() -> Column:
+    """th: with the id it names a row's text where ids repeat."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+
+
+def rows_named(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, th) is in named."""
+    right = named.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    return docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == right["__th"]), "left_semi")
+
+
+def carried(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with all its columns under names that clash with none, beside text; and those names."""
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    return docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), docs["text"]), names

@@ -22,7 +22,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import carried, materialize
 
 #: Lower-cases A-Z and blanks every ASCII character but letters and digits.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -138,3 +138,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("d
 
     schema = found.select(*keep, *(F.lit(0).cast("long").alias(c) for c in ("n_words", "n_hit", "n_items")), F.lit("").alias("items_sha256"), F.col("__spans").alias("spans"), F.col("__items").alias("items"), F.lit(True).alias("contaminated")).schema
     return found.mapInArrow(finish, schema)
+
+
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of docs without a word inside an item's window."""
+    rows, names = carried(docs)
+    return decontaminate(rows, items, tuple(names), width).where("not contaminated").select(*names).toDF(*docs.columns)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .common import carried, crc_mod, materialize
 
 UNKNOWN = "und"
 PROFILE = 400
@@ -127,3 +127,11 @@ def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from the labelled rows that are not held out, predicted for all."""
     profiles = materialize(learn_profiles(docs.where(~is_held_out()), size), "profiles")
     return predict_languages(docs.withColumn("__held", is_held_out()), profiles, ["doc_id", "__held"], size).withColumnRenamed("__held", "held_out")
+
+
+def keep_identified(docs: DataFrame, min_score: float = 0.3, size: int = PROFILE) -> DataFrame:
+    """The rows of docs whose text is in one of the learnt languages: neither und nor below min_score."""
+    profiles = materialize(learn_profiles(docs.where(~is_held_out()), size), "profiles")
+    rows, names = carried(docs)
+    kept = predict_languages(rows, profiles, names, size).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.select(*names).toDF(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize
+from .common import ASCII_LOWER, materialize, rows_named, text_hash
 from .graph import components
 
 ROWS, BANDS = 5, 40
@@ -87,19 +87,19 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key binary, bands array<long>); the last two null for empty sets."""
+    """(doc_id, th, n_shingles, set_key binary, bands array<long>); th names the text, the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, buckets = [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 buckets.append(band_keys(fast_sketch(s, rows * bands), rows) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "set_key", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", text_hash(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
@@ -155,7 +155,7 @@ def _residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, star_rounds: int = 3) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (doc_id = component_id) for each row of docs(doc_id, text)."""
+    """doc_id, th, n_shingles, component_id and kept (doc_id = component_id) for each row of docs(doc_id, text)."""
     sketches = materialize(sketch_documents(docs, width, rows, bands), "sketches")
     known = sketches.where("doc_id is not null and set_key is not null")
     nodes = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("x"))
@@ -182,8 +182,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     members = known.select("doc_id", "set_key").join(nodes.select("set_key", F.col("x.doc_id").alias("node")), "set_key").select("doc_id", "set_key", "node").distinct()
     if labels is not None:
         members = members.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
-    out = sketches.select("doc_id", "n_shingles", "set_key").alias("s").join(
+    out = sketches.select("doc_id", "th", "n_shingles", "set_key").join(
         members.select(F.col("doc_id").alias("m_id"), F.col("set_key").alias("m_key"), "node"), (F.col("doc_id") == F.col("m_id")) & (F.col("set_key") == F.col("m_key")), "left"
     )
-    out = out.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "th", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, one of equal rows."""
+    kept = near_duplicates(docs, **options).where("kept")
+    return rows_named(docs, kept).dropDuplicates()

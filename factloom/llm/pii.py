@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_hash
 from .spans import count_kind, joined, no_spans, overlapping, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -56,7 +56,7 @@ TOKEN = r"(?<![A-Za-z0-9._%+@/-])(?=[A-Za-z._%+@/-]*+[0-9])[A-Za-z0-9._%+@/-]{5,
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, base SPAN, tokens array of identifier-like tokens with their surroundings); th names the text."""
-    text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
+    text = docs.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("__text"))
     kinds = base_kinds("__text")
     found = with_matches(text, "__text", [*kinds, ("token", TOKEN, F.rlike("__text", F.lit("[0-9]")), lambda m: F.lit(True))])
     found = found.withColumn("base", F.concat(*KINDS))

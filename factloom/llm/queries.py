@@ -50,7 +50,7 @@ ORACLE_SQL["op9_benchmark_decontamination"] = oracles.DECONTAMINATION
 
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("th")
 
 
 ORACLE_SQL["op5_minhash_near_dedup"] = oracles.NEAR_DUPLICATES

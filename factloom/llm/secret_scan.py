@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_hash
 from .spans import count_kind, joined, no_spans, overlapping, with_matches
 
 KINDS = ("assign", "access", "hex")
@@ -39,7 +39,7 @@ def kinds(text: str) -> list:
 
 def scan(docs: DataFrame, owner: str) -> DataFrame:
     """(doc_id, th, owner, base SPAN, tokens SPAN) of each row; th names the text."""
-    text = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("__text"))
+    text = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), text_hash(), F.coalesce("text", F.lit("")).alias("__text"))
     found = with_matches(text, "__text", kinds("__text")).withColumn("base", F.concat(*KINDS))
     free = F.filter("token", lambda t: F.size(overlapping(F.col("base"), t["start"], t["end"])) == 0)
     return found.select("doc_id", "th", "owner", "base", free.alias("tokens"))
@@ -81,7 +81,6 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
     )
     cleaned = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    th = F.xxhash64(F.coalesce("text", F.lit("")))
-    both = docs.join(live, docs["doc_id"].eqNullSafe(F.col("f_id")) & (th == F.col("f_th")), "left")
+    both = docs.join(live, docs["doc_id"].eqNullSafe(F.col("f_id")) & (text_hash() == F.col("f_th")), "left")
     both = both.withColumn("text", F.when(F.col("live").isNotNull(), cleaned).otherwise(F.col("text")))
     return both.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
