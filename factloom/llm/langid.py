@@ -129,7 +129,7 @@ def identify_languages(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     return predict_languages(docs.withColumn("__held", is_held_out()), profiles, ["doc_id", "__held"], size).withColumnRenamed("__held", "held_out")
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, size: int = PROFILE) -> DataFrame:
+def keep_identified(docs: DataFrame, min_score: float = 0.2, size: int = PROFILE) -> DataFrame:
     """The rows of docs whose text is in one of the learnt languages: neither und nor below min_score."""
     profiles = materialize(learn_profiles(docs.where(~is_held_out()), size), "profiles")
     rows, names = carried(docs)
