@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import grades, keys, names, paths
-from .operators import audit, behavior, graphs, health, history, intervals, link, merge, modules, rules, scans
+from .operators import audit, behavior, effects, flows, graphs, health, history, intervals, link, merge, modules, routes, rules, scans
 from .plans import adapters as ad
 from .sources import base, corpus
 
@@ -641,3 +641,136 @@ def x1_scan_patterns(spark, sf_dir):
     f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
     m = scans.scan_patterns(f, (("word", ("txt",), r"\b(the|und|les|que)\b", "common", "low", 1),))
     return m.groupBy(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc_id"), "detail").agg(F.count("*").alias("n"))
+
+
+# Flows, routes and effects ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {ad.ACCESS_SQL}, f AS (SELECT DISTINCT c_custkey AS flow_id, c_nationkey AS n FROM customer WHERE c_custkey % 10 = 0),
+s AS (SELECT flow_id, 0 AS rank, 'part_' || flow_id AS scope FROM f UNION ALL SELECT flow_id, 1, 'supplier-' || n FROM f UNION ALL SELECT flow_id, 2, 'supplier-' || (n + 1) FROM f),
+a AS (SELECT 0 AS rank, entity AS scope, entity, operation FROM access WHERE root_name LIKE '%7' UNION ALL SELECT 1, root_name, entity, operation FROM access WHERE root_name LIKE '%2' UNION ALL SELECT 2, root_name, entity, operation FROM access),
+m AS (SELECT s.flow_id, s.rank, entity, operation FROM s JOIN a ON s.rank = a.rank AND s.scope = a.scope), b AS (SELECT flow_id, min(rank) AS rank FROM m GROUP BY 1),
+p AS (SELECT flow_id, rank, entity, coalesce(string_agg(DISTINCT CASE operation WHEN 'unknown' THEN NULL ELSE operation END, ',' ORDER BY CASE operation WHEN 'unknown' THEN NULL ELSE operation END), '') AS ops FROM m JOIN b USING (flow_id, rank) GROUP BY ALL)
+SELECT flow_id, entity, ops AS operations, rank = 2 AS indirect, greatest(n - 12, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY entity) AS k, count(*) OVER (PARTITION BY flow_id) AS n FROM p) WHERE k <= 12""")
+def j12_flow_data_access(spark, sf_dir):
+    a = ad.lineitem_as_access(spark, sf_dir)
+    f = ad.table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("flow_id"), F.col("c_nationkey").alias("n"))
+    level = lambda rank, scope: F.struct(F.lit(rank).alias("rank"), scope.alias("scope"))
+    supplier = lambda n: F.concat(F.lit("supplier-"), n.cast("string"))
+    scopes = f.select("flow_id", F.explode(F.array(level(0, F.concat(F.lit("part_"), F.col("flow_id"))), level(1, supplier(F.col("n"))), level(2, supplier(F.col("n") + 1)))).alias("s")).select("flow_id", "s.*")
+    access = a.where("root_name like '%7'").select(F.lit(0).alias("rank"), F.col("entity").alias("scope"), "entity", "operation").unionByName(a.where("root_name like '%2'").select(F.lit(1).alias("rank"), F.col("root_name").alias("scope"), "entity", "operation")).unionByName(a.select(F.lit(2).alias("rank"), F.col("root_name").alias("scope"), "entity", "operation"))
+    return flows.flow_data_access(scopes, access).withColumn("operations", F.array_join("operations", ","))
+
+
+@query(f"""WITH {ad.CONDITIONS_SQL} SELECT root_name, rel_path, literal % 10 AS enclosing_function, array_to_string((list(DISTINCT subject ORDER BY subject))[1:6], ',') AS texts FROM conditions GROUP BY ALL""")
+def j15_rule_conditions(spark, sf_dir):
+    c = ad.parts_as_conditions(spark, sf_dir).select("root_name", "rel_path", (F.col("literal") % 10).alias("enclosing_function"), F.col("subject").alias("text"))
+    return flows.rule_conditions(c).withColumn("texts", F.array_join("texts", ","))
+
+
+@query(f"""WITH {ad.CONDITIONS_SQL}, f AS (SELECT DISTINCT p_size % 5 AS feature_id, p_brand AS root_name, lower(p_brand) || '.go' AS rel_path FROM part WHERE p_size < 3) SELECT DISTINCT feature_id, rule_id FROM f JOIN conditions USING (root_name, rel_path)""")
+def j16_feature_rules(spark, sf_dir):
+    f = ad.table(spark, sf_dir, "part").where("p_size < 3").groupBy((F.col("p_size") % 5).alias("feature_id")).agg(F.collect_set(F.struct(F.col("p_brand").alias("root_name"), F.concat(F.lower("p_brand"), F.lit(".go")).alias("rel_path"))).alias("file_paths"))
+    return flows.feature_rules(f, ad.parts_as_conditions(spark, sf_dir))
+
+
+@query("""WITH r AS (SELECT p_brand AS feature_id, p_partkey AS rule_id, p_name AS statement, CASE WHEN p_size % 4 = 0 THEN 0 WHEN p_size >= 30 THEN 1 WHEN p_size % 3 = 0 THEN 2 END AS r FROM part)
+SELECT feature_id, rule_id, statement, (['disagreed', 'repeated', 'unnamed-value'])[r + 1] AS reason FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY r, statement, rule_id) AS k FROM r WHERE r IS NOT NULL) WHERE k <= 20""")
+def d14_notable_rules(spark, sf_dir):
+    s = F.col("p_size")
+    r = ad.table(spark, sf_dir, "part").select(F.col("p_brand").alias("feature_id"), F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("statement"), (s % 4 == 0).alias("disagreed"), F.when(s >= 30, 3).otherwise(1).alias("places"), (s % 3 == 0).alias("unexplained"))
+    return flows.notable_rules(r)
+
+
+@query("""WITH e AS (SELECT o_custkey AS feature_id, o_orderstatus = 'F' AS a, o_orderpriority < '3' AS c, o_totalprice > 100000 AS h FROM orders), g AS (SELECT feature_id, count(*) AS total, count(*) FILTER (NOT a) AS na, count(*) FILTER (NOT c) AS nc, count(*) FILTER (NOT h) AS nh FROM e GROUP BY 1)
+SELECT feature_id, 'without-auth' AS code, na AS n, total, CASE WHEN na = total THEN 'concern' ELSE 'notice' END AS severity FROM g WHERE na > 0 UNION ALL SELECT feature_id, 'without-caller', nc, total, 'info' FROM g WHERE nc > 0 UNION ALL SELECT feature_id, 'without-handler', nh, total, 'notice' FROM g WHERE nh > 0""")
+def d11_feature_findings(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), (F.col("o_orderstatus") == "F").alias("has_auth"), (F.col("o_orderpriority") < "3").alias("has_caller"), (F.col("o_totalprice") > 100000).alias("has_handler"))
+    return flows.feature_findings(o)
+
+
+@query("""WITH e AS (SELECT o_custkey AS feature_id, count(DISTINCT o_orderkey) AS endpoints FROM orders GROUP BY 1), t AS (SELECT o_custkey AS feature_id, list(DISTINCT l_partkey::VARCHAR) FILTER (l_linenumber > 1) AS o, list(DISTINCT l_partkey::VARCHAR) FILTER (l_linenumber <= 1) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT feature_id, endpoints, array_to_string(list_sort(coalesce(o, [])), ',') AS tables, array_to_string(list_sort(list_filter(coalesce(n, []), lambda x: NOT list_contains(coalesce(o, []), x))), ',') AS nearby, endpoints AS flows, (SELECT count(*) FROM orders x WHERE x.o_custkey = feature_id AND o_orderstatus = 'P') AS partial FROM e LEFT JOIN t USING (feature_id)""")
+def d15_feature_facts(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("feature_id"), F.col("o_orderkey").alias("route_id"), F.col("o_orderkey").alias("flow_id"), (F.col("o_orderstatus") == "P").alias("partial"))
+    t = ad.table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("route_id")).select("feature_id", F.col("l_partkey").cast("string").alias("entity"), (F.col("l_linenumber") <= 1).alias("nearby"))
+    return flows.feature_facts(o, t, o).withColumns({"tables": F.array_join("tables", ","), "nearby": F.array_join("nearby", ",")})
+
+
+@query("""WITH m AS (SELECT count(*) AS t, count(*) FILTER (o_orderstatus = 'F') AS a, count(*) FILTER (o_orderstatus = 'O') AS b, count(*) FILTER (o_orderpriority < '2') AS c FROM orders), x AS (SELECT *, floor(100.0 * a / t + 0.5)::BIGINT AS pa, floor(100.0 * b / t + 0.5)::BIGINT AS pb, floor(100.0 * c / t + 0.5)::BIGINT AS pc FROM m)
+SELECT 'routes-without-auth' AS signal, pa AS measured, CASE WHEN pa >= 50 THEN 'concern' WHEN pa >= 20 THEN 'notice' ELSE 'info' END AS severity FROM x UNION ALL SELECT 'root-cycles', 0, 'info' UNION ALL SELECT 'unlinked-calls', pb, CASE WHEN pb >= 60 THEN 'concern' WHEN pb >= 30 THEN 'notice' ELSE 'info' END FROM x
+UNION ALL SELECT 'unexplained-rules', pc, CASE WHEN pc >= 50 THEN 'concern' WHEN pc >= 20 THEN 'notice' ELSE 'info' END FROM x UNION ALL SELECT 'tested-functions', pc, CASE WHEN pc < 20 THEN 'notice' ELSE 'info' END FROM x""")
+def d18_health_signals(spark, sf_dir):
+    o, t = ad.table(spark, sf_dir, "orders"), F.count("*")
+    a, b, c = F.count_if(F.col("o_orderstatus") == "F"), F.count_if(F.col("o_orderstatus") == "O"), F.count_if(F.col("o_orderpriority") < "2")
+    named = {"routes": t, "routes_without_auth": a, "calls": t, "unlinked": b, "cycles": F.sum(F.lit(0)), "rules": t, "unexplained": c, "tests": c, "functions": t}
+    return flows.health_signals(o.agg(*(v.alias(k) for k, v in named.items())))
+
+
+@query("""WITH g AS (SELECT DISTINCT p_brand AS root, p_type AS kind, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS reason FROM part), t AS (SELECT count(DISTINCT p_brand) AS n FROM part)
+SELECT kind, reason, CASE WHEN count(*) = (SELECT n FROM t) THEN 'all parts' ELSE string_agg(root, ', ' ORDER BY root) END AS "where" FROM g GROUP BY 1, 2""")
+def d19_coverage_notes(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").select(F.col("p_brand").alias("root_name"), F.col("p_type").alias("kind"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("reason"))
+    return flows.coverage_notes(p, p)
+
+
+@query("""WITH r AS (SELECT DISTINCT p_type AS kind FROM part), c AS (SELECT p_type AS kind, sum(p_size) AS n FROM part WHERE p_size % 50 = 7 GROUP BY 1) SELECT kind, coalesce(n, 0)::BIGINT AS n, n IS NULL AS missing FROM r LEFT JOIN c USING (kind)""")
+def d26_readiness(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part").select(F.col("p_type").alias("kind"), F.col("p_size").alias("n"))
+    return flows.readiness(p.where("n % 50 = 7"), p)
+
+
+@query("""WITH s AS (SELECT source AS workspace, lang AS snapshot_id, max(n_chars) AS pub FROM documents WHERE lang <> 'es' GROUP BY 1, 2), l AS (SELECT workspace, first(snapshot_id ORDER BY pub DESC, snapshot_id DESC) AS snapshot_id FROM s GROUP BY 1)
+SELECT w.workspace, l.snapshot_id, (SELECT count(DISTINCT source) FROM documents WHERE lang = l.snapshot_id) AS roots, (SELECT count(*) FROM documents WHERE lang = l.snapshot_id) AS files FROM (SELECT DISTINCT source AS workspace FROM documents) w LEFT JOIN l USING (workspace)""")
+def d23_status(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents")
+    s = d.groupBy(F.col("source").alias("workspace"), F.col("lang").alias("snapshot_id")).agg(F.max(F.when(F.col("lang") != "es", F.col("n_chars"))).alias("published_at"))
+    return flows.status(s, d.select(F.col("lang").alias("snapshot_id"), F.col("source").alias("root_name")))
+
+
+@query(f"""WITH {ad.ROUTES_SQL}, l AS (SELECT DISTINCT host, path FROM p WHERE page_id % 3 = 0)
+SELECT root_name, NULL::VARCHAR AS method, path, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.host = root_name AND l.path = r.path) THEN 'crawler' ELSE '' END AS callers FROM routes r""")
+def j11_frontend_callers(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "pages").where("page_id % 3 = 0")
+    links = p.select(paths.host_of(F.col("url")).alias("to_root"), paths.trim_slashes(paths.path_of(F.col("url"))).alias("route_path"), F.lit("GET").alias("method"), F.lit("crawler").alias("from_root"))
+    return flows.frontend_callers(ad.pages_as_routes(spark, sf_dir), links).withColumn("callers", F.array_join("callers", ","))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_brand AS root, p_size % 10 AS file, p_partkey % 4 AS line, CASE WHEN p_partkey % 3 = 0 THEN 'direct' ELSE 'inferred' END AS class, CASE WHEN p_partkey % 3 = 0 THEN '/v2/' || p_size % 7 ELSE '/' || p_size % 7 END AS path FROM part),
+m AS (SELECT w.id, d.id AS into_id, w.line <> d.line AS far, d.line, d.path FROM r w JOIN r d ON d.class = 'direct' AND w.class = 'inferred' AND d.root = w.root AND d.file = w.file AND d.path LIKE '%' || w.path), f AS (SELECT id, first(into_id ORDER BY far, line, path, into_id) AS into_id FROM m GROUP BY 1)
+SELECT r.id AS route_id, r.path, (SELECT count(DISTINCT w.path) FROM f JOIN r w ON w.id = f.id WHERE f.into_id = r.id) AS conflicts, 1 + (SELECT count(DISTINCT w.id % 5) FROM f JOIN r w ON w.id = f.id WHERE f.into_id = r.id AND w.id % 5 <> r.id % 5) AS providers FROM r WHERE r.id NOT IN (SELECT id FROM f)""")
+def j18_consolidate_routes(spark, sf_dir):
+    k, direct = F.col("p_partkey"), F.col("p_partkey") % 3 == 0
+    tail = (F.col("p_size") % 7).cast("string")
+    r = ad.table(spark, sf_dir, "part").select(k.alias("route_id"), F.col("p_brand").alias("root_name"), (F.col("p_size") % 10).alias("rel_path"), (k % 4).alias("start_line"), F.lit("GET").alias("method"), F.when(direct, F.concat(F.lit("/v2/"), tail)).otherwise(F.concat(F.lit("/"), tail)).alias("path"), F.when(direct, "direct").otherwise("inferred").alias("class"), F.array((k % 5).cast("string")).alias("providers"), F.lit(False).alias("verb_use"))
+    return routes.consolidate_routes(r).select("route_id", "path", F.size("conflicts").cast("long").alias("conflicts"), F.size("providers").cast("long").alias("providers"))
+
+
+@query(f"""WITH {ad.ACCESS_SQL} SELECT DISTINCT 'behavioral|side-effect|data|' || root_name || '|' || entity || '|' || operation AS fact_id, 'data-' || operation AS effect, entity AS target FROM access UNION ALL SELECT DISTINCT 'behavioral|side-effect|call|crawler|' || url, 'unresolved-call', url FROM pages
+UNION ALL SELECT DISTINCT 'behavioral|side-effect|package|' || p_brand || '|' || p_type || '|' || p_size, 'external-package', p_type FROM part UNION ALL SELECT DISTINCT 'behavioral|side-effect|notify|' || event_type || '|mail', 'notification', 'mail' FROM events""")
+def b7_side_effects(spark, sf_dir):
+    calls = ad.pages_as_calls(spark, sf_dir).select("root_name", "target", F.lit(None).cast("string").alias("to_root"))
+    packages = ad.table(spark, sf_dir, "part").select(F.col("p_brand").alias("root_name"), F.col("p_type").alias("package"), F.col("p_size").alias("member"))
+    notes = ad.table(spark, sf_dir, "events").select(F.col("event_type").alias("root_name"), F.lit("mail").alias("mechanism"))
+    return effects.side_effect_facts(ad.lineitem_as_access(spark, sf_dir), calls, packages, notes)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'authorization' WHEN event_type = 'signup' THEN 'authentication' ELSE 'unresolved' END AS "check" FROM events""")
+def e21_auth_check(spark, sf_dir):
+    e = ad.table(spark, sf_dir, "events")
+    t = F.col("event_type")
+    return e.select("event_id", effects.auth_check_of(F.when(t == "signup", "userSession").otherwise(t), F.when(t == "view", "role")).alias("check"))
+
+
+@query(f"""WITH {SETS_SQL}, e AS (SELECT p_partkey AS rule_id, p_brand AS root_name, 'Part_' || string_split(p_type, ' ')[-1] || '_Set' AS name FROM part) SELECT rule_id, coalesce((SELECT s.root_name FROM s WHERE s.root_name = e.root_name AND s.name = e.name), (SELECT min(s.root_name) FROM s WHERE s.name = e.name)) AS set_root, name AS set_name FROM e WHERE name IN (SELECT name FROM s)""")
+def b2_rule_sets(spark, sf_dir):
+    r = ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_brand").alias("root_name"), F.array("p_type").alias("meanings"), F.concat_ws("_", F.lit("Part"), F.element_at(F.split("p_type", " "), -1), F.lit("Set")).alias("value_set_name"))
+    return effects.rule_facts(r, size_sets(spark, sf_dir))[1]
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, b AS (SELECT DISTINCT callee_id AS node, caller_id AS caller FROM edges WHERE callee_id IS NOT NULL), f AS (SELECT node, count(*) > 200 AS hub FROM b GROUP BY 1), s AS (SELECT DISTINCT 'n' || s_nationkey AS sink FROM supplier),
+h1 AS (SELECT DISTINCT sink, caller AS node FROM s JOIN b ON b.node = sink JOIN f ON f.node = sink WHERE NOT hub), h2 AS (SELECT DISTINCT sink, caller AS node FROM h1 JOIN b USING (node) JOIN f USING (node) WHERE NOT hub)
+SELECT sink, node, 1 AS hops FROM h1 UNION ALL SELECT sink, node, 2 FROM h2""")
+def g5_outbound_reach(spark, sf_dir):
+    sinks = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("sink")).distinct().withColumn("node", F.col("sink"))
+    return effects.outbound_reach(sinks, ad.supply_graph(spark, sf_dir), 2, 200)
