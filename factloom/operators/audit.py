@@ -101,3 +101,58 @@ def grade(truth: DataFrame, facts: DataFrame) -> DataFrame:
     there = F.col("hit").isNotNull()
     verdict = F.when(F.col("expects") == "present", F.when(there, "found").otherwise("missed")).otherwise(F.when(there, "contradicted").otherwise("clean"))
     return hit.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+def audit_claims(declared: DataFrame, cited: DataFrame, known: DataFrame) -> DataFrame:
+    """(report_id, section, identity, finding): declared ids that the base does not know or that their chapter does not cite, and cited ids that nobody
+    declared. declared and cited (report_id, section, identity), known(identity)."""
+    key = ["report_id", "section", "identity"]
+    d, c = declared.select(*key).distinct(), cited.select(*key).distinct()
+    row = lambda df, code: df.select(*key, F.lit(code).alias("finding"))
+    unknown = d.join(known.select("identity").distinct(), "identity", "left_anti")
+    return row(unknown, "declared-id-unknown").unionByName(row(d.join(c, key, "left_anti"), "declared-not-cited")).unionByName(row(c.join(d, key, "left_anti"), "cited-not-declared"))
+
+
+def audit_checklist(entries: DataFrame, required: DataFrame, verdicts: tuple[str, ...], known: DataFrame) -> DataFrame:
+    """(report_id, item, finding) over entries(report_id, item, verdict, evidence array): required(item) items that are missing, verdicts out of the list, no evidence, and
+    evidence ids that known(identity) lacks."""
+    reports = entries.select("report_id").distinct()
+    missing = reports.crossJoin(F.broadcast(required.select("item").distinct())).join(entries.select("report_id", "item"), ["report_id", "item"], "left_anti")
+    ids = entries.select("report_id", "item", F.explode("evidence").alias("identity")).join(known.select("identity").distinct(), "identity", "left_anti")
+    row = lambda df, code: df.select("report_id", "item", F.lit(code).alias("finding"))
+    return (
+        row(missing, "item-missing").unionByName(row(entries.where(F.col("verdict").isNull() | ~F.col("verdict").isin(*verdicts)), "unknown-verdict"))
+        .unionByName(row(entries.where(F.coalesce(F.size("evidence"), F.lit(0)) < 1), "no-evidence")).unionByName(row(ids.select("report_id", "item").distinct(), "unresolved-id"))
+    )
+
+
+def audit_query_log(log: DataFrame) -> DataFrame:
+    """Lines of log(report_id, query) that name snapshot_id without binding it."""
+    return log.where(F.col("query").rlike("(?i)snapshot_id") & ~F.col("query").rlike(r"(?i)snapshot_id\s*=\s*(:snapshot|\?)"))
+
+
+def manifest_disagreements(manifest: DataFrame, base: DataFrame) -> DataFrame:
+    """(report_id, field, stated, actual) where manifest(report_id, field, value) and base(field, value) differ, a field missing in the base included."""
+    both = manifest.join(base.select("field", F.col("value").alias("actual")), "field", "left")
+    return both.where(~F.col("value").eqNullSafe(F.col("actual"))).select("report_id", "field", F.col("value").alias("stated"), "actual")
+
+
+def explain_audit(findings: DataFrame, notices: tuple[str, ...] = ("uncheckable",), shown: int = 5) -> DataFrame:
+    """(report_id, passed, code, n, examples): findings(report_id, code, detail) by code, shown details each; a report passes without one that is no notice."""
+    w = Window.partitionBy("report_id", "code").orderBy("detail")
+    ranked = findings.withColumn("k", F.row_number().over(w))
+    g = ranked.groupBy("report_id", "code").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.col("detail")))).alias("examples"))
+    verdict = findings.groupBy("report_id").agg(F.bool_and(F.col("code").isin(*notices)).alias("passed"))
+    return g.join(verdict, "report_id").select("report_id", "passed", "code", "n", "examples")
+
+
+def validate_truth(items: DataFrame) -> DataFrame:
+    """(id, reason) of truth rows(id, criticality, must_find, expected_status, claim) that break a rule: unique ids, critical means must-find, clean absence means that absence is
+    expected, and a claim."""
+    row = lambda df, why: df.select("id", F.lit(why).alias("reason"))
+    return (
+        row(items.groupBy("id").agg(F.count("*").alias("n")).where("n > 1"), "id is not unique")
+        .unionByName(row(items.where("criticality = 'critical' and not coalesce(must_find, false)"), "critical but not must-find"))
+        .unionByName(row(items.where("expected_status = 'clean-absence' and coalesce(must_find, false)"), "absence cannot be must-find"))
+        .unionByName(row(items.where("coalesce(trim(claim), '') = ''"), "no claim"))
+    )

@@ -126,3 +126,42 @@ def status(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     latest = snapshots.groupBy("workspace").agg(F.max(F.when(F.col("published_at").isNotNull(), F.struct("published_at", "snapshot_id")))["snapshot_id"].alias("snapshot_id"))
     n = files.groupBy("snapshot_id").agg(F.countDistinct("root_name").alias("roots"), F.count("*").alias("files"))
     return latest.join(n, "snapshot_id", "left").select("workspace", "snapshot_id", F.coalesce("roots", F.lit(0)).alias("roots"), F.coalesce("files", F.lit(0)).alias("files"))
+
+
+def contextual_steps(steps: DataFrame, methods: DataFrame, supertypes: DataFrame, instantiated: DataFrame) -> DataFrame:
+    """steps(flow_id, pos, symbol_id) where a method of a type that the flow does not instantiate is replaced by the one same-named method of an instantiated type with a common
+    supertype; if there are several such methods the step goes (J14). methods(symbol_id, type_id, name), supertypes(type_id, super), instantiated(flow_id, type_id)."""
+    here = steps.join(methods, "symbol_id").join(instantiated.withColumn("in", F.lit(True)), ["flow_id", "type_id"], "left").where("in is null")
+    kin = here.join(supertypes, "type_id").select("flow_id", "pos", "name", "super", F.col("symbol_id").alias("old"))
+    other = methods.join(supertypes, "type_id").select("name", "super", "type_id", F.col("symbol_id").alias("new"))
+    found = kin.join(other, ["name", "super"]).where("new <> old").join(instantiated, ["flow_id", "type_id"], "left_semi")
+    choice = found.groupBy("flow_id", "pos").agg(F.collect_set("new").alias("news"))
+    both = steps.join(choice, ["flow_id", "pos"], "left").where("news is null or size(news) = 1")
+    return both.select("flow_id", "pos", F.coalesce(F.col("news")[0], F.col("symbol_id")).alias("symbol_id"))
+
+
+def assemble_flows(parts: DataFrame, k: int = 12) -> DataFrame:
+    """(flow_id, steps, partial, more): parts(flow_id, stage, ord, label, resolved) with stages caller, route, handler, service, outbound, data in this order; at most k services each,
+    the rest counted; partial if a step is not resolved (D16)."""
+    stage = F.array_position(F.array(*map(F.lit, ("caller", "route", "handler", "service", "outbound", "data"))), F.col("stage")).cast("int")
+    w = Window.partitionBy("flow_id", "stage").orderBy("ord", "label")
+    p = parts.withColumn("rank", stage).withColumn("place", F.row_number().over(w))
+    kept = (F.col("stage") != "service") | (F.col("place") <= k)
+    step = F.when(kept, F.struct("rank", "ord", "label", "resolved"))
+    g = p.groupBy("flow_id").agg(F.array_sort(F.collect_list(step)).alias("s"), F.bool_or(~F.col("resolved")).alias("partial"), F.count_if(~kept).alias("more"))
+    return g.select("flow_id", F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["resolved"].alias("resolved"))).alias("steps"), "partial", "more")
+
+
+def feature_links(flows: DataFrame, rules: DataFrame, modules: DataFrame) -> DataFrame:
+    """(from_id, to_id, role): feature to its flows(feature_id, flow_id) and rules(feature_id, rule_id), module to its features(module_id, feature_id)."""
+    row = lambda df, a, b, role: df.select(F.col(a).cast("string").alias("from_id"), F.col(b).cast("string").alias("to_id"), F.lit(role).alias("role"))
+    return row(flows, "feature_id", "flow_id", "flow").unionByName(row(rules, "feature_id", "rule_id", "rule")).unionByName(row(modules, "module_id", "feature_id", "feature")).distinct()
+
+
+def run_context(**counted: DataFrame) -> DataFrame:
+    """One row with the number of rows of each table."""
+    out = None
+    for name, df in counted.items():
+        n = df.agg(F.count("*").alias(name))
+        out = n if out is None else out.crossJoin(F.broadcast(n))
+    return out

@@ -72,3 +72,22 @@ def folder_containment(files: DataFrame) -> DataFrame:
     upto = lambda k: F.array_join(F.slice(parts, 1, k), "/")
     pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(upto(k).alias("container"), upto(k + 1).alias("member")))
     return files.where(F.size(parts) > 1).select("root_name", F.explode(pairs).alias("p")).select("root_name", "p.*").distinct()
+
+
+def form_modules_from_routes(routes: DataFrame, prefix: int = 0, most: int = 25, least: int = 3) -> DataFrame:
+    """form_modules on routes(entry_id, root_name, path), but one module per root where that gives over most groups of under least entries on average."""
+    made = form_modules(routes, prefix)
+    size = made.agg(F.count("*").alias("groups"), F.sum("entries").alias("entries")).select(((F.col("groups") > most) & (F.col("entries") < least * F.col("groups"))).alias("scattered"))
+    by_root = routes.groupBy(F.col("root_name").alias("key")).agg(F.collect_set("entry_id").alias("ids")).select(stable_id("module", F.col("ids")).alias("module_id"), "key", F.col("key").alias("name"), F.size("ids").cast("long").alias("entries"))
+    pick = lambda df, want: df.crossJoin(F.broadcast(size)).where(F.coalesce("scattered", F.lit(False)) == want).drop("scattered")
+    return pick(made, False).unionByName(pick(by_root, True))
+
+
+def form_components(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(root_name, folder, members, infrastructural, declared): top-level folders of files(root_name, rel_path) with members, whether their name is one of infrastructure, and whether
+    dependencies(root_name, name) declare it (D6)."""
+    from ..functions.names import looks_infrastructural
+
+    top = files.where(F.col("rel_path").contains("/")).groupBy("root_name", F.element_at(F.split("rel_path", "/"), 1).alias("folder")).agg(F.count("*").alias("members"))
+    d = dependencies.select("root_name", F.col("name").alias("folder")).distinct().withColumn("declared", F.lit(True))
+    return top.join(d, ["root_name", "folder"], "left").select("root_name", "folder", "members", looks_infrastructural(F.col("folder")).alias("infrastructural"), F.coalesce("declared", F.lit(False)).alias("declared"))

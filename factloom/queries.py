@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import grades, keys, names, paths
 from .operators import audit, behavior, effects, flows, graphs, health, history, intervals, link, merge, modules, routes, rules, scans
 from .plans import adapters as ad
-from .sources import base, corpus
+from .sources import base, code_graph, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -774,3 +774,81 @@ SELECT sink, node, 1 AS hops FROM h1 UNION ALL SELECT sink, node, 2 FROM h2""")
 def g5_outbound_reach(spark, sf_dir):
     sinks = ad.table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("sink")).distinct().withColumn("node", F.col("sink"))
     return effects.outbound_reach(sinks, ad.supply_graph(spark, sf_dir), 2, 200)
+
+
+# Graph import, claims, assembled flows ------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS fp, source, lang FROM documents), r AS (SELECT DISTINCT source AS prefix, 'big-' || source AS root FROM documents UNION SELECT DISTINCT source || '/fr', 'fr-' || source FROM documents)
+SELECT doc_id AS id, CASE WHEN lang = 'fr' THEN 'fr-' || source ELSE 'big-' || source END AS root_name, CASE WHEN lang = 'fr' THEN doc_id || '.txt' ELSE lang || '/' || doc_id || '.txt' END AS rel_path FROM n""")
+def s4_owned_nodes(spark, sf_dir):
+    d = ad.table(spark, sf_dir, "documents")
+    nodes = d.select(F.col("doc_id").alias("id"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id"), F.lit(".txt"))).alias("file_path"))
+    s = d.select("source").distinct()
+    roots = s.select(F.col("source").alias("prefix"), F.concat(F.lit("big-"), "source").alias("root_name")).union(s.select(F.concat("source", F.lit("/fr")), F.concat(F.lit("fr-"), "source")))
+    return code_graph.owned_nodes(nodes, roots).select("id", "root_name", "rel_path")
+
+
+@query(f"""WITH {ad.GRAPH_SQL}, n AS (SELECT DISTINCT caller_id AS id FROM edges WHERE caller_id NOT LIKE 's%') SELECT substr(caller_id, 1, 1) AS kind, count(*) AS edges, count(callee_id) AS resolved, count(*) FILTER (caller_id NOT IN (SELECT id FROM n) OR (callee_id IS NOT NULL AND callee_id NOT IN (SELECT id FROM n))) AS dangling FROM edges GROUP BY 1""")
+def s5_import_report(spark, sf_dir):
+    e = ad.supply_graph(spark, sf_dir).select(F.col("caller_id").alias("from_id"), F.col("callee_id").alias("to_id"), F.substring("caller_id", 1, 1).alias("kind"))
+    return code_graph.import_edges_report(e, e.where("from_id not like 's%'").select(F.col("from_id").alias("id")).distinct())
+
+
+@query("""WITH d AS (SELECT DISTINCT conv_id AS report_id, turn AS section, role || '|' || (turn % 5) AS identity FROM conversations WHERE turn % 2 = 0), c AS (SELECT DISTINCT conv_id AS report_id, turn AS section, role || '|' || (turn % 5) AS identity FROM conversations WHERE turn % 3 = 0)
+SELECT *, 'declared-id-unknown' AS finding FROM d WHERE identity NOT IN ('user|0', 'assistant|1', 'user|2') UNION ALL SELECT *, 'declared-not-cited' FROM (SELECT * FROM d EXCEPT SELECT * FROM c) UNION ALL SELECT *, 'cited-not-declared' FROM (SELECT * FROM c EXCEPT SELECT * FROM d)""")
+def q8_claims(spark, sf_dir):
+    c = ad.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("report_id"), F.col("turn").alias("section"), F.concat_ws("|", "role", F.col("turn") % 5).alias("identity"))
+    known = spark.createDataFrame([("user|0",), ("assistant|1",), ("user|2",)], "identity string")
+    return audit.audit_claims(c.where("section % 2 = 0"), c.where("section % 3 = 0"), known)
+
+
+@query("""WITH e AS (SELECT conv_id AS report_id, 'item' || turn AS item, CASE WHEN length(text) % 5 = 0 THEN 'odd' ELSE 'yes' END AS verdict, length(text) % 3 AS ev FROM conversations), q AS (SELECT DISTINCT 'item' || turn AS item FROM conversations WHERE turn < 3)
+SELECT report_id, item, 'item-missing' AS finding FROM (SELECT DISTINCT report_id FROM e) CROSS JOIN q WHERE (report_id, item) NOT IN (SELECT (report_id, item) FROM e) UNION ALL SELECT report_id, item, 'unknown-verdict' FROM e WHERE verdict = 'odd'
+UNION ALL SELECT report_id, item, 'no-evidence' FROM e WHERE ev = 0 UNION ALL SELECT DISTINCT report_id, item, 'unresolved-id' FROM e WHERE ev = 2""")
+def q9_checklist(spark, sf_dir):
+    n = F.length("text")
+    ids = F.when(n % 3 == 0, F.array().cast("array<string>")).when(n % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("zz")))
+    e = ad.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("report_id"), F.concat(F.lit("item"), "turn").alias("item"), F.when(n % 5 == 0, "odd").otherwise("yes").alias("verdict"), ids.alias("evidence"), "turn")
+    return audit.audit_checklist(e, e.where("turn < 3").select("item"), ("yes", "no"), spark.createDataFrame([("a",)], "identity string"))
+
+
+@query("""WITH m AS (SELECT p_brand AS report_id, p_type AS field, max(p_size) AS v FROM part GROUP BY ALL), b AS (SELECT p_type AS field, max(p_size) AS v FROM part WHERE p_size < 50 GROUP BY 1) SELECT report_id, field, m.v AS stated, b.v AS actual FROM m LEFT JOIN b USING (field) WHERE m.v IS DISTINCT FROM b.v""")
+def q11_manifest(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    m = p.groupBy(F.col("p_brand").alias("report_id"), F.col("p_type").alias("field")).agg(F.max("p_size").alias("value"))
+    return audit.manifest_disagreements(m, p.where("p_size < 50").groupBy(F.col("p_type").alias("field")).agg(F.max("p_size").alias("value")))
+
+
+@query("""WITH f AS (SELECT o_custkey AS report_id, o_orderpriority AS code, o_orderkey AS detail FROM orders) SELECT report_id, bool_and(code = '1-URGENT') OVER (PARTITION BY report_id) AS passed, code, n, ex AS examples FROM (SELECT report_id, code, count(*) AS n, array_to_string((list(detail ORDER BY detail))[1:5], ',') AS ex FROM f GROUP BY ALL)""")
+def q12_explain(spark, sf_dir):
+    f = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("report_id"), F.col("o_orderpriority").alias("code"), F.col("o_orderkey").alias("detail"))
+    return audit.explain_audit(f, ("1-URGENT",)).withColumn("examples", F.array_join("examples", ","))
+
+
+@query("""WITH t AS (SELECT o_custkey AS id, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey % 2 = 0) SELECT id, 'id is not unique' AS reason FROM t GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT id, 'critical but not must-find' FROM t WHERE o_orderstatus = 'F' AND o_orderpriority >= '3' UNION ALL SELECT id, 'absence cannot be must-find' FROM t WHERE o_orderstatus = 'O' AND o_orderpriority < '3'""")
+def v5_truth(spark, sf_dir):
+    o = ad.table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    s = F.col("o_orderstatus")
+    return audit.validate_truth(o.select(F.col("o_custkey").alias("id"), F.when(s == "F", "critical").alias("criticality"), (F.col("o_orderpriority") < "3").alias("must_find"), F.when(s == "O", "clean-absence").otherwise("present").alias("expected_status"), F.lit("c").alias("claim")))
+
+
+@query("""WITH p AS (SELECT o_custkey AS f, l_orderkey, l_linenumber AS ord, l_partkey::VARCHAR AS label, CASE l_returnflag WHEN 'A' THEN 'service' WHEN 'R' THEN 'data' ELSE 'handler' END AS stage, l_linestatus = 'F' AS res FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+r AS (SELECT *, CASE stage WHEN 'handler' THEN 3 WHEN 'service' THEN 4 ELSE 6 END AS rank, row_number() OVER (PARTITION BY f, stage ORDER BY ord, label) AS k FROM p)
+SELECT f AS flow_id, string_agg(CASE WHEN stage <> 'service' OR k <= 12 THEN label END, ',' ORDER BY rank, ord, label) AS steps, bool_or(NOT res) AS partial, count(*) FILTER (stage = 'service' AND k > 12) AS more FROM r GROUP BY 1""")
+def d16_assemble_flows(spark, sf_dir):
+    stage = F.when(F.col("l_returnflag") == "A", "service").when(F.col("l_returnflag") == "R", "data").otherwise("handler")
+    li = ad.table(spark, sf_dir, "lineitem").join(ad.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    p = li.select(F.col("o_custkey").alias("flow_id"), stage.alias("stage"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").cast("string").alias("label"), (F.col("l_linestatus") == "F").alias("resolved"))
+    return flows.assemble_flows(p).withColumn("steps", F.array_join("steps.label", ","))
+
+
+@query("""SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM part) AS parts, (SELECT count(*) FROM documents) AS docs""")
+def d21_run_context(spark, sf_dir):
+    return flows.run_context(orders=ad.table(spark, sf_dir, "orders"), parts=ad.table(spark, sf_dir, "part"), docs=ad.table(spark, sf_dir, "documents"))
+
+
+@query(f"""WITH {ad.FILES_SQL} SELECT root_name, 'lang-' || string_split(rel_path, '/')[1] AS folder, count(*) AS members, false AS infrastructural, string_split(rel_path, '/')[1] = 'fr' AS declared FROM files GROUP BY 1, 2, 5""")
+def d6_components(spark, sf_dir):
+    f = ad.docs_as_files(spark, sf_dir).select("root_name", F.concat(F.lit("lang-"), "rel_path").alias("rel_path"))
+    return modules.form_components(f, f.select("root_name", F.lit("lang-fr").alias("name")))

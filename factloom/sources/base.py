@@ -88,3 +88,21 @@ def migrate_facts(facts: DataFrame, steps: dict[int, Callable[[DataFrame], DataF
     if not digest(facts).exceptAll(digest(out)).isEmpty() or not digest(out).exceptAll(digest(facts)).isEmpty():
         raise ValueError("a migration changed identities or evidence")
     return out
+
+
+def read_conflicts(records: DataFrame) -> DataFrame:
+    """(kind, key, field, value, providers): what merged records(kind, key, conflicts) disagree on."""
+    return records.select("kind", "key", F.explode("conflicts").alias("c")).select("kind", "key", "c.*")
+
+
+def was_attempted(capabilities: DataFrame, kind: str) -> bool:
+    """Whether any provider was asked for the kind at all."""
+    return not capabilities.where(F.col("kind") == kind).isEmpty()
+
+
+def read_links(links: DataFrame, from_id: str | None = None, to_id: str | None = None, role: str | None = None) -> DataFrame:
+    """Ownership edges links(from_id, to_id, role) from or to a record, of one role if named."""
+    out = links
+    for c, v in (("from_id", from_id), ("to_id", to_id), ("role", role)):
+        out = out if v is None else out.where(F.col(c) == v)
+    return out
