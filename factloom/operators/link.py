@@ -95,3 +95,29 @@ def reconcile(names: DataFrame, known: DataFrame) -> DataFrame:
     n = F.coalesce(F.size("candidates"), F.lit(0))
     both = names.select("name").distinct().join(found, "name", "left")
     return both.select("name", F.when(F.col("candidates").isNull(), "unresolved").when(n == 1, "exact").otherwise("ambiguous").alias("outcome"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
+
+
+def resolve_handlers(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(route_id, symbol_id, reason): routes(route_id, root_name, candidates array of names such as leave.Creation) resolved to symbols(id, root_name, name, qualified_name,
+    rel_path). Candidates are tried in order: of the symbols so named in the root, a qualifier takes those in a folder of its name, else those in a file of its name (a plural or a prefix counts); plain
+    functions go before members (::). One left resolves, several stop with a reason, none tries the next candidate (J3)."""
+    c = routes.select("route_id", "root_name", F.posexplode("candidates").alias("pos", "candidate"))
+    c = c.withColumns({"name": F.substring_index("candidate", ".", -1), "qualifier": F.lower(F.when(F.col("candidate").contains("."), F.element_at(F.split("candidate", r"\."), -2)))})
+    parts, hint = F.split(F.lower("rel_path"), "/"), F.col("qualifier")
+    stem = F.regexp_replace(F.element_at(parts, -1), "[.][a-z0-9_]+$", "")
+    folder = F.coalesce(F.try_element_at(parts, F.lit(-2)) == hint, F.lit(False))
+    file = (stem == hint) | ((F.length(stem) >= 4) & (stem.startswith(hint) | hint.contains(stem)))
+    met = c.join(symbols, ["root_name", "name"]).withColumn("strength", F.when(F.col("qualifier").isNull(), 0).when(folder, 2).when(file, 1)).where("strength is not null")
+    member = F.coalesce("qualified_name", F.lit("")).contains("::").cast("int")
+    best = met.groupBy("route_id", "pos").agg(F.max(F.struct("strength", (-member).alias("plain"))).alias("b"))
+    near = met.withColumn("plain", -member).join(best, ["route_id", "pos"]).where((F.col("strength") == F.col("b.strength")) & (F.col("plain") == F.col("b.plain")))
+    per = near.groupBy("route_id", "pos").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    first = per.groupBy("route_id").agg(F.min(F.struct("pos", "n", "id")).alias("f"))
+    both = routes.select("route_id").join(first, "route_id", "left")
+    reason = F.when(F.col("f").isNull(), "no symbol has a candidate's name").when(F.col("f.n") > 1, F.concat(F.col("f.n").cast("string"), F.lit(" symbols fit")))
+    return both.select("route_id", F.when(F.col("f.n") == 1, F.col("f.id")).alias("symbol_id"), reason.alias("reason"))
+
+
+def undescribed(touched: DataFrame, described: DataFrame) -> DataFrame:
+    """(root_name, entity) used but never declared."""
+    return touched.select("root_name", "entity").distinct().join(described.select("entity").distinct(), "entity", "left_anti").select("root_name", "entity")

@@ -852,3 +852,20 @@ def d21_run_context(spark, sf_dir):
 def d6_components(spark, sf_dir):
     f = ad.docs_as_files(spark, sf_dir).select("root_name", F.concat(F.lit("lang-"), "rel_path").alias("rel_path"))
     return modules.form_components(f, f.select("root_name", F.lit("lang-fr").alias("name")))
+
+
+@query(f"""WITH {ad.ACCESS_SQL} SELECT DISTINCT root_name, entity FROM access WHERE entity NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size > 5)""")
+def j21_undescribed(spark, sf_dir):
+    described = ad.table(spark, sf_dir, "part").where("p_size > 5").select(F.concat(F.lit("part_"), "p_partkey").alias("entity"))
+    return link.undescribed(ad.lineitem_as_access(spark, sf_dir), described)
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, p_brand AS root, string_split(p_type, ' ')[-1] AS name, p_size % 6 AS folder FROM part), c AS (SELECT p_partkey AS r, p_brand AS root, p_size % 5 AS q, string_split(p_type, ' ')[-1] AS name FROM part),
+m AS (SELECT r, count(*) AS n, min(id) AS id FROM c JOIN s ON s.root = c.root AND s.name = c.name AND s.folder = c.q GROUP BY 1)
+SELECT r AS route_id, CASE n WHEN 1 THEN id END AS symbol_id, CASE WHEN n IS NULL THEN 'no symbol has a candidate''s name' WHEN n > 1 THEN n || ' symbols fit' END AS reason FROM c LEFT JOIN m USING (r)""")
+def j3_resolve_handlers(spark, sf_dir):
+    p = ad.table(spark, sf_dir, "part")
+    name = F.element_at(F.split("p_type", " "), -1)
+    r = p.select(F.col("p_partkey").alias("route_id"), F.col("p_brand").alias("root_name"), F.array(F.concat(F.lit("f"), F.col("p_size") % 5, F.lit("."), name)).alias("candidates"))
+    s = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("root_name"), name.alias("name"), F.lit(None).cast("string").alias("qualified_name"), F.concat(F.lit("f"), F.col("p_size") % 6, F.lit("/x.go")).alias("rel_path"))
+    return link.resolve_handlers(r, s)

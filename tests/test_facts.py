@@ -228,3 +228,14 @@ def test_corpus_and_inventory(spark, tmp_path):
     assert [r.rel_path for r in failures.collect()] == ["big.txt"]
     got = {r.rel_path: r for r in corpus.inventory(files).collect()}
     assert got["a.go"].classification == "generated" and got["node_modules"].size_bytes == 10 and len(got) == 2
+
+
+def test_handlers(spark):
+    schema = "id string, root_name string, name string, qualified_name string, rel_path string"
+    find = lambda candidates, *symbols: tuple(link.resolve_handlers(spark.createDataFrame([(1, "svc", candidates)], "route_id int, root_name string, candidates array<string>"), spark.createDataFrame([(str(i), "svc", *s) for i, s in enumerate(symbols)], schema)).first())[1:]
+    assert find(["leave.Creation"], ("Creation", None, "x/leave/router.go"), ("Creation", None, "x/order/router.go")) == ("0", None)
+    assert find(["leave.Creation"], ("Creation", None, "internal/leave/a.go"), ("Creation", None, "internal/leave/b.go")) == (None, "2 symbols fit")
+    assert find(["swaggerFiles.Handler", "ginSwagger.WrapHandler"], ("WrapHandler", "ginSwagger.WrapHandler", "internal/handlers/swagger.go"))[0] == "0"
+    assert find(["leave.Deletion", "e.CatchError"], ("Deletion", None, "h/leave/router.go"), ("Deletion", None, "h/leave/legacy.go"), ("CatchError", None, "pkg/error/error_handler.go"))[0] is None
+    assert find(["leave.Pagination"], ("Pagination", None, "leave/a.go"), ("Pagination", "LeaveService::Pagination", "leave/b.go"))[0] == "0"
+    assert find(["worklogService.getWorkLogsByUser"], ("getWorkLogsByUser", None, "services/worklogServices.js"))[0] == "0"
