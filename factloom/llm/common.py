@@ -30,12 +30,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Spark's own switch: the shuffle files of a statement go when it ends, since nothing reads them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there, and lost
-    executors cost no recomputation beyond their running tasks."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet into the shared folder and read it back: the lineage ends there, lost executors cost no recomputation
+    beyond their running tasks, and the shuffle files behind it are freed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(id_col: str, mod: int) -> Column:

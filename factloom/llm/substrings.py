@@ -165,6 +165,21 @@ def repeats_in(t: pa.Table) -> pa.RecordBatch:
     if not len(h):
         return pa.RecordBatch.from_pylist([], SPANS)
     parts = t["context"].filter(pa.array(shared)).to_pylist()
+    seen: dict[tuple, int] = {}
+    first, again = [], []
+    for i in np.lexsort((start, th, k)).tolist():  # of equal contexts all but the earliest are repeats as a whole
+        lead = seen.setdefault((group[i], r[i], parts[i]), i)
+        if lead == i:
+            first.append(i)
+        elif (k[i], th[i], start[i]) != (k[lead], th[lead], start[lead]):
+            again.append(i)
+    whole = [c[again] for c in (k, th, start, stop)]
+    first = np.array(first)[np.argsort(group[first], kind="stable")]
+    first = first[np.bincount(group[first])[group[first]] > 1]
+    if not len(first):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], schema=SPANS)
+    r, k, th, start, stop, group = (c[first] for c in (r, k, th, start, stop, group))
+    parts = [parts[i] for i in first.tolist()]
     base = np.concatenate([[0], np.cumsum([len(c) for c in parts])[:-1]])
     n = stop - start + 1
     row = np.repeat(np.arange(len(n)), n)
@@ -178,7 +193,8 @@ def repeats_in(t: pa.Table) -> pa.RecordBatch:
     later[order] = (k[row[order]] != k[row[lead]]) | (th[row[order]] != th[row[lead]]) | (where[order] != where[lead])
     opens = later & ~np.concatenate([[False], later[:-1] & (row[1:] == row[:-1])])
     closes = later & ~np.concatenate([later[1:] & (row[1:] == row[:-1]), [False]])
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in (k[row[opens]], th[row[opens]], where[opens], where[closes])], schema=SPANS)
+    some = (k[row[opens]], th[row[opens]], where[opens], where[closes])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(whole, some)], schema=SPANS)
 
 
 def repeated_starts(found: DataFrame) -> DataFrame:
@@ -210,7 +226,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     docs = keyed(docs)
     found = contexts(docs, repeated_anchors(docs))
     spans = repeated_starts(found).union(found.where("repeat").select("k", "th", "start", "stop"))
-    spans = spans.groupBy("k", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = materialize(spans.groupBy("k", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
