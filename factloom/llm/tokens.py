@@ -3,30 +3,64 @@
 from __future__ import annotations
 
 import base64
-import os
 import struct
+import unicodedata
 from functools import cache
 
+import regex
+
+
+#: The vocabulary's own word pattern.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from 256 on for those that are not printable."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
 
 class WordEncoder:
-    """Encodes white-space-dropping vocabularies chunk by chunk (no token or normalization crosses ASCII white space),
-    each distinct chunk once while the bounded cache lasts. Ids come as little-endian unsigned 32-bit bytes."""
+    """Encodes with a lower-casing word vocabulary (word_bpe_49k.json). No token or normalization crosses ASCII white space, and none crosses
+    a word of the pattern, so distinct chunks and distinct words are encoded once while the bounded caches last; the
+    library's model is called per word. Ids come as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str, most: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.most = Tokenizer.from_file(path), {}, most
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
+        self.chunks: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, w: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def chunk(self, c: bytes) -> bytes:
+        text = c.decode("utf-8", "replace")
+        if "<|" in text:  # may hold one of the vocabulary's special strings
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        out = []
+        for w in WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):  # no final sigma in this vocabulary
+            if (got := self.words.get(w)) is None:
+                got = self.words[w] = self.word(w)
+            out.append(got)
+        return b"".join(out)
 
     def __call__(self, text: bytes | None) -> bytes:
         chunks = (text or b"").split()
-        found = self.cache
+        found = self.chunks
         if missing := [c for c in dict.fromkeys(chunks) if c not in found]:
             if len(found) + len(missing) > self.most:
                 found.clear()
                 missing = list(dict.fromkeys(chunks))
-            for c, e in zip(missing, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)):
-                found[c] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            if len(self.words) > self.most:
+                self.words.clear()
+            for c in missing:
+                found[c] = self.chunk(c)
         return b"".join(map(found.__getitem__, chunks))
 
 
