@@ -7,7 +7,8 @@ concentrated as if t independent minima had been taken. Bands of ``rows`` coordi
 
 Documents with equal sets are one node. A bucket is not expanded into pairs: its members are compared with one
 member, verified links are contracted into components, and only buckets that still hold several components go
-on, with other centres and in the end with a join of different components that verifies inside, so no candidate link is lost.
+on, with other centres and in the end with all pairs of different components that a bitmap filter does not rule out, so no
+candidate link is lost.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component; a null
 doc_id takes part in no link, has a null component and is kept; rows that repeat an id with the same text get equal
@@ -29,7 +30,7 @@ from .common import ASCII_LOWER, materialize, rows_named, text_hash
 from .graph import components
 
 ROWS, BANDS = 5, 40
-PARITY_LONGS = 16
+PARITY_LONGS = 32
 _CACHE: dict[bytes, int] = {}
 
 
@@ -139,18 +140,17 @@ def _star_pairs(members: DataFrame, seed: int) -> DataFrame:
     return members.join(centre, "bucket").where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
-def _residual_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links between members of a bucket whose components differ, verified inside the join, so that only links leave it. The
-    parity bitmaps of two sets differ in at most as many bits as the sets in elements, which rules out all but close pairs
-    before their sets are intersected."""
+def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's members whose components differ and whose sets may be similar. The parity bitmaps of two sets differ in at
+    most as many bits as the sets in elements, so all but close pairs are ruled out inside the join, which carries no sets."""
     mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    m = members.join(mixed, "bucket").select("bucket", "id", "component").join(sets, "id").withColumn("n", F.size("set"))
-    m = m.select("bucket", "id", "component", "n", "set", *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS)))
+    bits = sets.select("id", F.size("set").alias("n"), *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS)))
+    m = members.join(mixed, "bucket").select("bucket", "id", "component").join(bits, "id")
     other = m.toDF(*(f"{c}_b" for c in m.columns))
     apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_LONGS)), F.lit(0))
     # similar sets differ in (100 - percent) / (100 + percent) of their summed sizes at most
     possible = (F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
-    joined = m.join(other, (m["bucket"] == other["bucket_b"]) & possible & similar(F.col("set"), F.col("set_b"), percent))
+    joined = m.join(other, (m["bucket"] == other["bucket_b"]) & possible)
     return joined.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -166,13 +166,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     members, labels, tried, links = busy.withColumn("component", F.col("id")), None, None, None
     for k in range(star_rounds + 1):
-        if k < star_rounds:
-            pairs = _star_pairs(members, k)
-            pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
-            tried = tried.union(pairs) if tried else pairs
-            found = materialize(verified(pairs, sets, percent), "links")
-        else:
-            found = materialize(_residual_links(members, sets, percent), "links")
+        pairs = _star_pairs(members, k) if k < star_rounds else _residual_pairs(members, sets, percent)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs")
+        tried = tried.union(pairs) if tried else pairs
+        found = materialize(verified(pairs, sets, percent), "links")
         if found.isEmpty():
             continue
         links = links.union(found) if links else found
