@@ -42,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_CACHE) > 400_000:
+    if len(_CACHE) > 200_000:
         _CACHE.clear()
     out = [_CACHE.get(w) for w in words]
     if None in out:

@@ -26,7 +26,7 @@ class WordEncoder:
     a word of the pattern, so distinct chunks and distinct words are encoded once while the bounded caches last; the
     library's model is called per word. Ids come as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
