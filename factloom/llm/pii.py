@@ -1,10 +1,12 @@
 """Personal data: pattern matches, and identifiers found by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Base matches (e-mail, IP, payment card, phone) are the seeds. Every token with digits is an instance; the words around it, with its
-shape, are lexical patterns. On the graph of patterns and instances a pattern's confidence is the smoothed mean score of its
-distinct instances and an instance's score that of its best accepted pattern (1 for seeds), in ``rounds`` rounds; a
-pattern is accepted with ``min_seeds`` distinct seeds and ``min_confidence``. Tokens in accepted patterns that no base match covers are added
-as ``found_<kind>``.
+Base matches (e-mail, IP, payment card, phone) are the seeds. The parts of text around a seed are lexical patterns, whatever the seed looks
+like: two before it (L), one before and one after it (LR), two before and one after it (LLR). What stands in the same place of any text is an
+instance of the pattern: a part, or a run of parts with digits, and for LLR each run of up to ``MOST`` parts, with digits or
+without. On the graph of patterns and instances a pattern's confidence is the smoothed mean score of its distinct instances and an instance's score
+that of its best accepted pattern (1 for seeds), in ``rounds`` rounds; a pattern is accepted with ``min_seeds`` distinct
+seeds and ``min_confidence``. Instances of accepted patterns that no base match covers are added as ``found_<kind>``, without those inside
+others. Only patterns with ``min_seeds`` distinct seeds can be accepted, so only their instances are gathered.
 
 Defined cases: null and empty texts have no spans; rows that repeat an id are judged by their own text each, equal rows alike; a
 null doc_id is kept; a token that is a seed of two kinds counts for the one listed first; an empty table gives an
@@ -18,8 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_hash
-from .spans import count_kind, joined, no_spans, overlapping, with_matches
+from .common import lower_ascii, materialize, text_hash
+from .spans import count_kind, joined, no_spans, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -51,36 +53,85 @@ def base_kinds(text: str) -> list:
     ]
 
 
-TOKEN = r"(?<![A-Za-z0-9._%+@/-])(?=[A-Za-z._%+@/-]*+[0-9])[A-Za-z0-9._%+@/-]{5,}+"
+#: Characters of identifiers and of spaces. A part is a run of the former or of neither, with the spaces before it; base matches are masked.
+ID, SPACE, MASK = r"\p{L}\p{M}\p{N}._%+@/\-", r"\x20\x09-\x0D", "\ue000"
+PART = rf"[{SPACE}]*+(?:{MASK}++|[{ID}]++|[^{SPACE}{ID}{MASK}]++)"
+#: Parts of an instance at most ("name [at] host [dot] com" has nine).
+MOST = 9
+BLANKS = " \t\n\x0b\f\r"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, base SPAN, tokens array of identifier-like tokens with their surroundings); th names the text."""
+    """(doc_id, th, text, base SPAN); th names the text."""
     text = docs.select("doc_id", text_hash(), F.coalesce("text", F.lit("")).alias("__text"))
-    kinds = base_kinds("__text")
-    found = with_matches(text, "__text", [*kinds, ("token", TOKEN, F.rlike("__text", F.lit("[0-9]")), lambda m: F.lit(True))])
-    found = found.withColumn("base", F.concat(*KINDS))
-    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    word = r"[^\x20\x09-\x0D]+"
-
-    def around(t: Column) -> Column:
-        before = F.regexp_extract_all(lower(F.substring(F.col("__text"), F.greatest(t["start"] - 79, F.lit(1)), F.least(t["start"], F.lit(80)))), F.lit(word), F.lit(0))
-        after = F.regexp_extract(lower(F.substring(F.col("__text"), t["end"] + 1, F.lit(40))), word, 0)
-        last = lambda i: F.coalesce(F.try_element_at(before, F.lit(-i)), F.lit("^"))
-        shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(t["value"], "[A-Z]+", "A"), "[a-z]+", "a"), "[0-9]+", "0")
-        over = overlapping(F.col("base"), t["start"], t["end"])
-        return F.struct(
-            t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"),
-            F.when(F.size(over) > 0, F.array_min(F.transform(over, lambda s: s["rank"]))).alias("kind"),
-            F.array(F.concat_ws(" ", F.lit("L"), last(2), last(1), shape), F.concat_ws(" ", F.lit("LR"), last(1), F.lit("_"), after, shape)).alias("patterns"),
-        )
-
-    return found.select("doc_id", "th", "base", F.transform("token", around).alias("tokens"))
-
-
-def accepted_patterns(tokens: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
-    """(pattern, kind, confidence) after the given rounds over tokens(value, kind, patterns)."""
-    edges = materialize(tokens.select("value", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
+    return with_matches(text, "__text", base_kinds("__text")).select("doc_id", "th", F.col("__text").alias("text"), F.concat(*KINDS).alias("base"))
+
+
+def masked() -> Column:
+    """text in lower case, of the same length, with MASK for each character of a base match."""
+    size = lambda s: s["end"] - s["start"]
+    return F.aggregate("base", lower_ascii(F.translate("text", MASK, "\ue001")), lambda t, s: F.overlay(t, F.repeat(F.lit(MASK), size(s)), s["start"] + 1, size(s)))
+
+
+def words_in(text: Column) -> Column:
+    word = lambda p: F.ltrim(p, F.lit(BLANKS))
+    return F.transform(F.regexp_extract_all(text, F.lit(PART), F.lit(0)), lambda p: F.when(word(p).startswith(MASK), MASK).otherwise(word(p)))
+
+
+def seed_edges(base: DataFrame) -> DataFrame:
+    """(value, kind, pattern, opening) of each base match; opening is what a place shows before the instance's end is known."""
+    s = base.where(F.size("base") > 0).withColumn("m", masked()).select("m", F.explode("base").alias("s")).select("m", "s.*")
+    before = words_in(F.regexp_replace(F.substring(F.col("m"), F.greatest(F.col("start") - 199, F.lit(1)), F.least(F.col("start"), F.lit(200))), f"[{ID}{MASK}]+$", ""))
+    after = words_in(F.regexp_replace(F.substring(F.col("m"), F.col("end") + 1, F.lit(200)), f"^[{ID}{MASK}]+", ""))
+    s = s.select(lower_ascii(F.col("value")).alias("value"), F.col("rank").alias("kind"), before.alias("b"), F.coalesce(F.get(after, F.lit(0)), F.lit("$")).alias("r"))
+    last = lambda i: F.coalesce(F.try_element_at("b", F.lit(-i)), F.lit("^"))
+    left, both = F.concat_ws(" ", F.lit("L"), last(2), last(1)), F.concat_ws(" ", F.lit("LR"), last(1), F.lit("_"), "r")
+    pairs = [F.struct(p.alias("pattern"), o.alias("opening")) for p, o in ((left, left), (both, both), (F.concat_ws(" ", F.lit("LL"), left, F.lit("_"), "r"), left))]
+    return s.select("value", "kind", F.explode(F.array(*pairs)).alias("p")).select("value", "kind", "p.*")
+
+
+def instances(base: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, th, at, parts, value, pattern): what stands in a place of patterns(pattern, opening) and is no base match; at counts parts."""
+    words = base.select("doc_id", "th", words_in(masked()).alias("w"))
+    word = lambda i, none: F.coalesce(F.get(F.col("w"), i), F.lit(none))
+    place = lambda x, i: F.struct(i.alias("at"), word(i - 2, "^").alias("l2"), word(i - 1, "^").alias("l1"), F.slice("w", i + 1, F.lit(MOST + 1)).alias("rest"))
+    places = words.select("doc_id", "th", F.inline(F.transform("w", place))).where(F.col("rest")[0] != MASK)
+    digit = lambda t: t.rlike("[0-9]")
+    run = F.array_position(F.transform("rest", digit), F.lit(False)) - 1
+    places = places.withColumn("run", F.when(digit(F.col("rest")[0]), F.least(F.when(run < 0, F.size("rest")).otherwise(run), F.lit(MOST))).otherwise(1).cast("int"))
+    follows = lambda n: F.coalesce(F.get(F.col("rest"), n), F.lit("$"))
+    openings = F.array(F.concat_ws(" ", F.lit("L"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", F.lit("_"), follows(F.col("run"))))
+    places = places.select("doc_id", "th", "at", "rest", "run", F.explode(openings).alias("opening"))
+    near = places.join(patterns.select("opening").distinct(), "opening", "left_semi")
+    one = F.struct(F.col("opening").alias("pattern"), F.col("run").alias("parts"))
+    masks = F.array_position("rest", MASK).cast("int")
+    upto = F.least(F.size("rest"), F.lit(MOST), F.when(masks > 0, masks - 1).otherwise(MOST))
+    more = F.transform(F.sequence(F.lit(1), upto), lambda n: F.struct(F.concat_ws(" ", F.lit("LL"), "opening", F.lit("_"), follows(n)).alias("pattern"), n.alias("parts")))
+    each = near.select("doc_id", "th", "at", "rest", F.explode(F.when(F.col("opening").startswith("L "), F.concat(F.array(one), more)).otherwise(F.array(one))).alias("p"))
+    each = each.select("doc_id", "th", "at", "p.*", F.concat_ws(" ", F.slice("rest", F.lit(1), F.col("p.parts"))).alias("value")).where(F.rlike("value", F.lit(r"[\p{L}\p{N}]")))
+    return each.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+
+
+def spans_at(base: DataFrame, hits: DataFrame) -> DataFrame:
+    """(f_id, f_th, found SPAN) of hits(doc_id, th, at, parts, kind); punctuation that ends an instance does not belong to it."""
+    hits = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("at", "parts", "kind"))).alias("hits")).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
+    text = base.select("doc_id", "th", "text", masked().alias("m")).dropDuplicates(["doc_id", "th"])
+    both = hits.join(text, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).withColumn("p", F.regexp_extract_all("m", F.lit(PART), F.lit(0)))
+    size = lambda n: F.aggregate(F.slice("p", F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    first = lambda h: F.get(F.col("p"), h["at"])
+    placed = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), (size(h["at"]) + F.length(first(h)) - F.length(F.ltrim(first(h), F.lit(BLANKS)))).alias("start"), size(h["at"] + h["parts"]).alias("end")))
+    both = both.withColumn("placed", placed)
+    cut = lambda s: F.rtrim(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), F.lit(".,;:!?-/%"))
+    name = lambda k: reduce(lambda c, i: c.when(k == i, f"found_{KINDS[i]}"), range(1, len(KINDS)), F.when(k == 0, f"found_{KINDS[0]}"))
+    span = lambda s: F.struct(name(s["kind"]).alias("kind"), (s["kind"] + len(KINDS)).alias("rank"), s["start"].alias("start"), (s["start"] + F.length(cut(s))).alias("end"), cut(s).alias("value"))
+    both = both.select("f_id", "f_th", F.transform("placed", span).alias("all"))
+    inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
+    return both.select("f_id", "f_th", F.filter("all", lambda s: (s["end"] > s["start"]) & ~F.exists("all", lambda o: inside(s, o))).alias("found"))
+
+
+def accepted_patterns(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
+    """(pattern, kind, confidence) after the given rounds over edges(value, kind, pattern)."""
+    edges = materialize(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("size"))
     seeds = edges.where("kind is not null").groupBy("value").agg(F.min("kind").alias("kind")).withColumns({"score": F.lit(1.0), "seed": F.lit(1)})
     scores, accepted = seeds, None
@@ -97,13 +148,14 @@ def accepted_patterns(tokens: DataFrame, rounds: int, min_seeds: int, min_confid
 def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.6) -> DataFrame:
     """doc_id, base and found (SPAN arrays) for each row of docs(doc_id, text)."""
     base = materialize(base_spans(docs), "spans")
-    tokens = base.where(F.size("tokens") > 0).select("doc_id", "th", F.explode("tokens").alias("t")).select("doc_id", "th", "t.*")
-    accepted = accepted_patterns(tokens, rounds, min_seeds, min_confidence)
-    free = tokens.where("kind is null").select("doc_id", "th", "start", "end", "value", F.explode("patterns").alias("pattern"))
-    best = free.join(accepted, "pattern").groupBy("doc_id", "th", "start", "end", "value").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    name = reduce(lambda c, i: c.when(F.col("kind") == i, f"found_{KINDS[i]}"), range(1, len(KINDS)), F.when(F.col("kind") == 0, f"found_{KINDS[0]}"))
-    span = F.struct(name.alias("kind"), (F.col("kind") + len(KINDS)).alias("rank"), "start", "end", "value")
-    found = best.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(span)).alias("found")).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
+    seeds = materialize(seed_edges(base), "seeds")
+    enough = seeds.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"), F.first("opening").alias("opening")).where(F.col("n") >= min_seeds)
+    patterns = materialize(enough.select("pattern", "opening").distinct(), "candidates")
+    free = materialize(instances(base, patterns), "instances")
+    edges = seeds.join(patterns.select("pattern"), "pattern", "left_semi").select("value", "kind", "pattern").unionByName(free.select("value", F.lit(None).cast("int").alias("kind"), "pattern"))
+    accepted = accepted_patterns(edges, rounds, min_seeds, min_confidence)
+    best = free.join(accepted, "pattern").groupBy("doc_id", "th", "at", "parts").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    found = spans_at(base, best)
     return base.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select("doc_id", "base", F.coalesce("found", no_spans()).alias("found"))
 
 

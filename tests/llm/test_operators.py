@@ -125,6 +125,17 @@ def test_contexts_discover_in_the_same_shape(spark):
     assert got[11].n_found == 0
 
 
+def test_contexts_discover_identifiers_written_otherwise(spark):
+    """Without digits, in several parts, of another shape than the seeds."""
+    texts = [f"please mail to user{i}@host.example about it" for i in range(8)] + [f"call us on +1 (212) 555-01{i:02} before noon" for i in range(8)]
+    unseen = {"please mail to user77@localhost about it": "user77@localhost", "please mail to name[at]host about it": "name[at]host", "call us on 1-555-123-4567 before noon": "1-555-123-4567", "call us on 1 555 123 4567 before noon": "1 555 123 4567"}
+    rows = list(enumerate([*texts, *unseen, "nothing goes by mail for anyone, in version 12345 of it"]))
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[len(texts) :]:
+        assert [t[x.start : x.end] for x in got[i].found] == [x.value for x in got[i].found] == ([unseen[t]] if t in unseen else []), t
+    assert not any(got[i].found for i in range(len(texts)))
+
+
 def test_ownership_separates_examples_from_live_secrets(spark):
     rows = [(i, 'token = "EXAMPLEexample1234"', f"owner{i % 4}") for i in range(8)] + [(20, 'token = "zq81LLkx09ab7712"', "owner1"), (21, "key Zx81QLkx09Ab7712MnOp in use", "owner2")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
