@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets are replaced in the texts; all documents stay."""
+    """Secrets that are no widely copied examples are replaced in the texts; all documents stay."""
     return redact(docs, find_secrets(docs))
 
 

@@ -1,8 +1,9 @@
 """Secrets: pattern matches judged by corpus-wide ownership frequency, in DataFrame functions alone.
 
 Candidate values (of base matches, and of long mixed tokens besides) are hashed and counted by distinct repositories and owners. What
-many owners hold is a widely copied example; what one owner holds in few repositories is live-looking. For documents the owner is the
-source and the repository the document. Long mixed tokens are added as ``token`` spans where they are live-looking.
+many owners hold is a widely copied example; what one owner holds, in however many repositories, is live-looking; what a few
+owners share is no example either. For documents the owner is the source and the repository the document. Long mixed tokens are added as
+``token`` spans, and values are redacted, where they are no example.
 
 Defined cases: null and empty texts have no spans; a null owner is an owner of its own; rows that repeat an id are
 one repository, and each is judged by its own text; a null doc_id is a repository of its own; an empty table gives an
@@ -45,21 +46,21 @@ def scan(docs: DataFrame, owner: str) -> DataFrame:
     return found.select("doc_id", "th", "owner", "base", free.alias("tokens"))
 
 
-def ownership(found: DataFrame, example_owners: int, live_repositories: int) -> DataFrame:
-    """(value, repositories, owners, verdict) of each candidate hash: example, live, or shared for what is neither."""
+def ownership(found: DataFrame, example_owners: int) -> DataFrame:
+    """(value, repositories, owners, verdict) of each candidate hash: example, live, or shared for what a few owners hold."""
     each = found.where("size(base) + size(tokens) > 0").select("doc_id", "owner", F.explode(F.concat("base", "tokens")).alias("s"))
     each = each.select(F.sha2(secret_value(F.col("s.kind"), F.col("s.value")), 256).alias("value"), F.struct("doc_id").alias("repository"), F.struct("owner").alias("owner"))
     counts = each.distinct().groupBy("value").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
-    verdict = F.when(F.col("owners") >= example_owners, "example").when((F.col("owners") == 1) & (F.col("repositories") <= live_repositories), "live").otherwise("shared")
+    verdict = F.when(F.col("owners") >= example_owners, "example").when(F.col("owners") == 1, "live").otherwise("shared")
     return counts.withColumn("verdict", verdict)
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3, live_repositories: int = 5) -> DataFrame:
-    """doc_id, th and spans (SPAN with its verdict; base ones, and added tokens that look live) for each row of docs."""
+def find_secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
+    """doc_id, th and spans (SPAN with its verdict; base ones, and added tokens that are no example) for each row of docs."""
     found = materialize(scan(docs, owner), "secrets")
-    verdicts = ownership(found, example_owners, live_repositories)
+    verdicts = ownership(found, example_owners)
     each = found.where("size(base) + size(tokens) > 0").select("doc_id", "th", F.explode(F.concat("base", "tokens")).alias("s")).withColumn("value", F.sha2(secret_value(F.col("s.kind"), F.col("s.value")), 256))
-    judged = each.join(verdicts.select("value", "verdict"), "value").where("s.kind <> 'token' or verdict = 'live'")
+    judged = each.join(verdicts.select("value", "verdict"), "value").where("s.kind <> 'token' or verdict <> 'example'")
     span = F.struct("s.kind", "s.rank", "s.start", "s.end", "s.value", "verdict")
     spans = judged.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans")).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
     none = no_spans().cast("array<struct<kind:string,rank:int,start:int,end:int,value:string>>")
@@ -70,13 +71,13 @@ def find_secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3
 def secrets_digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "token")
     judged = lambda v: F.size(F.filter("spans", lambda s: s["verdict"] == v)).cast("long").alias(f"n_{v}")
-    verdicts = [judged("live"), judged("example")]
+    verdicts = [judged("live"), judged("example"), judged("shared")]
     return found.select("doc_id", *(count_kind(F.col("spans"), k).alias(f"n_{k}") for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), *verdicts)
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each live-looking secret in text replaced by mark (overlapping ones by one), n_chars following."""
-    live = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.array_sort(F.transform(F.filter("spans", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("live")).where("size(live) > 0").distinct()
+    """docs with each secret in text that is no example replaced by mark (overlapping ones by one), n_chars following."""
+    live = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.array_sort(F.transform(F.filter("spans", lambda s: s["verdict"] != "example"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("live")).where("size(live) > 0").distinct()
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
         F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
     )

@@ -146,6 +146,16 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert left[0] == rows[0][1] and left[20] == "[SECRET]" + '"' and left[21] == "key [SECRET] in use"
 
 
+def test_only_examples_are_left(spark):
+    """One owner's secret in many documents, and what two owners share, are redacted."""
+    rows = [(i, 'token = "zq81LLkx09ab7712"', "owner1") for i in range(7)] + [(10 + i, "key Zx81QLkx09Ab7712MnOp in use", f"owner{i}") for i in range(2)] + [(20 + i, 'token = "EXAMPLEexample1234"', f"owner{i}") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_scan.find_secrets(df)
+    assert {(r.doc_id // 10, s.kind, s.verdict) for r in found.collect() for s in r.spans} == {(0, "assign", "live"), (1, "token", "shared"), (2, "assign", "example")}
+    left = {r.doc_id: r.text for r in secret_scan.redact(df.withColumn("n_chars", df.doc_id), found).collect()}
+    assert left == {i: '[SECRET]"' if i < 10 else "key [SECRET] in use" if i < 20 else t for i, t, _ in rows}
+
+
 # 4 ---------------------------------------------------------------------------------------------------------------------------
 
 
