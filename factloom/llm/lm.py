@@ -1,7 +1,7 @@
 """Language-model scoring: word statistics of the corpus, and a causal self-attention model on subword ids.
 
-One pass encodes all texts and keeps their ids, counts the training texts' words and subword ids and sets aside one window in
-``one_in``, by hash, from all of those. Word counts stay a table: the ``head`` most frequent words (a bounded dictionary) are looked up where a text is read,
+One pass encodes all texts and keeps their ids, counts the training texts' words and subword ids and sets aside their windows
+(all of them; one in ``one_in``, by hash, if a caller asks for fewer). Word counts stay a table: the ``head`` most frequent words (a bounded dictionary) are looked up where a text is read,
 the others are joined by word. The attention model (attention.py) is trained by shards of bounded size, whose parameters Spark averages
 after each round. All whole texts are then scored in overlapping windows of the kept ids.
 
@@ -165,7 +165,7 @@ def word_scores(docs: DataFrame, counts: DataFrame, ends: int, head: int) -> tup
     return both.select("doc_id", "th", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), (F.col("s_head") + F.coalesce("s_tail", F.lit(0.0))).alias("base_score")), total
 
 
-def score_texts(docs: DataFrame, tokenizer: str, one_in: int = 32, rounds: int = 2, shard_windows: int = 16_384, head: int = 100_000) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, one_in: int = 1, rounds: int = 2, shard_windows: int = 16_384, head: int = 100_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text)."""
     gathered = gather(docs, tokenizer, one_in)
     counts = materialize(gathered.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n")), "words")

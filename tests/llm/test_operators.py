@@ -177,6 +177,14 @@ def test_language_model_scores(docs, rows):
     assert all(r.score < 0 for r in got)
 
 
+def test_all_training_windows_reach_the_model(spark, monkeypatch):
+    kept, fit = [], lm.fit
+    monkeypatch.setattr(lm, "fit", lambda gathered, *a: kept.append(gathered.where("kind = 'window'").count()) or fit(gathered, *a))
+    df = spark.createDataFrame([(i, f"text {i} of a few words") for i in range(30)], "doc_id long, text string")
+    held = sum(r.held_out for r in lm.score_texts(df, tokenizer_path("word_bpe_49k.json")).collect())
+    assert kept == [30 - held]
+
+
 def test_attention_is_a_distribution_and_learns():
     r = np.random.default_rng(0)
     vocab = attention.vocabulary(r.integers(0, 50, 3000).astype(float))
