@@ -308,6 +308,13 @@ def test_limits_hold_in_each_dimension():
         packing.dot_product_bins(np.array([[101, 1, 1]]), np.array([100, 3, 40]))
 
 
+def test_each_of_the_three_limits_binds():
+    """The sizes of the bins are those of the one limit that is short: tokens, segments, loss-bearing tokens."""
+    for piece, most in (([50, 1, 1], 2), ([1, 1, 1], 3), ([10, 1, 40], 1)):
+        bins = packing.dot_product_bins(np.array([piece] * 12), np.array([100, 3, 40]))
+        assert sorted(len(b) for b in bins) == [most] * (12 // most)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------------------
 
 
