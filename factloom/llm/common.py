@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where a session of one machine (tests) names none, a temporary one that ends with the
+    process; on a cluster that is an error, for executors do not see each other's folders."""
     global _own_dir
     if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
-    return _own_dir
+        _own_dir = tempfile.mkdtemp(prefix="spark-factloom-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return f"file://{_own_dir}"
 
 
 #: Spark's own switch: the shuffle files of a statement go when it ends, since nothing reads them again.
@@ -48,6 +57,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def values(column: pa.Array) -> Iterator:
+    """The Python values of a column one by one, so that a batch of texts is not held twice."""
+    return (v.as_py() for v in column)
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, values
 from .tokens import word_encoder
 
 END_ID = 1
@@ -31,20 +31,20 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, keep_ids: bo
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]) for each piece of at most size ids of every text and its end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_encoder(tokenizer), END_ID.to_bytes(4, "little")
+        encoder = word_encoder(tokenizer)
         for b in batches:
             out = [[] for _ in range(6)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = encode(text) + end
-                for at in range(0, len(ids), 4 * size):
-                    piece = ids[at : at + 4 * size]
-                    for c, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, np.frombuffer(piece, "<u4").astype(np.int32) if keep_ids else None)):
+            for doc, ids in zip(values(b.column(0)), encoder.many(values(b.column(1)))):
+                ids = np.append(ids, END_ID).astype("<u4")
+                for at in range(0, len(ids), size):
+                    piece = ids[at : at + size]
+                    for c, v in zip(out, (doc, at, len(piece), zlib.crc32(piece), len(ids), piece.astype(np.int32) if keep_ids else None)):
                         c.append(v)
             arrays = [pa.array(c, pa.int64()) for c in out[:5]]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(out[5], pa.list_(pa.int32()))] * keep_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + keep_ids])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def dot_product_bins(demand: np.ndarray, capacity: np.ndarray) -> list[list[int]]:

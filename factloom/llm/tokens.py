@@ -1,67 +1,110 @@
-"""Word-cached encoding with public tokenizer files; their paths are parameters."""
+"""Encoding with public tokenizer files; their paths are parameters."""
 
 from __future__ import annotations
 
 import base64
-import struct
+import json
+import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import cache
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: Code points that NFC leaves alone and lower case keeps among them, besides common punctuation (U+2010 to U+205E without its spaces).
+LATIN = [chr(c) for c in range(0x180) if c != 0x130]
+LETTER, NUMBER = ("".join(c for c in LATIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+SPACE = "\t-\r \x85\xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^{SPACE}{LETTER}{NUMBER}]+")
+#: Ends a word in the byte form of the vocabulary.
+STOP = "\x00"
+#: What only the library encodes: other code points, special strings, STOP itself.
+NOT_PLAIN = re.compile(f"[^\x01-\u012f\u0131-\u017f‐-‧‰-⁞]|<\\|")
+ASCII_CHUNK = re.compile("[^ \t-\r]+")
 
-#: The vocabulary's own word pattern.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-
-def byte_alphabet() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from 256 on for those that are not printable."""
+def byte_alphabet() -> dict[str, int]:
+    """The byte that each printable character of a byte-level vocabulary stands for: its own, or for those from 256 on one that is not printable."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+    return {chr(b) if b in plain else chr(256 + rest.index(b)): b for b in range(256)}
 
 
 class WordEncoder:
-    """Encodes with a lower-casing word vocabulary (word_bpe_49k.json). No token or normalization crosses ASCII white space, and none crosses
-    a word of the pattern, so distinct chunks and distinct words are encoded once while the bounded caches last; the
-    library's model is called per word. Ids come as little-endian unsigned 32-bit bytes."""
+    """Encodes with a lower-casing word vocabulary (word_bpe_49k.json); the ids are those that the tokenizers library gives.
+
+    No token or normalization crosses ASCII white space, so of many texts each distinct chunk between it is encoded once. Chunks of plain
+    characters are encoded together, by the vocabulary in byte form (a word's end being a byte of its own, merged with the word's last byte
+    first); all others by the library. Nothing is kept between calls."""
 
-    def __init__(self, path: str, most: int = 200_000) -> None:
+    def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model, self.alphabet = self.tokenizer.model, byte_alphabet()
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def word(self, w: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.alphabet))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def chunk(self, c: bytes) -> bytes:
-        text = c.decode("utf-8", "replace")
-        if "<|" in text:  # may hold one of the vocabulary's special strings
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        out = []
-        for w in WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()):  # no final sigma in this vocabulary
-            if (got := self.words.get(w)) is None:
-                got = self.words[w] = self.word(w)
-            out.append(got)
-        return b"".join(out)
-
-    def __call__(self, text: bytes | None) -> bytes:
-        chunks = (text or b"").split()
-        found = self.chunks
-        if missing := [c for c in dict.fromkeys(chunks) if c not in found]:
-            if len(found) + len(missing) > self.most:
-                found.clear()
-                missing = list(dict.fromkeys(chunks))
-            if len(self.words) > self.most:
-                self.words.clear()
-            for c in missing:
-                found[c] = self.chunk(c)
-        return b"".join(map(found.__getitem__, chunks))
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        alphabet, suffix = byte_alphabet(), model["end_of_word_suffix"]
+
+        def as_bytes(token: str) -> bytes:
+            return bytes(alphabet[c] for c in token.removesuffix(suffix)) + STOP.encode() * token.endswith(suffix)
+
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        order = [*(c + suffix for c in alphabet), *merged, *alphabet]
+        self.ids, self.gap = np.array([*(model["vocab"][t] for t in order), 0], np.uint32), len(order)
+        ranks = {as_bytes(t): i for i, t in enumerate(order)} | {b" ": self.gap}  # a blank, in no word, stands between chunks
+        self.bytes = tiktoken.Encoding("words", pat_str=f"[^{SPACE}{STOP}]+{STOP}| ", mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, chunks: str) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each chunk of plain characters in lower case, one blank after another, and all the ids."""
+        got = np.array(self.bytes.encode_ordinary(LATIN_WORDS.sub(rf"\g<0>{STOP}", chunks) + " "), np.int64)
+        is_gap = got == self.gap
+        ends = np.flatnonzero(is_gap)
+        return np.diff(ends, prepend=-1) - 1, self.ids[got[~is_gap]]
+
+    def plain_texts(self, texts: list[str]) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.string()))
+        words = lists.values.dictionary_encode()
+        distinct = words.dictionary
+        size, flat = self.plain(pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), " ")[0].as_py())
+        at = words.indices.to_numpy()
+        each = size[at]
+        ends = np.cumsum(each)
+        ids = flat[np.arange(each.sum()) + np.repeat((np.cumsum(size) - size)[at] - (ends - each), each)]
+        edges = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+    def other_text(self, text: str) -> np.ndarray:
+        chunks = ASCII_CHUNK.findall(text)
+        distinct = list(dict.fromkeys(chunks))
+        plain = [c for c in distinct if not NOT_PLAIN.search(c)]
+        size, flat = self.plain(" ".join(plain).lower()) if plain else ([], np.empty(0, np.uint32))
+        known = dict(zip(plain, np.split(flat, np.cumsum(size)[:-1]) if plain else ()))
+        rest = [c for c in distinct if c not in known]
+        known.update((c, np.array(e.ids, np.uint32)) for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
+        return np.concatenate([np.empty(0, np.uint32), *map(known.__getitem__, chunks)])
+
+    def many(self, texts: Iterable[str | None], step: int = 4 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text, null as empty, in order; texts are worked off together in steps of about that many characters."""
+        part, held = [], 0
+        for t in texts:
+            part.append(t or "")
+            held += len(part[-1])
+            if held > step:
+                yield from self.part(part)
+                part, held = [], 0
+        yield from self.part(part)
+
+    def part(self, texts: list[str]) -> Iterator[np.ndarray]:
+        plain = [(t.isascii() and "<|" not in t and STOP not in t) or not NOT_PLAIN.search(t) for t in texts]
+        done = iter(self.plain_texts([t for t, p in zip(texts, plain) if p]) if any(plain) else ())
+        for t, p in zip(texts, plain):
+            yield next(done) if p else self.other_text(t)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return next(self.many([text]))
 
 
 @cache
