@@ -6,7 +6,8 @@ reserved beyond it, so no text can produce one, and control strings inside texts
 the prefix sum of +1 at the first token of each assistant text and -1 after its last.
 
 Turns are encoded where they are read. A conversation, however long, is then read in turn order as a stream: one turn is
-in memory at a time. Defined cases: null text or role is empty; rows of one turn number are ordered by role and text;
+in memory at a time. Defined cases: null text or role is empty; rows of one turn number are ordered by role, the
+text's first 32 characters and its hash;
 repeated rows stay; a null turn comes first; null conv_id is one conversation; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import values
 from .tokens import byte_encoding
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -44,6 +46,19 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\([\\n])", lambda m: "\n" if m[1] == "n" else "\\", unescape(role))
 
 
+#: The encoder's pattern works on a run of white space as one piece and fails on a million; longer runs are encoded in parts.
+RUN = re.compile(r"\s{10000}")
+
+
+def encode(enc, text: str) -> list[int]:
+    """The ids of text, which decode to it."""
+    ids, at = [], 0
+    for m in RUN.finditer(text):
+        ids += enc.encode_ordinary(text[at : m.end()])
+        at = m.end()
+    return ids + enc.encode_ordinary(text[at:])
+
+
 def encode_turns(turns: DataFrame, vocabulary: str, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, turn, role, text, ids, loss_mask) for each row: the ids of the whole turn with its marks, and whether each bears loss."""
 
@@ -53,8 +68,8 @@ def encode_turns(turns: DataFrame, vocabulary: str, loss_role: str = "assistant"
         feed = enc.encode_ordinary("\n")
         for b in batches:
             ids, masks = [], []
-            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                head, body = enc.encode_ordinary(escape_role(role) + "\n"), enc.encode_ordinary(escape(text))
+            for role, text in zip(values(b.column(2)), values(b.column(3))):
+                head, body = encode(enc, escape_role(role) + "\n"), encode(enc, escape(text))
                 made = [start, *head, *body, end, *feed]
                 edges = np.zeros(len(made) + 1, np.int8)
                 edges[1 + len(head)] += role == loss_role
@@ -113,5 +128,6 @@ def read_back(encoded: DataFrame, vocabulary: str) -> DataFrame:
         if now:
             yield table([now])
 
-    ordered = encoded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    sent = encoded.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("nth"), "ids", "loss_mask")
+    ordered = sent.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "head", "nth")
     return ordered.select("conv_id", "ids", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
