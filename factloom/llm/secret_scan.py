@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_hash
+from .common import carried, materialize, text_hash
 from .spans import count_kind, joined, no_spans, overlapping, with_matches
 
 KINDS = ("assign", "access", "hex")
@@ -76,12 +76,18 @@ def secrets_digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each secret in text that is no example replaced by mark (overlapping ones by one), n_chars following."""
-    live = found.select(F.col("doc_id").alias("f_id"), F.col("th").alias("f_th"), F.array_sort(F.transform(F.filter("spans", lambda s: s["verdict"] != "example"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("live")).where("size(live) > 0").distinct()
+    """docs with each secret in text that is no example replaced by mark (overlapping ones by one); n_chars, if there, follows."""
+    hidden = F.filter("spans", lambda s: s["verdict"] != "example")
+    live = found.select(F.col("doc_id").alias("__f_id"), F.col("th").alias("__f_th"), F.array_sort(F.transform(hidden, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__live"))
+    rows, names = carried(docs)
+    text = F.col("text")
     step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
+        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
     )
-    cleaned = F.aggregate("live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    both = docs.join(live, docs["doc_id"].eqNullSafe(F.col("f_id")) & (text_hash() == F.col("f_th")), "left")
-    both = both.withColumn("text", F.when(F.col("live").isNotNull(), cleaned).otherwise(F.col("text")))
-    return both.withColumn("n_chars", F.when(F.col("live").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    cleaned = F.aggregate("__live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = rows.withColumns({"__id": F.col(names[docs.columns.index("doc_id")]), "__th": text_hash()})
+    both = rows.join(live.where("size(__live) > 0").distinct(), F.col("__id").eqNullSafe(F.col("__f_id")) & (F.col("__th") == F.col("__f_th")), "left")
+    both = both.withColumn("__cleaned", F.when(F.col("__live").isNotNull(), cleaned))
+    new = {"text": F.coalesce("__cleaned", text), "n_chars": F.length("__cleaned").cast("long")}
+    kept = [F.coalesce(new[c], F.col(n)).alias(c) if c in new else F.col(n).alias(c) for c, n in zip(docs.columns, names)]
+    return both.select(*kept)
