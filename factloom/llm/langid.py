@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, crc_mod, materialize
+from .common import carried, crc_mod, materialize, values
 
 UNKNOWN = "und"
 PROFILE = 400
 #: Profiles are broadcast: at most this many languages of PROFILE n-grams each.
 MAX_LANGUAGES = 2000
 #: n-grams that a task holds before it counts and sends them.
-HELD_GRAMS = 4_000_000
+HELD_GRAMS = 1_000_000
 
 
 @cache
@@ -71,7 +71,7 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, held = {}, 0
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for lang, text in zip(values(b.column(0)), values(b.column(1))):
                 by.setdefault(lang, []).append(g := grams(text))
                 held += len(g)
                 if held > HELD_GRAMS:
@@ -81,8 +81,8 @@ def learn_profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
 
     counts = docs.where(F.col("lang").isNotNull()).select("lang", "text").mapInArrow(count, "lang string, code long, n long")
     totals = counts.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
-    return totals.withColumn("rank", rank).where(F.col("rank") < size).select("lang", "code", "rank")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
+    return totals.withColumn("place", place).where(F.col("place") <= size).select("lang", "code", (F.col("place") - 1).alias("rank"))
 
 
 def predict_languages(docs: DataFrame, profiles: DataFrame, keep: list[str], size: int = PROFILE) -> DataFrame:
@@ -91,29 +91,32 @@ def predict_languages(docs: DataFrame, profiles: DataFrame, keep: list[str], siz
     if len(rows) > MAX_LANGUAGES * size:
         raise ValueError(f"over {MAX_LANGUAGES} languages: their profiles are not broadcast")
     langs = sorted({r.lang for r in rows}, key=lambda s: s.encode())
-    codes = np.unique(np.array([r.code for r in rows], np.int64))
-    place = np.full((len(langs), len(codes) + 1), size, np.int64)  # the last column: in no profile
-    for r in rows:
-        place[langs.index(r.lang), np.searchsorted(codes, r.code)] = r.rank
-    shared = docs.sparkSession.sparkContext.broadcast((langs, codes, place))
+    number = {lang: i for i, lang in enumerate(langs)}
+    rows.sort(key=lambda r: r.code)
+    # the places of an n-gram in all profiles stand together: those of codes[i] from first[i] to first[i + 1]
+    codes, first = np.unique(np.array([r.code for r in rows], np.int64), return_index=True)
+    places = np.array([(number[r.lang], r.rank) for r in rows], np.int32).reshape(-1, 2)
+    shared = docs.sparkSession.sparkContext.broadcast((langs, codes, np.append(first, len(rows)), places))
     picked = docs.select(*keep, F.col("text").alias("__text"))
     schema = picked.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def judge(text: str | None) -> tuple[str, float]:
-        langs, codes, place = shared.value
+        langs, codes, first, places = shared.value
         own = top_grams(text, size)
         if not len(own) or not langs:
             return UNKNOWN, 0.0
         at = np.searchsorted(codes, own)
-        at[(at == len(codes)) | (codes[np.minimum(at, len(codes) - 1)] != own)] = len(codes)
-        there = place[:, at]
-        far = np.where(there == size, size, np.abs(there - np.arange(len(own)))).sum(1)
+        mine = np.flatnonzero(codes[np.minimum(at, len(codes) - 1)] == own)
+        n = first[at[mine] + 1] - first[at[mine]]
+        row = np.arange(n.sum()) + np.repeat(first[at[mine]] - (np.cumsum(n) - n), n)
+        nearer = size - np.abs(places[row, 1] - np.repeat(mine, n))
+        far = size * len(own) - np.bincount(places[row, 0], nearer, len(langs)).astype(np.int64)
         best = int(far.argmin())
         return langs[best], 1 - far[best] / (size * len(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [judge(t) for t in b.column(len(keep)).to_pylist()]
+            got = [judge(t) for t in values(b.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=schema.names)
 
     return picked.mapInArrow(run, schema)
