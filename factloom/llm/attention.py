@@ -8,16 +8,20 @@ their own input vectors, the others share that of their class.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
-CLASSES, OWN, DIM, HIDDEN = 96, 2048, 16, 32
+CLASSES, OWN, DIM, HIDDEN = 64, 2048, 16, 32
 #: A window holds LENGTH context ids and scores its last SCORED ones; successive windows overlap, so each token is scored
 #: once with at least LENGTH - SCORED + 1 ids before it (the text's begin counting as such).
-LENGTH, SCORED = 63, 48
-LEAD = LENGTH - SCORED + 1
-MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(LENGTH - SCORED, LENGTH)[:, None], 0, -1e9).astype(np.float32)
+LENGTH, SCORED = 47, 40
+FIRST = LENGTH - SCORED
+MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(FIRST, LENGTH)[:, None], 0, -np.inf).astype(np.float32)
+SCALE = np.float32(1 / np.sqrt(DIM))
+#: What float32 exponentials sum without overflow or loss; beyond it the row's maximum is taken off first.
+SAFE = 60
 
 
 @dataclass
@@ -34,10 +38,10 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
     mass = counts + 0.1
     order = np.lexsort((np.arange(len(mass)), -mass))
     upto = np.cumsum(mass[order]) - mass[order]
-    klass = np.empty(len(mass), np.int64)
-    klass[order] = np.minimum(CLASSES - 1, upto * CLASSES / mass.sum()).astype(np.int64)
+    klass = np.empty(len(mass), np.intp)
+    klass[order] = np.minimum(CLASSES - 1, upto * CLASSES / mass.sum()).astype(np.intp)
     total = np.bincount(klass, mass, CLASSES)
-    rank = np.empty(len(mass), np.int64)
+    rank = np.empty(len(mass), np.intp)
     rank[order] = np.arange(len(mass))
     symbol = np.where(rank < OWN, rank, OWN + klass)
     return Vocabulary(symbol, klass, np.log(mass / total[klass]), np.log(np.maximum(total, 1e-9) / mass.sum()).astype(np.float32))
@@ -55,83 +59,148 @@ def initial(vocab: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
 def windows(ids: np.ndarray, begin: int) -> np.ndarray:
     """(n, LENGTH + 1) ids: row k predicts its last SCORED columns from those before; -1 fills up the last row."""
     n = -(-len(ids) // SCORED)
-    flat = np.full(LEAD + n * SCORED, -1, np.int32)
-    flat[:LEAD] = begin
-    flat[LEAD : LEAD + len(ids)] = ids
+    flat = np.full(FIRST + 1 + n * SCORED, -1, np.int32)
+    flat[: FIRST + 1] = begin
+    flat[FIRST + 1 : FIRST + 1 + len(ids)] = ids
     return np.lib.stride_tricks.sliding_window_view(flat, LENGTH + 1)[::SCORED]
 
 
-def forward(p: dict[str, np.ndarray], symbols: np.ndarray) -> tuple:
-    x = p["E"][symbols] + p["P"]
-    xo = x[:, LENGTH - SCORED :]
-    q, k, v = xo @ p["Wq"], x @ p["Wk"], x @ p["Wv"]
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(1 / np.sqrt(DIM))
-    a += MASK
-    np.exp(np.minimum(a, np.float32(30), out=a), out=a)
-    a /= a.sum(-1, keepdims=True)
-    u = np.concatenate([xo, a @ v], -1)
-    h = np.maximum(u @ p["W1"] + p["b1"], 0)
-    z = h @ p["W2"] + p["b2"]
-    return x, q, k, v, a, u, h, z
+def window_blocks(texts: Iterable[np.ndarray], begin: int, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, window) rows of all texts in blocks of at most so many windows."""
+    part, held = [], 0
+    for i, ids in enumerate(texts):
+        w = windows(ids, begin)
+        for at in range(0, len(w), most):
+            part.append((np.full(len(w[at : at + most]), i), w[at : at + most]))
+            held += len(part[-1][0])
+            if held >= most:
+                yield tuple(np.concatenate(c) for c in zip(*part))
+                part, held = [], 0
+    if part:
+        yield tuple(np.concatenate(c) for c in zip(*part))
 
 
-def class_log_probs(p: dict[str, np.ndarray], symbols: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """ln P(class) of each scored place of each window."""
-    z = forward(p, symbols)[-1]
-    chosen = np.take_along_axis(z, klass[..., None], -1)[..., 0]
-    return chosen - np.log(np.exp(z, out=z).sum(-1))
+def exp_rows(t: np.ndarray) -> np.ndarray:
+    """Exponentials in place, each row up to a factor."""
+    if not -SAFE < t.min() <= t.max() < SAFE:
+        t -= t.max(-1, keepdims=True)
+    return np.exp(t, out=t)
+
+
+def attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Attention weights up to a factor a row."""
+    a = q @ k.transpose(0, 2, 1)
+    if not -SAFE < a.min() <= a.max() < SAFE:
+        a += MASK
+        a -= a.max(-1, keepdims=True)
+        return np.exp(a, out=a)
+    a += MASK
+    return np.exp(a, out=a)
+
+
+class Scorer:
+    """ln P(class) with the products of the input vectors and the first matrices taken once."""
+
+    def __init__(self, p: dict[str, np.ndarray]) -> None:
+        keys, asks = np.concatenate([p["Wk"], p["Wv"]], 1), np.concatenate([p["Wq"] * SCALE, p["W1"][:DIM]], 1)
+        self.p, self.kv, self.qu = p, p["E"] @ keys, p["E"] @ asks
+        self.place_kv, self.place_qu = p["P"] @ keys, p["P"][FIRST:] @ asks
+        self.place_qu[:, DIM:] += p["b1"]
+
+    def class_log_probs(self, symbols: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """ln P(class) of each scored place of each window."""
+        kv, qu = self.kv[symbols], self.qu[symbols[:, FIRST:]]
+        kv += self.place_kv
+        qu += self.place_qu
+        a = attend(qu[..., :DIM], kv[..., :DIM])
+        context = a @ kv[..., DIM:]
+        context /= a.sum(-1, keepdims=True)
+        h = qu[..., DIM:].reshape(-1, HIDDEN) + context.reshape(-1, DIM) @ self.p["W1"][DIM:]
+        z = np.maximum(h, 0, out=h) @ self.p["W2"]
+        z += self.p["b2"]
+        if not -SAFE < z.min() <= z.max() < SAFE:
+            z -= z.max(-1, keepdims=True)
+        chosen = z[np.arange(len(z)), klass.ravel()]
+        return (chosen - np.log(np.exp(z, out=z).sum(-1))).reshape(klass.shape)
 
 
 def gradient(p: dict[str, np.ndarray], symbols: np.ndarray, klass: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-    x, q, k, v, a, u, h, z = forward(p, symbols)
-    dz = np.exp(z - z.max(-1, keepdims=True))
+    """Of the mean of -ln P(class) over the places of weight 1."""
+    n = len(symbols)
+    x = p["E"][symbols]
+    x += p["P"]
+    flat, own = x.reshape(-1, DIM), np.ascontiguousarray(x[:, FIRST:]).reshape(-1, DIM)
+    keys = np.concatenate([p["Wk"], p["Wv"]], 1)
+    kv = (flat @ keys).reshape(n, LENGTH, 2 * DIM)
+    k, v = kv[..., :DIM], kv[..., DIM:]
+    q = (own @ (p["Wq"] * SCALE)).reshape(n, SCORED, DIM)
+    a = attend(q, k)
+    a /= a.sum(-1, keepdims=True)
+    context = a @ v
+    seen = context.reshape(-1, DIM)
+    h = own @ p["W1"][:DIM] + seen @ p["W1"][DIM:] + p["b1"]
+    on = h > 0
+    h *= on
+    dz = h @ p["W2"]
+    dz += p["b2"]
+    exp_rows(dz)
     dz /= dz.sum(-1, keepdims=True)
-    b, o = np.ogrid[: len(symbols), :SCORED]
-    dz[b, o, klass] -= 1
-    dz *= weight[..., None] / max(1.0, weight.sum())
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    dh = (dz @ p["W2"].T) * (h > 0)
-    du = dh @ p["W1"].T
-    dc = du[..., DIM:]
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dc
-    dx = dk @ p["Wk"].T + dv @ p["Wv"].T
-    xo = x[:, LENGTH - SCORED :]
-    dx[:, LENGTH - SCORED :] += du[..., :DIM] + dq @ p["Wq"].T
-    de = np.zeros_like(p["E"])
-    np.add.at(de, symbols.ravel(), flat(dx))
+    dz[np.arange(len(dz)), klass.ravel()] -= 1
+    dz *= weight.reshape(-1, 1) / max(1.0, weight.sum())
+    dh = dz @ p["W2"].T
+    dh *= on
+    down = dh @ p["W1"].T
+    dcontext = np.ascontiguousarray(down[:, DIM:]).reshape(n, SCORED, DIM)
+    da = dcontext @ v.transpose(0, 2, 1)
+    da -= (dcontext * context).sum(-1, keepdims=True)
+    da *= a
+    dq = (da @ k).reshape(-1, DIM)
+    dkv = np.empty_like(kv)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+    np.matmul(a.transpose(0, 2, 1), dcontext, out=dkv[..., DIM:])
+    dkv = dkv.reshape(-1, 2 * DIM)
+    dx = (dkv @ keys.T).reshape(n, LENGTH, DIM)
+    dx[:, FIRST:] += (down[:, :DIM] + dq @ (p["Wq"].T * SCALE)).reshape(n, SCORED, DIM)
+    into = (symbols.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    dkeys = flat.T @ dkv
     return {
-        "E": de, "P": dx.sum(0), "Wq": flat(xo).T @ flat(dq), "Wk": flat(x).T @ flat(dk), "Wv": flat(x).T @ flat(dv),
-        "W1": flat(u).T @ flat(dh), "b1": flat(dh).sum(0), "W2": flat(h).T @ flat(dz), "b2": flat(dz).sum(0),
+        "E": np.bincount(into, dx.ravel(), p["E"].size).reshape(p["E"].shape).astype(np.float32), "P": dx.sum(0), "Wq": own.T @ dq * SCALE, "Wk": dkeys[:, :DIM], "Wv": dkeys[:, DIM:],
+        "W1": np.concatenate([own.T @ dh, seen.T @ dh]), "b1": dh.sum(0), "W2": h.T @ dz, "b2": dz.sum(0),
     }
 
 
-def train(p: dict[str, np.ndarray], vocab: Vocabulary, rows: np.ndarray, batch: int = 32, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """One pass of Adam over window rows with a rate falling to a tenth."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    steps = -(-len(rows) // batch)
-    for t in range(steps):
-        w = rows[t * batch : (t + 1) * batch]
-        target = w[:, -SCORED:]
-        g = gradient(p, vocab.symbol[np.maximum(w[:, :-1], 0)], vocab.klass[np.maximum(target, 0)], (target >= 0).astype(np.float32))
-        r = rate * (1 - 0.9 * t / steps)
-        for k in p:
-            m[k] += (g[k] - m[k]) * np.float32(0.1)
-            s[k] += (g[k] * g[k] - s[k]) * np.float32(0.01)
-            p[k] -= np.float32(r) * (m[k] / np.float32(1 - 0.9 ** (t + 1))) / (np.sqrt(s[k] / np.float32(1 - 0.99 ** (t + 1))) + np.float32(1e-6))
-    return p
-
-
-def log_probs(p: dict[str, np.ndarray], vocab: Vocabulary, rows: np.ndarray, batch: int = 128) -> np.ndarray:
+class Trainer:
+    """Adam from the given parameters; the rate falls with the square root of the steps."""
+
+    def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary, rate: float = 0.01, batch: int = 32) -> None:
+        self.p, self.vocab, self.rate, self.batch, self.steps = {k: v.copy() for k, v in p.items()}, vocab, rate, batch, 0
+        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+
+    def learn(self, rows: np.ndarray) -> None:
+        """One pass over window rows, in an order that their number fixes."""
+        rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
+        for at in range(0, len(rows), self.batch):
+            w = rows[at : at + self.batch]
+            target = w[:, -SCORED:]
+            g = gradient(self.p, self.vocab.symbol[np.maximum(w[:, :-1], 0)], self.vocab.klass[np.maximum(target, 0)], (target >= 0).astype(np.float32))
+            self.steps += 1
+            t = self.steps
+            rate = np.float32(self.rate / np.sqrt(1 + t / 200) / (1 - 0.9**t))
+            bias = np.float32(1 - 0.99**t)
+            for k, v in self.p.items():
+                m, s = self.m[k], self.s[k]
+                m += (g[k] - m) * np.float32(0.1)
+                s += (g[k] * g[k] - s) * np.float32(0.01)
+                v -= rate * m / (np.sqrt(s / bias) + np.float32(1e-6))
+
+
+def log_probs(scorer: Scorer, vocab: Vocabulary, rows: np.ndarray, batch: int = 32) -> np.ndarray:
     """ln P of each window row's scored ids, summed; filling counts nothing."""
     out = np.empty(len(rows))
     for i in range(0, len(rows), batch):
         w = rows[i : i + batch]
         target = w[:, -SCORED:]
         there, target = target >= 0, np.maximum(target, 0)
-        got = class_log_probs(p, vocab.symbol[np.maximum(w[:, :-1], 0)], vocab.klass[target]) + vocab.within[target]
+        got = scorer.class_log_probs(vocab.symbol[np.maximum(w[:, :-1], 0)], vocab.klass[target]) + vocab.within[target]
         out[i : i + batch] = np.where(there, got, 0).sum(1)
     return out

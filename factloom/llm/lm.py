@@ -1,163 +1,210 @@
 """Language-model scoring: word statistics of the corpus, and a causal self-attention model on subword ids.
 
-One pass encodes all texts and keeps their ids, counts the training texts' words and subword ids and sets aside their windows
-(all of them; one in ``one_in``, by hash, if a caller asks for fewer). Word counts stay a table: the ``head`` most frequent words (a bounded dictionary) are looked up where a text is read,
-the others are joined by word. The attention model (attention.py) is trained by shards of bounded size, whose parameters Spark averages
-after each round. All whole texts are then scored in overlapping windows of the kept ids.
+Texts are encoded once and their ids kept. Word counts stay a table: the most frequent words (``head`` at most) are looked up where a text is
+read, the others are joined by word. The attention model (attention.py) learns from every window of the training texts in
+``rounds`` rounds, each of which takes another slice of the texts: every partition of ids trains from the common parameters, and the averages
+are the next common ones. All whole texts are then scored in overlapping windows of the kept ids.
 
 Defined cases: a null or empty text is its end token alone; without training texts the word score is that of no knowledge and
-the model that of uniform ids; a null doc_id counts as the text '' when training texts are chosen; repeated rows are scored each and
+the model that of its initial parameters; a null doc_id counts as the text '' when training texts are chosen; repeated rows are scored each and
 count as often as they occur; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from .common import ASCII_LOWER, crc_mod, materialize, text_hash
+from .common import crc_mod, materialize, text_hash, values
 from .tokens import word_encoder
 
-#: Ids of the vocabulary file, then the end and the begin of a text.
+#: Ids of the vocabulary file, then the end and the begin of a text. They fit 16 bits.
 IDS = 49_408
 END, BEGIN = IDS, IDS + 1
 #: Distinct words that a task holds before it sends their counts.
-HELD_WORDS = 500_000
+HELD_WORDS = 1_000_000
+#: Rows in which the parameters of all shards of a round are added up before the driver gets them.
+SUMS = 32
 
 
 def is_held_out() -> Column:
     return crc_mod("doc_id", 10) == 0
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(ASCII_LOWER).split()
+def encode_texts(docs: DataFrame, tokenizer: str, rounds: int) -> DataFrame:
+    """(doc_id, th, held_out, slice, ids) of each row; slice, below rounds, is when a training text is learnt from, ids are 16-bit numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(tokenizer)
+        for b in batches:
+            ids = pa.array((np.append(i, END).astype("<u2").tobytes() for i in encoder.many(values(b.column(4)))), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], ids], names=["doc_id", "th", "held_out", "slice", "ids"])
 
-def ids_of(encode, text: bytes | None) -> np.ndarray:
-    return np.append(np.frombuffer(encode(text), "<u4").astype(np.int32), np.int32(END))
+    rows = docs.select("doc_id", text_hash(), is_held_out().alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int").alias("slice"), "text")
+    return materialize(rows.mapInArrow(run, "doc_id long, th long, held_out boolean, slice int, ids binary"), "encoded")
 
 
-def gather(docs: DataFrame, tokenizer: str, one_in: int) -> DataFrame:
-    """(kind, key, n, doc_id, th, held_out): every document with its ids (kind doc), and from the training texts partial counts of words and of ids
-    (4 bytes) and sampled windows. Texts are encoded here only."""
-    schema = "kind string, key binary, n long, doc_id long, th long, held_out boolean"
+def numbers(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, "<u2")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, words, ids = word_encoder(tokenizer), Counter(), np.zeros(IDS + 2, np.int64)
 
-        def rows(kind: str, keys: list[bytes], n: list[int]) -> Iterator[pa.RecordBatch]:
-            for i in range(0, len(keys), 100_000):
-                k = len(part := keys[i : i + 100_000])
-                none = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.bool_())]
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * k), pa.array(part, pa.binary()), pa.array(n[i : i + 100_000], pa.int64()), *none], names=["kind", "key", "n", "doc_id", "th", "held_out"])
+def id_counts(encoded: DataFrame) -> np.ndarray:
+    """How often each id occurs in the training texts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(IDS + 2, np.int64)
         for b in batches:
-            made, picked = [], []
-            for held, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                mine = ids_of(encode, text)
-                made.append(mine.tobytes())
-                if not held:
-                    words.update(words_of(text))
-                    ids += np.bincount(mine, minlength=IDS + 2)
-                    w = A.windows(mine, BEGIN)
-                    picked += [w[i].tobytes() for i in range(-zlib.crc32(made[-1]) % one_in, len(w), one_in)]
-            yield pa.RecordBatch.from_arrays([pa.array(["doc"] * len(made), pa.string()), pa.array(made, pa.binary()), pa.nulls(len(made), pa.int64()), *b.columns[:3]], names=["kind", "key", "n", "doc_id", "th", "held_out"])
-            yield from rows("window", picked, [1] * len(picked))
-            if len(words) > HELD_WORDS:
-                yield from rows("word", list(words), list(words.values()))
-                words.clear()
-        yield from rows("word", list(words), list(words.values()))
-        at = np.flatnonzero(ids)
-        yield from rows("id", [int(i).to_bytes(4, "little") for i in at], ids[at].tolist())
-
-    return materialize(docs.select("doc_id", text_hash(), is_held_out().alias("held_out"), F.col("text").cast("binary")).mapInArrow(run, schema), "gathered")
-
-
-def fit(gathered: DataFrame, rounds: int, shard_windows: int) -> tuple[A.Vocabulary, dict[str, np.ndarray]]:
-    """The vocabulary from all id counts, and parameters from all set-aside windows: each round, shards train from the common
-    parameters and the averages are the next common ones. The driver holds parameters and id counts alone, whose sizes are fixed."""
-    spark = gathered.sparkSession
+            for ids in values(b.column(0)):
+                n += np.bincount(numbers(ids), minlength=IDS + 2)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["id", "n"])
+
     counts = np.zeros(IDS + 2)
-    for r in gathered.where("kind = 'id'").groupBy("key").agg(F.sum("n").alias("n")).collect():
-        counts[int.from_bytes(r.key, "little")] = r.n
-    vocab = A.vocabulary(counts)
+    for r in encoded.where("not held_out").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        counts[r.id] = r.n
+    return counts
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, and the place of each text's first word and the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, at = lists.values, lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), upto[at]
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n) of the words of all rows of docs(text)."""
+
+    def added(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by("key").aggregate([("n", "sum")]).select(["key", "n_sum"]).rename_columns(["key", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for b in batches:
+            counts = split_words(b.column(0))[0].value_counts()
+            parts.append(pa.table({"key": counts.field("values"), "n": counts.field("counts")}))
+            held += len(counts)
+            if held > 2 * HELD_WORDS:
+                parts = [added(parts)]
+                if (held := len(parts[0])) > HELD_WORDS:
+                    yield from parts[0].combine_chunks().to_batches(100_000)
+                    parts, held = [], 0
+        if parts:
+            yield from added(parts).combine_chunks().to_batches(100_000)
+
+    return docs.select("text").mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def train_round(texts: DataFrame, vocab: A.Vocabulary, params: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    """The parameters after every window of texts(ids): the mean of what the partitions learn from the given ones, by their windows."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocab, params))
+    schema = "n double, params array<double>"
+
+    def made(n: float, flat: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([flat], pa.list_(pa.float64()))], names=["n", "params"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start = shared.value
+        trainer, n = A.Trainer(start, vocab, rate), 0
+        for b in batches:
+            for _, rows in A.window_blocks(map(numbers, values(b.column(0))), BEGIN):
+                trainer.learn(rows)
+                n += len(rows)
+        if n:
+            yield made(n, n * np.concatenate([v.ravel() for v in trainer.p.values()]).astype(np.float64))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, flat = 0.0, 0.0
+        for b in batches:
+            for k, v in zip(b.column(0), b.column(1)):
+                n, flat = n + k.as_py(), flat + v.values.to_numpy()
+        if n:
+            yield made(n, flat)
+
+    sums = texts.select("ids").mapInArrow(learn, schema).repartition(SUMS).mapInArrow(add, schema).toArrow()
+    if not len(sums):
+        return params
+    flat = sum(v.values.to_numpy() for v in sums["params"]) / sum(sums["n"].to_pylist())
+    ends = np.cumsum([v.size for v in params.values()])
+    return {k: part.reshape(params[k].shape).astype(np.float32) for k, part in zip(params, np.split(flat, ends[:-1]))}
+
+
+def fit(encoded: DataFrame, rounds: int) -> tuple[A.Vocabulary, dict[str, np.ndarray]]:
+    """The vocabulary from all id counts, and parameters from all training texts. The driver holds parameters and id counts alone,
+    whose sizes are fixed."""
+    vocab = A.vocabulary(id_counts(encoded))
     params = A.initial(vocab)
-    chosen = gathered.where("kind = 'window'")
-    shards = -(-chosen.count() // shard_windows)
-    if not shards:
-        return vocab, params
-    dealt = materialize(chosen.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "key"), "windows")
-    names = list(params)
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((vocab, params))
-
-        def run(group: pa.Table) -> pa.Table:
-            vocab, start = shared.value
-            keys = sorted(group["key"].to_pylist(), key=lambda k: (zlib.crc32(k), k))
-            rows = np.frombuffer(b"".join(keys), np.int32).reshape(len(keys), -1)
-            done = np.concatenate([v.ravel() for v in A.train(start, vocab, rows).values()])
-            return pa.table({"place": pa.array(np.arange(len(done))), "value": pa.array(done.astype(np.float64))})
-
-        trained = dealt.groupBy("shard").applyInArrow(run, "place long, value double").groupBy("place").agg(F.avg("value").alias("value"))
-        flat = np.zeros(sum(v.size for v in params.values()), np.float32)
-        got = trained.toPandas()
-        flat[got["place"].to_numpy()] = got["value"].to_numpy()
-        ends = np.cumsum([params[k].size for k in names])
-        params = {k: part.reshape(params[k].shape) for k, part in zip(names, np.split(flat, ends[:-1]))}
+    for k in range(rounds):
+        params = train_round(encoded.where((~F.col("held_out")) & (F.col("slice") == k)), vocab, params, 0.01 / (1 + k))
     return vocab, params
 
 
 def model_scores(encoded: DataFrame, vocab: A.Vocabulary, params: dict[str, np.ndarray]) -> DataFrame:
-    """(doc_id, th, held_out, score) of encoded(doc_id, th, held_out, key), key being a text's ids."""
+    """(doc_id, th, held_out, score) of each row of encode_texts()."""
     shared = encoded.sparkSession.sparkContext.broadcast((vocab, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, params = shared.value
+        scorer = A.Scorer(params)
         for b in batches:
-            rows = [A.windows(np.frombuffer(k, np.int32), BEGIN) for k in b.column(3).to_pylist()]
-            sums = np.concatenate([np.empty(0), *(A.log_probs(params, vocab, np.concatenate(part)) for part in in_blocks(rows))])
-            score = np.bincount(np.repeat(np.arange(len(rows)), [len(w) for w in rows]), sums, len(rows)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score, pa.float64())], names=["doc_id", "th", "held_out", "score"])
+            score = np.zeros(b.num_rows)
+            for text, rows in A.window_blocks(map(numbers, values(b.column(3))), BEGIN):
+                score += np.bincount(text, A.log_probs(scorer, vocab, rows), b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(score / math.log(10))], names=["doc_id", "th", "held_out", "score"])
 
-    return encoded.select("doc_id", "th", "held_out", "key").mapInArrow(run, "doc_id long, th long, held_out boolean, score double")
+    return encoded.select("doc_id", "th", "held_out", "ids").mapInArrow(run, "doc_id long, th long, held_out boolean, score double")
+
+
+def head_words(counts: DataFrame, head: int) -> pa.Table:
+    """The words of counts(key, n) from a number of occurrences on that at most head words reach."""
+    steps = counts.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.desc("step")).collect()
+    least, words = None, 0
+    for r in steps:
+        words += r.words
+        if words > head:
+            break
+        least = r.n
+    return counts.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
 
 
 def word_scores(docs: DataFrame, counts: DataFrame, ends: int, head: int) -> tuple[DataFrame, int]:
-    """(doc_id, th, n_tokens, n_known, base_score) of each row of docs, and the number of training tokens. counts(key, n) are the training words'; the head
-    of them is looked up where a text is read, the others are joined."""
+    """(doc_id, th, n_tokens, n_known, base_score) of each row of docs, and the number of training tokens. counts(key, n) are the training
+    words'."""
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + ends, distinct + (ends > 0)
     bottom = total + 0.1 * (distinct + 1)
-    shared = docs.sparkSession.sparkContext.broadcast({bytes(r.key): r.n for r in counts.orderBy(F.desc("n"), "key").limit(head).collect()})
+    shared = docs.sparkSession.sparkContext.broadcast(head_words(counts, head).combine_chunks())
+    one = pa.struct([("word", pa.string()), ("m", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (c, math.log10((c + 0.1) / bottom)) for w, c in shared.value.items()}
-        kinds = [*[pa.int64()] * 2, pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))]
+        known = shared.value.column("key").combine_chunks().cast(pa.string()) if shared.value.num_rows else pa.array([], pa.string())
+        gain = np.append(np.log10((shared.value.column("n").to_numpy() + 0.1) / bottom), 0)
         for b in batches:
-            out = []
-            for text in b.column(3).to_pylist():
-                words = Counter(words_of(text))
-                s, k, rest = math.log10((ends + 0.1) / bottom), int(ends > 0), []
-                for w, m in words.items():
-                    if c := known.get(w):
-                        s += m * c[1]
-                        k += m
-                    else:
-                        rest.append({"word": w, "m": m})
-                out.append((words.total() + 1, k, s, rest))
-            cols = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["row", "doc_id", "th", "n_tokens", "n_head", "s_head", "rest"])
-
-    picked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash(), F.col("text").cast("binary"))
-    read = materialize(picked.mapInArrow(run, "row long, doc_id long, th long, n_tokens long, n_head long, s_head double, rest array<struct<word:binary,m:long>>"), "read")
+            words, at = split_words(b.column(3))
+            coded = words.dictionary_encode()
+            place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            word = coded.indices.to_numpy()
+            text = np.repeat(np.arange(b.num_rows), np.diff(at))
+            hit = place[word] < len(known)
+            s = np.bincount(text, gain[place[word]], b.num_rows) + math.log10((ends + 0.1) / bottom)
+            n = np.bincount(text[hit], minlength=b.num_rows) + (ends > 0)
+            pairs, m = np.unique(text[~hit] * np.int64(len(coded.dictionary) + 1) + word[~hit], return_counts=True)
+            of, which = np.divmod(pairs, len(coded.dictionary) + 1)
+            rest = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(which)), pa.array(m, pa.int64())], fields=list(one))
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(b.num_rows + 1)), pa.int32()), rest)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(at) + 1, pa.int64()), pa.array(n, pa.int64()), pa.array(s, pa.float64()), lists], names=["row", "doc_id", "th", "n_tokens", "n_head", "s_head", "rest"])
+
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_hash(), "text")
+    read = materialize(picked.mapInArrow(run, "row long, doc_id long, th long, n_tokens long, n_head long, s_head double, rest array<struct<word:string,m:long>>"), "read")
     tail = read.select("row", F.explode("rest").alias("t")).select("row", F.col("t.word").alias("key"), F.col("t.m").alias("m"))
     c = F.coalesce("n", F.lit(0))
     tail = tail.join(counts, "key", "left").groupBy("row").agg(F.sum(F.when(c > 0, F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10((c + 0.1) / bottom)).alias("s_tail"))
@@ -165,25 +212,13 @@ def word_scores(docs: DataFrame, counts: DataFrame, ends: int, head: int) -> tup
     return both.select("doc_id", "th", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), (F.col("s_head") + F.coalesce("s_tail", F.lit(0.0))).alias("base_score")), total
 
 
-def score_texts(docs: DataFrame, tokenizer: str, one_in: int = 1, rounds: int = 2, shard_windows: int = 16_384, head: int = 100_000) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, rounds: int = 3, head: int = 300_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text)."""
-    gathered = gather(docs, tokenizer, one_in)
-    counts = materialize(gathered.where("kind = 'word'").groupBy("key").agg(F.sum("n").alias("n")), "words")
-    end = F.lit(END.to_bytes(4, "little"))
-    ends = gathered.where((F.col("kind") == "id") & (F.col("key") == end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    scores = model_scores(gathered.where("kind = 'doc'"), *fit(gathered, rounds, shard_windows)).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "m_id", "th": "m_th"})
+    encoded = encode_texts(docs, tokenizer, rounds)
+    train = docs.where(~is_held_out())
+    counts = materialize(word_counts(train), "words")
+    ends = train.count()
+    scores = model_scores(encoded, *fit(encoded, rounds)).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "m_id", "th": "m_th"})
     words, total = word_scores(docs, counts, ends, head)
     both = words.join(scores, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")))
     return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def in_blocks(rows: list[np.ndarray], most: int = 20_000) -> Iterator[list[np.ndarray]]:
-    """The window arrays in lists of about most windows."""
-    part: list[np.ndarray] = []
-    for w in rows:
-        part.append(w)
-        if sum(map(len, part)) >= most:
-            yield part
-            part = []
-    if part:
-        yield part

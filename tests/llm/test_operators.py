@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -62,6 +63,36 @@ def test_languages(spark, docs):
     assert all(r.lang_pred == ["de", "en"][r.doc_id % 2] for r in langid.identify_languages(held).collect())
 
 
+def brute_languages(rows, size):
+    """Profiles and out-of-place distances by their definitions."""
+
+    def grams(t):
+        x = " " + re.sub(" +", " ", "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower())) + " "
+        x = re.sub(" +", " ", x)
+        return Counter(x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1) if x[i : i + n] != " ") if x.strip() else Counter()
+
+    key = lambda g: [0] * (3 - len(g)) + [ord(c) for c in g]
+    ranked = lambda c: sorted(c, key=lambda g: (-c[g], key(g)))[:size]
+    by = {}
+    for i, t, lang, _ in rows:
+        if lang is not None and zlib.crc32(b"" if i is None else str(i).encode()) % 4 != 2:
+            by.setdefault(lang, Counter()).update(grams(t))
+    profiles = {lang: {g: r for r, g in enumerate(ranked(c))} for lang, c in by.items() if c}
+    out = []
+    for i, t, *_ in rows:
+        own = ranked(grams(t))
+        far = {lang: sum(abs(p[g] - r) if g in p else size for r, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(far, key=lambda lang: (far[lang], lang.encode())) if own and far else None
+        out.append((i, best or "und", round(1 - far[best] / (size * len(own)), 9) if best else 0.0))
+    return out
+
+
+@pytest.mark.parametrize("size", [20, 400])
+def test_languages_are_those_of_brute_force(docs, rows, size):
+    got = langid.identify_languages(docs, size).collect()
+    assert counted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == counted(brute_languages(rows, size))
+
+
 def test_top_grams_are_ordered_by_count_then_code():
     text = "abab ba"
     codes = Counter(langid.grams(text).tolist())
@@ -146,6 +177,13 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert left[0] == rows[0][1] and left[20] == "[SECRET]" + '"' and left[21] == "key [SECRET] in use"
 
 
+def test_redaction_carries_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 'a token = "zq81LLkx09ab7712"', "owner1"), (1, 'a token = "zq81LLkx09ab7712"', "owner1"), (None, None, None)], "doc_id long, text string, source string")
+    df = df.selectExpr("*", "1 as live", "2 as f_id", "3 as f_th", "4 as spans", "5 as th", "6 as __id")
+    out = secret_scan.redact(df, secret_scan.find_secrets(df))
+    assert out.columns == df.columns and counted(tuple(r) for r in out.collect()) == counted([(1, 'a [SECRET]"', "owner1", 1, 2, 3, 4, 5, 6)] * 2 + [(None, None, None, 1, 2, 3, 4, 5, 6)])
+
+
 def test_only_examples_are_left(spark):
     """One owner's secret in many documents, and what two owners share, are redacted."""
     rows = [(i, 'token = "zq81LLkx09ab7712"', "owner1") for i in range(7)] + [(10 + i, "key Zx81QLkx09Ab7712MnOp in use", f"owner{i}") for i in range(2)] + [(20 + i, 'token = "EXAMPLEexample1234"', f"owner{i}") for i in range(3)]
@@ -159,9 +197,10 @@ def test_only_examples_are_left(spark):
 # 4 ---------------------------------------------------------------------------------------------------------------------------
 
 
-def test_language_model_scores(docs, rows):
+@pytest.mark.parametrize("head", [0, 50, 300_000])
+def test_language_model_scores(docs, rows, head):
     path = tokenizer_path("word_bpe_49k.json")
-    got = lm.score_texts(docs, path, one_in=1, head=50).collect()
+    got = lm.score_texts(docs, path, head=head).collect()
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
     count = Counter()
     for i, t, *_ in rows:
@@ -178,29 +217,77 @@ def test_language_model_scores(docs, rows):
 
 
 def test_all_training_windows_reach_the_model(spark, monkeypatch):
-    kept, fit = [], lm.fit
-    monkeypatch.setattr(lm, "fit", lambda gathered, *a: kept.append(gathered.where("kind = 'window'").count()) or fit(gathered, *a))
+    """In the rounds together, each text once."""
+    seen, train = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda texts, *a: seen.extend(r.doc_id for r in texts.select("doc_id").collect()) or train(texts, *a))
     df = spark.createDataFrame([(i, f"text {i} of a few words") for i in range(30)], "doc_id long, text string")
-    held = sum(r.held_out for r in lm.score_texts(df, tokenizer_path("word_bpe_49k.json")).collect())
-    assert kept == [30 - held]
+    out = lm.score_texts(df, tokenizer_path("word_bpe_49k.json")).collect()
+    assert sorted(seen) == sorted(r.doc_id for r in out if not r.held_out) and len(out) == 30
+
+
+def brute_log_prob(p, vocab, ids):
+    """Token by token, from the model's description."""
+    A, total = attention, 0.0
+    seq = [len(vocab.klass) - 1] * (A.FIRST + 1) + list(ids)
+    softmax = lambda z: np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    p = {k: v.astype(float) for k, v in p.items()}
+    for i, target in enumerate(ids):
+        start = i // A.SCORED * A.SCORED
+        x = np.stack([p["E"][vocab.symbol[s]] + p["P"][j] for j, s in enumerate(seq[start : A.FIRST + 1 + i])])
+        weights = softmax((x @ p["Wk"]) @ (x[-1] @ p["Wq"]) / np.sqrt(A.DIM))
+        h = np.maximum(np.concatenate([x[-1], weights @ (x @ p["Wv"])]) @ p["W1"] + p["b1"], 0)
+        z = h @ p["W2"] + p["b2"]
+        total += (z - z.max())[vocab.klass[target]] - np.log(np.exp(z - z.max()).sum()) + vocab.within[target]
+    return total
+
+
+@pytest.mark.parametrize("scale", [1, 40])
+def test_attention_scores_are_those_of_brute_force(scale):
+    """Also where the logits are so large that plain exponentials would overflow."""
+    r = np.random.default_rng(0)
+    vocab = attention.vocabulary(r.integers(0, 50, 3000).astype(float))
+    p = {k: v * np.float32(scale) for k, v in attention.initial(vocab).items()}
+    for n in (1, 39, 40, 41, 130):
+        ids = r.integers(0, 2998, n).astype(np.int32)
+        got = attention.log_probs(attention.Scorer(p), vocab, attention.windows(ids, 2999)).sum()
+        assert np.isfinite(got) and abs(got - brute_log_prob(p, vocab, ids)) < 2e-3 * abs(got)
+
+
+def test_gradient_is_that_of_differences():
+    r = np.random.default_rng(2)
+    vocab = attention.vocabulary(r.integers(0, 50, 3000).astype(float))
+    p = attention.initial(vocab)
+    rows = attention.windows(r.integers(0, 2998, 3 * attention.SCORED).astype(np.int32), 2999)
+    symbols, klass = vocab.symbol[rows[:, :-1]], vocab.klass[rows[:, -attention.SCORED :]]
+    loss = lambda p: -attention.Scorer(p).class_log_probs(symbols, klass).astype(float).mean()
+    g = attention.gradient(p, symbols, klass, np.ones(klass.shape, np.float32))
+    for k, v in p.items():
+        way = r.standard_normal(v.shape).astype(np.float32)
+        e = np.float32(1e-2 / np.sqrt(v.size))
+        change = (loss(p | {k: v + e * way}) - loss(p | {k: v - e * way})) / (2 * float(e))
+        assert abs(change - float((g[k] * way).sum())) < 0.05 * np.abs(g[k]).sum() / np.sqrt(v.size) + 2e-4, k
 
 
 def test_attention_is_a_distribution_and_learns():
     r = np.random.default_rng(0)
     vocab = attention.vocabulary(r.integers(0, 50, 3000).astype(float))
     assert np.isclose(np.bincount(vocab.klass, np.exp(vocab.within), attention.CLASSES)[np.unique(vocab.klass)], 1).all()
-    ids = np.tile(np.array([5, 900, 17, 2500], np.int32), 400)
-    rows = attention.windows(ids, 2999)
+    rows = attention.windows(np.tile(np.array([5, 900, 17, 2500], np.int32), 400), 2999)
     p = attention.initial(vocab)
-    before, after = attention.log_probs(p, vocab, rows).sum(), attention.log_probs(attention.train(p, vocab, np.repeat(rows, 20, 0)), vocab, rows).sum()
+    trainer = attention.Trainer(p, vocab)
+    trainer.learn(np.repeat(rows, 20, 0))
+    before, after = (attention.log_probs(attention.Scorer(q), vocab, rows).sum() for q in (p, trainer.p))
     assert after > before + 500
 
 
 def test_windows_score_each_token_once():
-    for n in (1, 47, 48, 49, 200):
+    size = attention.SCORED
+    for n in (1, size - 1, size, size + 1, 200):
         w = attention.windows(np.arange(n, dtype=np.int32), 9999)
-        scored = w[:, -attention.SCORED :].ravel()
+        scored = w[:, -size:].ravel()
         assert scored[scored >= 0].tolist() == list(range(n))
+    blocks = list(attention.window_blocks([np.arange(5 * size, dtype=np.int32), np.arange(3, dtype=np.int32)], 9999, 2))
+    assert [t.tolist() for t, _ in blocks] == [[0, 0], [0, 0], [0, 1]]
 
 
 # 5 ---------------------------------------------------------------------------------------------------------------------------
@@ -274,6 +361,14 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.encode_turns(df.limit(0), vocabulary), vocabulary).count() == 0
 
 
+def test_chat_takes_long_white_space_and_clashing_columns(spark):
+    turns = [(1, 0, "user", " " * 2_000_000 + "a" + "\n" * 1_200_000), (1, 1, "assistant", "\t \n" * 500_000 + "b")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as ids", "2 as loss_mask", "3 as head", "4 as nth")
+    vocabulary = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    got = chat.read_back(chat.encode_turns(df, vocabulary), vocabulary).first()
+    assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest() and got.loss_chars == 1_500_001
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------------------
 
 
@@ -300,6 +395,22 @@ def test_packing(docs, rows):
     assert len(made) == len(by) and all(len(r.ids) == 64 or len(r.ids) & (len(r.ids) - 1) == 0 for r in made)
 
 
+def test_ids_are_those_of_the_library():
+    """All code points but the bulk of the CJK blocks, in four settings, and random mixtures."""
+    import random
+
+    from factloom.llm.tokens import WordEncoder
+
+    r, encoder = random.Random(3), WordEncoder(tokenizer_path("word_bpe_49k.json"))
+    points = [chr(c) for c in range(0x20000) if not (0x3400 <= c < 0x9FFF or 0xAC00 <= c < 0xE000 or 0x17000 <= c < 0x18D00)]
+    texts = [f"a{c}B {c} x{c}{c}9 {c}'s" for c in points]
+    for alphabet in ([chr(c) for c in range(0x190)], [*(chr(c) for c in range(256)), *["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "Σ", "e\u0301", "\u0301", "İ", "“", "’", "\u2028"] * 3]):
+        texts += ["".join(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(5000)]
+    texts += ["", None, " \n", "x" * 5000]
+    want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [i.tolist() for i in encoder.many(texts)] == want == [i.tolist() for i in encoder.many(texts, 1000)]
+
+
 def test_limits_hold_in_each_dimension():
     demand = np.array([[10, 1, 9], [50, 1, 1], [40, 1, 30], [60, 1, 2]] * 5)
     for b in packing.dot_product_bins(demand, np.array([100, 3, 40])):
