@@ -48,8 +48,8 @@ FROM c GROUP BY conv_id
 
 def quality_rules() -> str:
     """The measures, the log-bucket sketches by (lang, source), lang and all, the bounds read off them, and the verdicts."""
-    rates = {"word_len": "word_chars / n_words", "symbol_rate": "n_symbols / n_words", "dup_line_rate": "n_dup_lines / n_lines", "repeat_rate": "n_repeat_words / n_words", "punct_rate": "n_punct / word_chars", "capital_rate": "n_capitals / word_chars", "echo_rate": "n_echoes / n_words"}
-    margins = {"word_len": 2.0, "symbol_rate": 0.15, "dup_line_rate": 0.5, "repeat_rate": 0.2, "punct_rate": 0.1, "capital_rate": 0.15, "echo_rate": 0.2}
+    rates = {"word_len": "word_chars / n_words", "symbol_rate": "n_symbols / n_words", "dup_line_rate": "n_dup_lines / n_lines", "punct_rate": "n_punct / word_chars", "capital_rate": "n_capitals / word_chars", "echo_rate": "n_echoes / n_words"}
+    unspread = {"word_len": 0.5, "symbol_rate": 0.1, "dup_line_rate": 0.34, "punct_rate": 0.02, "capital_rate": 0.02, "echo_rate": 0.05}
     punct = "[!-/:-@\\[-`{-~]"
     only = lambda p: f"len(regexp_extract_all(packed, '{p}'))"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {m} AS v FROM x WHERE NOT base_failed" for m in rates)
@@ -61,8 +61,8 @@ def quality_rules() -> str:
   SELECT {keys}m, CASE WHEN b = -1073741824 THEN 0.0 ELSE 2 * pow(1.01 / 0.99, b) / (1.01 / 0.99 + 1) END AS v, sum(n) OVER (PARTITION BY {keys}m ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}m) AS size
   FROM (SELECT {keys}m, b, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY {keys}m)"""
 
-    pick = lambda c: f"CASE WHEN f.size >= 200 THEN f.{c} WHEN l.size >= 200 THEN l.{c} ELSE a.{c} END"
-    margin = "CASE f.m " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in margins.items()) + " END"
+    pick = lambda c: f"(f.size * f.{c} + 200.0::DOUBLE * ((l.size * l.{c} + 200.0::DOUBLE * a.{c}) / (l.size + 200.0::DOUBLE))) / (f.size + 200.0::DOUBLE)"
+    none = "CASE f.m " + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in unspread.items()) + " END"
     out = " + ".join(f"(x.{m} > (SELECT hi FROM bounds b WHERE b.m = '{m}' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT" for m in rates)
     low = "(x.word_len < (SELECT lo FROM bounds b WHERE b.m = 'word_len' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT"
     return f"""
@@ -75,8 +75,8 @@ c AS (SELECT p.doc_id, lang, source, len(w) AS n_words, length(packed) AS word_c
 x AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CASE WHEN {e.split('/')[1].strip()} > 0 THEN {e.replace('/', '::DOUBLE /')} ELSE 0.0 END AS {m}" for m, e in rates.items())} FROM c),
 s AS (SELECT lang, source, m, CASE WHEN v <= 1e-9 THEN -1073741824 ELSE ceil(ln(v) / ln(1.01 / 0.99))::INT END AS b, count(*) AS n FROM ({long}) GROUP BY ALL),
 {level("fine", "lang, source")}, {level("bylang", "lang")}, {level("top", "")},
-bounds AS (SELECT lang, source, m, q2 - greatest(6 * (q2 - q1), margin) AS lo, q2 + greatest(6 * (q3 - q2), margin) AS hi FROM (
-  SELECT f.lang, f.source, f.m, {pick("q1")} AS q1, {pick("q2")} AS q2, {pick("q3")} AS q3, {margin} AS margin
+bounds AS (SELECT lang, source, m, q2 - CASE WHEN q2 - q1 > 1e-6 THEN 14.0::DOUBLE * (q2 - q1) ELSE unspread END AS lo, q2 + CASE WHEN q3 - q2 > 1e-6 THEN 14.0::DOUBLE * (q3 - q2) ELSE unspread END AS hi FROM (
+  SELECT f.lang, f.source, f.m, {pick("q1")} AS q1, {pick("q2")} AS q2, {pick("q3")} AS q3, {none} AS unspread
   FROM fine f JOIN bylang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.m = l.m JOIN top a ON f.m = a.m)),
 v AS (SELECT *, coalesce({out} + {low}, 0) AS n_outlying FROM x)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_lines::BIGINT AS n_lines,

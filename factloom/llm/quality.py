@@ -5,7 +5,7 @@ quantile sketches (logarithmic buckets with a relative error bound: a sketch is
 adding), thresholds are read off the merged sketches, and documents are filtered by a join with them.
 
 Defined cases: null or empty text has no words, so base_failed; null language or source is a group of its own;
-groups below ``min_group`` rows use their language's sketch, then the whole corpus's; repeated rows are judged
+small groups' quantiles lean on their language's and those on the whole corpus's, by weight; repeated rows are judged
 one by one alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,17 +23,18 @@ from pyspark.sql import functions as F
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 CAPITALS = bytes(range(65, 91))
-#: measure -> which sides are bounded, the least distance of a bound from the median (a margin below which
-#: spread is not treated as a fault).
+#: measure -> which sides are bounded, and the distance of a bound from the median where a group's outer quartile is its median (a
+#: sketch without spread says nothing of what is usual beyond it).
 RULES = {
-    "word_len": ("both", 2.0),
-    "symbol_rate": ("high", 0.15),
-    "dup_line_rate": ("high", 0.5),
-    "repeat_rate": ("high", 0.2),
-    "punct_rate": ("high", 0.1),
-    "capital_rate": ("high", 0.15),
-    "echo_rate": ("high", 0.2),
+    "word_len": ("both", 0.5),
+    "symbol_rate": ("high", 0.1),
+    "dup_line_rate": ("high", 0.34),
+    "punct_rate": ("high", 0.02),
+    "capital_rate": ("high", 0.02),
+    "echo_rate": ("high", 0.05),
 }
+#: Quartile distances below this are none.
+NO_SPREAD = 1e-6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punct", "n_capitals", "n_echoes")
 
 
@@ -100,7 +101,6 @@ def with_rates(measures: DataFrame) -> DataFrame:
         "word_len": per("word_chars", "n_words"),
         "symbol_rate": per("n_symbols", "n_words"),
         "dup_line_rate": per("n_dup_lines", "n_lines"),
-        "repeat_rate": per("n_repeat_words", "n_words"),
         "punct_rate": per("n_punct", "word_chars"),
         "capital_rate": per("n_capitals", "word_chars"),
         "echo_rate": per("n_echoes", "n_words"),
@@ -134,9 +134,9 @@ def sketch_quantiles(sketches: DataFrame, by: list[str], quantiles: dict[str, fl
     )
 
 
-def adaptive_bounds(sketches: DataFrame, spread: float, min_group: int, error: float = 0.01) -> DataFrame:
-    """One row per (lang, source): low_<m>, high_<m> = median -+ max(spread * interquartile distance, margin), from the
-    finest level of (lang, source), (lang), () with min_group rows."""
+def adaptive_bounds(sketches: DataFrame, spread: float, prior: float, error: float = 0.01) -> DataFrame:
+    """One row per (lang, source): low_<m>, high_<m> = median -+ spread * distance of the outer quartile. A level's quartiles are means of its
+    own, weighted by its rows, and of the level above, weighted as prior rows: (lang, source), (lang), all."""
     q = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     fine = sketch_quantiles(sketches, ["lang", "source"], q, error)
     lang = sketch_quantiles(merge_sketches(sketches, ["lang"]), ["lang"], q, error)
@@ -146,18 +146,20 @@ def adaptive_bounds(sketches: DataFrame, spread: float, min_group: int, error: f
         .join(lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")) & (F.col("f.measure") == F.col("l.measure")))
         .join(top.alias("t"), F.col("f.measure") == F.col("t.measure"))
     )
-    level = lambda c: F.when(F.col("f.size") >= min_group, F.col(f"f.{c}")).when(F.col("l.size") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"t.{c}"))
-    per = joined.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.measure").alias("measure"), level("q1").alias("q1"), level("q2").alias("q2"), level("q3").alias("q3"))
+    mean = lambda size, own, above: (size * own + prior * above) / (size + prior)
+    level = lambda c: mean(F.col("f.size"), F.col(f"f.{c}"), mean(F.col("l.size"), F.col(f"l.{c}"), F.col(f"t.{c}"))).alias(c)
+    per = joined.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.measure").alias("measure"), level("q1"), level("q2"), level("q3"))
+    away = lambda d, none: F.when(d > NO_SPREAD, spread * d).otherwise(F.lit(none))
     out = []
-    for m, (sides, margin) in RULES.items():
+    for m, (sides, none) in RULES.items():
         mine = F.col("measure") == m
         if sides == "both":
-            out.append(F.max(F.when(mine, F.col("q2") - F.greatest(spread * (F.col("q2") - F.col("q1")), F.lit(margin)))).alias(f"low_{m}"))
-        out.append(F.max(F.when(mine, F.col("q2") + F.greatest(spread * (F.col("q3") - F.col("q2")), F.lit(margin)))).alias(f"high_{m}"))
+            out.append(F.max(F.when(mine, F.col("q2") - away(F.col("q2") - F.col("q1"), none))).alias(f"low_{m}"))
+        out.append(F.max(F.when(mine, F.col("q2") + away(F.col("q3") - F.col("q2"), none))).alias(f"high_{m}"))
     return per.groupBy("lang", "source").agg(*out)
 
 
-def quality_verdicts(docs: DataFrame, spread: float = 6.0, min_group: int = 200, error: float = 0.01) -> DataFrame:
+def quality_verdicts(docs: DataFrame, spread: float = 14.0, prior: float = 200.0, error: float = 0.01) -> DataFrame:
     """doc_id, the counts, base_failed, n_outlying (rules broken) and kept for each row of docs(doc_id, text, lang, source)."""
     from .common import materialize
 
@@ -165,7 +167,7 @@ def quality_verdicts(docs: DataFrame, spread: float = 6.0, min_group: int = 200,
     rated = rated.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     # the sketches describe the texts that the base rules let through
     sketches = quantile_sketches(rated.where(~F.col("base_failed")), ["lang", "source"], RULES, error)
-    bounds = adaptive_bounds(sketches, spread, min_group, error).withColumnsRenamed({"lang": "b_lang", "source": "b_source"})
+    bounds = adaptive_bounds(sketches, spread, prior, error).withColumnsRenamed({"lang": "b_lang", "source": "b_source"})
     judged = rated.join(bounds, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     broken = sum(
         F.when(F.col(m) > F.col(f"high_{m}"), 1).otherwise(0) + (F.when(F.col(m) < F.col(f"low_{m}"), 1).otherwise(0) if sides == "both" else F.lit(0))

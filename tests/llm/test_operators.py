@@ -32,7 +32,7 @@ def brute_measures(text):
 
 
 def test_quality_measures_and_verdicts(docs, rows):
-    got = quality.quality_verdicts(docs, min_group=5).collect()
+    got = quality.quality_verdicts(docs, prior=5).collect()
     want = [(i, *brute_measures(t)) for i, t, _, _ in rows]
     assert counted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == counted(want)
     for r in got:
@@ -51,6 +51,20 @@ def test_sketch_quantiles_are_within_the_error_and_merge(spark):
     assert got.size == len(values)
 
 
+def test_bounds_follow_the_spread_of_each_group(spark):
+    """What is usual in one source is an outlier in another; a group of one leans on its language."""
+    word = lambda n: "abcdefghijklmnop"[:n]
+    rows = [(i, " ".join([word(4 + (i % 3 == 0))] * 1 + [word(4 + (j + i) % 2) + str(j) for j in range(20)]), "en", "narrow") for i in range(400)]
+    rows += [(1000 + i, " ".join(word(2 + (i * 7) % 12) + str(j) for j in range(20)), "en", "wide") for i in range(400)]
+    rows += [(5000, " ".join(word(12) + str(j) for j in range(20)), "en", "narrow"), (5001, " ".join(word(12) + str(j) for j in range(20)), "en", "wide"), (5002, " ".join(word(5) + str(j) for j in range(20)), "en", "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(df, spread=6.0, prior=20).collect()}
+    assert not kept[5000] and kept[5001] and kept[5002]
+    rated = quality.with_rates(quality.text_measures(df))
+    bounds = {r.source: r for r in quality.adaptive_bounds(quality.quantile_sketches(rated, ["lang", "source"], quality.RULES), 6.0, 20).collect()}
+    assert bounds["narrow"].high_word_len < bounds["wide"].high_word_len and bounds["narrow"].low_word_len > bounds["wide"].low_word_len
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------------
 
 
