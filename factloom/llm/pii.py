@@ -59,6 +59,8 @@ PART = rf"[{SPACE}]*+(?:{MASK}++|[{ID}]++|[^{SPACE}{ID}{MASK}]++)"
 #: Parts of an instance at most ("name [at] host [dot] com" has nine).
 MOST = 9
 BLANKS = " \t\n\x0b\f\r"
+#: Bytes of the table of hashes that rules out places without a pattern.
+SLOTS = 1 << 18
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -90,19 +92,43 @@ def seed_edges(base: DataFrame) -> DataFrame:
     return s.select("value", "kind", F.explode(F.array(*pairs)).alias("p")).select("value", "kind", "p.*")
 
 
+def slot(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(SLOTS)).cast("int")
+
+
+def slots_taken(patterns: DataFrame) -> Column:
+    """A constant of SLOTS bytes: 1 where an opening of patterns, or its first word behind LR, falls."""
+    left = F.regexp_extract("opening", "^(LR [^ ]*) ", 1)
+    taken = patterns.select(F.explode(F.array(slot(F.col("opening")), slot(F.when(left != "", left).otherwise(F.col("opening"))))).alias("at")).distinct()
+    bits = bytearray(SLOTS)
+    for r in taken.collect():  # SLOTS numbers at most, however many patterns there are
+        bits[r.at] = 1
+    return F.lit(bits)
+
+
 def instances(base: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(doc_id, th, at, parts, value, pattern): what stands in a place of patterns(pattern, opening) and is no base match; at counts parts."""
+    """(doc_id, th, at, parts, value, pattern): what stands in a place of patterns(pattern, opening) and is no base match; at counts parts.
+    Places whose opening no pattern can have are left out where the text is read, by a fixed-size table of hashes; the join settles the rest."""
+    bits = slots_taken(patterns)
+    may = lambda *p: F.substring(bits, slot(*p) + 1, F.lit(1)) == F.lit(bytearray(b"\1"))
     words = base.select("doc_id", "th", words_in(masked()).alias("w"))
     word = lambda i, none: F.coalesce(F.get(F.col("w"), i), F.lit(none))
-    place = lambda x, i: F.struct(i.alias("at"), word(i - 2, "^").alias("l2"), word(i - 1, "^").alias("l1"), F.slice("w", i + 1, F.lit(MOST + 1)).alias("rest"))
-    places = words.select("doc_id", "th", F.inline(F.transform("w", place))).where(F.col("rest")[0] != MASK)
     digit = lambda t: t.rlike("[0-9]")
-    run = F.array_position(F.transform("rest", digit), F.lit(False)) - 1
-    places = places.withColumn("run", F.when(digit(F.col("rest")[0]), F.least(F.when(run < 0, F.size("rest")).otherwise(run), F.lit(MOST))).otherwise(1).cast("int"))
-    follows = lambda n: F.coalesce(F.get(F.col("rest"), n), F.lit("$"))
-    openings = F.array(F.concat_ws(" ", F.lit("L"), "l2", "l1"), F.concat_ws(" ", F.lit("LR"), "l1", F.lit("_"), follows(F.col("run"))))
-    places = places.select("doc_id", "th", "at", "rest", "run", F.explode(openings).alias("opening"))
+
+    def run_at(i: Column) -> Column:
+        """Parts of the run that begins at i."""
+        rest = F.slice(F.col("w"), i + 1, F.lit(MOST))
+        stop = F.array_position(F.transform(rest, digit), F.lit(False)) - 1
+        return F.when(digit(F.col("w")[i]), F.when(stop < 0, F.size(rest)).otherwise(stop)).otherwise(1).cast("int")
+
+    left = lambda i: F.concat_ws(" ", F.lit("L"), word(i - 2, "^"), word(i - 1, "^"))
+    both = lambda i: F.concat_ws(" ", F.lit("LR"), word(i - 1, "^"), F.lit("_"), word(i + run_at(i), "$"))
+    fits = lambda i: (F.col("w")[i] != MASK) & (may(left(i)) | (may(F.concat_ws(" ", F.lit("LR"), word(i - 1, "^"))) & may(both(i))))
+    at = F.filter(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)), fits)
+    place = lambda i: F.struct(i.alias("at"), run_at(i).alias("run"), F.slice("w", i + 1, F.lit(MOST + 1)).alias("rest"), F.array(left(i), both(i)).alias("openings"))
+    places = words.select("doc_id", "th", F.inline(F.transform(at, place))).select("doc_id", "th", "at", "rest", "run", F.explode("openings").alias("opening"))
     near = places.join(patterns.select("opening").distinct(), "opening", "left_semi")
+    follows = lambda n: F.coalesce(F.get(F.col("rest"), n), F.lit("$"))
     one = F.struct(F.col("opening").alias("pattern"), F.col("run").alias("parts"))
     masks = F.array_position("rest", MASK).cast("int")
     upto = F.least(F.size("rest"), F.lit(MOST), F.when(masks > 0, masks - 1).otherwise(MOST))
@@ -162,4 +188,4 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min
 def personal_data_digest(found: DataFrame) -> DataFrame:
     counts = [count_kind(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
     every = F.concat("base", "found")
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("found").cast("long").alias("n_found"))
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(every).alias("spans"), F.size("found").cast("long").alias("n_found"), F.size(every).cast("long").alias("n_spans"))
