@@ -13,6 +13,8 @@ import pytest
 from factloom.llm import attention, chat, decontam, langid, lm, neardup, packing, pii, quality, secret_scan, substrings, suffix
 from factloom.llm.queries import tokenizer_path
 
+from .conftest import PARAGRAPH
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 
@@ -443,13 +445,13 @@ def test_each_of_the_three_limits_binds():
 # 9 ---------------------------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_decontamination(spark, docs, rows, block_bytes):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_decontamination(spark, docs, rows, broadcast_rows):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     clean = [t for _, t, *_ in rows if t]
-    items = [("a", " ".join(clean[0].split()[2:14])), ("b", "lazy DOG, while seven"), ("c", None), ("d", ""), ("e", "nothing like this is anywhere in here at all but me"), ("b", "lazy DOG, while seven"), (None, "émigré"), ("f", clean[1])]
+    items = [("a", " ".join(clean[0].split()[2:14])), ("b", "lazy DOG, while seven"), ("c", None), ("d", ""), ("e", "nothing like this is anywhere in here at all but me"), ("b", "lazy DOG, while seven"), (None, "émigré"), ("f", clean[1]), ("g", "two words"), ("h", PARAGRAPH)]
     df = spark.createDataFrame(items, "item_id string, text string")
-    got = decontam.decontaminate(docs, df, ("doc_id",), block_bytes=block_bytes).collect()
+    got = decontam.decontaminate(docs, df, broadcast_rows=broadcast_rows).collect()
     want = []
     for i, t, *_ in rows:
         w, hit, found = word.findall(lower(t)), set(), set()
