@@ -39,9 +39,17 @@ def rule_facts(rules: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]
     return facts, both.where(root.isNotNull()).select("rule_id", root.alias("set_root"), F.col("value_set_name").alias("set_name"))
 
 
-def decision_facts(decisions: DataFrame, branches: DataFrame) -> DataFrame:
-    """(decision_id, branches): decisions(decision_id) with at least one of branches(decision_id, branch_idx, test); the others go."""
-    return decisions.select("decision_id").distinct().join(branches.groupBy("decision_id").agg(F.count("*").alias("branches")), "decision_id")
+def decision_facts(decisions: DataFrame, branches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, relations) of decisions(decision_id, root_name, rel_path, start_line, end_line, subject, truncated) and their branches(decision_id, branch_idx, branch_line, test,
+    outcome) (B3): a decision without branches goes; every branch is a condition of its own, named under its decision, guarded where it leaves, and the relation
+    decision-branch joins both with the outcome as role."""
+    both = decisions.join(branches, "decision_id")
+    of = fact_id("behavioral", "decision", "root_name", "rel_path", "start_line", "end_line", "subject")
+    branch = fact_id("behavioral", "condition", "root_name", "rel_path", "start_line", "end_line", "branch_idx", "branch_line", "test")
+    leaves = F.when(F.col("outcome") == "leaves", "guarded").otherwise("conditional")
+    made = both.select(of.alias("from_id"), branch.alias("to_id"), "outcome", leaves.alias("activation")).distinct()
+    facts = made.select(F.col("from_id").alias("fact_id"), F.lit("decision").alias("kind"), F.lit("conditional").alias("activation")).distinct().unionByName(made.select(F.col("to_id").alias("fact_id"), F.lit("condition").alias("kind"), "activation"))
+    return facts, made.select("from_id", "to_id", F.lit("decision-branch").alias("relation"), F.col("outcome").alias("role"))
 
 
 def promote_guards(guards: DataFrame) -> DataFrame:

@@ -79,31 +79,38 @@ def feature_findings(endpoints: DataFrame) -> DataFrame:
 
 
 def logic_findings(rules: DataFrame, discarded: DataFrame) -> DataFrame:
-    """(code, subject, n): a rule applied in two ways, one rule in three places or more, and failures that nobody observes by root."""
+    """(code, subject, n, severity): a rule applied in two ways; by root, bare numbers (of n) where others are named; one rule in three places or more; failures
+    that nobody observes by root. rules(rule_id, root_name, subject, operator, literal, named boolean), discarded(root_name)."""
     two = find_divergence(rules).groupBy("subject_key", "literal").agg(F.count("*").alias("n"))
-    many = repeated_rules(rules)
+    bare = rules.groupBy("root_name").agg(F.count_if(~F.col("named")).alias("n"), F.count_if("named").alias("others")).where("n > 0 and others > 0")
+    row = lambda df, code, subject, n, severity: df.select(F.lit(code).alias("code"), subject.alias("subject"), F.col(n).alias("n"), F.lit(severity).alias("severity"))
     return (
-        two.select(F.lit("rule-applied-two-ways").alias("code"), F.concat_ws(" ", "subject_key", "literal").alias("subject"), "n")
-        .unionByName(many.select(F.lit("repeated-rule").alias("code"), F.concat_ws(" ", "subject_key", "operator", "literal").alias("subject"), F.col("places").alias("n")))
-        .unionByName(discarded.groupBy("root_name").agg(F.count("*").alias("n")).select(F.lit("unobserved-failures").alias("code"), F.col("root_name").alias("subject"), "n"))
+        row(two, "rule-applied-two-ways", F.concat_ws(" ", "subject_key", "literal"), "n", "concern")
+        .unionByName(row(bare, "values-with-no-declared-meaning", F.col("root_name"), "n", "notice"))
+        .unionByName(row(repeated_rules(rules), "rules-restated-in-many-places", F.concat_ws(" ", "subject_key", "operator", "literal"), "places", "notice"))
+        .unionByName(row(discarded.groupBy("root_name").agg(F.count("*").alias("n")), "failures-nobody-can-observe", F.col("root_name"), "n", "notice"))
     )
 
 
 def _graded(share: Column, concern: int, notice: int) -> Column:
-    return F.when(share >= concern, "concern").when(share >= notice, "notice").otherwise("info")
+    return F.when(share > concern, "concern").when(share > notice, "notice").otherwise("info")
 
 
 def health_signals(measures: DataFrame) -> DataFrame:
-    """(signal, measured, severity) from one row of measures(routes, routes_without_auth, calls, unlinked, cycles, rules, unexplained, tests, functions)."""
-    m = lambda part, whole: percent(F.col(part), F.col(whole))
-    signal = lambda name, measured, severity: F.struct(F.lit(name).alias("signal"), measured.alias("measured"), severity.alias("severity"))
-    bare, unlinked, odd, tested = m("routes_without_auth", "routes"), m("unlinked", "calls"), m("unexplained", "rules"), m("tests", "functions")
+    """(signal, measured, severity), seven rows from one row of measures(considered, unlinked, cycles, traces, partial, untraced, linking boolean, files, behavioural, spanning,
+    direct): shares of outbound calls, traces, entries and files in percent, the others counted. Where no provider could have linked entries to code (linking
+    is false), untraced ones say nothing of the project."""
+    signal = lambda name, measured, severity: F.struct(F.lit(name).alias("signal"), measured.cast("long").alias("measured"), severity.alias("severity"))
+    unlinked, partial = percent(F.col("unlinked"), F.col("considered")), percent(F.col("partial"), F.col("traces"))
+    untraced, explained = percent(F.col("untraced"), F.col("traces") + F.col("untraced")), percent(F.col("behavioural"), F.col("files"))
     rows = F.array(
-        signal("routes-without-auth", bare, _graded(bare, 50, 20)),
-        signal("root-cycles", F.col("cycles").cast("long"), F.when(F.col("cycles") > 0, "concern").otherwise("info")),
-        signal("unlinked-calls", unlinked, _graded(unlinked, 60, 30)),
-        signal("unexplained-rules", odd, _graded(odd, 50, 20)),
-        signal("tested-functions", tested, F.when(tested < 20, "notice").otherwise("info")),
+        signal("unresolved-integrations", unlinked, _graded(unlinked, 50, 20)),
+        signal("root-cycles", F.col("cycles"), F.when(F.col("cycles") > 0, "concern").otherwise("info")),
+        signal("partial-traces", partial, _graded(partial, 60, 30)),
+        signal("untraced-entry-points", untraced, F.when(~F.col("linking"), "info").otherwise(_graded(untraced, 50, 20))),
+        signal("behavioural-coverage", explained, F.when(explained < 20, "notice").otherwise("info")),
+        signal("modules-spanning-roots", F.col("spanning"), F.when(F.col("spanning") > 0, "notice").otherwise("info")),
+        signal("declared-dependencies", F.col("direct"), F.lit("info")),
     )
     return measures.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -1,7 +1,11 @@
-"""Bounded traversals and cycle checks as loops of joins (G1 to G4, G7 to G9). Each level is written out (plans stay short)."""
+"""Bounded traversals and cycle checks as loops of joins (G1 to G4, G7 to G9). Each level is written out once (plans stay short) and
+read again with those before it."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,54 +16,89 @@ _own_dir: str | None = None
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the folder of spark.checkpoint.dir (a temporary one where none is set) and read back."""
+    """df written as Parquet into the folder of spark.checkpoint.dir and read back. Where a session of one machine names none, a temporary
+    folder that ends with the process; on a cluster that is an error."""
     global _own_dir
-    folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-factloom-")
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if _own_dir is None:
+            _own_dir = tempfile.mkdtemp(prefix="spark-factloom-")
+            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+        folder = f"file://{_own_dir}"
     path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
 def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 12, max_steps: int = 200, max_branches: int = 16) -> DataFrame:
-    """(entry_id, steps array of struct(pos, node, depth), truncation) of a breadth-first walk from each entry(entry_id, node).
+    """(entry_id, steps array of struct(pos, node, depth), truncation, detail, partial) of a breadth-first walk from each entry(entry_id, node).
 
     Level by level: order is (position of the parent, edge_ord), a node is taken once per entry, and one row per (entry, node) crosses
     each join. A node at max_depth or with over max_branches edges is a step but not expanded; past max_steps the walk stops. An edge back to an ancestor is
     a cycle, a null callee unresolved-edge; a callee that is no symbol is skipped. The last max- event decides the truncation, else
-    the first cycle or unresolved edge, else completed. edges(caller_id, callee_id, edge_ord), symbols(id)."""
+    the first cycle or unresolved edge, else completed; detail names the node where that happened, partial is every truncation but completed.
+    edges(caller_id, callee_id, edge_ord), symbols(id)."""
     known = symbols.select(F.col("id").alias("callee_id")).distinct().withColumn("known", F.lit(True))
-    degree = edges.groupBy("caller_id").agg(F.count("*").alias("degree"))
+    edges = cut(edges.select("caller_id", "callee_id", "edge_ord").join(known, "callee_id", "left"))
+    degree = cut(edges.groupBy(F.col("caller_id").alias("node")).agg(F.count("*").alias("degree")))
     level = cut(entries.select("entry_id", "node", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.array("node").alias("path")))
-    steps, events, totals = level.select("entry_id", "node", "pos", "depth"), None, level.groupBy("entry_id").agg(F.count("*").alias("total"))
-    event = "entry_id string, rank int, pos long, edge_ord long, what string"
+    levels, events = [level], []
     for depth in range(max_depth + 1):
-        here = level.join(degree.withColumnRenamed("caller_id", "node"), "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        here = level.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         bound = F.when(F.col("pos") >= max_steps - 1, "max-steps").when(F.lit(depth == max_depth), "max-depth").when(F.col("degree") > max_branches, "max-branches")
         here = cut(here.withColumn("bound", bound))
-        stop = here.where("bound is not null").select("entry_id", F.lit(0).alias("rank"), "pos", F.lit(0).cast("long").alias("edge_ord"), F.col("bound").alias("what"))
-        events = stop if events is None else events.unionByName(stop)
+        events.append(here.where((F.col("pos") < max_steps) & F.col("bound").isNotNull()).select("entry_id", F.lit(0).alias("rank"), "pos", F.lit(0).cast("long").alias("edge_ord"), F.col("bound").alias("what"), F.col("node").alias("where")))
+        if depth == max_depth:
+            break
         ended = here.where("bound = 'max-steps'").select("entry_id")
         out = here.where("bound is null").join(ended, "entry_id", "left_anti").withColumnRenamed("node", "caller_id").join(edges, "caller_id")
-        out = out.join(known, "callee_id", "left").join(steps.select("entry_id", F.col("node").alias("callee_id"), F.lit(True).alias("seen")), ["entry_id", "callee_id"], "left")
-        new = F.col("known") & F.col("seen").isNull()
+        visited = union([t.select("entry_id", F.col("node").alias("callee_id"), F.lit(True).alias("seen")) for t in levels])
+        out = out.join(visited, ["entry_id", "callee_id"], "left")
         first = F.row_number().over(Window.partitionBy("entry_id", "callee_id").orderBy("pos", "edge_ord"))
-        out = cut(out.withColumn("nth", F.when(new, first)).select("entry_id", "callee_id", "pos", "edge_ord", "path", "known", "nth"))
+        out = cut(out.withColumn("nth", F.when(F.col("known") & F.col("seen").isNull(), first)).select("entry_id", "caller_id", "callee_id", "pos", "edge_ord", "path", "known", "nth"))
         what = F.when(F.col("callee_id").isNull(), "unresolved-edge").when(F.col("known") & (F.col("nth").isNull() | (F.col("nth") > 1)) & F.array_contains("path", F.col("callee_id")), "cycle")
-        events = events.unionByName(out.withColumn("what", what).where("what is not null").select("entry_id", F.lit(1).alias("rank"), "pos", "edge_ord", "what"))
-        taken = out.where("nth = 1").join(totals, "entry_id")
+        events.append(out.withColumn("what", what).where("what is not null").select("entry_id", F.lit(1).alias("rank"), "pos", "edge_ord", "what", F.col("caller_id").alias("where")))
+        total = level.groupBy("entry_id").agg((F.max("pos") + 1).alias("total"))  # positions have no gaps
         place = F.row_number().over(Window.partitionBy("entry_id").orderBy("pos", "edge_ord")) - 1 + F.col("total")
-        level = cut(taken.withColumn("new_pos", place.cast("long")).select("entry_id", F.col("callee_id").alias("node"), F.col("new_pos").alias("pos"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("callee_id")).alias("path")))
+        taken = out.where("nth = 1").join(total, "entry_id")
+        level = cut(taken.select("entry_id", F.col("callee_id").alias("node"), place.cast("long").alias("pos"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("callee_id")).alias("path")))
         if level.isEmpty():
             break
-        steps = cut(steps.unionByName(level.select("entry_id", "node", "pos", "depth")))
-        totals = steps.groupBy("entry_id").agg(F.count("*").alias("total"))
-    hard = F.max(F.when(F.col("rank") == 0, F.struct("pos", "what")))["what"]
-    soft = F.min(F.when(F.col("rank") == 1, F.struct("pos", "edge_ord", "what")))["what"]
-    verdict = events.groupBy("entry_id").agg(F.coalesce(hard, soft).alias("truncation"))
+        levels.append(level)
+    hard = F.max(F.when(F.col("rank") == 0, F.struct("pos", "what", "where")))
+    soft = F.min(F.when(F.col("rank") == 1, F.struct("pos", "edge_ord", "what", "where")))
+    verdict = union(events).groupBy("entry_id").agg(hard.alias("h"), soft.alias("s")).select("entry_id", F.coalesce("h.what", "s.what").alias("truncation"), F.coalesce("h.where", "s.where").alias("detail"))
+    steps = union([t.select("entry_id", "node", "pos", "depth") for t in levels])
     made = steps.where(F.col("pos") < max_steps).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "depth"))).alias("steps"))
-    return made.join(verdict, "entry_id", "left").select("entry_id", "steps", F.coalesce("truncation", F.lit("completed")).alias("truncation"))
+    ended = F.coalesce("truncation", F.lit("completed"))
+    return made.join(verdict, "entry_id", "left").select("entry_id", "steps", ended.alias("truncation"), "detail", (ended != "completed").alias("partial"))
+
+
+def untraced_entries(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(entry_id, reason): routes(entry_id, handler_id) without a handler, or whose handler is no symbol(id)."""
+    known = symbols.select(F.col("id").alias("handler_id"), F.lit(True).alias("known")).distinct()
+    reason = F.when(F.col("handler_id").isNull(), "no handler is linked").when(F.col("known").isNull(), "the handler is no known symbol")
+    return routes.join(known, "handler_id", "left").select("entry_id", reason.alias("reason")).where("reason is not null")
 
 
 def identify_entries(handlers: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -79,15 +118,24 @@ def identify_entries(handlers: DataFrame, symbols: DataFrame, edges: DataFrame)
 def reverse_reach(sinks: DataFrame, edges: DataFrame, max_hops: int = 2, max_fan_in: int = 32) -> DataFrame:
     """(sink, node, hops, hub): callers within max_hops of each sink(sink, node), the least hop each; a node with over max_fan_in callers is
     reached but not expanded."""
-    back = edges.where("callee_id is not null").select(F.col("callee_id").alias("node"), F.col("caller_id").alias("caller")).distinct()
-    fan = back.groupBy("node").agg((F.count("*") > max_fan_in).alias("hub"))
-    level = sinks.select("sink", "node", F.lit(0).alias("hops")).distinct()
-    reached = level
+    back = cut(edges.where("callee_id is not null").select(F.col("callee_id").alias("node"), F.col("caller_id").alias("caller")).distinct())
+    hubs = cut(back.groupBy("node").agg(F.count("*").alias("callers")).where(F.col("callers") > max_fan_in).select("node"))
+    level = cut(sinks.select("sink", "node", F.lit(0).alias("hops")).distinct())
+    levels = [level]
     for hop in range(1, max_hops + 1):
-        small = level.join(fan.where("not hub"), "node", "left_semi")
+        small = level.join(hubs, "node", "left_anti")
+        reached = union([t.select("sink", "node") for t in levels])
         level = cut(small.join(back, "node").select("sink", F.col("caller").alias("node"), F.lit(hop).alias("hops")).distinct().join(reached, ["sink", "node"], "left_anti"))
-        reached = reached.unionByName(level)
-    return reached.join(fan, "node", "left").select("sink", "node", "hops", F.coalesce("hub", F.lit(False)).alias("hub"))
+        levels.append(level)
+    return union(levels).join(hubs.withColumn("hub", F.lit(True)), "node", "left").select("sink", "node", "hops", F.coalesce("hub", F.lit(False)).alias("hub"))
+
+
+def channel_notes(reached: DataFrame, channels: DataFrame, max_hops: int = 2) -> DataFrame:
+    """(node, channel, label, confidence, note) of reverse_reach(): the sink's own node keeps its channel, nodes that reach it get unknown with
+    reaches:<channel>, all at low confidence; note says where a bound stopped the walk. channels(sink, channel)."""
+    own = F.col("hops") == 0
+    note = F.when(F.col("hub"), "fan-in bound: callers not followed").when(F.col("hops") == max_hops, "hop bound: callers not followed")
+    return reached.join(channels, "sink").select("node", F.when(own, F.col("channel")).otherwise("unknown").alias("channel"), F.when(~own, F.concat(F.lit("reaches:"), "channel")).alias("label"), F.lit("low").alias("confidence"), note.alias("note")).distinct()
 
 
 def root_cycles(links: DataFrame, longest: int = 6) -> DataFrame:
@@ -106,19 +154,61 @@ def root_cycles(links: DataFrame, longest: int = 6) -> DataFrame:
 
 
 def cyclic_part(edges: DataFrame) -> DataFrame:
-    """What is left of edges(src, dst) when nodes that lead nowhere are pruned until none is: empty iff there is no cycle."""
+    """What is left of edges(src, dst) when nodes that lead nowhere and nodes that nothing leads to are pruned until none is: the cycles and
+    what lies between them, empty iff there is none."""
     e, before = cut(edges.select("src", "dst").distinct()), -1
     while (n := e.count()) != before:
-        before = n
-        e = cut(e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, old = n, e
+        led = e.select(F.col("src").alias("dst")).distinct()
+        back = e.select(F.col("dst").alias("src")).distinct()
+        e = cut(e.join(led, "dst", "left_semi").join(back, "src", "left_semi").select("src", "dst"))
+        discard(old)
     return e
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels(node, label) raised along edges(src, dst) to the greatest label that reaches each node."""
+    while True:
+        sent = labels.join(edges, labels["node"] == edges["src"]).select(F.col("dst").alias("node"), "label")
+        new = cut(labels.unionByName(sent).groupBy("node").agg(F.max("label").alias("label")))
+        same = new.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
+        if same:
+            return new
+        labels = new
+
+
+def nodes_on_cycles(edges: DataFrame) -> DataFrame:
+    """(node): the nodes of edges(src, dst) that lie on a cycle, in strongly connected parts of several nodes or on a loop. Forward labels
+    (the greatest node that reaches a node) colour the graph; inside a colour, what leads back to its own name is one part, which goes; and again."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node"))
+    parts = [cut(loops.distinct())]
+    e = cyclic_part(edges.where("src <> dst"))
+    while not e.isEmpty():
+        nodes = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+        colour = _spread(nodes.withColumn("label", F.col("node")), e)
+        inside = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        inside = cut(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("label")))
+        found = level = cut(colour.where("node = label").select("node", "label"))
+        while not level.isEmpty():
+            step = level.join(inside.withColumnRenamed("label", "l"), (F.col("node") == F.col("src")) & (F.col("label") == F.col("l"))).select(F.col("dst").alias("node"), "label").distinct()
+            level = cut(step.join(found, ["node", "label"], "left_anti"))
+            found = cut(found.unionByName(level))
+        several = found.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+        parts.append(cut(found.join(several, "label", "left_semi").select("node")))
+        gone = found.select("node")
+        left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        e = cyclic_part(left.select("src", "dst"))
+    return union(parts).distinct()
+
+
 def transitive_scope(scoped: DataFrame, references: DataFrame) -> DataFrame:
     """(name): the tables of scoped(name) and all that reach them over references(child, parent)."""
-    known = cut(scoped.select("name").distinct())
+    references = cut(references.select("child", "parent").where("parent is not null").distinct())
+    level = cut(scoped.select("name").distinct())
+    levels = [level]
     while True:
-        more = cut(references.join(known.withColumnRenamed("name", "parent"), "parent", "left_semi").select(F.col("child").alias("name")).distinct().join(known, "name", "left_anti"))
-        if more.isEmpty():
-            return known
-        known = cut(known.unionByName(more))
+        more = references.join(level.withColumnRenamed("name", "parent"), "parent", "left_semi").select(F.col("child").alias("name")).distinct()
+        level = cut(more.join(union(levels), "name", "left_anti"))
+        if level.isEmpty():
+            return union(levels)
+        levels.append(level)

@@ -24,6 +24,27 @@ def common_table_prefix(names: DataFrame) -> DataFrame:
     return total.select(F.when((F.col("total") >= 4) & (F.col("t.n") >= 0.6 * F.col("total")), F.col("t.prefix")).alias("prefix"))
 
 
+# Fixed values, worst first.
+SEVERITIES = ("concern", "notice", "info")
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for the worst; unknown ones come last (O1)."""
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), severity)
+    return F.when(place > 0, place - 1).otherwise(len(SEVERITIES)).cast("int")
+
+
+def named_findings(findings: DataFrame, most: int = 8) -> DataFrame:
+    """(code, severity, place, named, text) of findings(code, severity, name): per code the first most names and how many more there are, codes by
+    severity, then name (D10, O1)."""
+    total = findings.groupBy("code", "severity").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("code", "severity").orderBy("name"))
+    named = findings.withColumn("k", first).where(F.col("k") <= most).groupBy("code", "severity").agg(F.array_sort(F.collect_list("name")).alias("named"))
+    more = F.when(F.col("n") > most, F.concat(F.lit(" and "), (F.col("n") - most).cast("string"), F.lit(" more"))).otherwise("")
+    place = F.row_number().over(Window.orderBy(severity_rank(F.col("severity")), "code")).cast("long")  # one row a code and severity
+    return total.join(named, ["code", "severity"]).select("code", "severity", place.alias("place"), "named", F.concat(F.array_join("named", ", "), more).alias("text"))
+
+
 def ownership_findings(access: DataFrame) -> DataFrame:
     """(code, entity, roots): entities written by several roots, and those read by roots that do not write them while others do;
     an unknown operation is neither. access(root_name, entity, operation)."""
@@ -74,11 +95,14 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return ranked.where(F.col("place") <= k)
 
 
-def content_digests(files: DataFrame) -> DataFrame:
-    """(root_name, digest, files): a digest over the sorted (path, content digest) of a root; any change changes it."""
-    each = files.select("root_name", F.struct("rel_path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d")).alias("f"))
+def content_digests(files: DataFrame, digits: int = 3) -> DataFrame:
+    """(root_name, digest, files): the digest of the digests of a root's ranges, in order. A file's range is the first so many hex digits of its path's
+    SHA-256; a range's digest is over its sorted (path, content digest). So no task holds more than a range, or 16 ** digits digests of one root."""
+    each = files.select("root_name", F.substring(F.sha2(F.coalesce("rel_path", F.lit("")), 256), 1, digits).alias("range"), F.struct("rel_path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("d")).alias("f"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda f: F.concat_ws(":", f["rel_path"], f["d"])), "\n")
-    return each.groupBy("root_name").agg(F.sha2(joined, 256).alias("digest"), F.count("*").alias("files"))
+    parts = each.groupBy("root_name", "range").agg(F.sha2(joined, 256).alias("d"), F.count("*").alias("files"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range", "d"))), lambda p: p["d"]), "\n")
+    return parts.groupBy("root_name").agg(F.sha2(whole, 256).alias("digest"), F.sum("files").alias("files"))
 
 
 def check_drift(before: DataFrame, after: DataFrame) -> DataFrame:

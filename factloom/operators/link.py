@@ -6,37 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import host_of, is_parameter, is_real_integration, method_matches, path_of, segments, segments_match, specificity, wildcard_at
+from .graphs import cut
 
 
 def route_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """(call_id, to_root, route_path, score, wild): every route of another root that matches a call's path and method; a call
-    with bound_root (if the column is there) is held to that root.
-
-    Never calls x routes: routes without wildcard meet calls on segment count, and on the first segment where
-    it is literal; wildcard routes on the first segment where it is literal, else by condition (catch-all routes match
-    nearly everything, so that product is the result)."""
-    bound = F.col("bound_root") if "bound_root" in calls.columns else F.lit(None).cast("string")
-    c = calls.select("call_id", F.col("root_name").alias("from_root"), F.col("method").alias("c_method"), bound.alias("bound_root"), segments(path_of(F.col("target"))).alias("qs")).where("qs is not null")
-    c = c.withColumns({"n": F.size("qs"), "first": F.try_element_at("qs", F.lit(2))})
+    """(call_id, from_root, base_identifier, to_root, route_path, score, wild): every route of another root that matches a call's path and method.
+
+    Never calls x routes: a route is met on its number of segments (-1 if it ends in a wildcard) and its first literal segment with the place of it,
+    wherever that is; only a route without any literal meets all calls of its length, which it matches."""
+    base = F.col("base_identifier") if "base_identifier" in calls.columns else F.lit(None).cast("string")
+    c = calls.select("call_id", F.col("root_name").alias("from_root"), base.alias("base_identifier"), F.col("method").alias("c_method"), segments(path_of(F.col("target"))).alias("qs")).where("qs is not null")
+    key = lambda n, at, word: F.struct(n.cast("int").alias("n"), at.cast("int").alias("at"), word.alias("word"))
+    none = lambda n: key(n, F.lit(0), F.lit(""))
+    places = F.sequence(F.lit(1), F.size("qs") - 1)
+    at = lambda n: F.transform(F.when(F.size("qs") > 1, places).otherwise(F.array().cast("array<int>")), lambda i: key(n, i, F.get("qs", i)))
+    c = c.withColumn("met", F.explode(F.concat(F.array(none(F.size("qs")), none(F.lit(-1))), at(F.size("qs")), at(F.lit(-1)))))
     r = routes.select(F.col("root_name").alias("to_root"), F.col("method").alias("r_method"), F.col("path").alias("route_path"), segments(F.col("path")).alias("ps"), specificity(F.col("path")).alias("score"))
-    head = F.try_element_at("ps", F.lit(2))
-    r = r.withColumns({"star": wildcard_at(F.col("ps")), "r_n": F.size("ps"), "r_first": F.when(~is_parameter(head) & ~head.startswith("*"), head)})
-    fits = (F.col("from_root") != F.col("to_root")) & (F.col("bound_root").isNull() | (F.col("bound_root") == F.col("to_root"))) & method_matches(F.col("c_method"), F.col("r_method")) & segments_match(F.col("ps"), F.col("qs"))
-    plain, wild = r.where("star is null"), r.where("star is not null")
-    found = [
-        c.join(plain.where("r_first is not null"), (c["n"] == plain["r_n"]) & (c["first"] == plain["r_first"]) & fits),
-        c.join(plain.where("r_first is null"), (c["n"] == plain["r_n"]) & fits),
-        c.join(wild.where("r_first is not null"), (c["first"] == wild["r_first"]) & fits),
-        c.join(wild.where("r_first is null"), fits),
-    ]
-    out = [f.select("call_id", "to_root", "route_path", "score", F.col("star").isNotNull().alias("wild")) for f in found]
-    return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
-
-
-def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    r = r.withColumn("star", wildcard_at(F.col("ps"))).withColumn("n", F.when(F.col("star").isNull(), F.size("ps")).otherwise(-1))
+    fixed = F.filter(F.transform("ps", lambda s, i: F.struct(i.alias("at"), s.alias("word"))), lambda x: (x["at"] > 0) & ~is_parameter(x["word"]) & (F.col("star").isNull() | (x["at"] < F.col("star"))))
+    r = r.withColumn("first", F.get(fixed, F.lit(0))).withColumn("met", F.when(F.col("first").isNull(), none(F.col("n"))).otherwise(key(F.col("n"), F.col("first.at"), F.col("first.word"))))
+    fits = (F.col("from_root") != F.col("to_root")) & method_matches(F.col("c_method"), F.col("r_method")) & segments_match(F.col("ps"), F.col("qs"))
+    return c.join(r, "met").where(fits).select("call_id", "from_root", "base_identifier", "to_root", "route_path", "score", F.col("star").isNotNull().alias("wild"))
+
+
+def link_calls(calls: DataFrame, routes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """One row per call: outcome linked with its route, or why not (target-not-resolved, unparsed-destination, no-matching-route,
-    ambiguous-match with the number of best candidates), so that links and unlinked add up to the calls."""
-    best = route_candidates(calls, routes).withColumn("place", F.rank().over(Window.partitionBy("call_id").orderBy(F.desc("score")))).where("place = 1")
+    ambiguous-match with the number of best candidates), so that links and unlinked add up to the calls. candidates are route_candidates()."""
+    best = (route_candidates(calls, routes) if candidates is None else candidates).withColumn("place", F.rank().over(Window.partitionBy("call_id").orderBy(F.desc("score")))).where("place = 1")
     best = best.groupBy("call_id").agg(F.count("*").alias("n_candidates"), F.min(F.struct("to_root", "route_path", "wild")).alias("r"))
     path = path_of(F.col("target"))
     outcome = F.when(F.col("target").isNull(), "target-not-resolved").when(path.isNull(), "unparsed-destination").when(F.col("n_candidates").isNull(), "no-matching-route").when(F.col("n_candidates") > 1, "ambiguous-match").otherwise("linked")
@@ -49,11 +45,11 @@ def link_calls(calls: DataFrame, routes: DataFrame) -> DataFrame:
     )
 
 
-def infer_base_bindings(calls: DataFrame, routes: DataFrame, majority: float = 0.6, minimum_matches: int = 3) -> DataFrame:
+def infer_base_bindings(calls: DataFrame, routes: DataFrame, majority: float = 0.6, minimum_matches: int = 3, candidates: DataFrame | None = None) -> DataFrame:
     """(from_root, base_identifier, bound_root, matched, considered, reason): the root whose routes most of a base's calls fit. A call
     counts once per root; bound only with minimum_matches and majority of all root matches."""
     base = calls.where("base_identifier is not null")
-    votes = route_candidates(base, routes).select("call_id", "to_root").distinct().join(base.select("call_id", F.col("root_name").alias("from_root"), "base_identifier"), "call_id")
+    votes = (route_candidates(base, routes) if candidates is None else candidates).where("base_identifier is not null").select("call_id", "from_root", "base_identifier", "to_root").distinct()
     per = votes.groupBy("from_root", "base_identifier", "to_root").agg(F.count("*").alias("n"))
     top = per.groupBy("from_root", "base_identifier").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("neg"), "to_root")).alias("b"))
     considered = base.groupBy(F.col("root_name").alias("from_root"), "base_identifier").agg(F.count("*").alias("considered"))
@@ -63,10 +59,17 @@ def infer_base_bindings(calls: DataFrame, routes: DataFrame, majority: float = 0
     return both.select("from_root", "base_identifier", F.when(reason == "bound", F.col("b.to_root")).alias("bound_root"), matched.alias("matched"), "considered", reason.alias("reason"))
 
 
-def link_calls_scoped(calls: DataFrame, routes: DataFrame, bindings: DataFrame) -> DataFrame:
+def link_calls_scoped(calls: DataFrame, routes: DataFrame, bindings: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """link_calls with the calls of a bound base held to its root."""
-    b = bindings.where("bound_root is not null").select(F.col("from_root").alias("root_name"), "base_identifier", "bound_root")
-    return link_calls(calls.join(b, ["root_name", "base_identifier"], "left"), routes)
+    b = bindings.where("bound_root is not null").select("from_root", "base_identifier", "bound_root")
+    found = (route_candidates(calls, routes) if candidates is None else candidates).join(b, ["from_root", "base_identifier"], "left")
+    return link_calls(calls, routes, found.where("bound_root is null or bound_root = to_root").drop("bound_root"))
+
+
+def bind_and_link(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """link_calls_scoped with the bindings that the same candidates give; these are made once."""
+    candidates = cut(route_candidates(calls, routes))
+    return link_calls_scoped(calls, routes, infer_base_bindings(calls, routes, candidates=candidates), candidates)
 
 
 def root_dependencies(links: DataFrame) -> DataFrame:
