@@ -7,9 +7,11 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,16 @@ def values(column: pa.Array) -> Iterator:
     return (v.as_py() for v in column)
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts whose strings in the column have about so many bytes together (one row at least)."""
+    for b in batches:
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(size) // most
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if b.num_rows else np.zeros(0, int)
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            yield b.slice(lo, hi - lo)
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod

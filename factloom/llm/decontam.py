@@ -25,7 +25,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, text_hash, values
+from .common import carried, materialize, slices, text_hash, values
 from .hashing import mix, string_hashes
 
 #: Lower-cases A-Z and blanks every ASCII character but letters and digits.
@@ -59,7 +59,7 @@ def windows_of(items: DataFrame, width: int) -> DataFrame:
     hashes of its shingles of size words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             words, at = folded_words(b.column(1))
             hashes = string_hashes(words)
             for i, item in enumerate(values(b.column(0))):
@@ -139,7 +139,7 @@ def document_frequencies(docs: DataFrame, sizes: list[int], bitmap: Broadcast) -
     """(h, docs) of the marked shingles of docs(text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             for text, _, h in occurrences(*folded_words(b.column(0)), sizes, bitmap.value):
                 pairs = np.unique(np.stack([h, text.astype(np.uint64)], 1), axis=0)
                 found, n = np.unique(pairs[:, 0], return_counts=True)
@@ -155,7 +155,7 @@ def places(docs: DataFrame, sizes: list[int], bitmap: Broadcast, width: int) ->
     kind = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int64()), ("before", pa.int32()), ("around", pa.list_(pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             words, at = folded_words(b.column(2))
             found: list[list] = [[] for _ in range(b.num_rows)]
             for text, place, h in occurrences(words, at, sizes, bitmap.value):

@@ -18,13 +18,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 
 
-def string_hashes(strings: pa.Array) -> np.ndarray:
-    """A 64-bit polynomial hash of each of an array of non-empty strings."""
+def string_hashes(strings: pa.Array, step: int = 1 << 17) -> np.ndarray:
+    """A 64-bit polynomial hash of each of an array of non-empty strings, so many at a time."""
+    out = np.empty(len(strings), np.uint64)
     if not len(strings):
-        return np.empty(0, np.uint64)
+        return out
     offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
-    x = BYTE_CODE[np.frombuffer(strings.buffers()[2], np.uint8, offsets[-1] - offsets[0], offsets[0])]
-    starts, size = offsets[:-1] - offsets[0], np.diff(offsets)
-    powers = np.cumprod(np.full(int(size.max()), GOLDEN))
-    x *= powers[np.arange(len(x)) - np.repeat(starts, size)]
-    return mix(np.add.reduceat(x, starts) + size.astype(np.uint64))
+    data = np.frombuffer(strings.buffers()[2], np.uint8)
+    powers = np.cumprod(np.full(int(np.diff(offsets).max()), GOLDEN))
+    for at in range(0, len(out), step):
+        mine = offsets[at : at + step + 1]
+        starts, size = mine[:-1] - mine[0], np.diff(mine)
+        x = BYTE_CODE[data[mine[0] : mine[-1]]]
+        x *= powers[np.arange(len(x)) - np.repeat(starts, size)]
+        out[at : at + step] = mix(np.add.reduceat(x, starts) + size.astype(np.uint64))
+    return out

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention as A
-from .common import crc_mod, materialize, text_hash, values
+from .common import crc_mod, materialize, slices, text_hash, values
 from .tokens import word_encoder
 
 #: Ids of the vocabulary file, then the end and the begin of a text. They fit 16 bits.
@@ -89,7 +89,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
-        for b in batches:
+        for b in slices(batches, 0, 8 << 20):
             counts = split_words(b.column(0))[0].value_counts()
             parts.append(pa.table({"key": counts.field("values"), "n": counts.field("counts")}))
             held += len(counts)
@@ -188,7 +188,7 @@ def word_scores(docs: DataFrame, counts: DataFrame, ends: int, head: int) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value.column("key").combine_chunks().cast(pa.string()) if shared.value.num_rows else pa.array([], pa.string())
         gain = np.append(np.log10((shared.value.column("n").to_numpy() + 0.1) / bottom), 0)
-        for b in batches:
+        for b in slices(batches, 3, 8 << 20):
             words, at = split_words(b.column(3))
             coded = words.dictionary_encode()
             place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), len(known)).to_numpy(zero_copy_only=False)

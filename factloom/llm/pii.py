@@ -171,12 +171,19 @@ def accepted_patterns(edges: DataFrame, rounds: int, min_seeds: int, min_confide
     return accepted
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.6) -> DataFrame:
+def specific_patterns(seeds: DataFrame, min_seeds: int, min_purity: float) -> DataFrame:
+    """(pattern, opening) of those that stand around min_seeds distinct seeds of one kind, which are min_purity of all their distinct seeds: a context
+    that goes with every kind says nothing of any."""
+    kinds = seeds.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"), F.first("opening").alias("opening"))
+    both = kinds.groupBy("pattern").agg(F.max("n").alias("most"), F.sum("n").alias("all"), F.first("opening").alias("opening"))
+    return both.where((F.col("most") >= min_seeds) & (F.col("most") >= min_purity * F.col("all"))).select("pattern", "opening")
+
+
+def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min_confidence: float = 0.6, min_purity: float = 0.9) -> DataFrame:
     """doc_id, base and found (SPAN arrays) for each row of docs(doc_id, text)."""
     base = materialize(base_spans(docs), "spans")
     seeds = materialize(seed_edges(base), "seeds")
-    enough = seeds.groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"), F.first("opening").alias("opening")).where(F.col("n") >= min_seeds)
-    patterns = materialize(enough.select("pattern", "opening").distinct(), "candidates")
+    patterns = materialize(specific_patterns(seeds, min_seeds, min_purity), "candidates")
     free = materialize(instances(base, patterns), "instances")
     edges = seeds.join(patterns.select("pattern"), "pattern", "left_semi").select("value", "kind", "pattern").unionByName(free.select("value", F.lit(None).cast("int").alias("kind"), "pattern"))
     accepted = accepted_patterns(edges, rounds, min_seeds, min_confidence)

@@ -172,6 +172,44 @@ def test_contexts_discover_in_the_same_shape(spark):
     assert got[11].n_found == 0
 
 
+def test_contexts_of_every_kind_discover_nothing(spark):
+    """And what only few seeds of one kind stand in."""
+    seeds = {"email": "user{}@host.example", "ip": "10.2.3.{}", "phone": "+1 (212) 555-01{:02}"}
+    rows = list(enumerate(f"seen near {s.format(i + 10)} once" for s in seeds.values() for i in range(6))) + [(50 + i, f"mail for user{i}@host.example today") for i in range(2)]
+    rows += [(90, "seen near someone else once"), (91, "seen near user7@localhost once"), (92, "mail for user9@localhost today")]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any(r.found for r in got)
+
+
+def brute_patterns(edges, seeds, rounds, min_seeds, min_confidence):
+    """Pattern and instance scores by their definitions: edges is pattern -> values, seeds value -> kind."""
+    scores = {v: {k: 1.0} for v, k in seeds.items()}
+    for _ in range(rounds):
+        accepted = {}
+        for p, values in edges.items():
+            for kind in {k for v in values for k in scores.get(v, ())}:
+                confidence = sum(scores.get(v, {}).get(kind, 0) for v in values) / (len(values) + 1)
+                if sum(seeds.get(v) == kind for v in values) >= min_seeds and confidence >= min_confidence:
+                    accepted[p, kind] = round(confidence, 6)
+        scores = {v: {k: 1.0} for v, k in seeds.items()}
+        for (p, kind), c in accepted.items():
+            for v in edges[p] - seeds.keys():
+                scores.setdefault(v, {})[kind] = max(c, scores.get(v, {}).get(kind, 0))
+    return accepted
+
+
+def test_pattern_graph_is_that_of_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    for rounds in (1, 2, 4):
+        seeds = {f"s{i}": i % 3 for i in range(30)}
+        edges = {f"p{j}": {r.choice([f"s{i}" for i in range(j % 3, 30, 3)] * 3 + [f"v{i}" for i in range(12)]) for _ in range(r.randint(3, 14))} for j in range(40)}
+        rows = [(v, seeds.get(v), p) for p, values in edges.items() for v in values for _ in range(2)]
+        got = pii.accepted_patterns(spark.createDataFrame(rows, "value string, kind int, pattern string"), rounds, 2, 0.5).collect()
+        assert {(x.pattern, x.kind): round(x.confidence, 6) for x in got} == brute_patterns(edges, {v: k for v, k in seeds.items() if any(v in e for e in edges.values())}, rounds, 2, 0.5)
+
+
 def test_contexts_discover_identifiers_written_otherwise(spark):
     """Without digits, in several parts, of another shape than the seeds."""
     texts = [f"please mail to user{i}@host.example about it" for i in range(8)] + [f"call us on +1 (212) 555-01{i:02} before noon" for i in range(8)]
