@@ -101,3 +101,29 @@ def flow_diagram(steps: Column) -> Column:
     nodes = F.transform(steps, lambda s, i: F.concat(F.lit("  s"), i.cast("string"), F.lit('["'), escape_label(s["label"]), F.lit('"]')))
     edges = F.transform(F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), lambda s, i: F.concat(F.lit("  s"), i.cast("string"), F.when(s["resolved"], " --> s").otherwise(" -.-> s"), (i + 1).cast("string")))
     return F.array_join(F.concat(F.array(F.lit("flowchart TD")), nodes, edges), "\n")
+
+
+# What a coverage state counts as in a report.
+COVERAGE_SECTION = {"observed": "covered", "partial": "covered", "not-applicable": "excluded", "unsupported": "gaps", "failed": "gaps", "unknown": "gaps"}
+
+
+def coverage_section(state: Column) -> Column:
+    """covered, excluded or gaps; a state that nobody knows is a gap."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in COVERAGE_SECTION.items() for x in kv)), state), F.lit("gaps"))
+
+
+def is_coverage_gap(state: Column) -> Column:
+    return coverage_section(state) == "gaps"
+
+
+def counts_in_denominator(state: Column) -> Column:
+    """What is not applicable is no part of the whole."""
+    return coverage_section(state) != "excluded"
+
+
+def map_diagram(edges: Column) -> Column:
+    """Diagram text of struct(source, target, kind) edges in order: dashed unless internal."""
+    label = lambda c: F.concat(F.lit('["'), escape_label(c), F.lit('"]'))
+    node = lambda c: F.concat(F.lit("n_"), F.substring(F.sha2(c, 256), 1, 8), label(c))
+    arrow = lambda e: F.when(e["kind"] == "internal", F.lit(" --> ")).otherwise(" -.-> ")
+    return F.concat(F.lit("flowchart LR\n"), F.array_join(F.transform(edges, lambda e: F.concat(F.lit("  "), node(e["source"]), arrow(e), node(e["target"]))), "\n"))

@@ -71,3 +71,23 @@ def stable_id(prefix: str, parts: Column, length: int = 16) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+#: The columns that identify a derived record of each kind.
+DERIVED_KEYS: dict[str, tuple[str, ...]] = {
+    "module": ("module_id",), "component": ("root_name", "folder"), "feature": ("term",), "flow": ("root_name", "method", "path"), "business-rule": ("root_name", "rel_path", "start_line", "subject", "operator", "literal"),
+    "value-set": ("root_name", "name"), "trace": ("root_name", "method", "path"), "finding": ("code", "subject"),
+}
+
+
+def derived_key(kind: str) -> Column:
+    return join_key(*DERIVED_KEYS[kind])
+
+
+def symbol_id(root: Column | str, rel_path: Column | str, name: Column | str, line: Column | str) -> Column:
+    """The identity of a symbol by where it stands and what it is called."""
+    return join_key(root, rel_path, name, line)
+
+
+def file_id(root: Column | str, rel_path: Column | str) -> Column:
+    return join_key(root, rel_path)

@@ -102,3 +102,8 @@ def parse_route_name(name: Column) -> Column:
     """struct(method, path) of names such as GET /x; method null where none is stated."""
     form = r"^([A-Z]+)\s+(/.*)$"
     return F.struct(F.nullif(F.regexp_extract(name, form, 1), F.lit("")).alias("method"), F.when(name.rlike(form), F.regexp_extract(name, form, 2)).otherwise(name).alias("path"))
+
+
+def route_surface(method: Column, rel_path: Column) -> Column:
+    """client for a route without a method in a component file, else server."""
+    return F.when(method.isNull() & rel_path.rlike(r"\.(vue|svelte|jsx|tsx)$"), "client").otherwise("server")

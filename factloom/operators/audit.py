@@ -69,6 +69,19 @@ def cited_identities(sections: DataFrame, namespaces: DataFrame, key: str) -> Da
     return spans.withColumn("namespace", F.substring_index("identity", "|", 1)).join(namespaces.select("namespace").distinct(), "namespace", "left_semi").select(key, "section", "identity").distinct()
 
 
+def identity_namespaces(keys: DataFrame) -> DataFrame:
+    """(namespace): the part before the first | of keys(key) that have one (Q4)."""
+    return keys.where(F.col("key").contains("|")).select(F.substring_index("key", "|", 1).alias("namespace")).distinct()
+
+
+def resolve_identities(cited: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The cited(report_id, section, identity) that one of the tables(id) has."""
+    known = tables[0].select("id")
+    for t in tables[1:]:
+        known = known.unionByName(t.select("id"))
+    return cited.join(known.distinct().withColumnRenamed("id", "identity"), "identity", "left_semi").select(*cited.columns)
+
+
 def denominators(files: DataFrame) -> DataFrame:
     """(root_name, disposition, value): every file count the base justifies, by root, disposition, both and none (null stands for all)."""
     return files.cube("root_name", "disposition").agg(F.count("*").alias("value"))
@@ -116,8 +129,9 @@ def audit_claims(declared: DataFrame, cited: DataFrame, known: DataFrame) -> Dat
 def audit_checklist(entries: DataFrame, required: DataFrame, verdicts: tuple[str, ...], known: DataFrame) -> DataFrame:
     """(report_id, item, finding) over entries(report_id, item, verdict, evidence array): required(item) items that are missing, verdicts out of the list, no evidence, and
     evidence ids that known(identity) lacks."""
-    reports = entries.select("report_id").distinct()
-    missing = reports.crossJoin(F.broadcast(required.select("item").distinct())).join(entries.select("report_id", "item"), ["report_id", "item"], "left_anti")
+    wanted = required.select("item").distinct().agg(F.array_sort(F.collect_set("item")).alias("wanted"))  # one row: the items of a checklist
+    held = entries.groupBy("report_id").agg(F.collect_set("item").alias("held"))
+    missing = held.crossJoin(F.broadcast(wanted)).select("report_id", F.explode(F.array_except("wanted", "held")).alias("item"))
     ids = entries.select("report_id", "item", F.explode("evidence").alias("identity")).join(known.select("identity").distinct(), "identity", "left_anti")
     row = lambda df, code: df.select("report_id", "item", F.lit(code).alias("finding"))
     return (

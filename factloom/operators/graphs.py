@@ -9,26 +9,29 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet into the folder of spark.checkpoint.dir and read back. Where a session of one machine names none, a temporary
-    folder that ends with the process; on a cluster that is an error."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where a session of one machine names none, a temporary one that ends with the process; on a cluster
+    that is an error."""
     global _own_dir
-    sc = df.sparkSession.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if _own_dir is None:
-            _own_dir = tempfile.mkdtemp(prefix="spark-factloom-")
-            atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-        folder = f"file://{_own_dir}"
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
+    if folder := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if _own_dir is None:
+        _own_dir = tempfile.mkdtemp(prefix="spark-factloom-")
+        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
+    return f"file://{_own_dir}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet into the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path

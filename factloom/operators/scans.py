@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import extension
@@ -50,31 +45,43 @@ TEST_NAMES = (
 )
 
 
+#: What \\b means in ASCII; the JVM's own goes by Unicode letters.
+BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+
+
+def _moved(at: Column, text: Column) -> Column:
+    """The line and column after text."""
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.struct((at["line"] + breaks).alias("line"), F.when(breaks > 0, F.length(F.substring_index(text, "\n", -1)) + 1).otherwise(at["column"] + F.length(text)).alias("column"))
+
+
+def _matches(text: str, kind: str, pattern: str, label: str, confidence: str, group: int) -> Column:
+    """array of struct(kind, label, confidence, detail, line, column): what the pattern matches, placed by the texts between the matches."""
+    pattern = pattern.replace(r"\b", BOUNDARY)
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    details = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.transform(found, lambda m: F.lit(None).cast("string"))
+    steps = F.transform(F.arrays_zip(found.alias("m"), details.alias("d"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: x)
+    at = lambda line, column: F.struct(line.cast("int").alias("line"), column.cast("int").alias("column"))
+    none = F.array().cast("array<struct<kind:string,label:string,confidence:string,detail:string,line:bigint,column:bigint>>")
+    hit = lambda p, x: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), x["d"].alias("detail"), p["line"].cast("long").alias("line"), p["column"].cast("long").alias("column"))
+
+    def step(acc: Column, x: Column) -> Column:
+        here = _moved(acc["at"], x["g"])
+        return F.struct(_moved(here, x["m"]).alias("at"), F.concat(acc["out"], F.array(hit(here, x))).alias("out"))
+
+    return F.when(F.size(found) > 0, F.aggregate(steps, F.struct(at(F.lit(1), F.lit(1)).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
+
+
 def scan_patterns(files: DataFrame, patterns: tuple = CONVENTIONS) -> DataFrame:
-    """(root_name, rel_path, kind, label, confidence, detail, line, column) of every match of the patterns for a file's extension. A file that
-    no pattern is for never reaches Python."""
+    """(root_name, rel_path, kind, label, confidence, detail, line, column) of every match of the patterns for a file's extension, in expressions of the
+    JVM. A group that takes no part in a match is an empty detail; a file that no pattern is for is not looked at."""
     exts = {e for p in patterns for e in p[1]}
-    wanted = files.withColumn("ext", extension(F.col("rel_path")))
+    wanted = files.select("root_name", "rel_path", extension(F.col("rel_path")).alias("ext"), F.coalesce("content", F.lit("")).alias("content"))
     if all(p[1] for p in patterns):
         wanted = wanted.where(F.col("ext").isin(*exts))
-    names = ["root_name", "rel_path", "kind", "label", "confidence", "detail", "line", "column"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = [(k, set(e), re.compile(p, re.ASCII), label, c, g) for k, e, p, label, c, g in patterns]
-        for b in batches:
-            out: list[tuple] = []
-            for root, path, ext, text in zip(*(c.to_pylist() for c in b.columns)):
-                starts = [0, *(m.end() for m in re.finditer("\n", text or ""))]
-                for kind, exts, pattern, label, conf, group in ready:
-                    if not exts or ext in exts:
-                        for m in pattern.finditer(text or ""):
-                            line = bisect_right(starts, m.start())
-                            out.append((root, path, kind, label, conf, m[group] if group else None, line, m.start() - starts[line - 1] + 1))
-            kinds = [*[pa.string()] * 6, pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=names)
-
-    schema = ", ".join(f"{n} {'long' if n in ('line', 'column') else 'string'}" for n in names)
-    return wanted.select("root_name", "rel_path", "ext", "content").mapInArrow(run, schema)
+    parts = [m if not e else F.when(F.col("ext").isin(*e), m) for k, e, p, label, c, g in patterns for m in [_matches("content", k, p, label, c, g)]]
+    found = F.flatten(F.array_compact(F.array(*parts)))
+    return wanted.select("root_name", "rel_path", F.explode(found).alias("f")).select("root_name", "rel_path", "f.*")
 
 
 def doc_comments(files: DataFrame, marker: str = "//") -> DataFrame:
@@ -93,8 +100,38 @@ def test_names(files: DataFrame, patterns: tuple[str, ...] = TEST_NAMES) -> Data
     return files.select("root_name", "rel_path", F.explode(found).alias("name")).distinct()
 
 
+# Fixed values.
+UI_LABELS = (r"\b(?:label|title|placeholder|aria-label)\s*[=:]\s*[\"'`]([^\"'`{}<>]{2,120})[\"'`]", r">\s*([A-Z][^<>{}\n]{1,80}?)\s*</(?:button|label|h[1-6]|th|a)>")
+
+
+def ui_labels(files: DataFrame, patterns: tuple[str, ...] = UI_LABELS) -> DataFrame:
+    """(root_name, rel_path, label), distinct."""
+    found = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))
+    return files.select("root_name", "rel_path", F.explode(found).alias("label")).distinct()
+
+
+def config_keys(files: DataFrame) -> DataFrame:
+    """(root_name, rel_path, key): the names, never the values, of KEY=value lines of .env files and of key: lines of YAML files."""
+    line = files.where(F.col("rel_path").rlike(r"(^|/)\.env[^/]*$|\.(ya?ml|properties)$")).select("root_name", "rel_path", F.explode(F.split("content", "\n")).alias("line"))
+    form = r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_.-]*)\s*[=:](?:\s|$|[^:=/])"
+    return line.where(F.col("line").rlike(form)).select("root_name", "rel_path", F.regexp_extract("line", form, 1).alias("key")).distinct()
+
+
+def json_config_keys(files: DataFrame, deepest: int = 4) -> DataFrame:
+    """(root_name, rel_path, key): the dotted paths of the objects of .json files down to so many levels; values are not kept."""
+    at = files.where(F.col("rel_path").endswith(".json")).select("root_name", "rel_path", F.lit("").alias("above"), F.from_json("content", "map<string,string>").alias("m"))
+    out = None
+    for _ in range(deepest):
+        e = at.select("root_name", "rel_path", "above", F.explode("m").alias("k", "v")).withColumn("key", F.concat("above", "k"))
+        found = e.select("root_name", "rel_path", "key")
+        out = found if out is None else out.unionByName(found)
+        at = e.where(F.ltrim("v").startswith("{")).select("root_name", "rel_path", F.concat("key", F.lit(".")).alias("above"), F.from_json("v", "map<string,string>").alias("m"))
+    return out.distinct()
+
+
 def read_manifests(files: DataFrame) -> DataFrame:
-    """(root_name, dir, ecosystem, name, version_constraint, scope) of package.json, go.mod and requirements files."""
+    """(root_name, dir, ecosystem, name, version_constraint, scope) of package.json, composer.json, go.mod, requirements files, Cargo.toml,
+    pyproject.toml, Pipfile and pom.xml (placeholders as written)."""
     base = F.element_at(F.split("rel_path", "/"), -1)
     folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
     f = files.select("root_name", folder.alias("dir"), base.alias("base"), "content")
@@ -107,7 +144,61 @@ def read_manifests(files: DataFrame) -> DataFrame:
     go = line.where((F.col("base") == "go.mod") & F.col("line").rlike(mod)).select("root_name", "dir", F.lit("go").alias("ecosystem"), F.regexp_extract("line", mod, 1).alias("name"), F.regexp_extract("line", mod, 2).alias("version_constraint"), F.when(F.col("line").contains("// indirect"), "transitive").otherwise("runtime").alias("scope"))
     req = r"^\s*([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([=<>!~]=?[^;#\s]*)?"
     pip = line.where(F.col("base").rlike(r"^requirements.*\.txt$") & F.col("line").rlike(req)).select("root_name", "dir", F.lit("pip").alias("ecosystem"), F.regexp_extract("line", req, 1).alias("name"), F.nullif(F.regexp_extract("line", req, 2), F.lit("")).alias("version_constraint"), F.lit("runtime").alias("scope"))
-    return npm.unionByName(go).unionByName(pip)
+    php = f.where("base = 'composer.json'").withColumn("j", F.from_json("content", "`require` map<string,string>, `require-dev` map<string,string>"))
+    php = php.select("root_name", "dir", F.lit("composer").alias("ecosystem"), F.explode(F.concat(_entries("`require`", "runtime"), _entries("`require-dev`", "development"))).alias("e")).select("root_name", "dir", "ecosystem", "e.*").where("name <> 'php' and name not like 'ext-%'")
+    toml = _sections(f.where(F.col("base").isin("Cargo.toml", "pyproject.toml", "Pipfile")))
+    scope = F.when(F.col("section").rlike("dev|test"), "development").when(F.col("section").rlike("build"), "build").when(F.col("section").rlike("optional"), "optional").otherwise("runtime")
+    pair = r"^\s*\"?([A-Za-z0-9_.@/-]+)\"?\s*=\s*(.*?)\s*$"
+    table = toml.where(F.col("section").rlike(r"(^|\.)((dev|build)-)?(dependencies|packages|dev-packages)$") & F.col("line").rlike(pair))
+    value = F.regexp_extract("line", pair, 2)
+    stated = F.when(value.startswith("{"), F.nullif(F.regexp_extract(value, r'version\s*=\s*"([^"]*)"', 1), F.lit(""))).otherwise(F.regexp_replace(value, '"', ""))
+    eco = F.when(F.col("base") == "Cargo.toml", "cargo").otherwise("pip")
+    named = table.select("root_name", "dir", eco.alias("ecosystem"), F.regexp_extract("line", pair, 1).alias("name"), stated.alias("version_constraint"), scope.alias("scope")).where("not (ecosystem = 'pip' and name = 'python')")
+    listed = toml.where("base = 'pyproject.toml' and section = 'project'").groupBy("root_name", "dir").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("body"))
+    wanted = F.regexp_extract_all(F.regexp_extract("body", r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\n?\]", 1), F.lit('"([^"]+)"'), F.lit(1))
+    need = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([^;]*)"
+    project = listed.select("root_name", "dir", F.explode(wanted).alias("d")).select("root_name", "dir", F.lit("pip").alias("ecosystem"), F.regexp_extract("d", need, 1).alias("name"), F.nullif(F.trim(F.regexp_extract("d", need, 2)), F.lit("")).alias("version_constraint"), F.lit("runtime").alias("scope"))
+    pom = f.where("base = 'pom.xml'").select("root_name", "dir", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("d"))
+    tag = lambda t: F.nullif(F.trim(F.regexp_extract("d", rf"<{t}>([^<]*)</{t}>", 1)), F.lit(""))
+    maven = pom.select("root_name", "dir", F.lit("maven").alias("ecosystem"), F.concat_ws(":", tag("groupId"), tag("artifactId")).alias("name"), tag("version").alias("version_constraint"), F.when(tag("scope") == "test", "development").when(tag("optional") == "true", "optional").otherwise("runtime").alias("scope"))
+    return npm.unionByName(go).unionByName(pip).unionByName(php).unionByName(named).unionByName(project).unionByName(maven)
+
+
+def _sections(files: DataFrame) -> DataFrame:
+    """(root_name, dir, base, pos, line, section): lines under their [section] header, comments and headers left out."""
+    line = files.select("root_name", "dir", "base", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    head = F.nullif(F.regexp_extract("line", r"^\s*\[+([^\]]+)\]+\s*$", 1), F.lit(""))
+    w = Window.partitionBy("root_name", "dir", "base").orderBy("pos")
+    return line.withColumn("section", F.coalesce(F.last_value(head, F.lit(True)).over(w), F.lit(""))).where(head.isNull() & ~F.col("line").rlike(r"^\s*#"))
+
+
+# Manifests that are known and not read.
+UNREAD = {"build.gradle": "gradle", "build.gradle.kts": "gradle", "Gemfile": "bundler", "mix.exs": "hex", "Package.swift": "swift", "pubspec.yaml": "pub", "setup.py": "pip", "stack.yaml": "haskell"}
+
+
+def manifest_gaps(files: DataFrame) -> DataFrame:
+    """(root_name, ecosystem): manifests in formats that are not read, once per root and ecosystem."""
+    base = F.element_at(F.split("rel_path", "/"), -1)
+    known = F.try_element_at(F.create_map(*(F.lit(x) for kv in UNREAD.items() for x in kv)), base)
+    return files.select("root_name", F.coalesce(known, F.when(base.endswith(".csproj"), "nuget")).alias("ecosystem")).where("ecosystem is not null").distinct()
+
+
+def manifest_platforms(files: DataFrame) -> DataFrame:
+    """(root_name, dir, platform, version_constraint): engines of package.json, the go line of go.mod, requires-python of pyproject.toml."""
+    base, folder = F.element_at(F.split("rel_path", "/"), -1), F.regexp_replace("rel_path", "/?[^/]*$", "")
+    f = files.select("root_name", folder.alias("dir"), base.alias("base"), "content")
+    js = f.where("base = 'package.json'").select("root_name", "dir", F.explode(F.from_json("content", "engines map<string,string>")["engines"]).alias("platform", "version_constraint"))
+    one = lambda name, platform, form: f.where(F.col("base") == name).select("root_name", "dir", F.lit(platform).alias("platform"), F.nullif(F.regexp_extract("content", form, 1), F.lit("")).alias("version_constraint")).where("version_constraint is not null")
+    return js.unionByName(one("go.mod", "go", r"(?m)^go\s+(\S+)")).unionByName(one("pyproject.toml", "python", r'(?m)^requires-python\s*=\s*"([^"]+)"'))
+
+
+def manifest_executables(files: DataFrame) -> DataFrame:
+    """(root_name, dir, name): the bin entries of package.json and the scripts of pyproject.toml."""
+    base, folder = F.element_at(F.split("rel_path", "/"), -1), F.regexp_replace("rel_path", "/?[^/]*$", "")
+    f = files.select("root_name", folder.alias("dir"), base.alias("base"), "content")
+    js = f.where("base = 'package.json'").select("root_name", "dir", F.explode(F.map_keys(F.from_json("content", "bin map<string,string>")["bin"])).alias("name"))
+    py = _sections(f.where("base = 'pyproject.toml'")).where("section in ('project.scripts', 'tool.poetry.scripts')").select("root_name", "dir", F.regexp_extract("line", r"^\s*\"?([A-Za-z0-9_.-]+)\"?\s*=", 1).alias("name")).where("name <> ''")
+    return js.unionByName(py).distinct()
 
 
 def _entries(field: str, scope: str):
@@ -116,8 +207,8 @@ def _entries(field: str, scope: str):
 
 
 def read_lockfiles(files: DataFrame) -> DataFrame:
-    """(root_name, dir, name, version): every pair that go.sum, yarn.lock and package-lock.json (top level and workspace members, no nested copies, no git
-    or file sources) state."""
+    """(root_name, dir, name, version): every pair that go.sum, yarn.lock, pnpm-lock.yaml, composer.lock, poetry.lock, uv.lock, Cargo.lock, Gemfile.lock and package-lock.json (top
+    level and workspace members, no nested copies, no git or file sources) state."""
     base = F.element_at(F.split("rel_path", "/"), -1)
     folder = F.regexp_replace("rel_path", "/?[^/]*$", "")
     f = files.select("root_name", folder.alias("dir"), base.alias("base"), "content")
@@ -133,4 +224,15 @@ def read_lockfiles(files: DataFrame) -> DataFrame:
     e = e.select("root_name", "dir", "p", F.regexp_extract("path", form, 1).alias("member"), F.regexp_extract("path", form, 2).alias("name"))
     e = e.where((F.col("name") != "") & ~F.col("member").contains("node_modules") & F.col("p.version").isNotNull() & ~F.coalesce(F.col("p.link"), F.lit(False)) & ~F.coalesce(F.col("p.resolved"), F.lit("")).rlike("^(git|git\\+|file:|link:|portal:|workspace:)"))
     npm = e.select("root_name", F.concat_ws("/", F.nullif("dir", F.lit("")), F.nullif("member", F.lit(""))).alias("dir"), "name", F.col("p.version").alias("version"))
-    return go.unionByName(yarn).unionByName(npm).distinct()
+    php = f.where("base = 'composer.lock'").withColumn("j", F.from_json("content", "packages array<struct<name:string,version:string>>, `packages-dev` array<struct<name:string,version:string>>"))
+    none = F.array().cast("array<struct<name:string,version:string>>")
+    php = php.select("root_name", "dir", F.explode(F.concat(F.coalesce("j.packages", none), F.coalesce("j.packages-dev", none))).alias("e")).select("root_name", "dir", "e.name", F.regexp_replace("e.version", "^v", "").alias("version"))
+    pnpm = r"^\s{2}'?/?((?:@[^/@']+/)?[^/@'\s(]+)[@/]([0-9][^:'(\s]*)(?:\([^)]*\))*'?:\s*(?:\{.*)?$"
+    at = line.where((F.col("base") == "pnpm-lock.yaml") & F.col("line").rlike(pnpm)).select("root_name", "dir", F.regexp_extract("line", pnpm, 1).alias("name"), F.regexp_extract("line", pnpm, 2).alias("version"))
+    block = line.where(F.col("base").isin("poetry.lock", "Cargo.lock", "uv.lock"))
+    opened = F.sum(F.col("line").rlike(r"^\[\[package\]\]").cast("int")).over(Window.partitionBy("root_name", "dir", "base").orderBy("pos"))
+    field = lambda k: F.min_by(F.nullif(F.regexp_extract("line", rf'^{k} = "([^"]*)"', 1), F.lit("")), F.when(F.col("line").rlike(rf"^{k} = "), F.col("pos")))
+    toml = block.withColumn("block", opened).where("block > 0").groupBy("root_name", "dir", "base", "block").agg(field("name").alias("name"), field("version").alias("version")).where("name is not null and version is not null").select("root_name", "dir", "name", "version")
+    gem = r"^ {4}([A-Za-z0-9][A-Za-z0-9_.-]*) \(([0-9][^)\s]*)\)$"
+    ruby = line.where((F.col("base") == "Gemfile.lock") & F.col("line").rlike(gem)).select("root_name", "dir", F.regexp_extract("line", gem, 1).alias("name"), F.regexp_extract("line", gem, 2).alias("version"))
+    return go.unionByName(yarn).unionByName(npm).unionByName(php).unionByName(at).unionByName(toml).unionByName(ruby).distinct()

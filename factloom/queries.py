@@ -659,12 +659,30 @@ def x8_comment_blocks(spark, sf_dir):
     return scans.doc_comments(f, "The").select(F.col("rel_path").alias("doc_id"), "start_line", "lines", F.length("text").cast("long").alias("size"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '\b(the|und|les|que)\b')) AS w FROM documents) SELECT doc_id, w AS detail, count(*) AS n FROM m GROUP BY ALL""")
+CODE_SQL = r"""code AS (SELECT doc_id, CASE lang WHEN 'en' THEN 'go' WHEN 'de' THEN 'java' WHEN 'fr' THEN 'ts' ELSE 'py' END AS ext,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'x.Begin(', 'g'), '\bund\b', '@Transactional', 'g'), '\bles\b', 'catch (', 'g'), '\bque\b', 'SELECT', 'g') AS content FROM documents)"""
+
+
+def docs_as_code(spark, sf_dir):
+    """Documents as files of four languages, in which common words stand for what the conventions look for."""
+    d = ad.table(spark, sf_dir, "documents")
+    ext = F.when(F.col("lang") == "en", "go").when(F.col("lang") == "de", "java").when(F.col("lang") == "fr", "ts").otherwise("py")
+    content = F.col("text")
+    for word, code in (("the", "x.Begin("), ("und", "@Transactional"), ("les", "catch ("), ("que", "SELECT")):
+        content = F.regexp_replace(content, rf"(?<!\w){word}(?!\w)", code)
+    return d.select(F.lit("r").alias("root_name"), F.concat_ws(".", F.col("doc_id"), ext).alias("rel_path"), content.alias("content"))
+
+
+@query(rf"""WITH {CODE_SQL}, l AS (SELECT doc_id, ext, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM code),
+m AS (SELECT doc_id, line_no, line, 'Begin' AS label, '\.Begin(?:Tx)?\s*\(' AS p FROM l WHERE ext = 'go' UNION ALL SELECT doc_id, line_no, line, '@Transactional', '@Transactional\b' FROM l WHERE ext = 'java' UNION ALL SELECT doc_id, line_no, line, 'catch', '\bcatch\b\s*[({{]' FROM l WHERE ext IN ('ts', 'java', 'py')
+  UNION ALL SELECT doc_id, line_no, line, 'sql', '\b(SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b' FROM l),
+n AS (SELECT doc_id, label, line_no, len(CASE label WHEN 'Begin' THEN regexp_extract_all(line, '\.Begin(?:Tx)?\s*\(') WHEN '@Transactional' THEN regexp_extract_all(line, '@Transactional\b') WHEN 'catch' THEN regexp_extract_all(line, '\bcatch\b\s*[({{]') ELSE regexp_extract_all(line, '\b(SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b') END) AS n,
+  length(regexp_extract(line, CASE label WHEN 'Begin' THEN '^(.*?)\.Begin(?:Tx)?\s*\(' WHEN '@Transactional' THEN '^(.*?)@Transactional\b' WHEN 'catch' THEN '^(.*?)\bcatch\b\s*[({{]' ELSE '^(.*?)\b(SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b' END, 1)) + 1 AS col FROM m)
+SELECT doc_id, label, line_no::BIGINT AS line, n::BIGINT AS n, col::BIGINT AS first_column FROM n WHERE n > 0""")
 def x1_scan_patterns(spark, sf_dir):
-    """The scan with a pattern of common words, by match; whole texts."""
-    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id"), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
-    m = scans.scan_patterns(f, (("word", ("txt",), r"\b(the|und|les|que)\b", "common", "low", 1),))
-    return m.groupBy(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc_id"), "detail").agg(F.count("*").alias("n"))
+    """All conventions over whole texts, by line."""
+    m = scans.scan_patterns(docs_as_code(spark, sf_dir))
+    return m.groupBy(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc_id"), "label", "line").agg(F.count("*").alias("n"), F.min("column").alias("first_column"))
 
 
 # Flows, routes and effects ----------------------------------------------------------------------------------------------------------

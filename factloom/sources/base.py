@@ -30,8 +30,14 @@ def write_derived(records: DataFrame, base: str, snapshot_id: str, table: str =
     return counts
 
 
-def write_behavior(facts: DataFrame, relations: DataFrame, base: str, snapshot_id: str, max_facts: int = 200_000, max_relations: int = 1_000_000) -> None:
-    """Replace the snapshot's behaviour model; over the bounds nothing is written."""
+def write_behavior(facts: DataFrame, relations: DataFrame, base: str, snapshot_id: str, max_facts: int = 200_000, max_relations: int = 1_000_000, violations: DataFrame | None = None) -> None:
+    """Replace the snapshot's behaviour model; over the bounds nothing is written, nor with violations(fact_id, reason) other than quarantines; facts that have one of
+    these are flagged quarantined."""
+    if violations is not None:
+        held = violations.where(F.col("reason").startswith("quarantined"))
+        if not violations.where(~F.col("reason").startswith("quarantined")).isEmpty():
+            raise ValueError("the behaviour model is not valid")
+        facts = facts.join(held.select("fact_id", F.lit(True).alias("quarantined")).distinct(), "fact_id", "left").withColumn("quarantined", F.coalesce("quarantined", F.lit(False)))
     if facts.limit(max_facts + 1).count() > max_facts or relations.limit(max_relations + 1).count() > max_relations:
         raise ValueError("the behaviour model exceeds its bounds")
     for df, name in ((facts, "behavior_facts"), (relations, "behavior_relations")):
@@ -66,6 +72,19 @@ def read_records(spark: SparkSession, base: str, snapshot_id: str, kind: str, sc
     return r.select("record_key", F.from_json("payload", schema).alias("p")).select("record_key", "p.*")
 
 
+def read_derived(spark: SparkSession, base: str, snapshot_id: str, kind: str, schema: StructType | str, table: str = "derived_records", keys: DataFrame | None = None) -> DataFrame:
+    """One kind of the derived records of a snapshot, typed; of keys(record_key) alone if given."""
+    r = spark.read.parquet(f"{base}/{table}").where((F.col("snapshot_id") == snapshot_id) & (F.col("kind") == kind))
+    r = r if keys is None else r.join(keys.select("record_key").distinct(), "record_key", "left_semi")
+    return r.select("record_key", F.from_json("payload", schema).alias("p")).select("record_key", "p.*")
+
+
+def read_behavior(spark: SparkSession, base: str, snapshot_id: str) -> tuple[DataFrame, DataFrame]:
+    """(facts, relations) of a snapshot's behaviour model."""
+    one = lambda name: spark.read.parquet(f"{base}/{name}").where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+    return one("behavior_facts"), one("behavior_relations")
+
+
 def kb_sql(spark: SparkSession, base: str, snapshot_id: str, text: str, tables: tuple[str, ...] = (RECORDS,), children: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """A SELECT over views that hold the snapshot's rows alone, so an unscoped read cannot be written. children(name -> (parent, key)) are tables without
     snapshot_id that take the scope of their parent's rows."""
@@ -95,6 +114,17 @@ def read_conflicts(records: DataFrame) -> DataFrame:
     return records.select("kind", "key", F.explode("conflicts").alias("c")).select("kind", "key", "c.*")
 
 
+def read_evidence_conflicts(evidence: DataFrame) -> DataFrame:
+    """(key, text, other): what merged evidence(key, text, conflicts array) was told otherwise."""
+    return evidence.select("key", "text", F.explode("conflicts").alias("other"))
+
+
+def read_capability_results(capabilities: DataFrame, provider_id: str | None = None) -> DataFrame:
+    """capabilities(provider_id, kind, outcome, records), of one provider if named, in the order of provider and kind."""
+    out = capabilities if provider_id is None else capabilities.where(F.col("provider_id") == provider_id)
+    return out.orderBy("provider_id", "kind")
+
+
 def was_attempted(capabilities: DataFrame, kind: str) -> bool:
     """Whether any provider was asked for the kind at all."""
     return not capabilities.where(F.col("kind") == kind).isEmpty()

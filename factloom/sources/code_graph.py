@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import parse_route_name
+
 # Which record an edge kind becomes.
 TYPE_EDGES = ("extends", "implements")
 CALL_EDGES = ("calls",)
@@ -30,7 +32,7 @@ def owned_nodes(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def graph_to_facts(nodes: DataFrame, edges: DataFrame, roots: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
-    """symbols, call_edges, references and type_relations of a graph; only nodes in files(root_name, rel_path) count as sources; an edge whose target is not known stays, with
+    """symbols, imports, routes, call_edges, references and type_relations of a graph; only nodes in files(root_name, rel_path) count as sources; an edge whose target is not known stays, with
     a reason. edges(from_id, to_id, kind)."""
     n = owned_nodes(nodes, roots).join(files.select("root_name", "rel_path").distinct(), ["root_name", "rel_path"], "left_semi")
     target = nodes.select(F.col("id").alias("to_id"), F.col("name").alias("to_name"))
@@ -38,7 +40,13 @@ def graph_to_facts(nodes: DataFrame, edges: DataFrame, roots: DataFrame, files:
     reason = F.when(F.col("to_name").isNull(), "target is not in the graph")
     pick = lambda cond: e.where(cond).select("root_name", "from_id", F.when(F.col("to_name").isNotNull(), F.col("to_id")).alias("to_id"), "to_name", F.when(F.col("kind") == "instantiates", "instantiate").otherwise(F.col("kind")).alias("kind"), reason.alias("unresolved_reason"))
     call, kind = F.col("kind").isin(*CALL_EDGES), F.col("kind").isin(*TYPE_EDGES)
-    return {"symbols": n.select("id", "root_name", "rel_path", "name", "kind"), "call_edges": pick(call), "type_relations": pick(kind), "references": pick(~call & ~kind)}
+    route = parse_route_name(F.col("name"))
+    made = {
+        "symbols": n.where("kind not in ('import', 'route')").select("id", "root_name", "rel_path", "name", "kind"),
+        "imports": n.where("kind = 'import'").select("root_name", "rel_path", F.col("name").alias("specifier")),
+        "routes": n.where("kind = 'route'").select("id", "root_name", "rel_path", route["method"].alias("method"), route["path"].alias("path")),
+    }
+    return made | {"call_edges": pick(call), "type_relations": pick(kind), "references": pick(~call & ~kind)}
 
 
 def import_edges_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
