@@ -190,12 +190,12 @@ def brute_patterns(edges, seeds, rounds, min_seeds, min_confidence):
             for kind in {k for v in values for k in scores.get(v, ())}:
                 confidence = sum(scores.get(v, {}).get(kind, 0) for v in values) / (len(values) + 1)
                 if sum(seeds.get(v) == kind for v in values) >= min_seeds and confidence >= min_confidence:
-                    accepted[p, kind] = round(confidence, 6)
+                    accepted[p, kind] = confidence
         scores = {v: {k: 1.0} for v, k in seeds.items()}
         for (p, kind), c in accepted.items():
             for v in edges[p] - seeds.keys():
                 scores.setdefault(v, {})[kind] = max(c, scores.get(v, {}).get(kind, 0))
-    return accepted
+    return {k: round(c, 6) for k, c in accepted.items()}
 
 
 def test_pattern_graph_is_that_of_brute_force(spark):
