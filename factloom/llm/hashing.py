@@ -1,9 +1,10 @@
-"""Hashes of many strings at once."""
+"""Words of many texts, and hashes of many strings, at once."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -18,6 +19,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 
 
+def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words (between ASCII white space, A-Z lower-cased) of all texts, null as empty, and the place of each text's first word and the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, at = lists.values, lists.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real), upto[at]
+
+
 def string_hashes(strings: pa.Array, step: int = 1 << 17) -> np.ndarray:
     """A 64-bit polynomial hash of each of an array of non-empty strings, so many at a time."""
     out = np.empty(len(strings), np.uint64)

@@ -7,8 +7,8 @@ concentrated as if t independent minima had been taken. Bands of ``rows`` coordi
 
 Documents with equal sets are one node. A bucket is not expanded into pairs: its members are compared with one
 member, verified links are contracted into components, and only buckets that still hold several components go
-on, with other centres and in the end with all pairs of different components that a bitmap filter does not rule out, so no
-candidate link is lost.
+on, with other centres. What is left is compared pair by pair behind a bitmap filter in small buckets, and joined on the rarest
+shingles (of which similar sets share one) across larger ones, so no candidate link is lost.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own component; a null
 doc_id takes part in no link, has a null component and is kept; rows that repeat an id with the same text get equal
@@ -26,45 +26,36 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, materialize, rows_named, text_hash
+from .common import materialize, rows_named, slices, text_hash
 from .graph import components
+from .hashing import GOLDEN, ascii_words, mix, string_hashes
 
 ROWS, BANDS = 5, 40
 PARITY_LONGS = 32
-_CACHE: dict[bytes, int] = {}
+#: Members of a bucket up to which its remaining pairs are compared within it; those of larger ones are joined on rare shingles.
+SMALL_BUCKET = 32
+#: Into how many tasks the rows of one set are dealt.
+SALTS = 64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_CACHE) > 200_000:
-        _CACHE.clear()
-    out = [_CACHE.get(w) for w in words]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _CACHE[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-    return np.array(out, np.uint64)
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the width-word shingles of the lower-cased text; of fewer words the whole sequence."""
-    words = (text or b"").translate(ASCII_LOWER).split()
-    if not words:
+def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the width-word shingles of a text whose words have these hashes; of fewer words the whole sequence."""
+    n = min(width, len(hashes))
+    if not n:
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
+    out = np.full(len(hashes) - n + 1, n, np.uint64)
     for i in range(n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+        out = mix(out * GOLDEN + hashes[i : len(hashes) - n + 1 + i])
     return np.unique(out)
 
 
+def shingle_sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
+    words, at = ascii_words(texts)
+    hashes = string_hashes(words)
+    for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield shingle_set(hashes[lo:hi], width)
+
+
 def fast_sketch(elements: np.ndarray, t: int) -> np.ndarray:
     """t coordinates (round << 32 | value) of a non-empty set."""
     out = np.full(t, np.iinfo(np.uint64).max)
@@ -83,7 +74,7 @@ def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
     parts = sketch.reshape(-1, rows)
     key = np.arange(len(parts), dtype=np.uint64) + np.uint64(1)
     for i in range(rows):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, i])
+        key = mix(key * GOLDEN + parts[:, i])
     return key.view(np.int64)
 
 
@@ -91,16 +82,15 @@ def sketch_documents(docs: DataFrame, width: int, rows: int, bands: int) -> Data
     """(doc_id, th, n_shingles, set_key binary, bands array<long>); th names the text, the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             n, keys, buckets = [], [], []
-            for text in b.column(2).to_pylist():
-                s = shingle_set(text, width)
+            for s in shingle_sets_of(b.column(2), width):
                 n.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 buckets.append(band_keys(fast_sketch(s, rows * bands), rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "th", "n_shingles", "set_key", "bands"])
 
-    return docs.select("doc_id", text_hash(), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, bands array<long>")
+    return docs.select("doc_id", text_hash(), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, set_key binary, bands array<long>")
 
 
 def parity_bits(elements: np.ndarray) -> np.ndarray:
@@ -113,12 +103,12 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, set array<long>, parity array<long>) of the documents whose id is in ids(id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t, width) for t in b.column(1).to_pylist()]
+        for b in slices(batches, 1):
+            sets = list(shingle_sets_of(b.column(1), width))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], longs), pa.array([parity_bits(s) for s in sets], longs)], names=["id", "set", "parity"])
 
-    picked = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text")).join(ids, "id", "left_semi")
+    picked = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     return picked.mapInArrow(run, "id long, set array<long>, parity array<long>")
 
 
@@ -140,18 +130,38 @@ def _star_pairs(members: DataFrame, seed: int) -> DataFrame:
     return members.join(centre, "bucket").where("component <> c.component").select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
 
 
+def _close(m: DataFrame, other: DataFrame, percent: int) -> Column:
+    """Different components, and parity bitmaps (which differ in at most as many bits as the sets in elements) that let the sets be similar."""
+    apart = sum((F.bit_count(m[f"p{i}"].bitwiseXOR(other[f"p{i}_b"])) for i in range(PARITY_LONGS)), F.lit(0))
+    # similar sets differ in (100 - percent) / (100 + percent) of their summed sizes at most
+    return (m["component"] != other["component_b"]) & (m["id"] < other["id_b"]) & ((100 + percent) * apart <= (100 - percent) * (m["n"] + other["n_b"]))
+
+
+def _met(m: DataFrame, key: str, percent: int) -> DataFrame:
+    other = m.toDF(*(f"{c}_b" for c in m.columns))
+    return m.join(other, (m[key] == other[f"{key}_b"]) & _close(m, other, percent)).select(m["id"].alias("a"), other["id_b"].alias("b"))
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, token): the rarest shingles of each of sets(id, set), as many as a similar set must share one of; those of one set alone left out."""
+    each = sets.select("id", F.explode("set").alias("token"))
+    counted = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
+    inorder = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    most = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
+    return inorder.select("id", F.explode(F.slice("t", F.lit(1), most)).alias("t")).where("t.n > 1").select("id", "t.token")
+
+
 def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket's members whose components differ and whose sets may be similar. The parity bitmaps of two sets differ in at
-    most as many bits as the sets in elements, so all but close pairs are ruled out inside the join, which carries no sets."""
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+    """Pairs whose components differ and whose sets may be similar, of what the stars left in one bucket: compared within a small bucket, and among
+    the members of all larger ones joined on rare shingles, so that no bucket's square is formed. No set is carried through the joins."""
+    state = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi")
     bits = sets.select("id", F.size("set").alias("n"), *(F.col("parity")[i].alias(f"p{i}") for i in range(PARITY_LONGS)))
-    m = members.join(mixed, "bucket").select("bucket", "id", "component").join(bits, "id")
-    other = m.toDF(*(f"{c}_b" for c in m.columns))
-    apart = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY_LONGS)), F.lit(0))
-    # similar sets differ in (100 - percent) / (100 + percent) of their summed sizes at most
-    possible = (F.col("component") != F.col("component_b")) & (F.col("id") < F.col("id_b")) & ((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
-    joined = m.join(other, (m["bucket"] == other["bucket_b"]) & possible)
-    return joined.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    left = materialize(members.join(state.select("bucket", "size"), "bucket").select("bucket", "id", "component", "size"), "left")
+    small = left.where(F.col("size") <= SMALL_BUCKET).drop("size").join(bits, "id")
+    large = left.where(F.col("size") > SMALL_BUCKET).select("id", "component").distinct()
+    rare = _rare_shingles(sets.select("id", "set").join(large.select("id"), "id", "left_semi"), percent)
+    dealt = large.join(rare, "id").join(bits, "id")
+    return _met(small, "bucket", percent).union(_met(dealt, "token", percent)).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = ROWS, bands: int = BANDS, star_rounds: int = 3) -> DataFrame:
@@ -176,13 +186,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         labels = components(links)
         members = busy.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
-    members = known.select("doc_id", "set_key").join(nodes.select("set_key", F.col("x.doc_id").alias("node")), "set_key").select("doc_id", "set_key", "node").distinct()
+    nodes = nodes.select("set_key", F.col("x.doc_id").alias("node"))
     if labels is not None:
-        members = members.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
-    out = sketches.select("doc_id", "th", "n_shingles", "set_key").join(
-        members.select(F.col("doc_id").alias("m_id"), F.col("set_key").alias("m_key"), "node"), (F.col("doc_id") == F.col("m_id")) & (F.col("set_key") == F.col("m_key")), "left"
-    )
-    out = out.select("doc_id", "th", "n_shingles", F.coalesce("node", "doc_id").alias("component_id"))
+        nodes = nodes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
+    # a set may be that of a third of all rows: its node meets one row for each of the salts, and these the rows
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    some = known.select("set_key", salt).distinct().join(nodes.select("set_key", "node"), "set_key")
+    out = known.select("doc_id", "th", "n_shingles", "set_key", salt).join(some, ["set_key", "salt"]).select("doc_id", "th", "n_shingles", F.col("node").alias("component_id"))
+    alone = sketches.where("doc_id is null or set_key is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 

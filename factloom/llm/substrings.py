@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .neardup import mix
+from .hashing import BYTE_CODE, mix
 from .suffix import equal_classes
 
 MATCH, GRAM = 100, 32
@@ -36,7 +36,6 @@ WINDOW = MATCH - GRAM + 1
 HOT = 20_000
 #: Strings of a text that are looked at together; a longer text is worked off in such steps.
 STEP = 1 << 22
-BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def gram_hashes(x: np.ndarray) -> np.ndarray:
