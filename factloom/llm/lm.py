@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .common import crc_mod, materialize, slices, text_hash, values
+from .hashing import ascii_words
 from .tokens import word_encoder
 
 #: Ids of the vocabulary file, then the end and the begin of a text. They fit 16 bits.
@@ -72,15 +73,6 @@ def id_counts(encoded: DataFrame) -> np.ndarray:
     return counts
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The lower-cased words of all texts, and the place of each text's first word and the end."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    words, at = lists.values, lists.offsets.to_numpy()
-    real = pc.greater(pc.binary_length(words), 0)
-    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
-    return words.filter(real), upto[at]
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(key, n) of the words of all rows of docs(text)."""
 
@@ -90,7 +82,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for b in slices(batches, 0, 8 << 20):
-            counts = split_words(b.column(0))[0].value_counts()
+            counts = ascii_words(b.column(0))[0].value_counts()
             parts.append(pa.table({"key": counts.field("values"), "n": counts.field("counts")}))
             held += len(counts)
             if held > 2 * HELD_WORDS:
@@ -113,6 +105,7 @@ def train_round(texts: DataFrame, vocab: A.Vocabulary, params: dict[str, np.ndar
         return pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([flat], pa.list_(pa.float64()))], names=["n", "params"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A.reuse_freed_memory()
         vocab, start = shared.value
         trainer, n = A.Trainer(start, vocab, rate), 0
         for b in batches:
@@ -153,6 +146,7 @@ def model_scores(encoded: DataFrame, vocab: A.Vocabulary, params: dict[str, np.n
     shared = encoded.sparkSession.sparkContext.broadcast((vocab, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A.reuse_freed_memory()
         vocab, params = shared.value
         scorer = A.Scorer(params)
         for b in batches:
@@ -189,7 +183,7 @@ def word_scores(docs: DataFrame, counts: DataFrame, ends: int, head: int) -> tup
         known = shared.value.column("key").combine_chunks().cast(pa.string()) if shared.value.num_rows else pa.array([], pa.string())
         gain = np.append(np.log10((shared.value.column("n").to_numpy() + 0.1) / bottom), 0)
         for b in slices(batches, 3, 8 << 20):
-            words, at = split_words(b.column(3))
+            words, at = ascii_words(b.column(3))
             coded = words.dictionary_encode()
             place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), len(known)).to_numpy(zero_copy_only=False)
             word = coded.indices.to_numpy()
@@ -218,7 +212,7 @@ def score_texts(docs: DataFrame, tokenizer: str, rounds: int = 3, head: int = 30
     train = docs.where(~is_held_out())
     counts = materialize(word_counts(train), "words")
     ends = train.count()
-    scores = model_scores(encoded, *fit(encoded, rounds)).dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "m_id", "th": "m_th"})
+    scores = materialize(model_scores(encoded, *fit(encoded, rounds)), "scores").dropDuplicates(["doc_id", "th"]).withColumnsRenamed({"doc_id": "m_id", "th": "m_th"})
     words, total = word_scores(docs, counts, ends, head)
     both = words.join(scores, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th")))
     return both.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

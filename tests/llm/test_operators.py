@@ -366,13 +366,17 @@ def brute_components(rows, width, percent):
     return [(i, len(s), None if i is None else least[find(a)], i is None or i == least[find(a)]) for a, (i, s) in enumerate(nodes)]
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(docs, rows, width):
+@pytest.mark.parametrize(("width", "small"), [(2, 32), (5, 32), (2, 0)])
+def test_near_duplicates(docs, rows, width, small, monkeypatch):
+    """Also with all remaining pairs found on rare shingles."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     got = neardup.near_duplicates(docs, width=width).collect()
     assert counted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == counted(brute_components(rows, width, 80))
 
 
-def test_near_duplicates_in_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [32, 0])
+def test_near_duplicates_in_chains_and_stars(spark, small, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", small)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[:k] + [f"x{k}"] + base[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(base[5:] + [f"y{j}" for j in range(5)])] * 3
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
