@@ -8,11 +8,8 @@ their own input vectors, the others share that of their class.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterable, Iterator
-from contextlib import suppress
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 
@@ -27,16 +24,6 @@ SCALE = np.float32(1 / np.sqrt(DIM))
 SAFE = 60
 
 
-@cache
-def reuse_freed_memory(most: int = 64 << 20) -> None:
-    """Has the C library keep so many freed bytes at hand. By default it gives the memory of each batch's arrays back and fetches it anew, which
-    costs as much as a third of the work. Where there is no such call, nothing changes."""
-    with suppress(OSError, AttributeError):
-        library = ctypes.CDLL(None)
-        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
-            library.mallopt(option, most)
-
-
 @dataclass
 class Vocabulary:
     """What the id counts of the training texts determine; the last two ids are the end and the begin of a text."""

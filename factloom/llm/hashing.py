@@ -1,7 +1,11 @@
-"""Words of many texts, and hashes of many strings, at once."""
+"""Work on many texts at once: their words, hashes of many strings, and the memory that such arrays take."""
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +23,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * GOLDEN)
 
 
+@cache
+def reuse_freed_memory(most: int = 64 << 20) -> None:
+    """Has the C library keep so many freed bytes at hand. By default it gives the memory of each batch's arrays back and fetches it anew, which
+    costs as much as a third of the work. Where there is no such call, nothing changes."""
+    with suppress(OSError, AttributeError):
+        library = ctypes.CDLL(None)
+        for option in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            library.mallopt(option, most)
+
+
 def ascii_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words (between ASCII white space, A-Z lower-cased) of all texts, null as empty, and the place of each text's first word and the end."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))

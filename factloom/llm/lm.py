@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import attention as A
 from .common import crc_mod, materialize, slices, text_hash, values
-from .hashing import ascii_words
+from .hashing import ascii_words, reuse_freed_memory
 from .tokens import word_encoder
 
 #: Ids of the vocabulary file, then the end and the begin of a text. They fit 16 bits.
@@ -105,7 +105,7 @@ def train_round(texts: DataFrame, vocab: A.Vocabulary, params: dict[str, np.ndar
         return pa.RecordBatch.from_arrays([pa.array([n], pa.float64()), pa.array([flat], pa.list_(pa.float64()))], names=["n", "params"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        A.reuse_freed_memory()
+        reuse_freed_memory()
         vocab, start = shared.value
         trainer, n = A.Trainer(start, vocab, rate), 0
         for b in batches:
@@ -146,7 +146,7 @@ def model_scores(encoded: DataFrame, vocab: A.Vocabulary, params: dict[str, np.n
     shared = encoded.sparkSession.sparkContext.broadcast((vocab, params))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        A.reuse_freed_memory()
+        reuse_freed_memory()
         vocab, params = shared.value
         scorer = A.Scorer(params)
         for b in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, rows_named, slices, text_hash
 from .graph import components
-from .hashing import GOLDEN, ascii_words, mix, string_hashes
+from .hashing import GOLDEN, ascii_words, mix, reuse_freed_memory, string_hashes
 
 ROWS, BANDS = 5, 40
 PARITY_LONGS = 32
@@ -82,6 +82,7 @@ def sketch_documents(docs: DataFrame, width: int, rows: int, bands: int) -> Data
     """(doc_id, th, n_shingles, set_key binary, bands array<long>); th names the text, the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed_memory()
         for b in slices(batches, 2):
             n, keys, buckets = [], [], []
             for s in shingle_sets_of(b.column(2), width):

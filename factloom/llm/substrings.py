@@ -4,7 +4,7 @@ A byte goes if it is covered by a ``match``-byte string that also starts earlier
 document. Sorting every suffix of the corpus is not needed: each match-byte string has one anchor, the hash-least of its
 ``GRAM``-byte substrings (the rightmost of equals), which its every occurrence holds at the same place.
 
-1. Anchors (about one in 35 positions) are hashed and shuffled; only those whose hash occurs twice go on.
+1. Anchors (about one in 35 positions) are hashed and counted, equal ones of a slice of texts as one row; only those whose hash occurs twice go on.
 2. Around these the context is cut out that the strings with this anchor cover. Equal contexts in one task are merged
    before the shuffle, all but the earliest being repeats already, so a passage in a third of all documents costs one row a task.
 3. Contexts of one anchor meet; the suffixes at all their string starts are sorted (suffix.py), equal neighbours form a class, and all
@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .hashing import BYTE_CODE, mix
+from .common import discard, materialize, slices, values
+from .hashing import BYTE_CODE, mix, reuse_freed_memory
 from .suffix import equal_classes
 
 MATCH, GRAM = 100, 32
@@ -84,18 +84,36 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(k, th, marks): the anchors (pos, n) of each document whose hash occurs n > 1 times."""
+    """(k, th, marks): the anchors (place, h) of each document whose hash occurs more than once. place packs the anchor's position, how far before it
+    its first string starts and how many more start there; h is the hash, its last bit telling whether it occurs over HOT times.
+
+    Of the equal anchors of one slice of texts one stands for all when occurrences are counted, so an anchor in a third of all documents is one row a
+    slice there; the others learn the count from it, met on slice and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [anchors(t) for t in b.column(2).to_pylist()]
+        reuse_freed_memory()
+        for b in slices(batches, 2, 8 << 20):
+            got = [anchors(t) for t in values(b.column(2))]
             n = [len(g[0]) for g in got]
-            cat = lambda i: np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(cat(0)), pa.array(cat(3))], names=["k", "th", "pos", "h"])
-
-    found = docs.where(F.octet_length("text") >= MATCH).select("k", "th", "text").mapInArrow(run, "k long, th long, pos long, h long")
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").select("k", "th", "pos", "n")
-    return materialize(twice, "anchors").groupBy("k", "th").agg(F.collect_set(F.struct("pos", "n")).alias("marks"))
+            pos, first, last, h = (np.concatenate([g[i] for g in got]) for i in range(4))
+            k, th = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+            _, stands, counts = np.unique(h, return_index=True, return_counts=True)
+            times = np.zeros(len(h), np.int64)
+            times[stands] = counts
+            name = np.full(len(h), xxhash.xxh3_64_intdigest(b.column(0)[0].as_py().to_bytes(8, "little", signed=True) + b.column(1)[0].as_py().to_bytes(8, "little", signed=True)) >> 1)
+            place = pos << 14 | (pos - first) << 7 | (last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (name, h, k, th, place, times)], names=["slice", "h", "k", "th", "place", "times"])
+
+    picked = docs.where(F.octet_length("text") >= MATCH).select("k", "th", "text")
+    found = materialize(picked.mapInArrow(run, "slice long, h long, k long, th long, place long, times long"), "found")
+    stand = found.where("times > 0").withColumn("n", F.sum("times").over(Window.partitionBy("h"))).where("n > 1")
+    stand = materialize(stand.select("slice", "h", "k", "th", "place", "times", (F.col("n") > HOT).alias("hot")), "stand")
+    rest = found.where("times = 0").join(stand.where("times > 1").select("slice", "h", "hot"), ["slice", "h"])
+    marked = F.shiftleft(F.shiftright("h", 1), 1).bitwiseOR(F.col("hot").cast("long"))
+    every = stand.unionByName(rest, allowMissingColumns=True).select("k", "th", F.struct("place", marked.alias("h")).alias("mark"))
+    out = materialize(every.groupBy("k", "th").agg(F.collect_set("mark").alias("marks")), "anchors")
+    discard(found, stand)
+    return out
 
 
 CONTEXT = "repeat boolean, h long, sub long, r long, k long, th long, start long, stop long, context binary"
@@ -119,15 +137,15 @@ def contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
                 yield batch([(False, h, sub, r, k, th, start, start + len(c) - MATCH, c) for (h, sub, r, c), (k, th, start) in items[i : i + 20_000]])
 
         held = 0
-        for b in batches:
+        for b in slices(batches, 2, 8 << 20):
             out: list[tuple] = []
-            for k, th, text, marks in zip(*(c.to_pylist() for c in b.columns)):
-                n_of = {m["pos"]: m["n"] for m in marks}
-                pos, first, last, h = anchors(text)
-                for p, lo, hi, x in zip(pos.tolist(), first.tolist(), last.tolist(), h.tolist()):
-                    if not (n := n_of.get(p)):
-                        continue
-                    if n <= HOT:
+            for k, th, text, marks in zip(*map(values, b.columns)):
+                for m in marks:
+                    place, x = m["place"], m["h"]
+                    p = place >> 14
+                    lo = p - (place >> 7 & 127)
+                    hi = lo + (place & 127)
+                    if not x & 1:
                         cuts = [(x, 0, p - lo, text[lo : hi + MATCH], lo)]
                     else:
                         strings = [(s, text[s : s + MATCH]) for s in range(lo, hi + 1)]
@@ -200,6 +218,7 @@ def repeated_starts(found: DataFrame) -> DataFrame:
     """SPANS (first and last string start) of the repeats among context rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed_memory()
         waiting: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
@@ -230,7 +249,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for text, spans in zip(values(b.column(1)), values(b.column(2))):
                 text, at, runs, kept = text or b"", 0, 0, []
                 for s in sorted((s["start"], s["stop"] + MATCH) for s in spans or ()):
                     if s[0] > at or (s[0] == 0 and not runs):
