@@ -155,7 +155,7 @@ def read_manifests(files: DataFrame) -> DataFrame:
     eco = F.when(F.col("base") == "Cargo.toml", "cargo").otherwise("pip")
     named = table.select("root_name", "dir", eco.alias("ecosystem"), F.regexp_extract("line", pair, 1).alias("name"), stated.alias("version_constraint"), scope.alias("scope")).where("not (ecosystem = 'pip' and name = 'python')")
     listed = toml.where("base = 'pyproject.toml' and section = 'project'").groupBy("root_name", "dir").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", "line")))["line"], "\n").alias("body"))
-    wanted = F.regexp_extract_all(F.regexp_extract("body", r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)\n?\]", 1), F.lit('"([^"]+)"'), F.lit(1))
+    wanted = F.regexp_extract_all(F.regexp_extract("body", r"(?s)(?:^|\n)dependencies\s*=\s*\[(.*?)(?:\n\s*\]|\]\s*(?:\n|$))", 1), F.lit('"([^"]+)"'), F.lit(1))
     need = r"^([A-Za-z0-9][A-Za-z0-9._-]*)(?:\[[^\]]*\])?\s*([^;]*)"
     project = listed.select("root_name", "dir", F.explode(wanted).alias("d")).select("root_name", "dir", F.lit("pip").alias("ecosystem"), F.regexp_extract("d", need, 1).alias("name"), F.nullif(F.trim(F.regexp_extract("d", need, 2)), F.lit("")).alias("version_constraint"), F.lit("runtime").alias("scope"))
     pom = f.where("base = 'pom.xml'").select("root_name", "dir", F.explode(F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))).alias("d"))
