@@ -84,6 +84,18 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 2 << 20)
             yield b.slice(lo, hi - lo)
 
 
+#: Into how many tasks the rows of one key are dealt by dealt_lookup().
+SALTS = 64
+
+
+def dealt_lookup(rows: DataFrame, table: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """rows joined with table on key, where one key may be that of a third of all rows: these are dealt to SALTS tasks by a hash of the columns by, and table
+    meets one row for each key and task. rows is read twice."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)))
+    some = salted.select(key, "__salt").distinct().join(table, key)
+    return salted.join(some, [key, "__salt"]).drop("__salt")
+
+
 def crc_mod(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % mod

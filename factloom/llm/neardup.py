@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rows_named, slices, text_hash
+from .common import dealt_lookup, materialize, rows_named, slices, text_hash
 from .graph import components
 from .hashing import GOLDEN, ascii_words, mix, reuse_freed_memory, string_hashes
 
@@ -34,8 +34,6 @@ ROWS, BANDS = 5, 40
 PARITY_LONGS = 32
 #: Members of a bucket up to which its remaining pairs are compared within it; those of larger ones are joined on rare shingles.
 SMALL_BUCKET = 32
-#: Into how many tasks the rows of one set are dealt.
-SALTS = 64
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -190,10 +188,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     nodes = nodes.select("set_key", F.col("x.doc_id").alias("node"))
     if labels is not None:
         nodes = nodes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node"))
-    # a set may be that of a third of all rows: its node meets one row for each of the salts, and these the rows
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
-    some = known.select("set_key", salt).distinct().join(nodes.select("set_key", "node"), "set_key")
-    out = known.select("doc_id", "th", "n_shingles", "set_key", salt).join(some, ["set_key", "salt"]).select("doc_id", "th", "n_shingles", F.col("node").alias("component_id"))
+    out = dealt_lookup(known.select("doc_id", "th", "n_shingles", "set_key"), nodes.select("set_key", F.col("node").alias("component_id")), "set_key", ["doc_id"])
+    out = out.select("doc_id", "th", "n_shingles", "component_id")
     alone = sketches.where("doc_id is null or set_key is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

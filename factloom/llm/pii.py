@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialize, text_hash
+from .common import dealt_lookup, lower_ascii, materialize, text_hash
 from .spans import count_kind, joined, no_spans, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
@@ -97,18 +97,18 @@ def slot(*parts: Column) -> Column:
 
 
 def slots_taken(patterns: DataFrame) -> Column:
-    """A constant of SLOTS bytes: 1 where an opening of patterns, or its first word behind LR, falls."""
+    """A constant of SLOTS bytes: 1 where a pattern, its opening, or the first word of an LR opening falls."""
     left = F.regexp_extract("opening", "^(LR [^ ]*) ", 1)
-    taken = patterns.select(F.explode(F.array(slot(F.col("opening")), slot(F.when(left != "", left).otherwise(F.col("opening"))))).alias("at")).distinct()
+    keys = F.array(slot(F.col("pattern")), slot(F.col("opening")), slot(F.when(left != "", left).otherwise(F.col("opening"))))
     bits = bytearray(SLOTS)
-    for r in taken.collect():  # SLOTS numbers at most, however many patterns there are
+    for r in patterns.select(F.explode(keys).alias("at")).distinct().collect():  # SLOTS numbers at most, however many patterns there are
         bits[r.at] = 1
     return F.lit(bits)
 
 
 def instances(base: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, th, at, parts, value, pattern): what stands in a place of patterns(pattern, opening) and is no base match; at counts parts.
-    Places whose opening no pattern can have are left out where the text is read, by a fixed-size table of hashes; the join settles the rest."""
+    What no pattern can have is left out where the text is read, by a fixed-size table of hashes; the join settles the rest."""
     bits = slots_taken(patterns)
     may = lambda *p: F.substring(bits, slot(*p) + 1, F.lit(1)) == F.lit(bytearray(b"\1"))
     words = base.select("doc_id", "th", words_in(masked()).alias("w"))
@@ -125,16 +125,19 @@ def instances(base: DataFrame, patterns: DataFrame) -> DataFrame:
     both = lambda i: F.concat_ws(" ", F.lit("LR"), word(i - 1, "^"), F.lit("_"), word(i + run_at(i), "$"))
     fits = lambda i: (F.col("w")[i] != MASK) & (may(left(i)) | (may(F.concat_ws(" ", F.lit("LR"), word(i - 1, "^"))) & may(both(i))))
     at = F.filter(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)), fits)
-    place = lambda i: F.struct(i.alias("at"), run_at(i).alias("run"), F.slice("w", i + 1, F.lit(MOST + 1)).alias("rest"), F.array(left(i), both(i)).alias("openings"))
-    places = words.select("doc_id", "th", F.inline(F.transform(at, place))).select("doc_id", "th", "at", "rest", "run", F.explode("openings").alias("opening"))
-    near = places.join(patterns.select("opening").distinct(), "opening", "left_semi")
-    follows = lambda n: F.coalesce(F.get(F.col("rest"), n), F.lit("$"))
-    one = F.struct(F.col("opening").alias("pattern"), F.col("run").alias("parts"))
-    masks = F.array_position("rest", MASK).cast("int")
-    upto = F.least(F.size("rest"), F.lit(MOST), F.when(masks > 0, masks - 1).otherwise(MOST))
-    more = F.transform(F.sequence(F.lit(1), upto), lambda n: F.struct(F.concat_ws(" ", F.lit("LL"), "opening", F.lit("_"), follows(n)).alias("pattern"), n.alias("parts")))
-    each = near.select("doc_id", "th", "at", "rest", F.explode(F.when(F.col("opening").startswith("L "), F.concat(F.array(one), more)).otherwise(F.array(one))).alias("p"))
-    each = each.select("doc_id", "th", "at", "p.*", F.concat_ws(" ", F.slice("rest", F.lit(1), F.col("p.parts"))).alias("value")).where(F.rlike("value", F.lit(r"[\p{L}\p{N}]")))
+
+    def held(i: Column) -> Column:
+        """The instances that begin at i."""
+        rest = F.slice(F.col("w"), i + 1, F.lit(MOST))
+        masks = F.array_position(rest, MASK).cast("int")
+        upto = F.when(masks > 0, masks - 1).otherwise(F.size(rest))
+        one = lambda pattern, n: F.struct(i.alias("at"), n.cast("int").alias("parts"), F.concat_ws(" ", F.slice(F.col("w"), i + 1, n)).alias("value"), pattern.alias("pattern"))
+        none = F.array().cast("array<struct<at:int,parts:int,value:string,pattern:string>>")
+        wider = F.transform(F.sequence(F.lit(1), upto), lambda n: one(F.concat_ws(" ", F.lit("LL"), left(i), F.lit("_"), word(i + n, "$")), n))
+        every = F.concat(F.array(one(left(i), run_at(i)), one(both(i), run_at(i))), F.when(may(left(i)), wider).otherwise(none))
+        return F.filter(every, lambda x: may(x["pattern"]))
+
+    each = words.select("doc_id", "th", F.inline(F.flatten(F.transform(at, held)))).where(F.rlike("value", F.lit(r"[\p{L}\p{N}]")))
     return each.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
 
 
@@ -187,7 +190,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, min_seeds: int = 3, min
     free = materialize(instances(base, patterns), "instances")
     edges = seeds.join(patterns.select("pattern"), "pattern", "left_semi").select("value", "kind", "pattern").unionByName(free.select("value", F.lit(None).cast("int").alias("kind"), "pattern"))
     accepted = accepted_patterns(edges, rounds, min_seeds, min_confidence)
-    best = free.join(accepted, "pattern").groupBy("doc_id", "th", "at", "parts").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
+    best = dealt_lookup(free, accepted, "pattern", ["doc_id", "th", "at"]).groupBy("doc_id", "th", "at", "parts").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     found = spans_at(base, best)
     return base.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th")), "left").select("doc_id", "base", F.coalesce("found", no_spans()).alias("found"))
 

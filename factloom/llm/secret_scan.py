@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, materialize, text_hash
+from .common import carried, dealt_lookup, materialize, text_hash
 from .spans import count_kind, joined, no_spans, overlapping, with_matches
 
 KINDS = ("assign", "access", "hex")
@@ -58,9 +58,9 @@ def ownership(found: DataFrame, example_owners: int) -> DataFrame:
 def find_secrets(docs: DataFrame, owner: str = "source", example_owners: int = 3) -> DataFrame:
     """doc_id, th and spans (SPAN with its verdict; base ones, and added tokens that are no example) for each row of docs."""
     found = materialize(scan(docs, owner), "secrets")
-    verdicts = ownership(found, example_owners)
+    verdicts = materialize(ownership(found, example_owners), "verdicts")
     each = found.where("size(base) + size(tokens) > 0").select("doc_id", "th", F.explode(F.concat("base", "tokens")).alias("s")).withColumn("value", F.sha2(secret_value(F.col("s.kind"), F.col("s.value")), 256))
-    judged = each.join(verdicts.select("value", "verdict"), "value").where("s.kind <> 'token' or verdict <> 'example'")
+    judged = dealt_lookup(each, verdicts.select("value", "verdict"), "value", ["doc_id", "th"]).where("s.kind <> 'token' or verdict <> 'example'")
     span = F.struct("s.kind", "s.rank", "s.start", "s.end", "s.value", "verdict")
     spans = judged.groupBy("doc_id", "th").agg(F.collect_set(span).alias("spans")).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
     none = no_spans().cast("array<struct<kind:string,rank:int,start:int,end:int,value:string>>")
