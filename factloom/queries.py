@@ -276,7 +276,7 @@ v AS (SELECT g.e, least(total, 45)::BIGINT AS n_steps, CASE WHEN total >= 45 THE
 SELECT v.e AS entry_id, n_steps, truncation, CASE WHEN truncation = 'completed' THEN NULL WHEN truncation = 'unresolved-edge' THEN un WHEN truncation = 'max-branches' THEN coalesce(hub, x.n) ELSE x.n END AS detail, truncation <> 'completed' AS partial FROM v JOIN x ON x.e = v.e AND x.pos = n_steps""")
 def g1_build_traces(spark, sf_dir):
     """From every customer, with bounds of which each is met by some: two levels, 12 branches, 45 steps."""
-    e = ad.supply_graph(spark, sf_dir)
+    e = graphs.cut(ad.supply_graph(spark, sf_dir))
     entries = ad.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("entry_id")).distinct().withColumn("node", F.col("entry_id"))
     symbols = e.select(F.col("caller_id").alias("id")).union(e.select("callee_id").where("callee_id is not null"))
     t = graphs.build_traces(entries, symbols, e, max_depth=2, max_steps=45, max_branches=12)
@@ -286,7 +286,7 @@ def g1_build_traces(spark, sf_dir):
 @query(f"""WITH {ad.GRAPH_SQL}, s AS (SELECT DISTINCT caller_id AS id FROM edges)
 SELECT id, CASE WHEN id LIKE 'c%' THEN 'precise' WHEN id LIKE 'o%' THEN 'candidate' ELSE 'structure-root' END AS class FROM s WHERE id LIKE 'c%' OR id LIKE 'o%' OR id NOT IN (SELECT callee_id FROM edges WHERE callee_id IS NOT NULL)""")
 def g2_entries(spark, sf_dir):
-    e = ad.supply_graph(spark, sf_dir)
+    e = graphs.cut(ad.supply_graph(spark, sf_dir))
     s = e.select(F.col("caller_id").alias("id")).distinct().withColumns({"kind": F.lit("function"), "visibility": F.when(F.col("id").startswith("o"), "public").otherwise("private")})
     return graphs.identify_entries(s.where("id like 'c%'").select("id"), s, e)
 
@@ -536,7 +536,7 @@ def b4_transitions(spark, sf_dir):
 @query(f"""WITH {ad.GRAPH_SQL}, t AS (SELECT DISTINCT caller_id AS id FROM edges WHERE caller_id LIKE 'o%5' OR caller_id LIKE 'p%'), c AS (SELECT DISTINCT caller_id AS test_id, callee_id AS target_id FROM edges WHERE caller_id IN (SELECT id FROM t) AND (callee_id IS NULL OR callee_id NOT IN (SELECT id FROM t)))
 SELECT *, CASE WHEN target_id IS NULL THEN 'unresolved' ELSE 'covered' END AS status FROM c UNION ALL SELECT id, NULL, 'unknown' FROM t WHERE id NOT IN (SELECT test_id FROM c)""")
 def j17_test_relations(spark, sf_dir):
-    e = ad.supply_graph(spark, sf_dir)
+    e = graphs.cut(ad.supply_graph(spark, sf_dir))
     s = e.select(F.col("caller_id").alias("id")).distinct().withColumn("is_test", F.col("id").like("o%5") | F.col("id").like("p%"))
     return behavior.test_relations(s, e)
 
