@@ -15,9 +15,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words in most contracts: space and \t\n\v\f\r, what bytes.split() splits on.
-WORD_RE = "[^\\x20\\x09-\\x0D]+"
-ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _own_dir: str | None = None

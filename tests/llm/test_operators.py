@@ -477,6 +477,28 @@ def test_limits_hold_in_each_dimension():
         packing.dot_product_bins(np.array([[101, 1, 1]]), np.array([100, 3, 40]))
 
 
+def brute_bins(demand, capacity):
+    """The heuristic item by item: what fits and has the greatest product; among equals the least demand, then the first."""
+    weight, todo, bins = (demand / capacity).mean(0), list(range(len(demand))), []
+    while todo:
+        room, mine = capacity.copy(), []
+        while fit := [i for i in todo if (demand[i] <= room).all()]:
+            best = min(fit, key=lambda i: (-round(float((demand[i] / capacity) @ (weight * room / capacity)), 12), tuple(demand[i]), i))
+            mine.append(best)
+            todo.remove(best)
+            room = room - demand[best]
+        bins.append(mine)
+    return bins
+
+
+def test_bins_are_those_of_brute_force():
+    r = np.random.default_rng(5)
+    for _ in range(20):
+        demand = np.stack([r.integers(1, 60, 40), np.ones(40, int), r.integers(0, 30, 40)], 1)
+        capacity = np.array([100, r.integers(2, 9), r.integers(30, 90)])
+        assert packing.dot_product_bins(demand, capacity) == brute_bins(demand, capacity)
+
+
 def test_each_of_the_three_limits_binds():
     """The sizes of the bins are those of the one limit that is short: tokens, segments, loss-bearing tokens."""
     for piece, most in (([50, 1, 1], 2), ([1, 1, 1], 3), ([10, 1, 40], 1)):
