@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grades, keys, names, paths
-from .operators import audit, behavior, effects, flows, graphs, health, history, link, merge, modules, rules, scans, wiring
+from .operators import audit, behavior, effects, flows, graphs, health, history, merge, modules, rules, scans, wiring
 from .plans import adapters as ad
 from .queries import SCORED_SQL, SETS_SQL, query, size_sets, type_conditions
 from .sources import base, code_graph
