@@ -159,6 +159,11 @@ def assemble_flows(parts: DataFrame, k: int = 12) -> DataFrame:
     return g.select("flow_id", F.transform("s", lambda x: F.struct(x["label"].alias("label"), x["resolved"].alias("resolved"))).alias("steps"), "partial", "more")
 
 
+def skipped_routes(routes: DataFrame, features: DataFrame) -> DataFrame:
+    """(route_id, reason): the routes(route_id) that no feature(route_id, feature_id) holds, so that no flow is made of them."""
+    return routes.select("route_id").distinct().join(features.where("feature_id is not null").select("route_id"), "route_id", "left_anti").withColumn("reason", F.lit("no feature holds the route"))
+
+
 def feature_links(flows: DataFrame, rules: DataFrame, modules: DataFrame) -> DataFrame:
     """(from_id, to_id, role): feature to its flows(feature_id, flow_id) and rules(feature_id, rule_id), module to its features(module_id, feature_id)."""
     row = lambda df, a, b, role: df.select(F.col(a).cast("string").alias("from_id"), F.col(b).cast("string").alias("to_id"), F.lit(role).alias("role"))

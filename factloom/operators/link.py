@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import join_key
 from ..functions.paths import host_of, is_parameter, is_real_integration, method_matches, path_of, segments, segments_match, specificity, wildcard_at
 from .graphs import cut
 
@@ -100,6 +101,20 @@ def reconcile(names: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("name", F.when(F.col("candidates").isNull(), "unresolved").when(n == 1, "exact").otherwise("ambiguous").alias("outcome"), F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"))
 
 
+def align_endpoints(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """relations(relation_id, name) with outcome and candidates: the entities(id, name) that the name, in lower case without surrounding blanks, may mean."""
+    plain = lambda c: F.lower(F.trim(c))
+    found = reconcile(relations.select(plain(F.col("name")).alias("name")), entities.select(plain(F.col("name")).alias("name"), "id"))
+    return relations.withColumn("__n", plain(F.col("name"))).join(found.withColumnRenamed("name", "__n"), "__n").select("relation_id", "name", "outcome", "candidates")
+
+
+def canonical_symbols(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, canonical_id, reason): symbols(symbol_id, root_name, language, scope, qualified_name) by what they are called; one with neither a qualified name nor a
+    scope has no identity of its own (J22)."""
+    nameless = (F.coalesce("qualified_name", F.lit("")) == "") & (F.coalesce("scope", F.lit("")) == "")
+    return symbols.select("symbol_id", F.when(~nameless, join_key("root_name", "language", "scope", "qualified_name")).alias("canonical_id"), F.when(nameless, "anonymous: neither qualified name nor scope").alias("reason"))
+
+
 def resolve_handlers(routes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(route_id, symbol_id, reason): routes(route_id, root_name, candidates array of names such as leave.Creation) resolved to symbols(id, root_name, name, qualified_name,
     rel_path). Candidates are tried in order: of the symbols so named in the root, a qualifier takes those in a folder of its name, else those in a file of its name (a plural or a prefix counts); plain

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import stable_id
-from ..functions.names import entity_term, singular, words
+from ..functions.names import entity_term, looks_infrastructural, singular, words
 from ..functions.paths import is_parameter, segments
 
 # Weight of an entity against a route, and the least weight of a feature.
@@ -83,11 +83,11 @@ def form_modules_from_routes(routes: DataFrame, prefix: int = 0, most: int = 25,
     return pick(made, False).unionByName(pick(by_root, True))
 
 
-def form_components(files: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(root_name, folder, members, infrastructural, declared): top-level folders of files(root_name, rel_path) with members, whether their name is one of infrastructure, and whether
-    dependencies(root_name, name) declare it (D6)."""
-    from ..functions.names import looks_infrastructural
-
+def form_components(files: DataFrame, dependencies: DataFrame, large: int = 5) -> DataFrame:
+    """(root_name, folder, members, infrastructural, declared, signals): top-level folders of files(root_name, rel_path) with members, whether their name is one of infrastructure,
+    whether dependencies(root_name, name) declare it, and what speaks for a component: containment, infrastructure, declared, size from large members on (D6)."""
     top = files.where(F.col("rel_path").contains("/")).groupBy("root_name", F.element_at(F.split("rel_path", "/"), 1).alias("folder")).agg(F.count("*").alias("members"))
     d = dependencies.select("root_name", F.col("name").alias("folder")).distinct().withColumn("declared", F.lit(True))
-    return top.join(d, ["root_name", "folder"], "left").select("root_name", "folder", "members", looks_infrastructural(F.col("folder")).alias("infrastructural"), F.coalesce("declared", F.lit(False)).alias("declared"))
+    both = top.join(d, ["root_name", "folder"], "left").select("root_name", "folder", "members", looks_infrastructural(F.col("folder")).alias("infrastructural"), F.coalesce("declared", F.lit(False)).alias("declared"))
+    signals = F.array_compact(F.array(F.lit("containment"), F.when(F.col("infrastructural"), "infrastructure"), F.when(F.col("declared"), "declared"), F.when(F.col("members") >= large, "size")))
+    return both.withColumn("signals", signals)

@@ -891,10 +891,10 @@ def d21_run_context(spark, sf_dir):
     return flows.run_context(orders=ad.table(spark, sf_dir, "orders"), parts=ad.table(spark, sf_dir, "part"), docs=ad.table(spark, sf_dir, "documents"))
 
 
-@query(f"""WITH {ad.FILES_SQL} SELECT root_name, 'lang-' || string_split(rel_path, '/')[1] AS folder, count(*) AS members, false AS infrastructural, string_split(rel_path, '/')[1] = 'fr' AS declared FROM files GROUP BY 1, 2, 5""")
+@query(f"""WITH {ad.FILES_SQL} SELECT root_name, 'lang-' || string_split(rel_path, '/')[1] AS folder, count(*) AS members, false AS infrastructural, string_split(rel_path, '/')[1] = 'fr' AS declared, 'containment' || CASE WHEN string_split(rel_path, '/')[1] = 'fr' THEN ',declared' ELSE '' END || CASE WHEN count(*) >= 5 THEN ',size' ELSE '' END AS signals FROM files GROUP BY 1, 2, 5, string_split(rel_path, '/')[1]""")
 def d6_components(spark, sf_dir):
     f = ad.docs_as_files(spark, sf_dir).select("root_name", F.concat(F.lit("lang-"), "rel_path").alias("rel_path"))
-    return modules.form_components(f, f.select("root_name", F.lit("lang-fr").alias("name")))
+    return modules.form_components(f, f.select("root_name", F.lit("lang-fr").alias("name"))).withColumn("signals", F.array_join("signals", ","))
 
 
 @query(f"""WITH {ad.ACCESS_SQL} SELECT DISTINCT root_name, entity FROM access WHERE entity NOT IN (SELECT 'part_' || p_partkey FROM part WHERE p_size > 5)""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grades, keys, names, paths
-from .operators import audit, behavior, effects, flows, graphs, health, history, merge, modules, rules, scans, wiring
+from .operators import audit, behavior, effects, flows, graphs, health, history, link, merge, modules, rules, scans, wiring
 from .plans import adapters as ad
 from .queries import SCORED_SQL, SETS_SQL, query, size_sets, type_conditions
 from .sources import base, code_graph
@@ -262,6 +262,26 @@ def o3_identity_sets(spark, sf_dir):
     return foreign.withColumn("same", F.lit(audit.same_identity_set(o, c)))
 
 
+@query("""WITH e AS (SELECT lower(p_type) AS name, list(DISTINCT p_brand ORDER BY p_brand) AS ids FROM part WHERE p_size < 2 GROUP BY 1) SELECT p_partkey AS relation_id, CASE WHEN ids IS NULL THEN 'unresolved' WHEN len(ids) = 1 THEN 'exact' ELSE 'ambiguous' END AS outcome, coalesce(array_to_string(ids, ','), '') AS candidates FROM part LEFT JOIN e ON e.name = lower(p_type)""")
+def j22_align_endpoints(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    r = p.select(F.col("p_partkey").alias("relation_id"), F.concat(F.lit(" "), F.upper("p_type")).alias("name"))
+    return link.align_endpoints(r, p.where("p_size < 2").select(F.col("p_brand").alias("id"), F.col("p_type").alias("name"))).select("relation_id", "outcome", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""SELECT p_partkey AS symbol_id, CASE WHEN p_size % 3 <> 0 OR p_size % 2 <> 0 THEN p_brand || '|go|' || CASE WHEN p_size % 2 <> 0 THEN p_type ELSE '' END || '|' || CASE WHEN p_size % 3 <> 0 THEN p_name ELSE '' END END AS canonical_id, CASE WHEN p_size % 6 = 0 THEN 'anonymous: neither qualified name nor scope' END AS reason FROM part""")
+def j22_canonical_symbols(spark, sf_dir):
+    s = F.col("p_size")
+    p = parts(spark, sf_dir).select(F.col("p_partkey").alias("symbol_id"), F.col("p_brand").alias("root_name"), F.lit("go").alias("language"), F.when(s % 2 != 0, F.col("p_type")).alias("scope"), F.when(s % 3 != 0, F.col("p_name")).otherwise("").alias("qualified_name"))
+    return link.canonical_symbols(p)
+
+
+@query("""SELECT DISTINCT c_custkey AS route_id, 'no feature holds the route' AS reason FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def d16_skipped_routes(spark, sf_dir):
+    f = ad.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("route_id"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderkey")).alias("feature_id"))
+    return flows.skipped_routes(ad.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id")), f)
+
+
 # Graphs and behaviour ----------------------------------------------------------------------------------------------------------------------
 
 
