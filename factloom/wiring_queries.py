@@ -477,3 +477,49 @@ def x12_lockfiles(spark, sf_dir):
     entry = F.concat(F.lit('[[package]]\nname = "pkg-'), F.col("p_partkey").cast("string"), F.lit('"\nversion = "'), F.col("p_size").cast("string"), F.lit('.0"\n'))
     f = parts(spark, sf_dir).groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list(entry)), "\n").alias("content")).select(F.lit("r").alias("root_name"), F.concat("p_brand", F.lit("/Cargo.lock")).alias("rel_path"), "content")
     return scans.read_lockfiles(f).select("dir", "name", "version")
+
+
+@query("""SELECT DISTINCT p_brand AS root_name, p_type AS member, p_name AS rel_path, p_size AS start_line FROM part p WHERE p_size % 2 = 0 AND EXISTS (SELECT 1 FROM part s WHERE s.p_brand = p.p_brand AND s.p_type = p.p_type AND s.p_size % 5 = 0)""")
+def j26_authorization(spark, sf_dir):
+    p, s = parts(spark, sf_dir), F.col("p_size")
+    r = p.select(F.col("p_brand").alias("root_name"), F.col("p_type").alias("member"), F.when(s % 2 == 0, "check").otherwise("write").alias("context"), F.col("p_name").alias("rel_path"), s.alias("start_line"))
+    sets = p.groupBy(F.col("p_brand").alias("root_name"), F.when(s % 5 == 0, "UserRoleC").otherwise("ColourC").alias("name")).agg(F.collect_set(F.struct(F.col("p_type").alias("name"), F.lit(1).cast("long").alias("value"))).alias("members"))
+    return effects.observe_authorization(r, sets)
+
+
+@query("""WITH t AS (SELECT count(*) AS n FROM (SELECT 'c' || o_custkey FROM orders UNION SELECT 'o' || o_orderkey FROM orders UNION SELECT 'n' || c_nationkey FROM customer)), g AS (SELECT o_custkey AS c, count(*) + 2 AS steps FROM orders GROUP BY 1)
+SELECT 'c' || c AS entry_id, steps::BIGINT AS n_steps, 'max-depth' AS truncation, floor(100.0 * steps / n + 0.5)::BIGINT AS traceability FROM g, t""")
+def g3_entry_traces(spark, sf_dir):
+    """A customer's orders by calls and its nation by a type relation, one level."""
+    o, c = ad.table(spark, sf_dir, "orders"), ad.table(spark, sf_dir, "customer")
+    node = lambda prefix, k: F.concat(F.lit(prefix), F.col(k).cast("string"))
+    calls = o.select(node("c", "o_custkey").alias("caller_id"), node("o", "o_orderkey").alias("callee_id"), F.col("o_orderkey").alias("edge_ord"))
+    types = c.select(node("c", "c_custkey").alias("caller_id"), node("n", "c_nationkey").alias("callee_id"), F.lit(0).cast("long").alias("edge_ord"))
+    symbols = calls.select(F.col("caller_id").alias("id")).union(calls.select("callee_id")).union(types.select("callee_id"))
+    entries = calls.select(F.col("caller_id").alias("entry_id")).distinct().withColumn("node", F.col("entry_id"))
+    t = wiring.build_entry_traces(entries, symbols, calls, types, max_depth=1, max_steps=100_000, max_branches=100_000)
+    return t.select("entry_id", F.size("steps").cast("long").alias("n_steps"), "truncation", "traceability")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'order' ELSE lower(string_split(p_type, ' ')[1]) END AS term FROM part""")
+def e10_entity_terms(spark, sf_dir):
+    p = parts(spark, sf_dir)
+    name = F.when(F.col("p_size") % 2 == 0, F.lit("shop_orders_x")).otherwise(F.concat(F.lit("shop_"), F.lower(F.element_at(F.split("p_type", " "), 1))))
+    return p.select("p_partkey", names.entity_term(name, F.lit("shop_")).alias("term"))
+
+
+@query("""SELECT p_partkey AS doc, '/v2/:param/' || p_size AS path, 2::BIGINT AS line FROM part WHERE p_size % 2 = 0""")
+def x3_ui_calls(spark, sf_dir):
+    s = F.col("p_size").cast("string")
+    call = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("axios.get(`${cfg.base}/v2/${id}/"), s, F.lit("?q=1`)"))).otherwise("noop()")
+    f = parts(spark, sf_dir).select(F.lit("r").alias("root_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit("x\n"), call).alias("content"))
+    return wiring.scan_ui_calls(f).select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc"), "path", "line")
+
+
+@query("""SELECT p_partkey AS doc, CASE WHEN p_size % 2 = 0 THEN 'fetch' ELSE 'axios' END AS label FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0""")
+def x4_outbound_sinks(spark, sf_dir):
+    """axios counts only in files that import it."""
+    s = F.col("p_size")
+    text = F.when(s % 2 == 0, F.lit("fetch ('/x')")).otherwise(F.concat(F.when(s % 3 == 0, F.lit("import axios from 'axios'\n")).otherwise(""), F.lit("axios('/y')")))
+    f = parts(spark, sf_dir).select(F.lit("r").alias("root_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("rel_path"), text.alias("content"))
+    return wiring.scan_outbound_sinks(f, {"axios": "from 'axios'"}).select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc"), "label")
