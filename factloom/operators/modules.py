@@ -50,11 +50,17 @@ def resource_of(path: Column, prefix: Column | int = 0) -> Column:
 
 def form_modules(entries: DataFrame, prefix: int = 0) -> DataFrame:
     """(module_id, key, name, entries): entries(entry_id, path) grouped by the singular of their resource, named by its commonest spelling
-    (least among equals), with an id made of the sorted entry keys; without a resource there is no module."""
+    (least among equals), with an id made of the entry keys; without a resource there is no module."""
     e = entries.withColumn("spelling", resource_of(F.col("path"), prefix)).where("spelling is not null").withColumn("key", singular(F.lower("spelling")))
     names = e.groupBy("key", "spelling").agg(F.count("*").alias("n")).groupBy("key").agg(F.min_by("spelling", F.struct(-F.col("n"), "spelling")).alias("name"))
-    g = e.groupBy("key").agg(F.collect_set("entry_id").alias("ids"))
-    return g.join(names, "key").select(stable_id("module", F.col("ids")).alias("module_id"), "key", "name", F.size("ids").cast("long").alias("entries"))
+    return _identified(e, "key").join(names, "key").select("module_id", "key", "name", "entries")
+
+
+def _identified(entries: DataFrame, key: str) -> DataFrame:
+    """(key, module_id, entries): an id made of the distinct entry ids of each key, which are digested in 4,096 ranges first, so that no task holds all of a key."""
+    each = entries.select(key, F.col("entry_id").cast("string").alias("entry_id")).distinct().withColumn("range", F.substring(F.sha2("entry_id", 256), 1, 3))
+    parts = each.groupBy(key, "range").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry_id")), "\n"), 256).alias("d"), F.count("*").alias("n"))
+    return parts.groupBy(key).agg(stable_id("module", F.collect_list("d")).alias("module_id"), F.sum("n").alias("entries"))
 
 
 def assign_dispositions(files: DataFrame, behavioural: DataFrame, infrastructural: DataFrame, technical: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def form_modules_from_routes(routes: DataFrame, prefix: int = 0, most: int = 25,
     """form_modules on routes(entry_id, root_name, path), but one module per root where that gives over most groups of under least entries on average."""
     made = form_modules(routes, prefix)
     size = made.agg(F.count("*").alias("groups"), F.sum("entries").alias("entries")).select(((F.col("groups") > most) & (F.col("entries") < least * F.col("groups"))).alias("scattered"))
-    by_root = routes.groupBy(F.col("root_name").alias("key")).agg(F.collect_set("entry_id").alias("ids")).select(stable_id("module", F.col("ids")).alias("module_id"), "key", F.col("key").alias("name"), F.size("ids").cast("long").alias("entries"))
+    by_root = _identified(routes.select(F.col("root_name").alias("key"), "entry_id"), "key").select("module_id", "key", F.col("key").alias("name"), "entries")
     pick = lambda df, want: df.crossJoin(F.broadcast(size)).where(F.coalesce("scattered", F.lit(False)) == want).drop("scattered")
     return pick(made, False).unionByName(pick(by_root, True))
 
