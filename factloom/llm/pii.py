@@ -59,8 +59,8 @@ PART = rf"[{SPACE}]*+(?:{MASK}++|[{ID}]++|[^{SPACE}{ID}{MASK}]++)"
 #: Parts of an instance at most ("name [at] host [dot] com" has nine).
 MOST = 9
 BLANKS = " \t\n\x0b\f\r"
-#: Bytes of the table of hashes that rules out places without a pattern.
-SLOTS = 1 << 18
+#: Bits of the table of hashes that rules out places without a pattern; a byte of the constant (an ASCII character) holds BITS of them.
+SLOTS, BITS = 1 << 18, 6
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -97,12 +97,12 @@ def slot(*parts: Column) -> Column:
 
 
 def slots_taken(patterns: DataFrame) -> Column:
-    """A constant of SLOTS bytes: 1 where a pattern, its opening, or the first word of an LR opening falls."""
+    """A constant of SLOTS bits: 1 where a pattern, its opening, or the first word of an LR opening falls."""
     left = F.regexp_extract("opening", "^(LR [^ ]*) ", 1)
     keys = F.array(slot(F.col("pattern")), slot(F.col("opening")), slot(F.when(left != "", left).otherwise(F.col("opening"))))
-    bits = bytearray(SLOTS)
+    bits = bytearray(SLOTS // BITS + 1)
     for r in patterns.select(F.explode(keys).alias("at")).distinct().collect():  # SLOTS numbers at most, however many patterns there are
-        bits[r.at] = 1
+        bits[r.at // BITS] |= 1 << r.at % BITS
     return F.lit(bits)
 
 
@@ -110,7 +110,8 @@ def instances(base: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, th, at, parts, value, pattern): what stands in a place of patterns(pattern, opening) and is no base match; at counts parts.
     What no pattern can have is left out where the text is read, by a fixed-size table of hashes; the join settles the rest."""
     bits = slots_taken(patterns)
-    may = lambda *p: F.substring(bits, slot(*p) + 1, F.lit(1)) == F.lit(bytearray(b"\1"))
+    byte = lambda h: F.ascii(F.substring(bits, (h / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+    may = lambda *p: F.exists(F.array(slot(*p)), lambda h: F.getbit(byte(h), F.pmod(h, F.lit(BITS))) == 1)
     words = base.select("doc_id", "th", words_in(masked()).alias("w"))
     word = lambda i, none: F.coalesce(F.get(F.col("w"), i), F.lit(none))
     digit = lambda t: t.rlike("[0-9]")
