@@ -85,3 +85,75 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 
 
 QUALITY_RULES = quality_rules()
+
+
+#: Terms by RE2, counts and whole-number scores; every document against every item.
+RANKED_SEARCH = rf"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{U}', '{L}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), asked AS (
+  SELECT item_id, term, count(*) AS qtf
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{U}', '{L}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+held AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM held GROUP BY term), corpus),
+sizes AS (SELECT doc_id, 75 + (25 * n * docs) // words AS m FROM lengths, corpus),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+def url_filter(rules: tuple[tuple[str, str, str], ...], link: str, unit: int, damping: int, rounds: int, block_percent: int) -> str:
+    """Rules, host edges and the rounds of both masses, one table a round."""
+    lower = f"'{U}', '{L}'"
+    quoted = link.replace("'", "''")
+    listed = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in rules)
+    loop = ",\n".join(
+        f"""m{i + 1} AS MATERIALIZED (
+  SELECT kind, host, CAST(sum(mass) AS BIGINT) AS mass FROM (
+    SELECT e.kind, e.dst AS host, (m.mass // 100 * {damping}) // e.leaving * e.weight AS mass FROM m{i} m JOIN shares e ON e.kind = m.kind AND e.src = m.host
+    UNION ALL SELECT kind, host, mass // 100 * {100 - damping} FROM m0
+  ) GROUP BY kind, host HAVING sum(mass) > 0)"""
+        for i in range(rounds)
+    )
+    return rf"""
+WITH urls AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, page_id, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {lower}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), rules (rule_host, rule_path, rule_verdict) AS (VALUES {listed}),
+fits AS (
+  SELECT row, rule_host || rule_path AS rule, rule_verdict AS verdict FROM urls
+  JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND prefix(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY length(rule_host || rule_path) DESC, rule_verdict = 'block' DESC, rule_host || rule_path) = 1
+), judged AS MATERIALIZED (SELECT row, page_id, host, path, rule, verdict FROM urls LEFT JOIN fits USING (row)),
+links AS (
+  SELECT src, dst, count(*) AS weight
+  FROM (SELECT host AS src, unnest(list_distinct(list_transform(regexp_extract_all(html, '{quoted}', 1), lambda h: translate(h, {lower})))) AS dst FROM urls)
+  WHERE src <> '' AND src <> dst GROUP BY src, dst
+), names AS (SELECT host FROM urls WHERE host <> '' UNION SELECT src FROM links UNION SELECT dst FROM links WHERE dst <> ''),
+labels AS (SELECT string_split(host, '.') AS parts FROM names),
+ups AS (SELECT DISTINCT array_to_string(parts[i:], '.') AS low, array_to_string(parts[i + 1:], '.') AS up FROM (SELECT parts, unnest(range(1, len(parts))) AS i FROM labels)),
+edges AS (
+  SELECT src, dst, CAST(sum(weight) AS BIGINT) AS weight FROM (
+    SELECT * FROM links UNION ALL SELECT low, up, 1 FROM ups WHERE contains(up, '.') UNION ALL SELECT up, low, 1 FROM ups WHERE contains(up, '.')
+  ) GROUP BY src, dst
+), shares AS MATERIALIZED (
+  SELECT kind, src, dst, weight, CAST(sum(weight) OVER (PARTITION BY kind, src) AS BIGINT) AS leaving
+  FROM (SELECT 'trust' AS kind, src, dst, weight FROM edges UNION ALL SELECT 'distrust', dst, src, weight FROM edges)
+), counts AS (
+  SELECT CASE verdict WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n FROM judged WHERE verdict IS NOT NULL AND host <> '' GROUP BY ALL
+), m0 AS MATERIALIZED (SELECT kind, host, CAST({unit} // CAST(sum(n) OVER (PARTITION BY kind) AS BIGINT) * n AS BIGINT) AS mass FROM counts),
+{loop},
+reached AS (
+  SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS BIGINT) AS distrust FROM m{rounds} GROUP BY host
+)
+SELECT page_id, host, path, rule, verdict IS NOT NULL AS by_rule, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust,
+  coalesce(verdict, CASE WHEN distrust > 0 AND distrust // 100 * {100 - block_percent} >= trust // 100 * {block_percent} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN reached USING (host)
+"""

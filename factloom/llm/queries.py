@@ -8,10 +8,12 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .alignment import align_tokenizers
 from .chat import encode_turns, read_back
 from .common import table
 from .decontam import decontaminate
 from .langid import identify_languages
+from .lexical import ranked_search
 from .lm import score_texts
 from .neardup import near_duplicates
 from .packing import pack_documents
@@ -19,6 +21,7 @@ from .pii import find_personal_data, personal_data_digest
 from .quality import quality_verdicts
 from .secret_scan import find_secrets, secrets_digest
 from .substrings import remove_repeats
+from .url_filter import BLOCK_PERCENT, DAMPING, LINK, ROUNDS, RULES, UNIT, filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -95,3 +98,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_ranked_lexical_search"] = oracles.RANKED_SEARCH
+
+
+@query
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op12_url_filter"] = oracles.url_filter(RULES, LINK, UNIT, DAMPING, ROUNDS, BLOCK_PERCENT)
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
