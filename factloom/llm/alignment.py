@@ -41,7 +41,7 @@ CHUNK = re.compile(f" [{WHITE}]*[^{WHITE}]*(?:[{OTHER}][{WHITE}]*[^{WHITE}]*)*")
 ENDS_WHITE = re.compile(f"[{WHITE}]$")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 #: Bytes of text in a slice, and steps in a piece of the merge.
-SLICE, PIECE = 8 << 20, 64
+SLICE, PIECE = 3 << 20, 64
 
 
 def gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
