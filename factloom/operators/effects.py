@@ -6,21 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import fact_id
-from ..functions.names import name_tokens
+from ..functions.names import name_tokens, spaced
 from .graphs import reverse_reach
 
-# Fixed values.
-AUTH_HINTS = ("auth", "token", "permission", "role", "login", "session", "user")
-ACCESS_TOKENS = ("access", "permission", "permissions", "privilege", "role", "roles", "scope")
+# What a condition that checks a caller contains, the words of a mechanism that does, and those of a set of rights.
+AUTH_HINTS = ("auth", "jwt", "token", "session", "passport", "permission", "guard")
+AUTHN_TOKENS = ("auth", "authn", "authenticate", "authenticated", "authentication", "login", "session", "token", "jwt", "identity", "principal", "user")
+ACCESS_TOKENS = ("role", "roles", "permission", "permissions", "scope", "scopes", "grant", "privilege", "authority", "acl")
 
 
 def looks_like_auth(text: Column, hints: tuple[str, ...] = AUTH_HINTS) -> Column:
+    """Whether a condition contains one of the hints, anywhere."""
     return F.lower(text).rlike("|".join(hints))
 
 
 def auth_check_of(mechanism: Column, requirement: Column) -> Column:
-    """authorization where something is required beyond being known, authentication where only the mechanism says so, else unresolved."""
-    return F.when(F.coalesce(requirement, F.lit("")) != "", "authorization").when(looks_like_auth(F.coalesce(mechanism, F.lit(""))), "authentication").otherwise("unresolved")
+    """authorization where something is required beyond being known, authentication where a whole word of the mechanism says so, else unresolved."""
+    named = F.arrays_overlap(F.split(F.lower(spaced(F.coalesce(mechanism, F.lit("")))), "[^a-z0-9]+"), F.array(*map(F.lit, AUTHN_TOKENS)))
+    return F.when(F.coalesce(requirement, F.lit("")) != "", "authorization").when(named, "authentication").otherwise("unresolved")
 
 
 def value_set_facts(sets: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
-"""Text scans: one row per match with line and column."""
+"""Text scans: one row per match with line and column."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import extension
+from . import lexing
 
 # Kind, extensions (none: all), pattern, label, confidence, the group that is the detail (0: none).
 JS, JVM, GO = ("ts", "js"), ("java", "kt"), ("go",)
@@ -38,50 +41,64 @@ CONVENTIONS = (
     ("data-access", GO, r"\.(Find|First|Create|Save|Updates?|Delete|Where)\s*\(", "orm", "low", 1),
     ("data-access", JS, r"\.(findOne|findMany|findAll|createQueryBuilder|insertInto|deleteFrom)\s*\(", "orm", "low", 1),
 )
-URLS = (("outbound-call", (), r"[\"'`](https?://[a-zA-Z0-9][a-zA-Z0-9.\-]*[^\"'`\s]*)[\"'`]", "url", "high", 1),)
+#: Texts without any of these need not be searched for the label's pattern; plain substrings are found much faster than patterns that start with a word.
+NEEDLES = {
+    "binding": ("binding:",), "validate": ("validate:",), "decorator": ("@Is", "@M", "@Length"), "Begin": (".Begin",), "transaction": ("ransaction",), "err-check": ("nil",), "catch": ("catch",), "except": ("except",), "guard": ("@",), "spring-security": ("@",),
+    "auth-middleware": ("Auth", "RequireLogin"), "scheduleJob": ("scheduleJob",), "cron.schedule": ("cron",), "CronJob": ("CronJob",), "AddFunc": ("AddFunc",), "setInterval": ("setInterval",), "sendMail": ("sendMail",), "messaging().send": ("messaging",),
+    "smtp.SendMail": ("SendMail",), "PostMessage": ("PostMessage",), "notify-helper": ("SendEmail", "SendSlackMessage", "SendPush", "sendNotification", "notifyUser"), "sql": ("SELECT", "INSERT", "UPDATE", "DELETE"),
+}
 TEST_NAMES = (
-    r"(?<![.\w])(?:it|test|describe|context)\s*\(\s*[\"'`]([^\"'`]{3,200})[\"'`]", r"\bfunc\s+([Tt]est[A-Za-z0-9_]{2,120})\s*\(", r"\bdef\s+(test_[A-Za-z0-9_]{2,120})\s*\(",
+    r"(?<![.\w])(?:it|test|describe|context)\s*\(\s*[\"'`]([^\"'`]{3,200})[\"'`]", r"\bfunc\s+(Test[A-Za-z0-9_]{2,120})\s*\(", r"\bfunc\s+(test[A-Za-z0-9_]{2,120})\s*\(", r"\bdef\s+(test_[A-Za-z0-9_]{2,120})\s*\(",
     r"@Test\b[\s\S]{0,200}?\b(?:void|fun)\s+([A-Za-z_][A-Za-z0-9_]{2,120})\s*\(", r"#\[test\][\s\S]{0,200}?\bfn\s+([A-Za-z_][A-Za-z0-9_]{2,120})\s*\(",
 )
 
 
-#: What \\b means in ASCII; the JVM's own goes by Unicode letters.
-BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-
-
-def _moved(at: Column, text: Column) -> Column:
-    """The line and column after text."""
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    return F.struct((at["line"] + breaks).alias("line"), F.when(breaks > 0, F.length(F.substring_index(text, "\n", -1)) + 1).otherwise(at["column"] + F.length(text)).alias("column"))
-
-
-def _matches(text: str, kind: str, pattern: str, label: str, confidence: str, group: int) -> Column:
-    """array of struct(kind, label, confidence, detail, line, column): what the pattern matches, placed by the texts between the matches."""
-    pattern = pattern.replace(r"\b", BOUNDARY)
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    details = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else F.transform(found, lambda m: F.lit(None).cast("string"))
-    steps = F.transform(F.arrays_zip(found.alias("m"), details.alias("d"), F.slice(gaps, F.lit(1), F.size(found)).alias("g")), lambda x: x)
-    at = lambda line, column: F.struct(line.cast("int").alias("line"), column.cast("int").alias("column"))
-    none = F.array().cast("array<struct<kind:string,label:string,confidence:string,detail:string,line:bigint,column:bigint>>")
-    hit = lambda p, x: F.struct(F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), x["d"].alias("detail"), p["line"].cast("long").alias("line"), p["column"].cast("long").alias("column"))
-
-    def step(acc: Column, x: Column) -> Column:
-        here = _moved(acc["at"], x["g"])
-        return F.struct(_moved(here, x["m"]).alias("at"), F.concat(acc["out"], F.array(hit(here, x))).alias("out"))
-
-    return F.when(F.size(found) > 0, F.aggregate(steps, F.struct(at(F.lit(1), F.lit(1)).alias("at"), none.alias("out")), step, lambda acc: acc["out"])).otherwise(none)
-
-
-def scan_patterns(files: DataFrame, patterns: tuple = CONVENTIONS) -> DataFrame:
-    """(root_name, rel_path, kind, label, confidence, detail, line, column) of every match of the patterns for a file's extension, in expressions of the
-    JVM. A group that takes no part in a match is an empty detail; a file that no pattern is for is not looked at."""
+def locate_patterns(files: DataFrame, patterns: tuple, needles: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(root_name, rel_path, of, start, end, line, column, detail) of every match of pattern number of among patterns (as CONVENTIONS has them) in files with its extension and any of its
+    needles (none: all). A group that takes no part in a match is an empty detail."""
     exts = {e for p in patterns for e in p[1]}
     wanted = files.select("root_name", "rel_path", extension(F.col("rel_path")).alias("ext"), F.coalesce("content", F.lit("")).alias("content"))
     if all(p[1] for p in patterns):
         wanted = wanted.where(F.col("ext").isin(*exts))
-    parts = [m if not e else F.when(F.col("ext").isin(*e), m) for k, e, p, label, c, g in patterns for m in [_matches("content", k, p, label, c, g)]]
-    found = F.flatten(F.array_compact(F.array(*parts)))
-    return wanted.select("root_name", "rel_path", F.explode(found).alias("f")).select("root_name", "rel_path", "f.*")
+    forms = [lexing.ascii_boundaries(p[2]) for p in patterns]
+    held = lambda own: reduce(Column.__or__, (F.contains("content", F.lit(x)) for x in own or ("",)))
+    fits = [(F.col("ext").isin(*p[1]) if p[1] else F.lit(True)) & held(own) & F.col("content").rlike(form) for form, p, own in zip(forms, patterns, needles)]
+    parts = F.array_compact(F.array(*(F.when(fit, F.struct(F.lit(k).alias("of"), lexing.pieces(F.col("content"), form).alias("x"))) for k, (fit, form) in enumerate(zip(fits, forms)))))
+    found = wanted.select("root_name", "rel_path", F.explode(parts).alias("p")).select("root_name", "rel_path", "p.of", F.posexplode("p.x").alias("pos", "x"))
+    found = found.select("root_name", "rel_path", "of", "pos", "x.match", "x.gap").where("match is not null")
+    own = [F.regexp_extract("match", form, p[5]) if p[5] else F.lit(None).cast("string") for form, p in zip(forms, patterns)]
+    detail = F.coalesce(*(F.when(F.col("of") == k, c) for k, c in enumerate(own)))
+    return lexing.placed(found.select("root_name", "rel_path", "of", "pos", "gap", "match", detail.alias("detail")), ["root_name", "rel_path", "of"])
+
+
+def scan_patterns(files: DataFrame, patterns: tuple = CONVENTIONS) -> DataFrame:
+    """(root_name, rel_path, kind, label, confidence, detail, line, column) of every match of the patterns for a file's extension; a file that no pattern is for is not looked at."""
+    at = locate_patterns(files, patterns, tuple(NEEDLES.get(p[3], ()) if p in CONVENTIONS else () for p in patterns))
+    named = F.array(*(F.struct(F.lit(p[0]).alias("kind"), F.lit(p[3]).alias("label"), F.lit(p[4]).alias("confidence")) for p in patterns))
+    return at.withColumn("n", F.get(named, F.col("of"))).select("root_name", "rel_path", "n.kind", "n.label", "n.confidence", "detail", "line", "column")
+
+
+#: Which files have which comments, test names and labels.
+SLASH_FILES = ("go", "ts", "tsx", "js", "jsx", "mjs", "cjs", "java", "kt", "swift", "cs", "rs", "scala", "dart", "php", "c", "h", "cpp", "hpp")
+HASH_FILES = ("py", "rb", "sh", "yaml", "yml")
+TEST_FILES = ("go", "ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "swift", "java", "kt", "rs")
+UI_FILES = ("vue", "jsx", "tsx", "html", "svelte")
+
+
+def doc_items(files: DataFrame) -> DataFrame:
+    """(root_name, rel_path, line, form, text) of the comments that say something, three characters at least (X8): block comments without their stars, // comments of consecutive lines joined
+    by blanks, # comments line by line; by extension."""
+    wanted = files.select("root_name", "rel_path", "content", extension(F.col("rel_path")).alias("ext")).where("content is not null")
+    slash, hashed = wanted.where(F.col("ext").isin(*SLASH_FILES)), wanted.where(F.col("ext").isin(*HASH_FILES))
+    blocks = lexing.locate(slash, r"/\*\*?([\s\S]*?)\*/", ("body",))
+    body = F.transform(F.split("body", "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"^\s*\*?\s?", ""), r"\s+$", ""))
+    blocks = blocks.select("root_name", "rel_path", "line", F.lit("block").alias("form"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+\z", "").alias("text"))
+    line = lambda df, form: df.select("root_name", "rel_path", F.posexplode(F.split("content", "\n", -1)).alias("pos", "x")).where(F.col("x").rlike(form)).select("root_name", "rel_path", "pos", F.trim(F.regexp_replace(F.regexp_extract("x", form, 1), r"^\s+|\s+$", "")).alias("t"))
+    runs = line(slash, r"^\s*//\s?(.*)$").withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("root_name", "rel_path").orderBy("pos")))
+    runs = runs.groupBy("root_name", "rel_path", "run").agg((F.min("pos") + 1).cast("long").alias("line"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("b"))
+    runs = runs.select("root_name", "rel_path", "line", F.lit("lines").alias("form"), F.trim(F.array_join(F.transform("b", lambda x: x["t"]), " ")).alias("text"))
+    single = line(hashed, r"^\s*#\s?(.+)$").select("root_name", "rel_path", (F.col("pos") + 1).cast("long").alias("line"), F.lit("hash").alias("form"), F.col("t").alias("text"))
+    return blocks.unionByName(runs).unionByName(single).where("length(text) >= 3")
 
 
 def doc_comments(files: DataFrame, marker: str = "//") -> DataFrame:
@@ -94,20 +111,25 @@ def doc_comments(files: DataFrame, marker: str = "//") -> DataFrame:
     return g.select("root_name", "rel_path", "start_line", "lines", F.array_join(F.transform("b", lambda x: x["t"]), "\n").alias("text"))
 
 
-def test_names(files: DataFrame, patterns: tuple[str, ...] = TEST_NAMES) -> DataFrame:
-    """(root_name, rel_path, name), distinct."""
-    found = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))
-    return files.select("root_name", "rel_path", F.explode(found).alias("name")).distinct()
+def _named(files: DataFrame, patterns: tuple[str, ...], exts: tuple[str, ...], name: str) -> DataFrame:
+    wanted = files.where(extension(F.col("rel_path")).isin(*exts)) if exts else files
+    found = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(lexing.ascii_boundaries(p)), F.lit(1)) for p in patterns)))
+    return wanted.select("root_name", "rel_path", F.explode(found).alias(name)).distinct()
+
+
+def test_names(files: DataFrame, patterns: tuple[str, ...] = TEST_NAMES, exts: tuple[str, ...] = TEST_FILES) -> DataFrame:
+    """(root_name, rel_path, name), distinct; in files with one of the extensions (none: all)."""
+    return _named(files, patterns, exts, "name")
 
 
 # Fixed values.
-UI_LABELS = (r"\b(?:label|title|placeholder|aria-label)\s*[=:]\s*[\"'`]([^\"'`{}<>]{2,120})[\"'`]", r">\s*([A-Z][^<>{}\n]{1,80}?)\s*</(?:button|label|h[1-6]|th|a)>")
+UI_LABELS = (r"(?:label|title|placeholder|aria-label)\s*=\s*[\"']([^\"'{}<>]{2,120})[\"']", r">\s*([A-Z][A-Za-z0-9 ,.'’!?-]{3,80})\s*<")
 
 
-def ui_labels(files: DataFrame, patterns: tuple[str, ...] = UI_LABELS) -> DataFrame:
-    """(root_name, rel_path, label), distinct."""
-    found = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns)))
-    return files.select("root_name", "rel_path", F.explode(found).alias("label")).distinct()
+def ui_labels(files: DataFrame, patterns: tuple[str, ...] = UI_LABELS, exts: tuple[str, ...] = UI_FILES) -> DataFrame:
+    """(root_name, rel_path, label), distinct, of markup files (X9), without white space around it."""
+    label = F.regexp_replace("label", r"^\s+|\s+\z", "")
+    return _named(files, patterns, exts, "label").withColumn("label", label).where("label <> ''").distinct()
 
 
 def config_keys(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Small steps between the operators."""
+"""Small steps between the operators."""
 
 from __future__ import annotations
 
@@ -6,19 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import extension
-from ..functions.paths import parse_url_template
 from .effects import auth_check_of
 from .graphs import build_traces
-from .scans import scan_patterns
 
 # Fixed values.
 GAP_KINDS = {"entities": "entity", "fields": "entity-field", "relations": "entity-relation", "constraints": "entity-constraint"}
-HTTP_HELPERS = r"\b(?:axios|http|api|fetcher|client)\.(get|post|put|patch|delete)\s*\(\s*([\"'`])([^\"'`]*)\2"
-SINKS = (
-    ("external-call", ("ts", "js"), r"\bfetch\s*\(", "fetch", "medium", 0), ("external-call", ("ts", "js"), r"\baxios\s*[.(]", "axios", "medium", 0), ("external-call", ("go",), r"\bhttp\.(?:Get|Post|NewRequest)\s*\(", "net/http", "medium", 0),
-    ("external-call", ("go",), r"\bs3\.New\w*\s*\(", "s3", "medium", 0), ("external-call", ("py",), r"\brequests\.(?:get|post|put|delete)\s*\(", "requests", "medium", 0), ("external-call", ("java", "kt"), r"\bRestTemplate\b", "RestTemplate", "medium", 0),
-)
-ORM_OPERATIONS = {"Find": "read", "First": "read", "Where": "read", "Create": "write", "Save": "write", "Update": "write", "Updates": "write", "Delete": "write", "findOne": "read", "findAll": "read", "create": "write", "update": "write", "destroy": "write"}
 
 
 def data_model_records(fields: DataFrame, relations: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -96,39 +88,6 @@ def parse_strict(texts: DataFrame, schema: str) -> DataFrame:
     return read.select("report_id", F.when(~bad, F.col("v").dropFields("__bad")).alias("value"), F.when(bad, "not the expected JSON").alias("fault"))
 
 
-def scan_ui_calls(files: DataFrame) -> DataFrame:
-    """(root_name, rel_path, line, column, base, path, failure): HTTP-helper calls with a literal or template URL; files without a helper are not scanned."""
-    wanted = files.where(F.col("content").rlike(r"\.(get|post|put|patch|delete)\s*\("))
-    found = scan_patterns(wanted, (("outbound-call", ("ts", "tsx", "js", "jsx", "vue"), HTTP_HELPERS, "ui-call", "medium", 3),))
-    t = parse_url_template(F.col("detail"))
-    return found.select("root_name", "rel_path", "line", "column", t["base"].alias("base"), t["path"].alias("path"), F.when(t["path"].isNull(), "no path in the target").alias("failure"))
-
-
-def scan_outbound_sinks(files: DataFrame, gates: dict[str, str]) -> DataFrame:
-    """Matches of the sink patterns in files that contain the package which gates(label -> package) name; ungated labels pass."""
-    found = scan_patterns(files, SINKS)
-    gated = files.select("root_name", "rel_path", *(F.col("content").contains(p).alias(f"g_{i}") for i, p in enumerate(gates.values())))
-    ok = F.lit(True)
-    for i, label in enumerate(gates):
-        ok = F.when(F.col("label") == label, F.col(f"g_{i}")).otherwise(ok)
-    return found.join(gated, ["root_name", "rel_path"]).where(ok).drop(*(f"g_{i}" for i in range(len(gates))))
-
-
-def scan_data_usage(files: DataFrame) -> DataFrame:
-    """(root_name, entity, operation, rel_path, line): pass 1 reads table names that constants and models give (name = "table"), pass 2 finds .Table(name) and .Table("table") with the
-    operation of the same statement; a name that nobody declares stays as the entity, with operation as seen."""
-    names = scan_patterns(files, (("name", ("go", "ts", "js"), r"\b(\w+\s*=\s*\"[a-z_]+\")", "name", "high", 1),))
-    index = names.select("root_name", F.regexp_extract("detail", r"^(\w+)", 1).alias("const"), F.regexp_extract("detail", '"([a-z_]+)"', 1).alias("table_name")).groupBy("root_name", "const").agg(F.min("table_name").alias("table_name"))
-    uses = scan_patterns(files, (("use", ("go", "ts", "js"), r"(\.Table\(\s*[\w.\"]+\s*\)(?:\s*\.\w+\([^)]*\))*)", "use", "medium", 1),))
-    arg, verbs = F.regexp_extract("detail", r"\.Table\(\s*([\w.\"]+)", 1), F.regexp_extract_all("detail", F.lit(r"\.(\w+)\("), F.lit(1))
-    table = F.create_map(*(F.lit(x) for kv in ORM_OPERATIONS.items() for x in kv))
-    ops = F.array_compact(F.transform(verbs, lambda v: F.try_element_at(table, v)))
-    op = F.when(F.array_contains(ops, "write"), "write").when(F.array_contains(ops, "read"), "read").otherwise("unknown")
-    u = uses.select("root_name", "rel_path", "line", arg.alias("arg"), op.alias("operation")).withColumn("const", F.element_at(F.split("arg", r"\."), -1))
-    both = u.join(index, ["root_name", "const"], "left")
-    return both.select("root_name", F.when(F.col("arg").startswith('"'), F.regexp_replace("arg", '"', "")).otherwise(F.coalesce("table_name", "arg")).alias("entity"), "operation", "rel_path", "line")
-
-
 def build_entry_traces(entries: DataFrame, symbols: DataFrame, call_edges: DataFrame, type_edges: DataFrame, **bounds: int) -> DataFrame:
     """build_traces over calls and type relations together, with traceability: the share of symbols that the entry reaches, in percent."""
     total = symbols.select("id").distinct().agg(F.count("*").alias("total"))

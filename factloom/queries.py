@@ -798,11 +798,12 @@ def b7_side_effects(spark, sf_dir):
     return effects.side_effect_facts(ad.lineitem_as_access(spark, sf_dir), calls, packages, notes)
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'authorization' WHEN event_type = 'signup' THEN 'authentication' ELSE 'unresolved' END AS "check" FROM events""")
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'authorization' WHEN event_type IN ('signup', 'purchase') OR (event_type = 'click' AND event_id % 2 = 0) THEN 'authentication' ELSE 'unresolved' END AS "check" FROM events""")
 def e21_auth_check(spark, sf_dir):
-    e = ad.table(spark, sf_dir, "events")
-    t = F.col("event_type")
-    return e.select("event_id", effects.auth_check_of(F.when(t == "signup", "userSession").otherwise(t), F.when(t == "view", "role")).alias("check"))
+    """Whole words of a mechanism count: a user's session and a JWT do, an author or a superuser does not."""
+    e, t = ad.table(spark, sf_dir, "events"), F.col("event_type")
+    mechanism = F.when(t == "signup", "userSession").when(t == "purchase", "JWT-guard").when(t == "click", F.when(F.col("event_id") % 2 == 0, "requireLogin").otherwise("authorRole")).otherwise("superuser")
+    return e.select("event_id", effects.auth_check_of(mechanism, F.when(t == "view", "role")).alias("check"))
 
 
 @query(f"""WITH {SETS_SQL}, e AS (SELECT p_partkey AS rule_id, p_brand AS root_name, 'Part_' || string_split(p_type, ' ')[-1] || '_Set' AS name FROM part) SELECT rule_id, coalesce((SELECT s.root_name FROM s WHERE s.root_name = e.root_name AND s.name = e.name), (SELECT min(s.root_name) FROM s WHERE s.name = e.name)) AS set_root, name AS set_name FROM e WHERE name IN (SELECT name FROM s)""")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import grades, keys, names, paths
-from .operators import audit, behavior, effects, flows, graphs, health, history, link, merge, modules, rules, scans, wiring
+from .operators import audit, behavior, effects, flows, graphs, health, history, lexing, link, merge, modules, reads, rules, scans, wiring
 from .plans import adapters as ad
 from .queries import SCORED_SQL, SETS_SQL, query, size_sets, type_conditions
 from .sources import base, code_graph
@@ -442,24 +442,82 @@ def x13_gaps(spark, sf_dir):
     return wiring.languages_without(f, ("go", "py"))
 
 
-@query("""SELECT doc_id, 'https://x.example/' || doc_id AS detail, 1::BIGINT AS line FROM documents WHERE doc_id % 2 = 0""")
+def code_files(spark, sf_dir, ext, *parts):
+    """One file a document: lines made of its id, and its text on one line behind a comment mark."""
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " ")
+    return ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("rel_path"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\n// "), text).alias("content"))
+
+
+def doc_of(df, *columns):
+    return df.select(F.regexp_extract("rel_path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), *columns)
+
+
+ID = F.col("doc_id").cast("string")
+
+
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '/\*(?:/|[\s\S]*?(?:\*/|\z))|//[^\n]*|''(?:[^''\\]|\\[\s\S])*\\?(?:''|\z)|"(?:[^"\\]|\\[\s\S])*\\?(?:"|\z)|`(?:[^`\\]|\\[\s\S])*\\?(?:`|\z)|#[^\n]*') AS x FROM documents),
+c AS (SELECT doc_id, list_filter(x, lambda m: m[1] IN ('/', '#')) AS x FROM t) SELECT doc_id, len(x) AS n, list_sum(list_transform(x, lambda m: length(m)))::BIGINT AS size FROM c WHERE len(x) > 0""")
+def x8_comment_spans(spark, sf_dir):
+    """Comments of all texts, as a lexer sees them."""
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
+    return doc_of(lexing.comments(f), "start", "end").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("size"))
+
+
+@query(r"""WITH f AS (SELECT doc_id, doc_id % 3 AS k FROM documents)
+SELECT doc_id, 1::BIGINT AS line, 'block' AS form, 'About ' || doc_id || chr(10) || 'more' AS text FROM f WHERE k < 2
+UNION ALL SELECT doc_id, 5, 'lines', 'first ' || doc_id || ' second' FROM f WHERE k < 2
+UNION ALL SELECT doc_id, 1, 'hash', 'note ' || doc_id FROM f WHERE k = 2
+UNION ALL SELECT doc_id, 2, 'hash', 'last' FROM f WHERE k = 2""")
+def x8_doc_comments(spark, sf_dir):
+    """Block, line and # comments; the text itself stands in the code."""
+    k, text = F.col("doc_id") % 3, F.regexp_replace(F.coalesce("text", F.lit("")), r"[/*#\n\r]", " ")
+    slash = F.concat(F.lit("/** About "), ID, F.lit("\n * more\n */ x = "), text, F.lit("\n\n//  first "), ID, F.lit(" \n\t// second\ny // not alone\n// a"))
+    hashed = F.concat(F.lit("# note "), ID, F.lit("\n  #last\nz = "), text, F.lit(" # no line of its own\n#"))
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.when(k == 0, ".go").when(k == 1, ".ts").otherwise(".py")).alias("rel_path"), F.when(k < 2, slash).otherwise(hashed).alias("content"))
+    return doc_of(scans.doc_items(f), "line", "form", "text")
+
+
+@query(r"""SELECT doc_id, 'label' AS kind, 'Name of ' || doc_id AS name FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'label', 'Save it now' FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, 'test', 'Test_' || doc_id FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, 'test', 'testLower' FROM documents WHERE doc_id % 2 = 1""")
+def x9_labels_and_tests(spark, sf_dir):
+    """Labels of markup (no colon, no braces, no short or lower-case text) and test functions of Go."""
+    even = F.col("doc_id") % 2 == 0
+    markup = F.concat(F.lit("<input title = 'Name of "), ID, F.lit("' placeholder=\"{{x}}\" :label=\"y\" label: 'no'><b>\n Save it now </b><i>lower case</i><u>Ab</u>"))
+    tests = F.concat(F.lit("func Test_"), ID, F.lit("(t) {}\nfunc testLower() {}\nfunc Tes() {}\nyup.test('no test here')"))
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.when(even, ".vue").otherwise(".go")).alias("rel_path"), F.when(even, markup).otherwise(tests).alias("content"))
+    both = scans.ui_labels(f).select("rel_path", F.lit("label").alias("kind"), F.col("label").alias("name")).unionByName(scans.test_names(f).select("rel_path", F.lit("test").alias("kind"), "name"))
+    return doc_of(both, "kind", "name")
+
+
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
+SELECT doc_id, 1::BIGINT AS line, 14::BIGINT AS "column", 'https://x' || doc_id || '.example/' AS target, NULL::VARCHAR AS reason FROM d WHERE k < 3
+UNION ALL SELECT doc_id, 2, 13, 'http://svc:80/' || doc_id, NULL FROM d WHERE k = 0
+UNION ALL SELECT doc_id, 2, 3, NULL, 'destination is built at runtime from "https://y.example/' || doc_id || '/…"' FROM d WHERE k = 1
+UNION ALL SELECT doc_id, 2, 34 + length(doc_id::VARCHAR), 'https://z.example/', NULL FROM d WHERE k = 1""")
 def x2_urls(spark, sf_dir):
-    """A quoted URL in the first line of every second text, a bare one in the others."""
-    link_ = F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))
-    quoted = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), link_, F.lit('"'))).otherwise(link_)
-    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"), F.concat(quoted, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("content"))
-    return scans.scan_patterns(f, scans.URLS).select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc_id"), "detail", "line")
+    """Stated, built, linked and commented URLs, beside each other in one line, and all texts as comments."""
+    k = F.col("doc_id") % 4
+    second = (
+        F.when(k == 0, F.concat(F.lit('/* "a" */ f("http://svc:80/'), ID, F.lit('"); g("http://local"); h(\'// no\')'))).when(k == 1, F.concat(F.lit("f(`https://y.example/"), ID, F.lit('/${id}`); g("https://z.example/")')))
+        .when(k == 2, F.lit("<a href = 'https://link.example/'> # 'https://hash.example/'")).otherwise("x = 'http://www.w3.org/2000/svg' // 'https://c.example/'")
+    )
+    f = code_files(spark, sf_dir, ".ts", F.concat(F.lit("const base = "), F.when(k < 3, F.concat(F.lit('"https://x'), ID, F.lit('.example/"'))).otherwise("1"), F.lit("\n")), second)
+    return doc_of(reads.outbound_urls(f), "line", "column", "target", "reason")
 
 
-@query("""SELECT p_partkey AS doc, 'leaves_' || p_size AS entity, CASE WHEN p_size % 2 = 0 THEN 'write' ELSE 'read' END AS operation FROM part""")
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 5 AS k FROM documents)
+SELECT doc_id, 'src/' AS folder, 2::BIGINT AS line, 'gorm' AS mechanism, CASE WHEN k = 4 THEN NULL ELSE 'leaves_' || doc_id END AS entity, (['write', 'delete', 'read', 'unknown', 'unknown'])[k + 1] AS operation FROM d
+UNION ALL SELECT doc_id, 'js/', 1, 'sequelize', CASE WHEN k < 3 THEN 'orm_' || doc_id ELSE 'model' || doc_id END, CASE WHEN k % 2 = 0 THEN 'delete' ELSE 'write' END FROM d""")
 def x5_data_usage(spark, sf_dir):
-    """A constant and its use in one file a part."""
-    s = F.col("p_size")
-    word = F.translate(s.cast("string"), "0123456789", "abcdefghij")
-    code = F.concat(F.lit('T'), F.col("p_partkey").cast("string"), F.lit(' = "leaves_'), word, F.lit('"\ndb.Table(T'), F.col("p_partkey").cast("string"), F.when(s % 2 == 0, ").Create(x)\n").otherwise(").Find(x)\n"))
-    f = parts(spark, sf_dir).select(F.lit("r").alias("root_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("rel_path"), code.alias("content"))
-    u = wiring.scan_data_usage(f)
-    return u.select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc"), F.translate("entity", "abcdefghij", "0123456789").alias("e"), "operation").select("doc", F.concat(F.lit("leaves_"), F.regexp_extract("e", "_([0-9]+)$", 1)).alias("entity"), "operation")
+    """Constants and the chains that use them in the middle of a name, operations behind line ends and none of the next statement; models with and without a table."""
+    k = F.col("doc_id") % 5
+    declared = code_files(spark, sf_dir, ".go", F.concat(F.lit("T"), ID, F.lit(' TableName = "leaves_'), ID, F.lit('"'))).withColumn("rel_path", F.concat(F.lit("constant/"), "rel_path"))
+    verb = F.when(k == 0, ").\n  Where(a).\n  Updates(x)").when(k == 1, ').Find(x).\n\tDelete("y")').when(k == 2, ').Where("a\n(").Count(n)').otherwise(")")
+    used = code_files(spark, sf_dir, ".go", F.concat(F.lit("// db.Table(T1)\ndb.Table(pkg."), F.when(k == 4, "Nothing").otherwise(F.concat(F.lit("T"), ID)), F.lit(".String"), verb, F.lit("\ndb.Create(z)"))).withColumn("rel_path", F.concat(F.lit("src/"), "rel_path"))
+    models = code_files(spark, sf_dir, ".js", F.concat(F.lit("define('Model"), ID, F.lit("', { tableName: 'orm_"), ID, F.lit("' })"))).where(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long") % 5 < 3).withColumn("rel_path", F.concat(F.lit("src/models/m"), "rel_path"))
+    calls = code_files(spark, sf_dir, ".js", F.concat(F.lit("models.Model"), ID, F.when(k % 2 == 0, ".destroy({})").otherwise(".bulkCreate([])"), F.lit("; models.Model"), ID, F.lit(".build()"))).withColumn("rel_path", F.concat(F.lit("js/"), "rel_path"))
+    u = reads.data_usage(declared.unionByName(used).unionByName(models).unionByName(calls))
+    return doc_of(u, F.regexp_extract("rel_path", "^[a-z]+/", 0).alias("folder"), "line", "mechanism", "entity", "operation")
 
 
 @query("""SELECT p_brand AS dir, 'pkg-' || p_partkey AS name, '^' || p_size AS version_constraint, CASE p_partkey % 2 WHEN 0 THEN 'runtime' ELSE 'development' END AS scope FROM part""")
@@ -479,11 +537,11 @@ def x12_lockfiles(spark, sf_dir):
     return scans.read_lockfiles(f).select("dir", "name", "version")
 
 
-@query("""SELECT DISTINCT p_brand AS root_name, p_type AS member, p_name AS rel_path, p_size AS start_line FROM part p WHERE p_size % 2 = 0 AND EXISTS (SELECT 1 FROM part s WHERE s.p_brand = p.p_brand AND s.p_type = p.p_type AND s.p_size % 5 = 0)""")
+@query("""SELECT DISTINCT p_brand AS root_name, p_type AS member, p_name AS rel_path, p_size AS start_line FROM part p WHERE p_size % 2 = 0 AND EXISTS (SELECT 1 FROM part s WHERE s.p_brand = p.p_brand AND s.p_type = p.p_type AND s.p_size % 5 IN (0, 2))""")
 def j26_authorization(spark, sf_dir):
     p, s = parts(spark, sf_dir), F.col("p_size")
     r = p.select(F.col("p_brand").alias("root_name"), F.col("p_type").alias("member"), F.when(s % 2 == 0, "check").otherwise("write").alias("context"), F.col("p_name").alias("rel_path"), s.alias("start_line"))
-    sets = p.groupBy(F.col("p_brand").alias("root_name"), F.when(s % 5 == 0, "UserRoleC").otherwise("ColourC").alias("name")).agg(F.collect_set(F.struct(F.col("p_type").alias("name"), F.lit(1).cast("long").alias("value"))).alias("members"))
+    sets = p.groupBy(F.col("p_brand").alias("root_name"), F.when(s % 5 == 0, "UserRoleC").when(s % 5 == 1, "DataAccessC").when(s % 5 == 2, "grant_kinds").otherwise("ColourC").alias("name")).agg(F.collect_set(F.struct(F.col("p_type").alias("name"), F.lit(1).cast("long").alias("value"))).alias("members"))
     return effects.observe_authorization(r, sets)
 
 
@@ -508,18 +566,27 @@ def e10_entity_terms(spark, sf_dir):
     return p.select("p_partkey", names.entity_term(name, F.lit("shop_")).alias("term"))
 
 
-@query("""SELECT p_partkey AS doc, '/v2/:param/' || p_size AS path, 2::BIGINT AS line FROM part WHERE p_size % 2 = 0""")
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
+SELECT doc_id, 2::BIGINT AS line, 'GET' AS method, CASE k WHEN 0 THEN 'mainApi' WHEN 1 THEN 'base' END AS base, CASE k WHEN 0 THEN '/v2/leaves/' || doc_id WHEN 1 THEN '/v1/:param/' || doc_id WHEN 2 THEN '/plain/' || doc_id END AS target, k = 3 AS failed FROM d
+UNION ALL SELECT doc_id, 3, NULL, 'mainApi', '/v2', false FROM d""")
 def x3_ui_calls(spark, sf_dir):
-    s = F.col("p_size").cast("string")
-    call = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("axios.get(`${cfg.base}/v2/${id}/"), s, F.lit("?q=1`)"))).otherwise("noop()")
-    f = parts(spark, sf_dir).select(F.lit("r").alias("root_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("rel_path"), F.concat(F.lit("x\n"), call).alias("content"))
-    return wiring.scan_ui_calls(f).select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc"), "path", "line")
+    """Bases derived in the file, templates, plain paths, and URLs made elsewhere."""
+    k = F.col("doc_id") % 4
+    url = F.when(k == 0, F.concat(F.lit("`${v2}/leaves/"), ID, F.lit("?q=1`, x"))).when(k == 1, F.concat(F.lit("`${cfg.base}/v1/${id}-x/"), ID, F.lit("`"))).when(k == 2, F.concat(F.lit("'/plain/"), ID, F.lit("'"))).otherwise(F.concat(F.lit("'/made/' + x"), ID))
+    f = code_files(spark, sf_dir, ".tsx", F.concat(F.lit("const v2 = `${config.mainApi}/v2`\naxios.get<A.B<C>>("), url, F.lit(")\nhttp.request(`${v2}`); other.get('/x'); s = '/* '; // axios.get('/no')")))
+    return doc_of(reads.ui_calls(f), "line", "method", "base", "target", F.col("failure").isNotNull().alias("failed"))
 
 
-@query("""SELECT p_partkey AS doc, CASE WHEN p_size % 2 = 0 THEN 'fetch' ELSE 'axios' END AS label FROM part WHERE p_size % 2 = 0 OR p_size % 3 = 0""")
+@query(r"""WITH d AS (SELECT doc_id, doc_id % 4 AS k FROM documents)
+SELECT doc_id, (['net/smtp', 'aws-sdk-go', 'axios', 'fetch'])[k + 1] AS package_name, (['SendMail', 'GetObject', 'put', 'fetch'])[k + 1] AS member_name, 2::BIGINT AS line, (['high', 'medium', 'medium', 'low'])[k + 1] AS confidence FROM d
+UNION ALL SELECT doc_id, 'axios', 'request', 3, 'medium' FROM d WHERE k = 2""")
 def x4_outbound_sinks(spark, sf_dir):
-    """axios counts only in files that import it."""
-    s = F.col("p_size")
-    text = F.when(s % 2 == 0, F.lit("fetch ('/x')")).otherwise(F.concat(F.when(s % 3 == 0, F.lit("import axios from 'axios'\n")).otherwise(""), F.lit("axios('/y')")))
-    f = parts(spark, sf_dir).select(F.lit("r").alias("root_name"), F.concat(F.col("p_partkey").cast("string"), F.lit(".ts")).alias("rel_path"), text.alias("content"))
-    return wiring.scan_outbound_sinks(f, {"axios": "from 'axios'"}).select(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long").alias("doc"), "label")
+    """Sinks behind their imports; a wrapper of the same name, another object's fetch, a sink without its import and comments do not count."""
+    k = F.col("doc_id") % 4
+    code = (
+        F.when(k == 0, 'import "net/smtp"\nsmtp.SendMail(a); http.Get(b)\n/* smtp.SendMail(c) */ s3.NewX()').when(k == 1, 'import "aws-sdk-go"\nc.GetObject(ctx, x)\nc.GetObject(key); q := "/*"')
+        .when(k == 2, "import axios\naxios . put (u)\naxios(v) # axios(w)").otherwise("\nfetch ('/z')\na.fetch(b); prefetch(c)")
+    )
+    f = ad.table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), k.alias("k"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " ").alias("t"))
+    f = f.select(F.lit("r").alias("root_name"), F.concat(ID, F.when(F.col("k") < 2, ".go").otherwise(".ts")).alias("rel_path"), F.concat("code", F.lit("\n// "), F.when(F.col("k") == 3, "").otherwise(F.col("t"))).alias("content"))
+    return doc_of(reads.outbound_sinks(f), "package_name", "member_name", "line", "confidence")

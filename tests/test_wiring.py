@@ -7,19 +7,6 @@ from factloom.sources import code_graph
 from factloom.sources.providers import Registry
 
 
-def test_scans(spark):
-    f = spark.createDataFrame(
-        [
-            ("r", "a.ts", "axios.get(`${cfg.base}/v2/${id}/x?y`)\napi.post('')\nfetch('x')"),
-            ("r", "b.go", 'const Leaves = "leaves"\ndb.Table(model.Leaves).Where(x).Create(y)\ndb.Table("raw").Find(z)\ndb.Table(Unknown)'),
-        ],
-        "root_name string, rel_path string, content string",
-    )
-    assert {(r.base, r.path, r.failure is None) for r in wiring.scan_ui_calls(f).collect()} == {("base", "/v2/:param/x", True), (None, None, False)}
-    assert {(r.entity, r.operation) for r in wiring.scan_data_usage(f).collect()} == {("leaves", "write"), ("raw", "read"), ("Unknown", "unknown")}
-    assert [r.label for r in wiring.scan_outbound_sinks(f, {"axios": "from 'axios'"}).collect()] == ["fetch"]
-
-
 def test_strict_json_and_accounting(spark):
     t = spark.createDataFrame([(1, '{"a": 1}'), (2, "nope")], "report_id long, text string")
     got = {r.report_id: r for r in wiring.parse_strict(t, "a int").collect()}
