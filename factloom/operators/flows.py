@@ -78,6 +78,16 @@ def feature_findings(endpoints: DataFrame) -> DataFrame:
     return g.select("feature_id", "total", F.explode(rows).alias("r")).where("r.n > 0").select("feature_id", "r.code", "r.n", "total", "r.severity")
 
 
+def storage_findings(steps: DataFrame, named: int = 5) -> DataFrame:
+    """(feature_id, code, evidence array, severity): features of which no endpoint was seen to reach a table, and those whose every observed access lies near a handler and in none; where
+    nothing was observed the latter says nothing. The evidence is the first tables by name. steps(feature_id, flow_id, kind, entity, indirect, unresolved_reason), one row a step of a feature's
+    flows; a feature without flows has no row and no finding."""
+    seen = (F.col("kind") == "data-access") & F.col("unresolved_reason").isNull()
+    g = steps.groupBy("feature_id").agg(F.count_if(seen).alias("observed"), F.count_if(seen & ~F.coalesce("indirect", F.lit(False))).alias("direct"), F.array_sort(F.collect_set(F.when(seen, F.col("entity")))).alias("tables"))
+    code = F.when(F.size("tables") == 0, "feature-without-observed-storage").when((F.col("observed") > 0) & (F.col("direct") == 0), "storage-observed-only-nearby")
+    return g.select("feature_id", code.alias("code"), F.slice("tables", 1, named).alias("evidence"), F.lit("info").alias("severity")).where("code is not null")
+
+
 def logic_findings(rules: DataFrame, discarded: DataFrame) -> DataFrame:
     """(code, subject, n, severity): a rule applied in two ways; by root, bare numbers (of n) where others are named; one rule in three places or more; failures
     that nobody observes by root. rules(rule_id, root_name, subject, operator, literal, named boolean), discarded(root_name)."""

@@ -53,18 +53,19 @@ def union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 12, max_steps: int = 200, max_branches: int = 16) -> DataFrame:
+def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_depth: int = 12, max_steps: int = 200, max_branches: int = 16, origins: bool = False) -> DataFrame:
     """(entry_id, steps array of struct(pos, node, depth), truncation, detail, partial) of a breadth-first walk from each entry(entry_id, node).
 
     Level by level: order is (position of the parent, edge_ord), a node is taken once per entry, and one row per (entry, node) crosses
     each join. A node at max_depth or with over max_branches edges is a step but not expanded; past max_steps the walk stops. An edge back to an ancestor is
     a cycle, a null callee unresolved-edge; a callee that is no symbol is skipped. The last max- event decides the truncation, else
     the first cycle or unresolved edge, else completed; detail names the node where that happened, partial is every truncation but completed.
-    edges(caller_id, callee_id, edge_ord), symbols(id)."""
+    With origins a step also has origin and edge_ord, the node and edge by which it was reached first. edges(caller_id, callee_id, edge_ord), symbols(id)."""
+    came = ["origin", "edge_ord"] if origins else []
     known = symbols.select(F.col("id").alias("callee_id")).distinct().withColumn("known", F.lit(True))
     edges = cut(edges.select("caller_id", "callee_id", "edge_ord").join(known, "callee_id", "left"))
     degree = cut(edges.groupBy(F.col("caller_id").alias("node")).agg(F.count("*").alias("degree")))
-    level = cut(entries.select("entry_id", "node", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.array("node").alias("path")))
+    level = cut(entries.select("entry_id", "node", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.array("node").alias("path"), *(F.lit(None).cast(edges.schema[c].dataType).alias(o) for c, o in zip(("caller_id", "edge_ord"), came))))
     levels, events = [level], []
     for depth in range(max_depth + 1):
         here = level.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
@@ -74,7 +75,7 @@ def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_d
         if depth == max_depth:
             break
         ended = here.where("bound = 'max-steps'").select("entry_id")
-        out = here.where("bound is null").join(ended, "entry_id", "left_anti").withColumnRenamed("node", "caller_id").join(edges, "caller_id")
+        out = here.where("bound is null").join(ended, "entry_id", "left_anti").drop(*came).withColumnRenamed("node", "caller_id").join(edges, "caller_id")
         visited = union([t.select("entry_id", F.col("node").alias("callee_id"), F.lit(True).alias("seen")) for t in levels])
         out = out.join(visited, ["entry_id", "callee_id"], "left")
         first = F.row_number().over(Window.partitionBy("entry_id", "callee_id").orderBy("pos", "edge_ord"))
@@ -84,19 +85,46 @@ def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_d
         total = level.groupBy("entry_id").agg((F.max("pos") + 1).alias("total"))  # positions have no gaps
         place = F.row_number().over(Window.partitionBy("entry_id").orderBy("pos", "edge_ord")) - 1 + F.col("total")
         taken = out.where("nth = 1").join(total, "entry_id")
-        level = cut(taken.select("entry_id", F.col("callee_id").alias("node"), place.cast("long").alias("pos"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("callee_id")).alias("path")))
+        level = cut(taken.select("entry_id", F.col("callee_id").alias("node"), place.cast("long").alias("pos"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("callee_id")).alias("path"), *(F.col(c).alias(o) for c, o in zip(("caller_id", "edge_ord"), came))))
         if level.isEmpty():
             break
         levels.append(level)
     hard = F.max(F.when(F.col("rank") == 0, F.struct("pos", "what", "where")))
     soft = F.min(F.when(F.col("rank") == 1, F.struct("pos", "edge_ord", "what", "where")))
     verdict = union(events).groupBy("entry_id").agg(hard.alias("h"), soft.alias("s")).select("entry_id", F.coalesce("h.what", "s.what").alias("truncation"), F.coalesce("h.where", "s.where").alias("detail"))
-    steps = union([t.select("entry_id", "node", "pos", "depth") for t in levels])
-    made = steps.where(F.col("pos") < max_steps).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "depth"))).alias("steps"))
+    steps = union([t.select("entry_id", "node", "pos", "depth", *came) for t in levels])
+    made = steps.where(F.col("pos") < max_steps).groupBy("entry_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node", "depth", *came))).alias("steps"))
     ended = F.coalesce("truncation", F.lit("completed"))
     return made.join(verdict, "entry_id", "left").select("entry_id", "steps", ended.alias("truncation"), "detail", (ended != "completed").alias("partial"))
 
 
+def entry_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, **bounds: int) -> tuple[DataFrame, DataFrame]:
+    """(steps, traceability) of walks over calls and type relations together (G3): edges(caller_id, callee_id, edge_ord, edge_kind, resolution, rel_path, line), entries(entry_id,
+    node, class).
+
+    steps(entry_id, pos, node, depth, origin, edge_kind, resolution, rel_path, line, truncation, detail): each step with the edge by which the walk came to it first, so that a path can be read
+    back. traceability is one row: the entries, those of each class, those that led anywhere, and their share of all."""
+    walked = build_traces(entries, symbols, edges, origins=True, **bounds)
+    steps = walked.select("entry_id", "truncation", "detail", F.explode("steps").alias("s")).select("entry_id", "s.*", "truncation", "detail")
+    facts = edges.select(F.col("caller_id").alias("origin"), F.col("callee_id").alias("node"), "edge_ord", "edge_kind", "resolution", "rel_path", "line").dropDuplicates(["origin", "node", "edge_ord"])
+    steps = steps.join(facts, ["origin", "node", "edge_ord"], "left").select("entry_id", "pos", "node", "depth", "origin", "edge_kind", "resolution", "rel_path", "line", "truncation", "detail")
+    both = entries.select("entry_id", "class").join(walked.select("entry_id", (F.size("steps") > 1).alias("led")), "entry_id", "left")
+    of = lambda c: F.count_if(F.col("class") == c)
+    total = both.agg(F.count("*").alias("total"), of("precise").alias("precise"), of("candidate").alias("candidate"), of("structure-root").alias("structure_root"), F.count_if("led").alias("reachable"))
+    return steps, total.withColumn("rate", F.when(F.col("total") > 0, F.col("reachable") / F.col("total")).otherwise(0.0))
+
+
+def read_back(steps: DataFrame, targets: DataFrame) -> DataFrame:
+    """(entry_id, node, path array): how the walks came to targets(entry_id, node), from the entry on, by the origins of steps; one join a level."""
+    deepest = steps.agg(F.max("depth")).first()[0] or 0
+    at = steps.select("entry_id", F.col("node").alias("here"), "origin")
+    out = targets.select("entry_id", "node", F.col("node").alias("here"), F.array("node").alias("path")).join(at, ["entry_id", "here"])
+    for _ in range(deepest):
+        above = at.select("entry_id", F.col("here").alias("origin"), F.col("origin").alias("next"))
+        out = out.join(above, ["entry_id", "origin"], "left").select("entry_id", "node", F.when(F.col("origin").isNotNull(), F.concat(F.array("origin"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("origin").isNotNull(), F.col("next")).alias("origin"))
+    return out.select("entry_id", "node", "path")
+
+
 def untraced_entries(routes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(entry_id, reason): routes(entry_id, handler_id) without a handler, or whose handler is no symbol(id)."""
     known = symbols.select(F.col("id").alias("handler_id"), F.lit(True).alias("known")).distinct()

@@ -30,6 +30,20 @@ def write_derived(records: DataFrame, base: str, snapshot_id: str, table: str =
     return counts
 
 
+def write_links(links: DataFrame, base: str, snapshot_id: str, table: str = "ownership_links") -> int:
+    """Adds the links(from_id, to_id, role) that the snapshot does not have yet and returns how many those are: an anti join on its partition alone. Written twice nothing changes; a write that
+    failed half-way leaves nothing, since files of an append are seen when its job commits."""
+    spark, at = links.sparkSession, f"{base}/{table}"
+    new, held = links.select("from_id", "to_id", "role").distinct(), 0
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    live = lambda: spark.read.parquet(at).where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        held = live().count()
+        new = new.alias("n").join(live().alias("t"), F.expr("n.from_id <=> t.from_id and n.to_id <=> t.to_id and n.role <=> t.role"), "left_anti")
+    new.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id").parquet(at)
+    return live().count() - held
+
+
 def write_behavior(facts: DataFrame, relations: DataFrame, base: str, snapshot_id: str, max_facts: int = 200_000, max_relations: int = 1_000_000, violations: DataFrame | None = None) -> None:
     """Replace the snapshot's behaviour model; over the bounds nothing is written, nor with violations(fact_id, reason) other than quarantines; facts that have one of
     these are flagged quarantined."""
@@ -85,15 +99,30 @@ def read_behavior(spark: SparkSession, base: str, snapshot_id: str) -> tuple[Dat
     return one("behavior_facts"), one("behavior_relations")
 
 
-def kb_sql(spark: SparkSession, base: str, snapshot_id: str, text: str, tables: tuple[str, ...] = (RECORDS,), children: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """A SELECT over views that hold the snapshot's rows alone, so an unscoped read cannot be written. children(name -> (parent, key)) are tables without
-    snapshot_id that take the scope of their parent's rows."""
+def scoped_views(spark: SparkSession, base: str, snapshot_id: str, tables: tuple[str, ...], children: dict[str, tuple[str, str]]) -> dict[str, DataFrame]:
+    """Each table with the snapshot's rows alone. children(name -> (parent, key)) have no snapshot_id and take the scope of their parent's rows, over any number of parents; one whose parents
+    lead to no scoped table, or in a circle, is an error, for it could only be read unscoped."""
+    views = {t: spark.read.parquet(f"{base}/{t}").where(F.col("snapshot_id") == snapshot_id) for t in tables}
+    left = dict(children)
+    while ready := [n for n, (parent, _) in left.items() if parent in views]:
+        for name in ready:
+            parent, key = left.pop(name)
+            views[name] = spark.read.parquet(f"{base}/{name}").join(views[parent].select(key).distinct(), key, "left_semi")
+    if left:
+        raise ValueError(f"no snapshot scopes {', '.join(sorted(left))}")
+    return views
+
+
+def kb_sql(spark: SparkSession, base: str, snapshot_id: str, text: str, tables: tuple[str, ...] = (RECORDS,), children: dict[str, tuple[str, str]] | None = None, log: str | None = None) -> DataFrame:
+    """A SELECT over scoped_views, so an unscoped read cannot be written. log names a table of the base to which the query is appended before it runs, as audit_query_log reads it; what is refused is
+    not logged."""
     if not text.lstrip().lower().startswith(("select", "with")):
         raise ValueError("SELECT or WITH only")
-    views = {t: spark.read.parquet(f"{base}/{t}").where(F.col("snapshot_id") == snapshot_id) for t in tables}
-    for name, (parent, key) in (children or {}).items():
-        views[name] = spark.read.parquet(f"{base}/{name}").join(views[parent].select(key).distinct(), key, "left_semi")
-    return spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {{v_{n}}})" for n in views) + f" SELECT * FROM ({text})", **{f"v_{n}": v for n, v in views.items()})
+    views = scoped_views(spark, base, snapshot_id, tables, children or {})
+    out = spark.sql("WITH " + ", ".join(f"{n} AS (SELECT * FROM {{v_{n}}})" for n in views) + f" SELECT * FROM ({text})", **{f"v_{n}": v for n, v in views.items()})
+    if log:
+        spark.range(1).select(F.current_timestamp().alias("asked_at"), F.lit(snapshot_id).alias("report_id"), F.lit(text).alias("query")).write.mode("append").parquet(f"{base}/{log}")
+    return out
 
 
 def migrate_facts(facts: DataFrame, steps: dict[int, Callable[[DataFrame], DataFrame]], start: int, target: int) -> DataFrame:

@@ -452,14 +452,15 @@ def doc_of(df, *columns):
     return df.select(F.regexp_extract("rel_path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), *columns)
 
 
-ID = F.col("doc_id").cast("string")
+def name_of() -> F.Column:
+    return F.col("doc_id").cast("string")
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '/\*(?:/|[\s\S]*?(?:\*/|\z))|//[^\n]*|''(?:[^''\\]|\\[\s\S])*\\?(?:''|\z)|"(?:[^"\\]|\\[\s\S])*\\?(?:"|\z)|`(?:[^`\\]|\\[\s\S])*\\?(?:`|\z)|#[^\n]*') AS x FROM documents),
 c AS (SELECT doc_id, list_filter(x, lambda m: m[1] IN ('/', '#')) AS x FROM t) SELECT doc_id, len(x) AS n, list_sum(list_transform(x, lambda m: length(m)))::BIGINT AS size FROM c WHERE len(x) > 0""")
 def x8_comment_spans(spark, sf_dir):
     """Comments of all texts, as a lexer sees them."""
-    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(name_of(), F.lit(".txt")).alias("rel_path"), F.col("text").alias("content"))
     return doc_of(lexing.comments(f), "start", "end").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("size"))
 
 
@@ -471,9 +472,9 @@ UNION ALL SELECT doc_id, 2, 'hash', 'last' FROM f WHERE k = 2""")
 def x8_doc_comments(spark, sf_dir):
     """Block, line and # comments; the text itself stands in the code."""
     k, text = F.col("doc_id") % 3, F.regexp_replace(F.coalesce("text", F.lit("")), r"[/*#\n\r]", " ")
-    slash = F.concat(F.lit("/** About "), ID, F.lit("\n * more\n */ x = "), text, F.lit("\n\n//  first "), ID, F.lit(" \n\t// second\ny // not alone\n// a"))
-    hashed = F.concat(F.lit("# note "), ID, F.lit("\n  #last\nz = "), text, F.lit(" # no line of its own\n#"))
-    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.when(k == 0, ".go").when(k == 1, ".ts").otherwise(".py")).alias("rel_path"), F.when(k < 2, slash).otherwise(hashed).alias("content"))
+    slash = F.concat(F.lit("/** About "), name_of(), F.lit("\n * more\n */ x = "), text, F.lit("\n\n//  first "), name_of(), F.lit(" \n\t// second\ny // not alone\n// a"))
+    hashed = F.concat(F.lit("# note "), name_of(), F.lit("\n  #last\nz = "), text, F.lit(" # no line of its own\n#"))
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(name_of(), F.when(k == 0, ".go").when(k == 1, ".ts").otherwise(".py")).alias("rel_path"), F.when(k < 2, slash).otherwise(hashed).alias("content"))
     return doc_of(scans.doc_items(f), "line", "form", "text")
 
 
@@ -482,9 +483,9 @@ UNION ALL SELECT doc_id, 'test', 'Test_' || doc_id FROM documents WHERE doc_id %
 def x9_labels_and_tests(spark, sf_dir):
     """Labels of markup (no colon, no braces, no short or lower-case text) and test functions of Go."""
     even = F.col("doc_id") % 2 == 0
-    markup = F.concat(F.lit("<input title = 'Name of "), ID, F.lit("' placeholder=\"{{x}}\" :label=\"y\" label: 'no'><b>\n Save it now </b><i>lower case</i><u>Ab</u>"))
-    tests = F.concat(F.lit("func Test_"), ID, F.lit("(t) {}\nfunc testLower() {}\nfunc Tes() {}\nyup.test('no test here')"))
-    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(ID, F.when(even, ".vue").otherwise(".go")).alias("rel_path"), F.when(even, markup).otherwise(tests).alias("content"))
+    markup = F.concat(F.lit("<input title = 'Name of "), name_of(), F.lit("' placeholder=\"{{x}}\" :label=\"y\" label: 'no'><b>\n Save it now </b><i>lower case</i><u>Ab</u>"))
+    tests = F.concat(F.lit("func Test_"), name_of(), F.lit("(t) {}\nfunc testLower() {}\nfunc Tes() {}\nyup.test('no test here')"))
+    f = ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(name_of(), F.when(even, ".vue").otherwise(".go")).alias("rel_path"), F.when(even, markup).otherwise(tests).alias("content"))
     both = scans.ui_labels(f).select("rel_path", F.lit("label").alias("kind"), F.col("label").alias("name")).unionByName(scans.test_names(f).select("rel_path", F.lit("test").alias("kind"), "name"))
     return doc_of(both, "kind", "name")
 
@@ -498,10 +499,10 @@ def x2_urls(spark, sf_dir):
     """Stated, built, linked and commented URLs, beside each other in one line, and all texts as comments."""
     k = F.col("doc_id") % 4
     second = (
-        F.when(k == 0, F.concat(F.lit('/* "a" */ f("http://svc:80/'), ID, F.lit('"); g("http://local"); h(\'// no\')'))).when(k == 1, F.concat(F.lit("f(`https://y.example/"), ID, F.lit('/${id}`); g("https://z.example/")')))
+        F.when(k == 0, F.concat(F.lit('/* "a" */ f("http://svc:80/'), name_of(), F.lit('"); g("http://local"); h(\'// no\')'))).when(k == 1, F.concat(F.lit("f(`https://y.example/"), name_of(), F.lit('/${id}`); g("https://z.example/")')))
         .when(k == 2, F.lit("<a href = 'https://link.example/'> # 'https://hash.example/'")).otherwise("x = 'http://www.w3.org/2000/svg' // 'https://c.example/'")
     )
-    f = code_files(spark, sf_dir, ".ts", F.concat(F.lit("const base = "), F.when(k < 3, F.concat(F.lit('"https://x'), ID, F.lit('.example/"'))).otherwise("1"), F.lit("\n")), second)
+    f = code_files(spark, sf_dir, ".ts", F.concat(F.lit("const base = "), F.when(k < 3, F.concat(F.lit('"https://x'), name_of(), F.lit('.example/"'))).otherwise("1"), F.lit("\n")), second)
     return doc_of(reads.outbound_urls(f), "line", "column", "target", "reason")
 
 
@@ -511,11 +512,11 @@ UNION ALL SELECT doc_id, 'js/', 1, 'sequelize', CASE WHEN k < 3 THEN 'orm_' || d
 def x5_data_usage(spark, sf_dir):
     """Constants and the chains that use them in the middle of a name, operations behind line ends and none of the next statement; models with and without a table."""
     k = F.col("doc_id") % 5
-    declared = code_files(spark, sf_dir, ".go", F.concat(F.lit("T"), ID, F.lit(' TableName = "leaves_'), ID, F.lit('"'))).withColumn("rel_path", F.concat(F.lit("constant/"), "rel_path"))
+    declared = code_files(spark, sf_dir, ".go", F.concat(F.lit("T"), name_of(), F.lit(' TableName = "leaves_'), name_of(), F.lit('"'))).withColumn("rel_path", F.concat(F.lit("constant/"), "rel_path"))
     verb = F.when(k == 0, ").\n  Where(a).\n  Updates(x)").when(k == 1, ').Find(x).\n\tDelete("y")').when(k == 2, ').Where("a\n(").Count(n)').otherwise(")")
-    used = code_files(spark, sf_dir, ".go", F.concat(F.lit("// db.Table(T1)\ndb.Table(pkg."), F.when(k == 4, "Nothing").otherwise(F.concat(F.lit("T"), ID)), F.lit(".String"), verb, F.lit("\ndb.Create(z)"))).withColumn("rel_path", F.concat(F.lit("src/"), "rel_path"))
-    models = code_files(spark, sf_dir, ".js", F.concat(F.lit("define('Model"), ID, F.lit("', { tableName: 'orm_"), ID, F.lit("' })"))).where(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long") % 5 < 3).withColumn("rel_path", F.concat(F.lit("src/models/m"), "rel_path"))
-    calls = code_files(spark, sf_dir, ".js", F.concat(F.lit("models.Model"), ID, F.when(k % 2 == 0, ".destroy({})").otherwise(".bulkCreate([])"), F.lit("; models.Model"), ID, F.lit(".build()"))).withColumn("rel_path", F.concat(F.lit("js/"), "rel_path"))
+    used = code_files(spark, sf_dir, ".go", F.concat(F.lit("// db.Table(T1)\ndb.Table(pkg."), F.when(k == 4, "Nothing").otherwise(F.concat(F.lit("T"), name_of())), F.lit(".String"), verb, F.lit("\ndb.Create(z)"))).withColumn("rel_path", F.concat(F.lit("src/"), "rel_path"))
+    models = code_files(spark, sf_dir, ".js", F.concat(F.lit("define('Model"), name_of(), F.lit("', { tableName: 'orm_"), name_of(), F.lit("' })"))).where(F.regexp_extract("rel_path", "^[0-9]+", 0).cast("long") % 5 < 3).withColumn("rel_path", F.concat(F.lit("src/models/m"), "rel_path"))
+    calls = code_files(spark, sf_dir, ".js", F.concat(F.lit("models.Model"), name_of(), F.when(k % 2 == 0, ".destroy({})").otherwise(".bulkCreate([])"), F.lit("; models.Model"), name_of(), F.lit(".build()"))).withColumn("rel_path", F.concat(F.lit("js/"), "rel_path"))
     u = reads.data_usage(declared.unionByName(used).unionByName(models).unionByName(calls))
     return doc_of(u, F.regexp_extract("rel_path", "^[a-z]+/", 0).alias("folder"), "line", "mechanism", "entity", "operation")
 
@@ -572,7 +573,7 @@ UNION ALL SELECT doc_id, 3, NULL, 'mainApi', '/v2', false FROM d""")
 def x3_ui_calls(spark, sf_dir):
     """Bases derived in the file, templates, plain paths, and URLs made elsewhere."""
     k = F.col("doc_id") % 4
-    url = F.when(k == 0, F.concat(F.lit("`${v2}/leaves/"), ID, F.lit("?q=1`, x"))).when(k == 1, F.concat(F.lit("`${cfg.base}/v1/${id}-x/"), ID, F.lit("`"))).when(k == 2, F.concat(F.lit("'/plain/"), ID, F.lit("'"))).otherwise(F.concat(F.lit("'/made/' + x"), ID))
+    url = F.when(k == 0, F.concat(F.lit("`${v2}/leaves/"), name_of(), F.lit("?q=1`, x"))).when(k == 1, F.concat(F.lit("`${cfg.base}/v1/${id}-x/"), name_of(), F.lit("`"))).when(k == 2, F.concat(F.lit("'/plain/"), name_of(), F.lit("'"))).otherwise(F.concat(F.lit("'/made/' + x"), name_of()))
     f = code_files(spark, sf_dir, ".tsx", F.concat(F.lit("const v2 = `${config.mainApi}/v2`\naxios.get<A.B<C>>("), url, F.lit(")\nhttp.request(`${v2}`); other.get('/x'); s = '/* '; // axios.get('/no')")))
     return doc_of(reads.ui_calls(f), "line", "method", "base", "target", F.col("failure").isNotNull().alias("failed"))
 
@@ -588,5 +589,5 @@ def x4_outbound_sinks(spark, sf_dir):
         .when(k == 2, "import axios\naxios . put (u)\naxios(v) # axios(w)").otherwise("\nfetch ('/z')\na.fetch(b); prefetch(c)")
     )
     f = ad.table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), k.alias("k"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " ").alias("t"))
-    f = f.select(F.lit("r").alias("root_name"), F.concat(ID, F.when(F.col("k") < 2, ".go").otherwise(".ts")).alias("rel_path"), F.concat("code", F.lit("\n// "), F.when(F.col("k") == 3, "").otherwise(F.col("t"))).alias("content"))
+    f = f.select(F.lit("r").alias("root_name"), F.concat(name_of(), F.when(F.col("k") < 2, ".go").otherwise(".ts")).alias("rel_path"), F.concat("code", F.lit("\n// "), F.when(F.col("k") == 3, "").otherwise(F.col("t"))).alias("content"))
     return doc_of(reads.outbound_sinks(f), "package_name", "member_name", "line", "confidence")

@@ -82,7 +82,7 @@ u = "https://z.example.com/" + p; s = "http://www.w3.org/2000/svg"; q = '// no c
     got = sorted((x.line, x.column, x.target, x.confidence) for x in reads.outbound_urls(frame(spark, {"a.ts": code, "b.md": code, "c.go": ""})).collect())
     assert got == [
         (1, 11, "https://api.example.com/v1", "medium"), (3, 37, "http://localhost/a", "medium"), (3, 81, "http://svc:80/q", "medium"), (4, 7, None, "unresolved"), (4, 42, "https://beside.example.com/", "medium"),
-        (5, 5, None, "unresolved"), (5, 97, "http://auth-service/x", "medium"),
+        (5, 5, None, "unresolved"), (5, 94, "http://auth-service/x", "medium"),
     ]
     reasons = {x.reason for x in reads.outbound_urls(frame(spark, {"a.ts": code})).collect() if x.reason}
     assert reasons == {'destination is built at runtime from "https://x.example.com/…"', 'destination is built at runtime from "https://z.example.com/…"'}
