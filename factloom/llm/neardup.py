@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ ROWS, BANDS = 5, 40
 PARITY_LONGS = 32
 #: Members of a bucket up to which its remaining pairs are compared within it; those of larger ones are joined on rare shingles.
 SMALL_BUCKET = 32
+#: Shingles of what is left are ordered by 2 to this many counters (8 MB).
+COUNTER_BITS = 20
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -142,12 +145,37 @@ def _met(m: DataFrame, key: str, percent: int) -> DataFrame:
 
 
 def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(id, token): the rarest shingles of each of sets(id, set), as many as a similar set must share one of; those of one set alone left out."""
-    each = sets.select("id", F.explode("set").alias("token"))
-    counted = each.join(each.groupBy("token").agg(F.count("*").alias("n")), "token")
-    inorder = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    most = F.size("t") - F.ceil(F.size("t") * percent / 100).cast("int") + 1
-    return inorder.select("id", F.explode(F.slice("t", F.lit(1), most)).alias("t")).where("t.n > 1").select("id", "t.token")
+    """(id, token): the rarest shingles of each of sets(id, set), as many as a similar set must share one of, of any order of all shingles; those of one set alone left out.
+
+    The order is by how many shingles fall into a shingle's counter, of a table of fixed size, and then by the shingle itself. So no shingle outside of these leaves its task."""
+    spark = sets.sparkSession
+    spot = lambda h: (mix(h) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = np.unique(spot(b.column(1).flatten().to_numpy().view(np.uint64)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+    counts = sets.select("id", "set").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row a counter at most
+    table = np.zeros(1 << COUNTER_BITS, np.int64)
+    table[counts.column("at").to_numpy()] = counts.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+            held = shared.value[spot(flat.view(np.uint64))]
+            picked = []
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                most = hi - lo - -(-(hi - lo) * percent // 100) + 1
+                picked.append(lo + np.lexsort((flat[lo:hi], held[lo:hi]))[:most])
+            of = np.repeat(np.arange(len(picked)), [len(p) for p in picked])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(flat[np.concatenate([*picked, np.empty(0, np.int64)]).astype(np.int64)])], names=["id", "token"])
+
+    found = materialize(sets.select("id", "set").mapInArrow(rarest, "id long, token long"), "rare_shingles")
+    shared.destroy()
+    return found.join(found.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token", "left_semi").select("id", "token")
 
 
 def _residual_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
