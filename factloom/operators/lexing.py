@@ -54,10 +54,11 @@ def pieces(text: Column, pattern: str) -> Column:
     return F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)).cast("array<struct<match:string,gap:string>>")
 
 
-def locate(files: DataFrame, pattern: str, groups: tuple[str, ...] = (), ahead: int = 0) -> DataFrame:
+def locate(files: DataFrame, pattern: str, groups: tuple[str, ...] = (), ahead: int = 0, more: dict[str, Column] | None = None) -> DataFrame:
     """(root_name, rel_path, start, end, line, column, match, *groups, before) of every match of the pattern in files(root_name, rel_path, content). groups names the pattern's groups
-    in order, which are read from the match alone (an absent one is empty); before is the text since the match before, its last 24 characters, and, if wanted, ahead so
-    many characters after the match."""
+    in order, which are read from the match alone (an absent one is empty); before is the text since the match before, its last 24 characters, ahead, if wanted, so many
+    characters after the match, and more what is made of these columns (match, gap, ahead) where the text is read. Only columns that are used later are shuffled: name in more what is wanted of
+    long matches."""
     pattern, text = ascii_boundaries(pattern), F.col("content")
     zipped = pieces(text, pattern)
     if ahead:
@@ -65,13 +66,13 @@ def locate(files: DataFrame, pattern: str, groups: tuple[str, ...] = (), ahead:
         zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), after).cast("array<struct<match:string,gap:string,ahead:string>>")
     found = files.select(*FILE, F.posexplode(zipped).alias("pos", "x")).select(*FILE, "pos", "x.*").where("match is not null")
     named = [F.regexp_extract("match", pattern, i + 1).alias(g) for i, g in enumerate(groups)]
-    return placed(found.select(*FILE, "pos", "gap", "match", *named, F.right("gap", F.lit(24)).alias("before"), *(["ahead"] if ahead else [])), FILE)
+    return placed(found.select(*FILE, "pos", "gap", "match", *named, F.right("gap", F.lit(24)).alias("before"), *(["ahead"] if ahead else []), *(c.alias(n) for n, c in (more or {}).items())), FILE)
 
 
 def comments(files: DataFrame, hash_comments: bool = True) -> DataFrame:
     """(root_name, rel_path, start, end) of every comment: block, //, and # where that starts one; never inside strings."""
-    found = locate(files, HASH_TOKENS if hash_comments else SLASH_TOKENS)
-    return found.where(F.left("match", F.lit(1)).isin("/", "#")).select(*FILE, "start", "end")
+    found = locate(files, HASH_TOKENS if hash_comments else SLASH_TOKENS, more={"is_comment": F.left("match", F.lit(1)).isin("/", "#")})
+    return found.where("is_comment").select(*FILE, "start", "end")
 
 
 def outside(places: DataFrame, spans: DataFrame) -> DataFrame:

@@ -120,7 +120,7 @@ def ui_calls(files: DataFrame) -> DataFrame:
     """(root_name, rel_path, line, column, method, base, target, confidence, failure) of calls of HTTP helpers. A base that the file derives from another is followed one
     level; a URL that is no template or path at the call is a call without a target, with the failure."""
     code = with_extension(files, UI_SOURCES).where(F.col("content").rlike(r"\.\s*(get|post|put|patch|delete|head|options|request)\s*[<(]"))
-    calls = lexing.outside(lexing.locate(code, UI_CALL, ("client", "verb", "argument", "closed")), lexing.comments(code, hash_comments=False))
+    calls = lexing.outside(lexing.locate(code, UI_CALL, ("client", "verb", "argument", "closed")).select(*FILE, *lexing.PLACE, "verb", "argument", "closed"), lexing.comments(code, hash_comments=False))
     body, quote, whole = F.expr("substring(argument, 2, length(argument) - 2)"), F.left("argument", F.lit(1)), F.col("closed") != ""
     read = calls.withColumn("t", F.when(whole & (quote == "`"), url_template(body))).withColumn("path", F.when(whole & quote.isin("'", '"') & body.startswith("/"), body))
     read = read.select(*FILE, "line", "column", F.when(F.col("verb") != "request", F.upper("verb")).alias("method"), F.col("t.base").alias("named"), F.col("t.path").alias("t_path"), "path")
@@ -174,18 +174,19 @@ def data_usage(files: DataFrame) -> DataFrame:
     is_go, tables = F.col("rel_path").endswith(".go"), declared_tables(files)
     spans = lexing.comments(code, hash_comments=False)
     named = F.create_map(*(F.lit(x) for kv in OPERATIONS.items() for x in kv))
-    calls = lexing.outside(lexing.locate(code.where(~is_go), ORM_CALL, ("model", "verb")), spans)
+    calls = lexing.outside(lexing.locate(code.where(~is_go), ORM_CALL, ("model", "verb")).select(*FILE, *lexing.PLACE, "model", "verb"), spans)
     calls = calls.withColumns({"name": F.lower("model"), "operation": F.try_element_at(named, F.lower("verb"))}).where("operation is not null")
     calls = calls.join(tables.where("style = 'orm'").drop("style"), ["root_name", "name"], "left")
     missing = F.concat(F.lit('no table name is declared for model "'), "name", F.lit('"; the model name is kept in its place'))
     orm = calls.select(*FILE, "line", "column", F.lit("sequelize").alias("mechanism"), F.coalesce("table_name", "name").alias("entity"), "operation", F.when(F.col("table_name").isNull(), "low").otherwise("high").alias("confidence"), F.when(F.col("table_name").isNull(), missing).alias("reason"))
 
-    chains = lexing.outside(lexing.locate(code.where(is_go), GO_TABLE, ("expression",), ahead=2000), spans)
+    verbs = F.regexp_extract_all(statement(F.left(F.concat("match", "ahead"), F.lit(2000))), F.lit(r"\.\s*(\w+)\s*\("), F.lit(1))
+    changes = F.filter(F.transform("verbs", lambda v: F.when(v.isin(*GO_WRITES), "write").when(v.isin(*GO_DELETES), "delete")), lambda v: v.isNotNull())
+    operation = F.coalesce(F.get(changes, F.lit(0)), F.when(F.exists("verbs", lambda v: v.isin(*GO_READS)), "read"), F.lit("unknown"))
+    found = lexing.locate(code.where(is_go), GO_TABLE, ("expression",), ahead=2000, more={"verbs": verbs}).select(*FILE, *lexing.PLACE, "expression", "verbs")
+    chains = lexing.outside(found, spans)
     segments = chains.select(*FILE, "start", F.posexplode(F.split("expression", r"\.")).alias("at", "name"))
     right = segments.join(tables.where("style = 'go'").drop("style"), ["root_name", "name"]).groupBy(*FILE, "start").agg(F.max_by("table_name", "at").alias("table_name"))
-    verbs = F.regexp_extract_all(statement(F.left(F.concat("match", "ahead"), F.lit(2000))), F.lit(r"\.\s*(\w+)\s*\("), F.lit(1))
-    changes = F.filter(F.transform(verbs, lambda v: F.when(v.isin(*GO_WRITES), "write").when(v.isin(*GO_DELETES), "delete")), lambda v: v.isNotNull())
-    operation = F.coalesce(F.get(changes, F.lit(0)), F.when(F.exists(verbs, lambda v: v.isin(*GO_READS)), "read"), F.lit("unknown"))
     known = F.col("table_name").isNotNull()
     unresolved = F.concat(F.lit('"'), "expression", F.lit('" does not resolve to a declared table name'))
     go = chains.join(right, [*FILE, "start"], "left").select(
