@@ -49,22 +49,27 @@ FROM c GROUP BY conv_id
 def quality_rules() -> str:
     """The measures, the log-bucket sketches by (lang, source), lang and all, the bounds read off them, and the verdicts."""
     rates = {"word_len": "word_chars / n_words", "symbol_rate": "n_symbols / n_words", "dup_line_rate": "n_dup_lines / n_lines", "punct_rate": "n_punct / word_chars", "capital_rate": "n_capitals / word_chars", "echo_rate": "n_echoes / n_words"}
-    unspread = {"word_len": 0.5, "symbol_rate": 0.1, "dup_line_rate": 0.34, "punct_rate": 0.02, "capital_rate": 0.02, "echo_rate": 0.05}
     punct = "[!-/:-@\\[-`{-~]"
     only = lambda p: f"len(regexp_extract_all(packed, '{p}'))"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS m, {m} AS v FROM x WHERE NOT base_failed" for m in rates)
     quantile = lambda q: f"min(CASE WHEN upto >= ceil(size * {q}) THEN v END)"
 
-    def level(name: str, by: str) -> str:
+    def level(name: str, by: str, some: str = "TRUE") -> str:
         keys = f"{by}, " if by else ""
         return f"""{name} AS (SELECT {keys}m, first(size) AS size, {quantile(0.25)} AS q1, {quantile(0.5)} AS q2, {quantile(0.75)} AS q3 FROM (
   SELECT {keys}m, CASE WHEN b = -1073741824 THEN 0.0 ELSE 2 * pow(1.01 / 0.99, b) / (1.01 / 0.99 + 1) END AS v, sum(n) OVER (PARTITION BY {keys}m ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}m) AS size
-  FROM (SELECT {keys}m, b, sum(n) AS n FROM s GROUP BY ALL)) GROUP BY {keys}m)"""
-
-    pick = lambda c: f"(f.size * f.{c} + 200.0::DOUBLE * ((l.size * l.{c} + 200.0::DOUBLE * a.{c}) / (l.size + 200.0::DOUBLE))) / (f.size + 200.0::DOUBLE)"
-    none = "CASE f.m " + " ".join(f"WHEN '{m}' THEN {v}::DOUBLE" for m, v in unspread.items()) + " END"
-    out = " + ".join(f"(x.{m} > (SELECT hi FROM bounds b WHERE b.m = '{m}' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT" for m in rates)
-    low = "(x.word_len < (SELECT lo FROM bounds b WHERE b.m = 'word_len' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT"
+  FROM (SELECT {keys}m, b, sum(n) AS n FROM s WHERE {some} GROUP BY ALL)) GROUP BY {keys}m)"""
+
+    def leaning(name: str, fine: str, lang: str, top: str) -> str:
+        mean = lambda x, c, above: f"((coalesce({x}.size * {x}.{c}, 0.0::DOUBLE) + 200.0::DOUBLE * {above}) / (coalesce({x}.size, 0) + 200.0::DOUBLE))"
+        picked = ", ".join(f"{mean('f', c, mean('l', c, f'a.{c}'))} AS {c}" for c in ("q1", "q2", "q3"))
+        return f"""{name} AS (SELECT g.lang, g.source, g.m, {picked} FROM (SELECT DISTINCT lang, source, m FROM s) g LEFT JOIN {fine} f ON g.m = f.m AND g.lang IS NOT DISTINCT FROM f.lang AND g.source IS NOT DISTINCT FROM f.source
+  LEFT JOIN {lang} l ON g.m = l.m AND g.lang IS NOT DISTINCT FROM l.lang LEFT JOIN {top} a ON g.m = a.m)"""
+
+    some = "b <> -1073741824"
+    side = lambda q: " ".join(f"WHEN abs({x}.{q} - {x}.q2) > 1e-6 THEN {x}.q2 + 14.0::DOUBLE * ({x}.{q} - {x}.q2)" for x in ("e", "o"))
+    out = " + ".join(f"coalesce((x.{m} > (SELECT hi FROM bounds b WHERE b.m = '{m}' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT, 0)" for m in rates)
+    low = "coalesce((x.word_len < (SELECT lo FROM bounds b WHERE b.m = 'word_len' AND b.lang IS NOT DISTINCT FROM x.lang AND b.source IS NOT DISTINCT FROM x.source))::INT, 0)"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i:i+4], ' ')) AS c FROM d, range(1, len(w) - 3) t(i)),
@@ -74,11 +79,10 @@ c AS (SELECT p.doc_id, lang, source, len(w) AS n_words, length(packed) AS word_c
   {only(punct)} AS n_punct, {only("[A-Z]")} AS n_capitals, len(list_filter(list_zip(w[1:len(w)-1], w[2:len(w)]), lambda z: z[1] = z[2])) AS n_echoes FROM p LEFT JOIN r USING (doc_id)),
 x AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(f"CASE WHEN {e.split('/')[1].strip()} > 0 THEN {e.replace('/', '::DOUBLE /')} ELSE 0.0 END AS {m}" for m, e in rates.items())} FROM c),
 s AS (SELECT lang, source, m, CASE WHEN v <= 1e-9 THEN -1073741824 ELSE ceil(ln(v) / ln(1.01 / 0.99))::INT END AS b, count(*) AS n FROM ({long}) GROUP BY ALL),
-{level("fine", "lang, source")}, {level("bylang", "lang")}, {level("top", "")},
-bounds AS (SELECT lang, source, m, q2 - CASE WHEN q2 - q1 > 1e-6 THEN 14.0::DOUBLE * (q2 - q1) ELSE unspread END AS lo, q2 + CASE WHEN q3 - q2 > 1e-6 THEN 14.0::DOUBLE * (q3 - q2) ELSE unspread END AS hi FROM (
-  SELECT f.lang, f.source, f.m, {pick("q1")} AS q1, {pick("q2")} AS q2, {pick("q3")} AS q3, {none} AS unspread
-  FROM fine f JOIN bylang l ON f.lang IS NOT DISTINCT FROM l.lang AND f.m = l.m JOIN top a ON f.m = a.m)),
-v AS (SELECT *, coalesce({out} + {low}, 0) AS n_outlying FROM x)
+{level("fine", "lang, source")}, {level("bylang", "lang")}, {level("top", "")}, {level("some_fine", "lang, source", some)}, {level("some_bylang", "lang", some)}, {level("some_top", "", some)},
+{leaning("whole", "fine", "bylang", "top")}, {leaning("partial", "some_fine", "some_bylang", "some_top")},
+bounds AS (SELECT e.lang, e.source, e.m, CASE {side("q1")} END AS lo, CASE {side("q3")} END AS hi FROM whole e JOIN partial o ON e.m = o.m AND e.lang IS NOT DISTINCT FROM o.lang AND e.source IS NOT DISTINCT FROM o.source),
+v AS (SELECT *, {out} + {low} AS n_outlying FROM x)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, n_lines::BIGINT AS n_lines,
   n_punct::BIGINT AS n_punct, n_capitals::BIGINT AS n_capitals, n_echoes::BIGINT AS n_echoes, base_failed, n_outlying::BIGINT AS n_outlying, NOT base_failed AND n_outlying = 0 AS kept FROM v
 """

@@ -17,24 +17,18 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\v\f\r"
 PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 CAPITALS = bytes(range(65, 91))
-#: measure -> which sides are bounded, and the distance of a bound from the median where a group's outer quartile is its median (a
-#: sketch without spread says nothing of what is usual beyond it).
-RULES = {
-    "word_len": ("both", 0.5),
-    "symbol_rate": ("high", 0.1),
-    "dup_line_rate": ("high", 0.34),
-    "punct_rate": ("high", 0.02),
-    "capital_rate": ("high", 0.02),
-    "echo_rate": ("high", 0.05),
-}
+#: measure -> which sides are bounded.
+RULES = {"word_len": "both", "symbol_rate": "high", "dup_line_rate": "high", "punct_rate": "high", "capital_rate": "high", "echo_rate": "high"}
 #: Quartile distances below this are none.
 NO_SPREAD = 1e-6
+#: The bucket of zero.
+ZERO = -(2**30)
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punct", "n_capitals", "n_echoes")
 
 
@@ -114,7 +108,7 @@ def quantile_sketches(df: DataFrame, by: list[str], measures: Iterable[str], err
     gamma = math.log((1 + error) / (1 - error))
     measures = list(measures)
     long = df.select(*by, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in measures))).alias("x"))
-    bucket = F.when(F.col("x.v") <= 1e-9, F.lit(-(2**30))).otherwise(F.ceil(F.log("x.v") / gamma)).cast("int")
+    bucket = F.when(F.col("x.v") <= 1e-9, F.lit(ZERO)).otherwise(F.ceil(F.log("x.v") / gamma)).cast("int")
     return long.select(*by, F.col("x.measure").alias("measure"), bucket.alias("bucket")).groupBy(*by, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
@@ -126,7 +120,7 @@ def sketch_quantiles(sketches: DataFrame, by: list[str], quantiles: dict[str, fl
     """(by, measure, size, one column per quantile). A group has some thousand buckets at most, whatever its rows."""
     g = (1 + error) / (1 - error)
     w = Window.partitionBy(*by, "measure")
-    value = F.when(F.col("bucket") == -(2**30), F.lit(0.0)).otherwise(2 * F.pow(F.lit(g), F.col("bucket")) / (g + 1))
+    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(2 * F.pow(F.lit(g), F.col("bucket")) / (g + 1))
     ranked = sketches.select(*by, "measure", value.alias("v"), F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("size"))
     return ranked.groupBy(*by, "measure").agg(
         F.first("size").alias("size"),
@@ -134,29 +128,36 @@ def sketch_quantiles(sketches: DataFrame, by: list[str], quantiles: dict[str, fl
     )
 
 
-def adaptive_bounds(sketches: DataFrame, spread: float, prior: float, error: float = 0.01) -> DataFrame:
-    """One row per (lang, source): low_<m>, high_<m> = median -+ spread * distance of the outer quartile. A level's quartiles are means of its
-    own, weighted by its rows, and of the level above, weighted as prior rows: (lang, source), (lang), all."""
+def leaning_quartiles(sketches: DataFrame, groups: DataFrame, prior: float, error: float = 0.01) -> DataFrame:
+    """(lang, source, measure, q1, q2, q3) of every one of groups(lang, source, measure). A level's quartiles are means of its own, weighted by its rows, and of the level above, weighted as
+    prior rows: (lang, source), (lang), all. Null where no level has rows of the measure."""
     q = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
     fine = sketch_quantiles(sketches, ["lang", "source"], q, error)
     lang = sketch_quantiles(merge_sketches(sketches, ["lang"]), ["lang"], q, error)
     top = sketch_quantiles(merge_sketches(sketches, []), [], q, error)
-    joined = (
-        fine.alias("f")
-        .join(lang.alias("l"), F.col("f.lang").eqNullSafe(F.col("l.lang")) & (F.col("f.measure") == F.col("l.measure")))
-        .join(top.alias("t"), F.col("f.measure") == F.col("t.measure"))
-    )
-    mean = lambda size, own, above: (size * own + prior * above) / (size + prior)
-    level = lambda c: mean(F.col("f.size"), F.col(f"f.{c}"), mean(F.col("l.size"), F.col(f"l.{c}"), F.col(f"t.{c}"))).alias(c)
-    per = joined.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.measure").alias("measure"), level("q1"), level("q2"), level("q3"))
-    away = lambda d, none: F.when(d > NO_SPREAD, spread * d).otherwise(F.lit(none))
-    out = []
-    for m, (sides, none) in RULES.items():
-        mine = F.col("measure") == m
-        if sides == "both":
-            out.append(F.max(F.when(mine, F.col("q2") - away(F.col("q2") - F.col("q1"), none))).alias(f"low_{m}"))
-        out.append(F.max(F.when(mine, F.col("q2") + away(F.col("q3") - F.col("q2"), none))).alias(f"high_{m}"))
-    return per.groupBy("lang", "source").agg(*out)
+    same = lambda x, *by: [F.col("g.measure") == F.col(f"{x}.measure"), *(F.col(f"g.{c}").eqNullSafe(F.col(f"{x}.{c}")) for c in by)]
+    joined = groups.alias("g").join(fine.alias("f"), same("f", "lang", "source"), "left").join(lang.alias("l"), same("l", "lang"), "left").join(top.alias("t"), same("t"), "left")
+    none = F.lit(0.0)
+    mean = lambda x, c, above: (F.coalesce(F.col(f"{x}.size") * F.col(f"{x}.{c}"), none) + prior * above) / (F.coalesce(F.col(f"{x}.size"), none) + prior)
+    return joined.select("g.lang", "g.source", "g.measure", *(mean("f", c, mean("l", c, F.col(f"t.{c}"))).alias(c) for c in q))
+
+
+def adaptive_bounds(sketches: DataFrame, spread: float, prior: float, error: float = 0.01) -> DataFrame:
+    """One row per (lang, source): low_<m>, high_<m> = median -+ spread * distance of the outer quartile. Where the outer quartile is the median (a measure that most texts have nothing of)
+    median and quartile are those of the texts that have some, read off the same sketches without their bucket of zero. If these lie together as well there is no bound (null): all texts
+    that have some have the same, so none stands out. No constant decides."""
+    groups = sketches.select("lang", "source", "measure").distinct()
+    every, some = leaning_quartiles(sketches, groups, prior, error), leaning_quartiles(sketches.where(F.col("bucket") != ZERO), groups, prior, error)
+    both = every.alias("e").join(some.alias("s"), F.col("e.measure").eqNullSafe(F.col("s.measure")) & F.col("e.lang").eqNullSafe(F.col("s.lang")) & F.col("e.source").eqNullSafe(F.col("s.source")))
+
+    def bound(outer: str) -> Column:
+        far = lambda x: F.abs(F.col(f"{x}.{outer}") - F.col(f"{x}.q2")) > NO_SPREAD
+        at = lambda x: F.col(f"{x}.q2") + spread * (F.col(f"{x}.{outer}") - F.col(f"{x}.q2"))
+        return F.when(far("e"), at("e")).when(far("s"), at("s"))
+
+    per = both.select("e.lang", "e.source", "e.measure", bound("q1").alias("low"), bound("q3").alias("high"))
+    sides = [(m, side) for m, has in RULES.items() for side in (("low", "high") if has == "both" else ("high",))]
+    return per.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m, side in sides))
 
 
 def quality_verdicts(docs: DataFrame, spread: float = 14.0, prior: float = 200.0, error: float = 0.01) -> DataFrame:
@@ -171,7 +172,7 @@ def quality_verdicts(docs: DataFrame, spread: float = 14.0, prior: float = 200.0
     judged = rated.join(bounds, F.col("lang").eqNullSafe(F.col("b_lang")) & F.col("source").eqNullSafe(F.col("b_source")), "left")
     broken = sum(
         F.when(F.col(m) > F.col(f"high_{m}"), 1).otherwise(0) + (F.when(F.col(m) < F.col(f"low_{m}"), 1).otherwise(0) if sides == "both" else F.lit(0))
-        for m, (sides, _) in RULES.items()
+        for m, sides in RULES.items()
     )
     return judged.withColumn("n_outlying", broken.cast("long")).select(
         "doc_id", *COUNTS, "base_failed", "n_outlying", (~F.col("base_failed") & (F.col("n_outlying") == 0)).alias("kept")

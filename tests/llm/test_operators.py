@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import attention, chat, decontam, langid, lm, neardup, packing, pii, quality, secret_scan, substrings, suffix
 from factloom.llm.queries import tokenizer_path
@@ -67,6 +68,26 @@ def test_bounds_follow_the_spread_of_each_group(spark):
     assert bounds["narrow"].high_word_len < bounds["wide"].high_word_len and bounds["narrow"].low_word_len > bounds["wide"].low_word_len
 
 
+def test_bounds_of_rare_measures_come_from_the_texts_that_have_them(spark):
+    """Symbols and repeated lines, of which most texts have none: two sources of other spread get other bounds, one without any leans on the corpus, and where all that have some have the same
+    there is no bound."""
+    words = lambda i, n: " ".join(f"word{i}x{j}" for j in range(n))
+    text = lambda i, symbols, repeated: words(i, 20) + " #" * symbols + "\nline" * (repeated + 1) + "".join(f"\nl{j}" for j in range(8 - repeated))
+    rows = [(i, text(i, (i // 10) % 3 + 1 if i % 10 == 0 else 0, (i // 10) % 2 + 1 if i % 10 == 0 else 0), "en", "even") for i in range(400)]
+    rows += [(1000 + i, text(i, 1 + (i // 10) % 9 if i % 10 == 0 else 0, (i // 10) % 6 + 1 if i % 10 == 0 else 0), "en", "wide") for i in range(400)]
+    rows += [(2000 + i, text(i, 0, 0), "en", "clean") for i in range(400)] + [(3000, text(3000, 19, 0), "en", "even"), (3001, text(3001, 19, 0), "en", "wide")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sketches = quality.quantile_sketches(quality.with_rates(quality.text_measures(df)), ["lang", "source"], quality.RULES)
+    b = {r.source: r for r in quality.adaptive_bounds(sketches, 3.0, 20).collect()}
+    assert b["even"].high_symbol_rate < b["wide"].high_symbol_rate and b["even"].high_dup_line_rate < b["wide"].high_dup_line_rate
+    assert b["clean"].high_symbol_rate is not None and b["clean"].high_echo_rate is not None
+    kept = {r.doc_id: r.kept for r in quality.quality_verdicts(df, spread=3.0, prior=20).collect()}
+    assert not kept[3000]
+    same = df.where("doc_id % 10 = 1 or doc_id % 100 = 0 and doc_id < 400").withColumn("text", F.when(F.col("doc_id") % 10 == 1, "a plain text of some more words than the ten that are asked for").otherwise("a plain text of some # words more than the ten that are asked for"))
+    lone = quality.adaptive_bounds(quality.quantile_sketches(quality.with_rates(quality.text_measures(same)), ["lang", "source"], quality.RULES), 3.0, 20).collect()
+    assert all(r.high_symbol_rate is None for r in lone) and all(r.kept for r in quality.quality_verdicts(same).collect())
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------------------
 
 
