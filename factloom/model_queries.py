@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .operators import constraints, flows, graphs
+from .operators import constraints, effects, flows, graphs
 from .plans import adapters as ad
 from .queries import query
 from .sources import base, providers
@@ -218,3 +218,64 @@ def d11_storage_findings(spark, sf_dir):
         ((m % 4 == 1) | ((m % 4 == 3) & (F.col("n_chars") % 5 > 0))).alias("indirect"), F.when(m % 4 == 0, "built at run time").alias("unresolved_reason"),
     )
     return flows.storage_findings(steps).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("""WITH e AS (
+SELECT 'behavioral|data-access|supplier-' || l_suppkey || '|o' || l_orderkey || ':' || l_linenumber || ':?|write|orm|' || CASE WHEN l_returnflag = 'N' THEN '' ELSE 'part_' || l_partkey END AS fact_id, 'data-access' AS kind,
+  CASE WHEN l_returnflag = 'A' THEN NULL ELSE 'f' || l_partkey END AS symbol_id, NULL AS category, CASE WHEN l_returnflag <> 'N' THEN 'part_' || l_partkey END AS target, 'write' AS detail, CASE WHEN l_returnflag = 'N' THEN 'unresolved' ELSE 'resolved' END AS link FROM lineitem
+UNION ALL SELECT 'behavioral|transaction-boundary|orders|c' || o_custkey || ':' || o_orderkey || ':1|' || o_orderstatus || '|' || o_orderpriority, 'transaction-boundary', NULL, NULL, o_orderstatus, o_orderpriority, NULL FROM orders
+UNION ALL SELECT 'behavioral|outbound-call|crawler|a.ts:' || page_id || ':?|service|http|GET|' || url, 'outbound-call', NULL, 'service', CASE WHEN page_id % 3 > 0 THEN url END, url, CASE WHEN page_id % 3 > 0 THEN 'resolved' ELSE 'unresolved' END FROM pages
+UNION ALL SELECT 'behavioral|outbound-call|' || p_brand || '|' || p_type || ':' || p_size || ':?|external-package|' || p_type || '|' || CASE WHEN p_size % 2 > 0 THEN 'm' || p_size ELSE '' END, 'outbound-call', 'f' || p_partkey, 'external-package', p_type || CASE WHEN p_size % 2 > 0 THEN '.m' || p_size ELSE '' END, p_type, 'resolved' FROM part
+UNION ALL SELECT 'behavioral|notification-call|' || event_type || '|u' || user_id || ':' || event_id % 7 || ':?|' || event_type || '|mail', 'notification-call', NULL, NULL, 'mail', event_type, NULL FROM events)
+SELECT fact_id, kind, CASE WHEN min(symbol_id) IS NULL THEN 'module' ELSE 'symbol' END AS scope, min(symbol_id) AS symbol_id, category, target, detail, link FROM e GROUP BY fact_id, kind, category, target, detail, link""")
+def b7_located_effects(spark, sf_dir):
+    """Data access of all lines, transactions of all orders, calls of all pages, packages of all parts and notifications of all events."""
+    t, place = lambda n: ad.table(spark, sf_dir, n), lambda root, path, line, column=None: [c.alias(n) for c, n in ((root, "root_name"), (path, "rel_path"), (line, "start_line"), (F.lit(column).cast("int"), "start_column"))]
+    part, none = text_of("part_", F.col("l_partkey")), F.lit(None).cast("string")
+    access = t("lineitem").select(
+        *place(text_of("supplier-", F.col("l_suppkey")), text_of("o", F.col("l_orderkey")), F.col("l_linenumber")), F.when(F.col("l_returnflag") != "A", text_of("f", F.col("l_partkey"))).alias("symbol_id"), F.when(F.col("l_returnflag") != "N", part).alias("entity"),
+        F.lit("write").alias("operation"), F.lit("orm").alias("mechanism"),
+    )
+    transactions = t("orders").select(*place(F.lit("orders"), text_of("c", F.col("o_custkey")), F.col("o_orderkey"), 1), none.alias("symbol_id"), F.col("o_orderstatus").alias("mechanism"), F.col("o_orderpriority").alias("propagation"))
+    calls = t("pages").select(*place(F.lit("crawler"), F.lit("a.ts"), F.col("page_id")), none.alias("symbol_id"), F.lit("http").alias("outbound_kind"), F.lit("GET").alias("method"), F.when(F.col("page_id") % 3 > 0, F.col("url")).alias("target"), F.col("url").alias("base_identifier"))
+    packages = t("part").select(*place(F.col("p_brand"), F.col("p_type"), F.col("p_size")), text_of("f", F.col("p_partkey")).alias("symbol_id"), F.col("p_type").alias("package_name"), F.when(F.col("p_size") % 2 > 0, text_of("m", F.col("p_size"))).alias("member_name"))
+    notes = t("events").select(*place(F.col("event_type"), text_of("u", F.col("user_id")), F.col("event_id") % 7), F.col("event_type").alias("channel"), F.lit("mail").alias("mechanism"))
+    return effects.located_effects(access, transactions, calls, packages, notes)
+
+
+@query("""WITH e AS (SELECT l_orderkey AS root_name, l_partkey, bool_or(l_returnflag = 'N') AS d FROM lineitem GROUP BY 1, 2), g AS (SELECT root_name, count(*) FILTER (d) AS described, count(*) FILTER (NOT d) AS undescribed FROM e GROUP BY 1)
+SELECT root_name, CASE WHEN described = 0 THEN 'nothing-described' ELSE 'further-entities-used' END AS note, described, CASE WHEN described = 0 THEN 0 ELSE undescribed END AS undescribed FROM g WHERE described = 0 OR undescribed > 0""")
+def d19_data_coverage(spark, sf_dir):
+    """Each order is a root that uses the parts of all its lines and describes those that were not returned."""
+    lines = ad.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("root_name"), F.col("l_partkey").alias("entity"), "l_returnflag")
+    return flows.data_coverage_notes(lines.select("root_name", F.when(F.col("l_returnflag") == "N", F.col("entity")).alias("entity")), lines.select("root_name", "entity"), ("root_name",))
+
+
+STATUS_SQL = """s AS (SELECT o_custkey AS workspace, o_orderkey AS snapshot_id, o_orderdate AS published_at FROM orders WHERE o_orderstatus <> 'P'), latest AS (SELECT workspace, arg_max(snapshot_id, (published_at, snapshot_id)) AS snapshot_id FROM s GROUP BY 1)"""
+
+
+def order_status(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers are workspaces, their orders snapshots, the suppliers of an order its roots with the lines as files and with a check of each line number."""
+    o, li, c = (ad.table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer"))
+    snapshots = o.select(F.col("o_custkey").alias("workspace"), F.col("o_orderkey").alias("snapshot_id"), F.lit("run").alias("run_id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("published_at"))
+    files = li.select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_suppkey").alias("root_name"), F.col("l_returnflag").alias("disposition"))
+    roots = files.select("snapshot_id", "root_name").distinct().select("*", F.lit("main").alias("branch"), (F.col("root_name") % 2 == 0).alias("dirty"))
+    checks = li.select(F.col("l_orderkey").alias("snapshot_id"), F.col("l_linenumber").alias("provider_id"), F.lit("1").alias("version"), (F.col("l_linenumber") % 3 > 0).alias("available"), F.when(F.col("l_linenumber") % 3 == 0, "not installed").alias("reason")).distinct()
+    return flows.status_report(c.select(F.col("c_custkey").alias("workspace")), snapshots, roots, files, checks)
+
+
+@query(f"""WITH {STATUS_SQL} SELECT c_custkey AS workspace, l.snapshot_id IS NOT NULL AS analyzed, l.snapshot_id FROM customer LEFT JOIN latest l ON l.workspace = c_custkey""")
+def d23_reports(spark, sf_dir):
+    return order_status(spark, sf_dir)[0].select("workspace", "analyzed", "snapshot_id")
+
+
+@query(f"""WITH {STATUS_SQL}, n AS (SELECT l_orderkey, l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL)
+SELECT l.workspace, l.snapshot_id, l_suppkey AS root_name, l_suppkey % 2 = 0 AS dirty, string_agg(l_returnflag || '=' || n.n, ',' ORDER BY l_returnflag) AS counts FROM latest l JOIN n ON l_orderkey = l.snapshot_id WHERE l.workspace IN (SELECT c_custkey FROM customer) GROUP BY ALL""")
+def d23_root_counts(spark, sf_dir):
+    counts = F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return order_status(spark, sf_dir)[1].select("workspace", "snapshot_id", "root_name", "dirty", F.array_join(counts, ",").alias("counts"))
+
+
+@query(f"""WITH {STATUS_SQL} SELECT DISTINCT l.workspace, l.snapshot_id, l_linenumber AS provider_id, l_linenumber % 3 > 0 AS available, CASE WHEN l_linenumber % 3 = 0 THEN 'not installed' END AS reason FROM latest l JOIN lineitem ON l_orderkey = l.snapshot_id WHERE l.workspace IN (SELECT c_custkey FROM customer)""")
+def d23_provider_checks(spark, sf_dir):
+    return order_status(spark, sf_dir)[2].select("workspace", "snapshot_id", "provider_id", "available", "reason")

@@ -73,6 +73,34 @@ def side_effect_facts(access: DataFrame, calls: DataFrame, packages: DataFrame,
     )
 
 
+def located_effects(access: DataFrame, transactions: DataFrame, calls: DataFrame, packages: DataFrame, notifications: DataFrame) -> DataFrame:
+    """(fact_id, kind, scope, symbol_id, category, target, detail, link): every side effect at its place, a row an id (B7). All five have root_name, rel_path, start_line, start_column;
+    access(symbol_id, entity, operation, mechanism), transactions(symbol_id, mechanism, propagation), calls(symbol_id, outbound_kind, method, target, base_identifier),
+    packages(symbol_id, package_name, member_name), notifications(channel, mechanism). Two effects on one line differ by column. Data access without an entity and calls without a target are
+    unresolved; calls of packages are outbound calls of a category of their own. Rows of one id count once, the least of them by scope and symbol, so repeated reads and any order of rows
+    give the same. Null places are "?"; an empty table adds nothing."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    place = F.concat_ws(":", text("rel_path"), *(F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in ("start_line", "start_column")))
+    null = F.lit(None).cast("string")
+    resolved = lambda c: F.when(F.col(c).isNull(), "unresolved").otherwise("resolved")
+
+    def row(df: DataFrame, kind: str, parts: list[Column], symbol: Column, category: Column, target: Column, detail: Column, link: Column) -> DataFrame:
+        scope = F.when(symbol.isNull(), "module").otherwise("symbol")
+        named = {"scope": scope, "symbol_id": symbol, "category": category, "target": target, "detail": detail, "link": link}
+        return df.select(fact_id("behavioral", kind, "root_name", place, *parts).alias("fact_id"), F.lit(kind).alias("kind"), *(c.cast("string").alias(k) for k, c in named.items()))
+
+    symbol, member = F.col("symbol_id"), F.concat_ws(".", "package_name", "member_name")
+    rows = (
+        row(access, "data-access", [text("operation"), text("mechanism"), text("entity")], symbol, null, F.col("entity"), F.col("operation"), resolved("entity"))
+        .unionByName(row(transactions, "transaction-boundary", [text("mechanism"), text("propagation")], symbol, null, F.col("mechanism"), F.col("propagation"), null))
+        .unionByName(row(calls, "outbound-call", [F.lit("service"), text("outbound_kind"), text("method"), F.coalesce("target", "base_identifier", F.lit(""))], symbol, F.lit("service"), F.col("target"), F.col("base_identifier"), resolved("target")))
+        .unionByName(row(packages, "outbound-call", [F.lit("external-package"), text("package_name"), text("member_name")], symbol, F.lit("external-package"), member, F.col("package_name"), F.lit("resolved")))
+        .unionByName(row(notifications, "notification-call", [text("channel"), text("mechanism")], null, null, F.col("mechanism"), F.col("channel"), null))
+    )
+    rest = [c for c in rows.columns if c != "fact_id"]
+    return rows.groupBy("fact_id").agg(F.min(F.struct(*rest)).alias("f")).select("fact_id", "f.*")
+
+
 def observe_authorization(references: DataFrame, sets: DataFrame) -> DataFrame:
     """(root_name, member, rel_path, start_line): members of sets named for access control in a check. references(root_name, member, context, rel_path, start_line),
     sets(root_name, name, members)."""

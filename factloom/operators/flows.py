@@ -132,6 +132,18 @@ def coverage_notes(gaps: DataFrame, roots: DataFrame) -> DataFrame:
     return g.crossJoin(F.broadcast(total)).select("kind", "reason", F.when(F.size("r") == F.col("total"), "all parts").otherwise(F.array_join("r", ", ")).alias("where"))
 
 
+def data_coverage_notes(described: DataFrame, touched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, note, described, undescribed): what a data model leaves out (D19), a row a group of by (without, one row for all). Where no described(by, entity) was read the note is
+    nothing-described, which tells of the readers and not of the project; else, where touched(by, entity) has more than the model, further-entities-used with their number. A model that has
+    all has no row. Null entities count for nothing. One aggregate by entity, one by group."""
+    one = lambda df, is_described: df.select(*by, "entity", F.lit(is_described).alias("d"))
+    each = one(described, True).unionByName(one(touched, False)).groupBy(*by, "entity").agg(F.max("d").alias("d"))
+    known = F.col("entity").isNotNull()
+    g = each.groupBy(*by).agg(F.count_if(F.col("d") & known).alias("described"), F.count_if(~F.col("d") & known).alias("undescribed"))
+    note = F.when(F.col("described") == 0, "nothing-described").when(F.col("undescribed") > 0, "further-entities-used")
+    return g.select(*by, note.alias("note"), "described", F.when(F.col("described") > 0, F.col("undescribed")).otherwise(0).alias("undescribed")).where("note is not null")
+
+
 def readiness(counts: DataFrame, required: DataFrame) -> DataFrame:
     """(kind, n, missing): the required(kind) kinds with how many of counts(kind, n) there are; none is missing."""
     c = counts.groupBy("kind").agg(F.sum("n").alias("n"))
@@ -145,6 +157,22 @@ def status(snapshots: DataFrame, files: DataFrame) -> DataFrame:
     return latest.join(n, "snapshot_id", "left").select("workspace", "snapshot_id", F.coalesce("roots", F.lit(0)).alias("roots"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
+def status_report(workspaces: DataFrame, snapshots: DataFrame, roots: DataFrame, files: DataFrame, checks: DataFrame, run_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reports, roots, checks) of the latest published snapshot of each of workspaces(workspace), or of its snapshot of run_id (D23). snapshots(workspace, snapshot_id, run_id, published_at):
+    of equal times the larger id is the latest; a workspace without one is not analyzed and has a report alone. roots(snapshot_id, root_name, branch, dirty) come with the number of
+    files(snapshot_id, root_name, disposition) by disposition, an empty map where there are none; checks(snapshot_id, provider_id, version, available, reason) as they are, one a provider."""
+    published = snapshots.where("published_at is not null")
+    published = published if run_id is None else published.where(F.col("run_id") == run_id)
+    latest = published.groupBy("workspace").agg(F.max(F.struct("published_at", "snapshot_id", "run_id")).alias("s"))
+    reports = workspaces.select("workspace").distinct().join(latest, "workspace", "left").select("workspace", F.col("s").isNotNull().alias("analyzed"), "s.snapshot_id", "s.run_id", "s.published_at")
+    shown = reports.where("analyzed").select("workspace", "snapshot_id")
+    per = files.groupBy("snapshot_id", "root_name", "disposition").agg(F.count("*").alias("n")).where("disposition is not null")
+    counts = per.groupBy("snapshot_id", "root_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("disposition", "n")))).alias("counts"))
+    none = F.create_map().cast("map<string,bigint>")
+    at_root = shown.join(roots, "snapshot_id").join(counts, ["snapshot_id", "root_name"], "left").select("workspace", "snapshot_id", "root_name", "branch", "dirty", F.coalesce("counts", none).alias("counts"))
+    return reports, at_root, shown.join(checks.dropDuplicates(["snapshot_id", "provider_id"]), "snapshot_id").select("workspace", "snapshot_id", "provider_id", "version", "available", "reason")
+
+
 def contextual_steps(steps: DataFrame, methods: DataFrame, supertypes: DataFrame, instantiated: DataFrame) -> DataFrame:
     """steps(flow_id, pos, symbol_id) where a method of a type that the flow does not instantiate is replaced by the one same-named method of an instantiated type with a common
     supertype; if there are several such methods the step goes (J14). methods(symbol_id, type_id, name), supertypes(type_id, super), instantiated(flow_id, type_id)."""

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from factloom.operators import constraints, flows, graphs
+from factloom.operators import constraints, effects, flows, graphs
 from factloom.sources import base, providers
 
 EVIDENCE = "array<struct<resolution_class:string,confidence:string,unresolved_reason:string,rel_path:string>>"
@@ -145,3 +145,58 @@ def test_storage_findings(spark):
     rows = [(1, 1, "route", None, None, None), (2, 1, "data-access", "t", True, None), (2, 2, "data-access", "u", True, None), (3, 1, "data-access", "t", True, None), (3, 1, "data-access", "t", False, None), (4, 1, "data-access", "t", False, "unknown")]
     got = flows.storage_findings(spark.createDataFrame(rows, "feature_id long, flow_id long, kind string, entity string, indirect boolean, unresolved_reason string")).collect()
     assert sorted((r.feature_id, r.code, r.evidence) for r in got) == [(1, "feature-without-observed-storage", []), (2, "storage-observed-only-nearby", ["t", "u"]), (4, "feature-without-observed-storage", [])]
+
+
+PLACE = "root_name string, rel_path string, start_line int, start_column int"
+
+
+def located(spark, access=(), transactions=(), calls=(), packages=(), notifications=()):
+    make = lambda rows, more: spark.createDataFrame(list(rows), f"{PLACE}, {more}")
+    return effects.located_effects(
+        make(access, "symbol_id string, entity string, operation string, mechanism string"), make(transactions, "symbol_id string, mechanism string, propagation string"), make(calls, "symbol_id string, outbound_kind string, method string, target string, base_identifier string"),
+        make(packages, "symbol_id string, package_name string, member_name string"), make(notifications, "channel string, mechanism string"),
+    )
+
+
+def test_effects_at_their_places(spark):
+    got = located(
+        spark,
+        access=[("r", "a.go", 3, 1, "f", "orders", "write", "orm"), ("r", "a.go", 3, 9, "f", None, "write", "orm"), ("r", "a.go", 3, 1, None, "orders", "write", "orm"), ("r", "a.go", 3, 1, "f", "orders", "write", "orm")],
+        transactions=[("r", "a.go", 5, None, "f", "begin", None), ("r", "a.go", 5, None, None, "annotation", "required")],
+        calls=[("r", "a.go", 7, None, None, "http", "GET", None, "BASE"), ("r", "a.go", 7, None, None, "http", "GET", None, "OTHER"), ("r", "a.go", 8, None, "f", "http", None, "/x", None)],
+        packages=[("r", None, None, None, None, "sdk", "send"), ("r", "b.go", 1, None, None, "sdk", None)],
+        notifications=[("r", "a.go", 9, None, "mail", "smtp"), ("r", "a.go", 9, None, "mail", "smtp")],
+    ).collect()
+    rows = {(r.kind, r.scope, r.category, r.target, r.detail, r.link) for r in got}
+    assert len(got) == len({r.fact_id for r in got}) == 10
+    assert rows == {
+        ("data-access", "module", None, "orders", "write", "resolved"), ("data-access", "symbol", None, None, "write", "unresolved"), ("transaction-boundary", "symbol", None, "begin", None, None), ("transaction-boundary", "module", None, "annotation", "required", None),
+        ("outbound-call", "module", "service", None, "BASE", "unresolved"), ("outbound-call", "module", "service", None, "OTHER", "unresolved"), ("outbound-call", "symbol", "service", "/x", None, "resolved"), ("outbound-call", "module", "external-package", "sdk.send", "sdk", "resolved"),
+        ("outbound-call", "module", "external-package", "sdk", "sdk", "resolved"), ("notification-call", "module", None, "smtp", "mail", None),
+    }
+    assert located(spark).count() == 0
+
+
+def test_what_a_data_model_leaves_out(spark):
+    schema = "root_name string, entity string"
+    described = spark.createDataFrame([("full", "a"), ("full", "a"), ("part", "a"), ("none", None), ("extra", "z")], schema)
+    touched = spark.createDataFrame([("full", "a"), ("part", "a"), ("part", "b"), ("part", "b"), ("part", None), ("none", "q"), ("only", "q")], schema)
+    got = {tuple(r) for r in flows.data_coverage_notes(described, touched, ("root_name",)).collect()}
+    assert got == {("part", "further-entities-used", 1, 1), ("none", "nothing-described", 0, 0), ("only", "nothing-described", 0, 0)}
+    assert [tuple(r) for r in flows.data_coverage_notes(described, touched).collect()] == [("further-entities-used", 2, 2)]
+    nothing = spark.createDataFrame([], schema)
+    assert [tuple(r) for r in flows.data_coverage_notes(nothing, touched).collect()] == [("nothing-described", 0, 0)]
+
+
+def test_status_of_workspaces(spark):
+    snapshots = spark.createDataFrame([("w", "s1", "r1", "2024"), ("w", "s2", "r2", "2024"), ("w", "s3", "r3", None), ("bare", "s4", "r4", None), ("other", "s5", "r1", "2023")], "workspace string, snapshot_id string, run_id string, published_at string")
+    roots = spark.createDataFrame([("s2", "api", "main", True), ("s2", "empty", None, None), ("s1", "api", "old", False)], "snapshot_id string, root_name string, branch string, dirty boolean")
+    files = spark.createDataFrame([("s2", "api", "read")] * 3 + [("s2", "api", "skipped"), ("s1", "api", "read"), ("s2", "api", None)], "snapshot_id string, root_name string, disposition string")
+    checks = spark.createDataFrame([("s2", "index", "1", False, "missing"), ("s1", "index", "1", True, None), ("s2", "sql", "2", True, None)], "snapshot_id string, provider_id string, version string, available boolean, reason string")
+    names = spark.createDataFrame([("w",), ("bare",), ("never",)], "workspace string")
+    reports, at_root, ran = flows.status_report(names, snapshots, roots, files, checks)
+    assert {(r.workspace, r.analyzed, r.snapshot_id) for r in reports.collect()} == {("w", True, "s2"), ("bare", False, None), ("never", False, None)}
+    assert {(r.root_name, r.branch, r.dirty): r.counts for r in at_root.collect()} == {("api", "main", True): {"read": 3, "skipped": 1}, ("empty", None, None): {}}
+    assert {(r.provider_id, r.available, r.reason) for r in ran.collect()} == {("index", False, "missing"), ("sql", True, None)}
+    old = flows.status_report(names, snapshots, roots, files, checks, run_id="r1")
+    assert [r.snapshot_id for r in old[0].where("analyzed").collect()] == ["s1"] and [r.counts for r in old[1].collect()] == [{"read": 1}]
