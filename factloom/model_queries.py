@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .operators import constraints, effects, flows, graphs
+from .operators import constraints, effects, flows, graphs, wiring
 from .plans import adapters as ad
 from .queries import query
 from .sources import base, providers
@@ -279,3 +279,11 @@ def d23_root_counts(spark, sf_dir):
 @query(f"""WITH {STATUS_SQL} SELECT DISTINCT l.workspace, l.snapshot_id, l_linenumber AS provider_id, l_linenumber % 3 > 0 AS available, CASE WHEN l_linenumber % 3 = 0 THEN 'not installed' END AS reason FROM latest l JOIN lineitem ON l_orderkey = l.snapshot_id WHERE l.workspace IN (SELECT c_custkey FROM customer)""")
 def d23_provider_checks(spark, sf_dir):
     return order_status(spark, sf_dir)[2].select("workspace", "snapshot_id", "provider_id", "available", "reason")
+
+
+@query("""WITH c AS (SELECT source, 'service-' || n_chars % 7 AS target, count(*) AS n FROM documents WHERE doc_id % 5 > 0 GROUP BY 1, 2), m AS (SELECT DISTINCT lang AS module_id, source FROM documents)
+SELECT module_id, target, sum(n)::BIGINT AS n FROM m JOIN c USING (source) GROUP BY 1, 2""")
+def j27_d20_module_targets(spark, sf_dir):
+    """Each document is a file with a call, every fifth one generated; languages are modules of the sources that they are written in."""
+    d = documents(spark, sf_dir).select(F.col("source").alias("root_name"), number().cast("string").alias("rel_path"), F.lit(1).alias("start_line"), text_of("service-", F.col("n_chars") % 7).alias("target"), F.when(number() % 5 == 0, "generated").otherwise("source").alias("classification"), F.col("lang").alias("module_id"))
+    return wiring.module_targets(d, d, d)

@@ -73,6 +73,15 @@ def module_facts(modules: DataFrame, routes: DataFrame, entities: DataFrame, evi
     return m.join(e, "module_id", "left").select("module_id", F.coalesce("endpoints", none).alias("endpoints"), "entities", "prose")
 
 
+def module_targets(modules: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
+    """(module_id, target, n): what the roots of each of modules(module_id, root_name) call outside, with the number of places, a row a target (J27). calls(root_name, rel_path, start_line,
+    target) in generated files(root_name, rel_path, classification) are left out (D20), a place counts once, and calls without a target for nothing. Places are counted by root and target
+    before modules join, so a root with most of the calls sends a row a target."""
+    places = drop_generated(calls.where("target is not null").select("root_name", "rel_path", "start_line", "target"), files).distinct()
+    per = places.groupBy("root_name", "target").agg(F.count("*").alias("n"))
+    return modules.select("module_id", "root_name").distinct().join(per, "root_name").groupBy("module_id", "target").agg(F.sum("n").alias("n"))
+
+
 def accounting(links: DataFrame, calls: DataFrame) -> DataFrame:
     """(considered, linked, unlinked, sums): whether linked and unlinked add up to the calls."""
     c = calls.agg(F.count("*").alias("considered"))

@@ -61,3 +61,17 @@ def test_authorization_and_notes(spark):
     assert [(r.member, r.start_line) for r in effects.observe_authorization(refs, sets).collect()] == [("Admin", 1)]
     log = spark.createDataFrame([(1, "SELECT * FROM t WHERE snapshot_id = :snapshot"), (1, "SELECT snapshot_id FROM t")], "report_id int, query string")
     assert audit.audit_query_log(log).count() == 1
+
+
+def test_targets_of_modules(spark):
+    """A place counts once, generated files and calls without a target do not; a root in two modules counts in both."""
+    calls = spark.createDataFrame([("r", "a.go", 1, "pay"), ("r", "a.go", 1, "pay"), ("r", "a.go", 2, "pay"), ("r", "gen.go", 1, "pay"), ("r", "a.go", 3, None), ("s", "gen.go", 1, "mail"), ("alone", "x.go", 1, "pay")], "root_name string, rel_path string, start_line int, target string")
+    files = spark.createDataFrame([("r", "gen.go", "generated"), ("r", "gen.go", "generated"), ("s", "gen.go", "source"), ("r", "a.go", None)], "root_name string, rel_path string, classification string")
+    modules = spark.createDataFrame([("m", "r"), ("m", "r"), ("m", "s"), ("n", "r"), ("bare", "nowhere"), ("null", None)], "module_id string, root_name string")
+    assert {tuple(r) for r in wiring.module_targets(modules, calls, files).collect()} == {("m", "pay", 2), ("m", "mail", 1), ("n", "pay", 2)}
+    assert wiring.module_targets(modules, calls.limit(0), files).count() == 0
+
+
+def test_kinds_of_gaps(spark):
+    got = spark.createDataFrame([("fields",), ("constraints",), ("odd",), (None,)], "c string").select(wiring.gap_kind(F.col("c")).alias("k")).collect()
+    assert sorted(r.k for r in got) == ["entity", "entity", "entity-constraint", "entity-field"]
