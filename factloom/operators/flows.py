@@ -160,7 +160,7 @@ def status(snapshots: DataFrame, files: DataFrame) -> DataFrame:
 def status_report(workspaces: DataFrame, snapshots: DataFrame, roots: DataFrame, files: DataFrame, checks: DataFrame, run_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(reports, roots, checks) of the latest published snapshot of each of workspaces(workspace), or of its snapshot of run_id (D23). snapshots(workspace, snapshot_id, run_id, published_at):
     of equal times the larger id is the latest; a workspace without one is not analyzed and has a report alone. roots(snapshot_id, root_name, branch, dirty) come with the number of
-    files(snapshot_id, root_name, disposition) by disposition, an empty map where there are none; checks(snapshot_id, provider_id, version, available, reason) as they are, one a provider."""
+    files(snapshot_id, root_name, disposition) by disposition, an empty map where there are none; checks(snapshot_id, provider_id, version, available, reason) one a provider, the least of several."""
     published = snapshots.where("published_at is not null")
     published = published if run_id is None else published.where(F.col("run_id") == run_id)
     latest = published.groupBy("workspace").agg(F.max(F.struct("published_at", "snapshot_id", "run_id")).alias("s"))
@@ -169,8 +169,9 @@ def status_report(workspaces: DataFrame, snapshots: DataFrame, roots: DataFrame,
     per = files.groupBy("snapshot_id", "root_name", "disposition").agg(F.count("*").alias("n")).where("disposition is not null")
     counts = per.groupBy("snapshot_id", "root_name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("disposition", "n")))).alias("counts"))
     none = F.create_map().cast("map<string,bigint>")
+    ran = checks.groupBy("snapshot_id", "provider_id").agg(F.min(F.struct("version", "available", "reason")).alias("c"))
     at_root = shown.join(roots, "snapshot_id").join(counts, ["snapshot_id", "root_name"], "left").select("workspace", "snapshot_id", "root_name", "branch", "dirty", F.coalesce("counts", none).alias("counts"))
-    return reports, at_root, shown.join(checks.dropDuplicates(["snapshot_id", "provider_id"]), "snapshot_id").select("workspace", "snapshot_id", "provider_id", "version", "available", "reason")
+    return reports, at_root, shown.join(ran, "snapshot_id").select("workspace", "snapshot_id", "provider_id", "c.version", "c.available", "c.reason")
 
 
 def contextual_steps(steps: DataFrame, methods: DataFrame, supertypes: DataFrame, instantiated: DataFrame) -> DataFrame:
