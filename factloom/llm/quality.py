@@ -5,7 +5,8 @@ quantile sketches (logarithmic buckets with a relative error bound: a sketch is
 adding), thresholds are read off the merged sketches, and documents are filtered by a join with them.
 
 Defined cases: null or empty text has no words, so base_failed; null language or source is a group of its own;
-small groups' quantiles lean on their language's and those on the whole corpus's, by weight; repeated rows are judged
+small groups' quantiles lean on their language's and those on the whole corpus's, by weight; a
+measure that all texts have alike, or that none has, has no bound; repeated rows are judged
 one by one alike; an empty table gives an empty result; other columns are ignored.
 """
 
