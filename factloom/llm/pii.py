@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import dealt_lookup, lower_ascii, materialize, text_hash
-from .spans import count_kind, joined, no_spans, with_matches
+from .spans import chunks, count_kind, covered, joined, no_spans, running, text_after, text_before, text_between, with_matches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -69,10 +69,13 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return with_matches(text, "__text", base_kinds("__text")).select("doc_id", "th", F.col("__text").alias("text"), F.concat(*KINDS).alias("base"))
 
 
+def masked_chunks() -> Column:
+    """text in lower case, of the same length, with MASK for each character of a base match, in chunks."""
+    return covered(chunks(lower_ascii(F.translate("text", MASK, "\ue001"))), F.col("base"), MASK)
+
+
 def masked() -> Column:
-    """text in lower case, of the same length, with MASK for each character of a base match."""
-    size = lambda s: s["end"] - s["start"]
-    return F.aggregate("base", lower_ascii(F.translate("text", MASK, "\ue001")), lambda t, s: F.overlay(t, F.repeat(F.lit(MASK), size(s)), s["start"] + 1, size(s)))
+    return F.when(F.size("base") > 0, F.array_join(masked_chunks(), "")).otherwise(lower_ascii(F.translate("text", MASK, "\ue001")))
 
 
 def words_in(text: Column) -> Column:
@@ -82,10 +85,10 @@ def words_in(text: Column) -> Column:
 
 def seed_edges(base: DataFrame) -> DataFrame:
     """(value, kind, pattern, opening) of each base match; opening is what a place shows before the instance's end is known."""
-    s = base.where(F.size("base") > 0).withColumn("m", masked()).select("m", F.explode("base").alias("s")).select("m", "s.*")
-    before = words_in(F.regexp_replace(F.substring(F.col("m"), F.greatest(F.col("start") - 199, F.lit(1)), F.least(F.col("start"), F.lit(200))), f"[{ID}{MASK}]+$", ""))
-    after = words_in(F.regexp_replace(F.substring(F.col("m"), F.col("end") + 1, F.lit(200)), f"^[{ID}{MASK}]+", ""))
-    s = s.select(lower_ascii(F.col("value")).alias("value"), F.col("rank").alias("kind"), before.alias("b"), F.coalesce(F.get(after, F.lit(0)), F.lit("$")).alias("r"))
+    near = lambda s: F.struct(s["value"].alias("value"), s["rank"].alias("kind"), text_before(F.col("m"), s["start"], 200).alias("before"), text_after(F.col("m"), s["end"], 200).alias("after"))
+    s = base.where(F.size("base") > 0).select("base", masked_chunks().alias("m")).select(F.inline(F.transform("base", near)))
+    before, after = words_in(F.regexp_replace("before", f"[{ID}{MASK}]+$", "")), words_in(F.regexp_replace("after", f"^[{ID}{MASK}]+", ""))
+    s = s.select(lower_ascii(F.col("value")).alias("value"), "kind", before.alias("b"), F.coalesce(F.get(after, F.lit(0)), F.lit("$")).alias("r"))
     last = lambda i: F.coalesce(F.try_element_at("b", F.lit(-i)), F.lit("^"))
     left, both = F.concat_ws(" ", F.lit("L"), last(2), last(1)), F.concat_ws(" ", F.lit("LR"), last(1), F.lit("_"), "r")
     pairs = [F.struct(p.alias("pattern"), o.alias("opening")) for p, o in ((left, left), (both, both), (F.concat_ws(" ", F.lit("LL"), left, F.lit("_"), "r"), left))]
@@ -147,16 +150,21 @@ def spans_at(base: DataFrame, hits: DataFrame) -> DataFrame:
     hits = hits.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("at", "parts", "kind"))).alias("hits")).withColumnsRenamed({"doc_id": "f_id", "th": "f_th"})
     text = base.select("doc_id", "th", "text", masked().alias("m")).dropDuplicates(["doc_id", "th"])
     both = hits.join(text, F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("th") == F.col("f_th"))).withColumn("p", F.regexp_extract_all("m", F.lit(PART), F.lit(0)))
-    size = lambda n: F.aggregate(F.slice("p", F.lit(1), n), F.lit(0), lambda acc, x: acc + F.length(x))
+    both = both.withColumns({"ends": running(F.transform("p", F.length), lambda a, b: a + b)})
+    upto = lambda n: F.coalesce(F.get(F.col("ends"), n - 1), F.lit(0))
     first = lambda h: F.get(F.col("p"), h["at"])
-    placed = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), (size(h["at"]) + F.length(first(h)) - F.length(F.ltrim(first(h), F.lit(BLANKS)))).alias("start"), size(h["at"] + h["parts"]).alias("end")))
-    both = both.withColumn("placed", placed)
-    cut = lambda s: F.rtrim(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), F.lit(".,;:!?-/%"))
+    blank = lambda h: F.length(first(h)) - F.length(F.ltrim(first(h), F.lit(BLANKS)))
+    placed = F.transform("hits", lambda h: F.struct(h["kind"].alias("kind"), (upto(h["at"]) + blank(h)).alias("start"), upto(h["at"] + h["parts"]).alias("end")))
+    both = both.withColumns({"placed": placed, "c": chunks(F.col("text"))})
+    cut = lambda s: F.rtrim(text_between(F.col("c"), s["start"], s["end"]), F.lit(".,;:!?-/%"))
     name = lambda k: reduce(lambda c, i: c.when(k == i, f"found_{KINDS[i]}"), range(1, len(KINDS)), F.when(k == 0, f"found_{KINDS[0]}"))
     span = lambda s: F.struct(name(s["kind"]).alias("kind"), (s["kind"] + len(KINDS)).alias("rank"), s["start"].alias("start"), (s["start"] + F.length(cut(s))).alias("end"), cut(s).alias("value"))
     both = both.select("f_id", "f_th", F.transform("placed", span).alias("all"))
     inside = lambda s, o: (o["start"] <= s["start"]) & (s["end"] <= o["end"]) & (o["end"] - o["start"] > s["end"] - s["start"])
-    return both.select("f_id", "f_th", F.filter("all", lambda s: (s["end"] > s["start"]) & ~F.exists("all", lambda o: inside(s, o))).alias("found"))
+    # A longer one around the i-th begins at most MOST - 1 parts before it, and at most MOST begin at a part.
+    near = lambda i: F.slice(F.col("all"), F.greatest(i - MOST * MOST, F.lit(0)) + 1, F.lit(MOST * MOST + MOST + 1))
+    outer = F.transform("all", lambda s, i: F.when((s["end"] > s["start"]) & ~F.exists(near(i), lambda o: inside(s, o)), s))
+    return both.select("f_id", "f_th", F.filter(outer, lambda s: s.isNotNull()).alias("found"))
 
 
 def accepted_patterns(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:

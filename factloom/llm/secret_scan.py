@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import carried, dealt_lookup, materialize, text_hash
-from .spans import count_kind, joined, no_spans, overlapping, with_matches
+from .spans import chunks, clear_of, count_kind, joined, let, no_spans, running, text_between, with_matches
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -42,8 +42,7 @@ def scan(docs: DataFrame, owner: str) -> DataFrame:
     """(doc_id, th, owner, base SPAN, tokens SPAN) of each row; th names the text."""
     text = docs.select("doc_id", F.col(owner).cast("string").alias("owner"), text_hash(), F.coalesce("text", F.lit("")).alias("__text"))
     found = with_matches(text, "__text", kinds("__text")).withColumn("base", F.concat(*KINDS))
-    free = F.filter("token", lambda t: F.size(overlapping(F.col("base"), t["start"], t["end"])) == 0)
-    return found.select("doc_id", "th", "owner", "base", free.alias("tokens"))
+    return found.select("doc_id", "th", "owner", "base", clear_of(F.col("token"), F.col("base")).alias("tokens"))
 
 
 def ownership(found: DataFrame, example_owners: int) -> DataFrame:
@@ -81,10 +80,16 @@ def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFra
     live = found.select(F.col("doc_id").alias("__f_id"), F.col("th").alias("__f_th"), F.array_sort(F.transform(hidden, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("__live"))
     rows, names = carried(docs)
     text = F.col("text")
-    step = lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")).alias("out"))
-    )
-    cleaned = F.aggregate("__live", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def cut(s: Column, before: Column, parts: Column) -> Column:
+        """What stands for the secret s and the text before it, of which before characters are done."""
+        return F.when((s["end"] > before) & (s["start"] >= before), F.concat(text_between(parts, before, s["start"]), F.lit(mark))).otherwise("")
+
+    def clean(parts: Column, done: Column) -> Column:
+        pieces = F.transform("__live", lambda s, i: let(F.coalesce(F.get(done, i - 1), F.lit(0)), lambda before: cut(s, before, parts)))
+        return F.concat(F.array_join(pieces, ""), text_between(parts, F.try_element_at(done, F.lit(-1)), F.length(text)))
+
+    cleaned = let(chunks(text), lambda parts: let(running(F.transform("__live", lambda s: s["end"]), F.greatest), lambda done: clean(parts, done)))
     rows = rows.withColumns({"__id": F.col(names[docs.columns.index("doc_id")]), "__th": text_hash()})
     both = rows.join(live.where("size(__live) > 0").distinct(), F.col("__id").eqNullSafe(F.col("__f_id")) & (F.col("__th") == F.col("__f_th")), "left")
     both = both.withColumn("__cleaned", F.when(F.col("__live").isNotNull(), cleaned))
