@@ -64,13 +64,15 @@ def drop_generated(records: DataFrame, files: DataFrame) -> DataFrame:
 
 def module_facts(modules: DataFrame, routes: DataFrame, entities: DataFrame, evidence: DataFrame, k: int = 3) -> DataFrame:
     """(module_id, endpoints, entities, prose): of each module(module_id, root_name) its routes(module_id, path), the entities(root_name, name) of its roots and at most k lines of
-    evidence(root_name, text)."""
+    evidence(root_name, text). Names and lines are gathered once for each list of roots that some module has, and join last, so what is shuffled does not hold them once a module."""
     none = F.array().cast("array<string>")
     e = routes.groupBy("module_id").agg(F.array_sort(F.collect_set("path")).alias("endpoints"))
     per = entities.groupBy("root_name").agg(F.collect_set("name").alias("names"))
     prose = evidence.groupBy("root_name").agg(F.slice(F.array_sort(F.collect_set("text")), 1, k).alias("lines"))
-    m = modules.join(per, "root_name", "left").join(prose, "root_name", "left").groupBy("module_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("entities"), F.flatten(F.array_sort(F.collect_list("lines"))).alias("prose"))
-    return m.join(e, "module_id", "left").select("module_id", F.coalesce("endpoints", none).alias("endpoints"), "entities", "prose")
+    owned = modules.groupBy("module_id").agg(F.array_sort(F.collect_list("root_name")).alias("roots"))
+    each = owned.select("roots").distinct().select("roots", F.explode_outer("roots").alias("root_name"))
+    held = each.join(per, "root_name", "left").join(prose, "root_name", "left").groupBy("roots").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("entities"), F.flatten(F.array_sort(F.collect_list("lines"))).alias("prose"))
+    return owned.join(e, "module_id", "left").join(held, "roots").select("module_id", F.coalesce("endpoints", none).alias("endpoints"), "entities", "prose")
 
 
 def module_targets(modules: DataFrame, calls: DataFrame, files: DataFrame) -> DataFrame:
