@@ -118,18 +118,22 @@ def canonical_symbols(symbols: DataFrame) -> DataFrame:
 def resolve_handlers(routes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(route_id, symbol_id, reason): routes(route_id, root_name, candidates array of names such as leave.Creation) resolved to symbols(id, root_name, name, qualified_name,
     rel_path). Candidates are tried in order: of the symbols so named in the root, a qualifier takes those in a folder of its name, else those in a file of its name (a plural or a prefix counts); plain
-    functions go before members (::). One left resolves, several stop with a reason, none tries the next candidate (J3)."""
+    functions go before members (::). One left resolves, several stop with a reason, none tries the next candidate (J3). A candidate is looked up once a root, among files with their numbers of symbols: never
+    routes x symbols."""
     c = routes.select("route_id", "root_name", F.posexplode("candidates").alias("pos", "candidate"))
     c = c.withColumns({"name": F.substring_index("candidate", ".", -1), "qualifier": F.lower(F.when(F.col("candidate").contains("."), F.element_at(F.split("candidate", r"\."), -2)))})
-    parts, hint = F.split(F.lower("rel_path"), "/"), F.col("qualifier")
-    stem = F.regexp_replace(F.element_at(parts, -1), "[.][a-z0-9_]+$", "")
-    folder = F.coalesce(F.try_element_at(parts, F.lit(-2)) == hint, F.lit(False))
+    parts = F.split(F.lower("rel_path"), "/")
+    place = F.struct(F.try_element_at(parts, F.lit(-2)).alias("folder"), F.regexp_replace(F.element_at(parts, -1), "[.][a-z0-9_]+$", "").alias("stem"), F.coalesce("qualified_name", F.lit("")).contains("::").cast("int").alias("member"))
+    places = symbols.groupBy("root_name", "name", "id").agg(F.collect_set(place).alias("places"))
+    places = places.select("root_name", "name", "id", F.when(F.size("places") > 1, F.col("id")).alias("again"), F.explode("places").alias("p"))
+    files = places.groupBy("root_name", "name", "p", "again").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).select("root_name", "name", "p.*", "again", "n", "id")
+    hint, stem = F.col("qualifier"), F.col("stem")
+    folder = F.coalesce(F.col("folder") == hint, F.lit(False))
     file = (stem == hint) | ((F.length(stem) >= 4) & (stem.startswith(hint) | hint.contains(stem)))
-    met = c.join(symbols, ["root_name", "name"]).withColumn("strength", F.when(F.col("qualifier").isNull(), 0).when(folder, 2).when(file, 1)).where("strength is not null")
-    member = F.coalesce("qualified_name", F.lit("")).contains("::").cast("int")
-    best = met.groupBy("route_id", "pos").agg(F.max(F.struct("strength", (-member).alias("plain"))).alias("b"))
-    near = met.withColumn("plain", -member).join(best, ["route_id", "pos"]).where((F.col("strength") == F.col("b.strength")) & (F.col("plain") == F.col("b.plain")))
-    per = near.groupBy("route_id", "pos").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id"))
+    met = c.select("root_name", "candidate", "name", "qualifier").distinct().join(files, ["root_name", "name"]).withColumn("strength", F.when(hint.isNull(), 0).when(folder, 2).when(file, 1)).where("strength is not null")
+    sums = met.groupBy("root_name", "candidate", "strength", "member").agg((F.coalesce(F.sum(F.when(F.col("again").isNull(), F.col("n"))), F.lit(0)) + F.countDistinct("again")).alias("n"), F.min("id").alias("id"))
+    fit = sums.groupBy("root_name", "candidate").agg(F.max_by(F.struct("n", "id"), F.struct("strength", -F.col("member"))).alias("b")).select("root_name", "candidate", "b.*")
+    per = c.select("route_id", "root_name", "pos", "candidate").join(fit, ["root_name", "candidate"])
     first = per.groupBy("route_id").agg(F.min(F.struct("pos", "n", "id")).alias("f"))
     both = routes.select("route_id").join(first, "route_id", "left")
     reason = F.when(F.col("f").isNull(), "no symbol has a candidate's name").when(F.col("f.n") > 1, F.concat(F.col("f.n").cast("string"), F.lit(" symbols fit")))
