@@ -31,9 +31,11 @@ def flow_data_access(scopes: DataFrame, access: DataFrame, k: int = 12) -> DataF
 
 
 def flow_outbound(scopes: DataFrame, calls: DataFrame, k: int = 6) -> DataFrame:
-    """(flow_id, label): the first k distinct labels of calls(scope, label) made in a flow's scopes(flow_id, scope)."""
-    met = scopes.join(calls, "scope").select("flow_id", "label").distinct()
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("flow_id").orderBy("label"))).where(F.col("place") <= k).drop("place")
+    """(flow_id, label): the first k distinct labels of calls(scope, label) made in a flow's scopes(flow_id, scope). The first k of several scopes are among the first k of each, so no more
+    than these meet the flows."""
+    first = lambda df, by: df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("label"))).where(F.col("place") <= k).drop("place")
+    met = scopes.join(first(calls.select("scope", "label").distinct(), "scope"), "scope").select("flow_id", "label").distinct()
+    return first(met, "flow_id")
 
 
 def rule_conditions(conditions: DataFrame, k: int = 6) -> DataFrame:

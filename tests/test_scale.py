@@ -46,3 +46,12 @@ def test_a_symbol_in_two_files_is_one(spark):
     routes_ = spark.createDataFrame([(1, "r", ["leave.Run"]), (2, "r", ["Run"]), (3, "r", ["x.Two", "Run"]), (4, "r", ["leave.Two"])], "route_id int, root_name string, candidates array<string>")
     symbols = spark.createDataFrame([("a", "r", "Run", None, "leave.go"), ("a", "r", "Run", None, "leaves.go"), ("a", "r", "Run", None, "leave.go"), ("b", "r", "Two", None, "leave.go"), ("b", "r", "Two", None, "leaves.go"), ("c", "r", "Two", None, "leaves.go")], schema)
     assert {r.route_id: (r.symbol_id, r.reason) for r in link.resolve_handlers(routes_, symbols).collect()} == {1: ("a", None), 2: ("a", None), 3: ("a", None), 4: (None, "2 symbols fit")}
+
+
+def test_outbound_labels_are_cut_before_they_meet_flows(spark):
+    """Before, 3,000 flows met 3,000 labels."""
+    n = spark.range(3000)
+    scopes = n.select(F.col("id").alias("flow_id"), F.lit("s").alias("scope")).union(spark.createDataFrame([(7, "t")], "flow_id long, scope string"))
+    calls = n.select(F.lit("s").alias("scope"), F.format_string("%05d", "id").alias("label")).union(spark.createDataFrame([("t", "00000a"), ("t", "00000a"), ("t", "9")], "scope string, label string"))
+    got, rows, _ = shuffled(spark, lambda: flows.flow_outbound(scopes, calls, 2).collect())
+    assert len(got) == 6000 and sorted(r.label for r in got if r.flow_id == 7) == ["00000", "00000a"] and rows < 50_000
