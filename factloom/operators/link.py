@@ -2,39 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import join_key
-from ..functions.paths import host_of, is_parameter, is_real_integration, method_matches, path_of, segments, segments_match, specificity, wildcard_at
+from ..functions.paths import host_of, is_parameter, is_real_integration, method_matches, path_of, segments, specificity, wildcard_at
 from .graphs import cut
 
 
-def route_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
-    """(call_id, from_root, base_identifier, to_root, route_path, score, wild): every route of another root that matches a call's path and method.
+def _shape(at: Column, n: Column, wild: Column) -> Column:
+    """Where a pattern has literals, how many segments it covers, and whether any may follow."""
+    return F.struct(at.cast("array<int>").alias("at"), n.cast("int").alias("n"), wild.alias("wild"))
+
+
+def route_patterns(routes: DataFrame) -> DataFrame:
+    """(pattern, r_method, route_path, score, shape, words, n, least, most): each method and path once, with the number of its routes and its least and greatest root."""
+    r = routes.where("root_name is not null and path is not null").select("root_name", F.col("method").alias("r_method"), F.col("path").alias("route_path"))
+    r = r.groupBy("r_method", "route_path").agg(F.count("*").alias("n"), F.min("root_name").alias("least"), F.max("root_name").alias("most"))
+    r = r.withColumns({"pattern": _pattern("r_method", "route_path"), "ps": segments(F.col("route_path")), "score": specificity(F.col("route_path"))}).withColumn("star", wildcard_at(F.col("ps")))
+    covered = F.slice("ps", 1, F.coalesce("star", F.size("ps")))
+    fixed = F.filter(F.transform(covered, lambda s, i: F.struct(i.alias("at"), s.alias("word"))), lambda x: ~is_parameter(x["word"]))
+    return r.select("pattern", "r_method", "route_path", "score", _shape(fixed["at"], F.size(covered), F.col("star").isNotNull()).alias("shape"), fixed["word"].alias("words"), "n", "least", "most")
+
+
+def _pattern(method: str, path: str) -> Column:
+    return join_key(F.col(method).isNotNull(), method, path)
+
 
-    Never calls x routes: a route is met on its number of segments (-1 if it ends in a wildcard) and its first literal segment with the place of it,
-    wherever that is; only a route without any literal meets all calls of its length, which it matches."""
+def pattern_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """(call_id, from_root, base_identifier, pattern, route_path, score, wild, n, least, most): the patterns, of whichever root, that match a call's path and method.
+
+    Never calls x routes: a call has one key for each shape (the places of literals) that some pattern of its length has, and meets the patterns with just those words there."""
     base = F.col("base_identifier") if "base_identifier" in calls.columns else F.lit(None).cast("string")
-    c = calls.select("call_id", F.col("root_name").alias("from_root"), base.alias("base_identifier"), F.col("method").alias("c_method"), segments(path_of(F.col("target"))).alias("qs")).where("qs is not null")
-    key = lambda n, at, word: F.struct(n.cast("int").alias("n"), at.cast("int").alias("at"), word.alias("word"))
-    none = lambda n: key(n, F.lit(0), F.lit(""))
-    places = F.sequence(F.lit(1), F.size("qs") - 1)
-    at = lambda n: F.transform(F.when(F.size("qs") > 1, places).otherwise(F.array().cast("array<int>")), lambda i: key(n, i, F.get("qs", i)))
-    c = c.withColumn("met", F.explode(F.concat(F.array(none(F.size("qs")), none(F.lit(-1))), at(F.size("qs")), at(F.lit(-1)))))
-    r = routes.select(F.col("root_name").alias("to_root"), F.col("method").alias("r_method"), F.col("path").alias("route_path"), segments(F.col("path")).alias("ps"), specificity(F.col("path")).alias("score"))
-    r = r.withColumn("star", wildcard_at(F.col("ps"))).withColumn("n", F.when(F.col("star").isNull(), F.size("ps")).otherwise(-1))
-    fixed = F.filter(F.transform("ps", lambda s, i: F.struct(i.alias("at"), s.alias("word"))), lambda x: (x["at"] > 0) & ~is_parameter(x["word"]) & (F.col("star").isNull() | (x["at"] < F.col("star"))))
-    r = r.withColumn("first", F.get(fixed, F.lit(0))).withColumn("met", F.when(F.col("first").isNull(), none(F.col("n"))).otherwise(key(F.col("n"), F.col("first.at"), F.col("first.word"))))
-    fits = (F.col("from_root") != F.col("to_root")) & method_matches(F.col("c_method"), F.col("r_method")) & segments_match(F.col("ps"), F.col("qs"))
-    return c.join(r, "met").where(fits).select("call_id", "from_root", "base_identifier", "to_root", "route_path", "score", F.col("star").isNotNull().alias("wild"))
+    c = calls.where("root_name is not null").select("call_id", F.col("root_name").alias("from_root"), base.alias("base_identifier"), F.col("method").alias("c_method"), segments(path_of(F.col("target"))).alias("qs")).where("qs is not null")
+    r = route_patterns(routes)
+    shapes = r.select("shape").distinct()
+    size = F.size("qs")
+    c = c.join(F.broadcast(shapes), F.when(F.col("shape.wild"), size >= F.col("shape.n")).otherwise(size == F.col("shape.n"))).withColumn("words", F.transform("shape.at", lambda i: F.get("qs", i)))
+    met = c.join(r, ["shape", "words"]).where(method_matches(F.col("c_method"), F.col("r_method")))
+    return met.select("call_id", "from_root", "base_identifier", "pattern", "route_path", "score", F.col("shape.wild").alias("wild"), "n", "least", "most")
+
+
+def _by_root(routes: DataFrame) -> DataFrame:
+    """(pattern, to_root, own): how many routes of a pattern a root has."""
+    r = routes.where("root_name is not null and path is not null").select(_pattern("method", "path").alias("pattern"), F.col("root_name").alias("to_root"))
+    return r.groupBy("pattern", "to_root").agg(F.count("*").alias("own"))
+
+
+def route_candidates(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """(call_id, from_root, base_identifier, to_root, route_path, score, wild): every route of another root that matches a call's path and method. A row for each of them: link_calls and
+    infer_base_bindings count them by pattern instead."""
+    r = routes.select(_pattern("method", "path").alias("pattern"), F.col("root_name").alias("to_root"))
+    return pattern_candidates(calls, routes).join(r, "pattern").where("from_root <> to_root").select("call_id", "from_root", "base_identifier", "to_root", "route_path", "score", "wild")
 
 
 def link_calls(calls: DataFrame, routes: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """One row per call: outcome linked with its route, or why not (target-not-resolved, unparsed-destination, no-matching-route,
-    ambiguous-match with the number of best candidates), so that links and unlinked add up to the calls. candidates are route_candidates()."""
-    best = (route_candidates(calls, routes) if candidates is None else candidates).withColumn("place", F.rank().over(Window.partitionBy("call_id").orderBy(F.desc("score")))).where("place = 1")
-    best = best.groupBy("call_id").agg(F.count("*").alias("n_candidates"), F.min(F.struct("to_root", "route_path", "wild")).alias("r"))
+    ambiguous-match with the number of best candidates), so that links and unlinked add up to the calls. candidates are pattern_candidates(), with bound_root where
+    only that root's routes count."""
+    met = pattern_candidates(calls, routes) if candidates is None else candidates
+    bound = F.col("bound_root") if "bound_root" in met.columns else F.lit(None).cast("string")
+    met = met.withColumn("bound", bound).withColumn("to_root", F.coalesce("bound", "from_root")).join(_by_root(routes), ["pattern", "to_root"], "left")
+    own = F.coalesce("own", F.lit(0))
+    met = met.withColumn("n", F.when(F.col("bound").isNull(), F.col("n") - own).when(F.col("bound") == F.col("from_root"), 0).otherwise(own)).where("n > 0")
+    other = F.when(F.col("bound").isNotNull(), F.col("bound")).when(F.col("least") == F.col("from_root"), F.col("most")).otherwise(F.col("least"))  # right where one route is left
+    best = met.groupBy("call_id", "score").agg(F.sum("n").alias("n_candidates"), F.min(F.struct(other.alias("to_root"), "route_path", "wild")).alias("r"))
+    best = best.groupBy("call_id").agg(F.max_by(F.struct("n_candidates", "r"), "score").alias("b")).select("call_id", "b.*")
     path = path_of(F.col("target"))
     outcome = F.when(F.col("target").isNull(), "target-not-resolved").when(path.isNull(), "unparsed-destination").when(F.col("n_candidates").isNull(), "no-matching-route").when(F.col("n_candidates") > 1, "ambiguous-match").otherwise("linked")
     linked = F.col("outcome") == "linked"
@@ -48,10 +81,12 @@ def link_calls(calls: DataFrame, routes: DataFrame, candidates: DataFrame | None
 
 def infer_base_bindings(calls: DataFrame, routes: DataFrame, majority: float = 0.6, minimum_matches: int = 3, candidates: DataFrame | None = None) -> DataFrame:
     """(from_root, base_identifier, bound_root, matched, considered, reason): the root whose routes most of a base's calls fit. A call
-    counts once per root; bound only with minimum_matches and majority of all root matches."""
+    counts once per root; bound only with minimum_matches and majority of all root matches. Calls of a base that fit the same patterns vote as one."""
     base = calls.where("base_identifier is not null")
-    votes = (route_candidates(base, routes) if candidates is None else candidates).where("base_identifier is not null").select("call_id", "from_root", "base_identifier", "to_root").distinct()
-    per = votes.groupBy("from_root", "base_identifier", "to_root").agg(F.count("*").alias("n"))
+    met = (pattern_candidates(base, routes) if candidates is None else candidates).where("base_identifier is not null")
+    alike = met.groupBy("call_id", "from_root", "base_identifier").agg(F.array_sort(F.collect_set("pattern")).alias("patterns")).groupBy("from_root", "base_identifier", "patterns").agg(F.count("*").alias("times"))
+    votes = alike.withColumn("pattern", F.explode("patterns")).join(_by_root(routes), "pattern").where("from_root <> to_root").select("from_root", "base_identifier", "patterns", "times", "to_root").distinct()
+    per = votes.groupBy("from_root", "base_identifier", "to_root").agg(F.sum("times").alias("n"))
     top = per.groupBy("from_root", "base_identifier").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("neg"), "to_root")).alias("b"))
     considered = base.groupBy(F.col("root_name").alias("from_root"), "base_identifier").agg(F.count("*").alias("considered"))
     both = considered.join(top, ["from_root", "base_identifier"], "left")
@@ -63,13 +98,12 @@ def infer_base_bindings(calls: DataFrame, routes: DataFrame, majority: float = 0
 def link_calls_scoped(calls: DataFrame, routes: DataFrame, bindings: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """link_calls with the calls of a bound base held to its root."""
     b = bindings.where("bound_root is not null").select("from_root", "base_identifier", "bound_root")
-    found = (route_candidates(calls, routes) if candidates is None else candidates).join(b, ["from_root", "base_identifier"], "left")
-    return link_calls(calls, routes, found.where("bound_root is null or bound_root = to_root").drop("bound_root"))
+    return link_calls(calls, routes, (pattern_candidates(calls, routes) if candidates is None else candidates).join(b, ["from_root", "base_identifier"], "left"))
 
 
 def bind_and_link(calls: DataFrame, routes: DataFrame) -> DataFrame:
     """link_calls_scoped with the bindings that the same candidates give; these are made once."""
-    candidates = cut(route_candidates(calls, routes))
+    candidates = cut(pattern_candidates(calls, routes))
     return link_calls_scoped(calls, routes, infer_base_bindings(calls, routes, candidates=candidates), candidates)
 
 

@@ -90,3 +90,34 @@ def test_inferred_routes_do_not_meet_every_direct_one(spark):
     began = time.monotonic()
     got = routes.consolidate_routes(r).select("route_id", F.size("conflicts").alias("n")).groupBy("n").agg(F.count("*"), F.min("route_id")).collect()
     assert sorted(tuple(x) for x in got) == [(0, 29_999, 2), (1, 1, 0)] and time.monotonic() - began < 45
+
+
+CALLS, ROUTES = "call_id long, root_name string, target string, method string, base_identifier string", "root_name string, method string, path string"
+
+
+def test_calls_meet_patterns_not_roots(spark):
+    """Before, each of 1,000 calls had a row for each of 300 roots with its pattern."""
+    n = spark.range(1000)
+    calls = n.select(F.col("id").alias("call_id"), F.when(F.col("id") == 0, "r1").otherwise("ui").alias("root_name"), F.concat(F.lit("/en/"), F.col("id").cast("string")).alias("target"), F.lit(None).cast("string").alias("method"), F.lit("b").alias("base_identifier"))
+    roots = spark.range(300).select(F.concat(F.lit("r"), "id").alias("root_name"), F.lit(None).cast("string").alias("method"), F.lit("/en/:id").alias("path")).union(spark.createDataFrame([("r1", None, "/en/0"), ("r2", None, "/en/0"), ("r1", None, "/en/3")], ROUTES))
+    got, rows, _ = shuffled(spark, lambda: {r.call_id: r for r in link.link_calls(calls, roots).collect()})
+    assert (got[0].outcome, got[0].to_root, got[3].to_root, got[4].n_candidates) == ("linked", "r2", "r1", 300) and rows < 30_000
+    got, rows, _ = shuffled(spark, lambda: link.infer_base_bindings(calls, roots).orderBy("from_root").collect())
+    assert [(r.from_root, r.matched, r.considered, r.reason) for r in got] == [("r1", 1, 1, "below the minimum of matches"), ("ui", 999, 999, "no clear majority")] and rows < 30_000
+
+
+def test_links_are_those_of_route_candidates(spark):
+    """Own routes, methods in two cases, wildcards, ties and bound bases, against a row a route."""
+    r = random.Random(8)
+    path = lambda words: "/" + "/".join(r.choice(words) for _ in range(r.randint(1, 3)))
+    calls = [(i, r.choice(["a", "b", "ui"]), path("xyz"), r.choice([None, "GET", "get", "POST"]), r.choice([None, "k", "l"])) for i in range(80)]
+    made = [x for x in {(r.choice("abc"), r.choice([None, "GET", "get"]), path(["x", "y", ":p", ":q", "*"])) for _ in range(60)} if "*" not in x[2][:-1]]
+    c, t = spark.createDataFrame(calls, CALLS), spark.createDataFrame(made, ROUTES)
+    every = [x.asDict() for x in link.route_candidates(c, t).collect()]
+    bound = spark.createDataFrame([("ui", "k", "b"), ("a", "l", "a")], "from_root string, base_identifier string, bound_root string")
+    held = {("ui", "k"): "b", ("a", "l"): "a"}
+    for got, keep in ((link.link_calls(c, t), lambda x: True), (link.link_calls_scoped(c, t, bound), lambda x: held.get((x["from_root"], x["base_identifier"]), x["to_root"]) == x["to_root"])):
+        for x in got.collect():
+            met = [e for e in every if e["call_id"] == x.call_id and keep(e)]
+            best = [e for e in met if e["score"] == max(m["score"] for m in met)]
+            assert x.n_candidates == len(best) and (len(best) != 1 or (x.to_root, x.route_path, x.confidence) == (best[0]["to_root"], best[0]["route_path"], "low" if best[0]["wild"] else "medium"))
