@@ -5,7 +5,8 @@ import time
 
 from pyspark.sql import functions as F
 
-from factloom.operators import flows, link, routes, wiring
+from factloom.functions import paths
+from factloom.operators import flows, history, link, routes, wiring
 
 
 def shuffled(spark, make):
@@ -121,3 +122,17 @@ def test_links_are_those_of_route_candidates(spark):
             met = [e for e in every if e["call_id"] == x.call_id and keep(e)]
             best = [e for e in met if e["score"] == max(m["score"] for m in met)]
             assert x.n_candidates == len(best) and (len(best) != 1 or (x.to_root, x.route_path, x.confidence) == (best[0]["to_root"], best[0]["route_path"], "low" if best[0]["wild"] else "medium"))
+
+
+def test_mounts_are_dealt_and_joined_as_route_paths(spark):
+    """Before, one file's registrations and mounts met in one task."""
+    forms = ["", "/", "//", "a", "/a/", "a//b/", "/a", None]
+    r = spark.createDataFrame([(i, "r", "f", p) for i, p in enumerate(forms)] + [(99, "r", "g", "/x/")], "registration_id int, root_name string, rel_path string, path string")
+    m = spark.createDataFrame([("r", "f", p) for p in forms if p is not None], "root_name string, rel_path string, prefix string")
+    want = r.where("rel_path = 'f'").join(m, ["root_name", "rel_path"]).select("registration_id", paths.join_route_path(F.col("prefix"), F.col("path")).alias("path"))
+    got = history.expand_mounts(r, m)
+    assert sorted(map(tuple, got.where("class = 'direct'").select("registration_id", "path").collect())) == sorted(map(tuple, want.collect()))
+    assert [tuple(x) for x in got.where("class = 'inferred'").collect()] == [(99, "/x/", "inferred", "file is not mounted")]
+    many = history.expand_mounts(spark.range(1000).select(F.col("id").alias("registration_id"), F.lit("r").alias("root_name"), F.lit("f").alias("rel_path"), F.lit("x").alias("path")), m)
+    sizes = [x[0] for x in many.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 7000 and max(sizes) < 2000
