@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import stable_json
 from ..functions.names import field_token, name_tokens, readable_member, readable_subject
 
 # Fixed values.
@@ -29,9 +32,20 @@ def _best(scored: DataFrame, *more: str) -> DataFrame:
     return scored.groupBy("condition_id").agg(F.min_by(F.struct("set_name", "members", *more), F.struct(-F.col("score"), F.col("set_ord"))).alias("s"))
 
 
+def _once(conditions: DataFrame, key: tuple[str, ...], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """answer() for every condition, asked once for all that are alike in key, so that conditions never meet all sets of their word."""
+    alike = stable_json(*key)
+    out = answer(conditions.select(alike.alias("condition_id"), *key).distinct()).withColumnRenamed("condition_id", "alike")
+    return conditions.select("condition_id", alike.alias("alike")).join(out, "alike").drop("alike")
+
+
 def resolve_values(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     """(condition_id, set_name, member): the best scored set that has the literal's value, first in set order among equals.
-    conditions(condition_id, root_name, subject, operator, literal), sets(set_ord, root_name, name, members array<struct<name,value>>)."""
+    conditions(condition_id, root_name, subject, operator, literal), one row an id, sets(set_ord, root_name, name, members array<struct<name,value>>)."""
+    return _once(conditions, ("root_name", "subject", "literal"), lambda c: _resolve_values(c, sets))
+
+
+def _resolve_values(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     scored = _scored(conditions, sets).withColumn("hit", F.filter("members", lambda m: m["value"] == F.col("literal")))
     best = _best(scored.where(F.size("hit") > 0).withColumn("member", F.col("hit")[0]["name"]), "member")
     return best.select("condition_id", F.col("s.set_name").alias("set_name"), F.col("s.member").alias("member"))
@@ -39,6 +53,10 @@ def resolve_values(conditions: DataFrame, sets: DataFrame) -> DataFrame:
 
 def best_sets(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     """(condition_id, set_name, members): the best scored set, whatever its values."""
+    return _once(conditions, ("root_name", "subject"), lambda c: _best_sets(c, sets))
+
+
+def _best_sets(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     best = _best(_scored(conditions, sets))
     return best.select("condition_id", F.col("s.set_name").alias("set_name"), F.col("s.members").alias("members"))
 
@@ -46,6 +64,10 @@ def best_sets(conditions: DataFrame, sets: DataFrame) -> DataFrame:
 def state_rules(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     """(condition_id, statement, meanings, value_set_name): each condition in words. An ordered test against a value set names the
     members it admits, unless it admits all or none."""
+    return _once(conditions, ("root_name", "subject", "operator", "literal"), lambda c: _state_rules(c, sets))
+
+
+def _state_rules(conditions: DataFrame, sets: DataFrame) -> DataFrame:
     exact = resolve_values(conditions, sets).select("condition_id", F.col("set_name").alias("x_set"), "member")
     members = sets.select(F.col("name").alias("x_set"), F.col("members").alias("x_members")).dropDuplicates(["x_set"])
     near = best_sets(conditions, sets).select("condition_id", F.col("set_name").alias("n_set"), F.col("members").alias("n_members"))

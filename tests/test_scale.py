@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.operators import flows, history, link, routes, wiring
+from factloom.operators import flows, history, link, routes, rules, wiring
 
 
 def shuffled(spark, make):
@@ -136,3 +136,18 @@ def test_mounts_are_dealt_and_joined_as_route_paths(spark):
     many = history.expand_mounts(spark.range(1000).select(F.col("id").alias("registration_id"), F.lit("r").alias("root_name"), F.lit("f").alias("rel_path"), F.lit("x").alias("path")), m)
     sizes = [x[0] for x in many.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert sum(sizes) == 7000 and max(sizes) < 2000
+
+
+def test_conditions_alike_meet_the_sets_once(spark):
+    """Before, each of 2,000 conditions met each of 200 sets of its word, members and all."""
+    n = F.col("id")
+    conditions = spark.range(2000).select(n.alias("condition_id"), F.when(n % 2 == 0, "r7").otherwise(None).alias("root_name"), F.lit("part.tin").alias("subject"), F.lit("==").alias("operator"), (n % 4).alias("literal"))
+    member = F.struct(F.concat(F.lit("Size"), F.col("k"), F.lit("C")).alias("name"), F.col("k").alias("value"))
+    sets = spark.range(200).select(F.format_string("%03d", "id").alias("set_ord"), F.concat(F.lit("r"), "id").alias("root_name"), F.concat(F.lit("Tin_Set_"), "id").alias("name"), F.explode(F.expr("sequence(1L, 20L)")).alias("k")).groupBy("set_ord", "root_name", "name").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    for ask, some in ((rules.resolve_values, "member"), (rules.best_sets, "members"), (rules.state_rules, "statement")):
+        got, rows, size = shuffled(spark, lambda: {r.condition_id: r for r in ask(conditions, sets).collect()})  # noqa: B023
+        assert rows < 1000, (ask, size)  # 5,700 in state_rules before
+        if ask is rules.resolve_values:
+            assert len(got) == 1500 and (got[2].set_name, got[2].member) == ("Tin_Set_7", "Size2C") and got[1].set_name == "Tin_Set_0" and 4 not in got
+        else:
+            assert len(got) == 2000 and got[1][some]
