@@ -21,13 +21,16 @@ def frontend_callers(routes: DataFrame, links: DataFrame) -> DataFrame:
 
 def flow_data_access(scopes: DataFrame, access: DataFrame, k: int = 12) -> DataFrame:
     """(flow_id, entity, operations, indirect, more): per flow the data of the first of its scopes that has any: scopes(flow_id, rank, scope), rank 0 the trace's
-    symbols, 1 its files, 2 their packages (indirect); access(rank, scope, entity, operation). The k first entities by name, and how many more."""
-    met = scopes.join(access, ["rank", "scope"])
-    first = met.groupBy("flow_id").agg(F.min("rank").alias("rank"))
-    per = met.join(first, ["flow_id", "rank"]).groupBy("flow_id", "rank", "entity").agg(F.array_sort(F.collect_set(F.when(F.col("operation") != "unknown", F.col("operation")))).alias("operations"))
-    w = Window.partitionBy("flow_id")
-    ranked = per.withColumn("place", F.row_number().over(w.orderBy("entity"))).withColumn("more", F.greatest(F.count("*").over(w) - k, F.lit(0)))
-    return ranked.where(F.col("place") <= k).select("flow_id", "entity", "operations", (F.col("rank") == 2).alias("indirect"), "more")
+    symbols, 1 its files, 2 their packages (indirect); access(rank, scope, entity, operation). The k first entities by name, and how many more. Flows whose first scopes are the same have the same
+    data, so the accesses of each set of scopes are gathered once and at most k of them meet its flows."""
+    met = scopes.where("flow_id is not null").join(access.select("rank", "scope").distinct(), ["rank", "scope"], "left_semi")
+    asked = met.groupBy("flow_id", "rank").agg(F.array_sort(F.collect_set("scope")).alias("asked")).groupBy("flow_id").agg(F.min(F.struct("rank", "asked")).alias("a")).select("flow_id", "a.*")
+    per = asked.select("rank", "asked").distinct().withColumn("scope", F.explode("asked")).join(access, ["rank", "scope"])
+    per = per.groupBy("rank", "asked", "entity").agg(F.array_sort(F.collect_set(F.when(F.col("operation") != "unknown", F.col("operation")))).alias("operations"))
+    placed = per.withColumn("place", F.row_number().over(Window.partitionBy("rank", "asked").orderBy("entity")))
+    found = placed.groupBy("rank", "asked").agg(F.collect_list(F.when(F.col("place") <= k, F.struct("entity", "operations"))).alias("found"), F.count("*").alias("n"))
+    out = asked.join(found, ["rank", "asked"]).select("flow_id", F.explode("found").alias("f"), (F.col("rank") == 2).alias("indirect"), F.greatest(F.col("n") - k, F.lit(0)).alias("more"))
+    return out.select("flow_id", "f.entity", "f.operations", "indirect", "more")
 
 
 def flow_outbound(scopes: DataFrame, calls: DataFrame, k: int = 6) -> DataFrame:

@@ -151,3 +151,17 @@ def test_conditions_alike_meet_the_sets_once(spark):
             assert len(got) == 1500 and (got[2].set_name, got[2].member) == ("Tin_Set_7", "Size2C") and got[1].set_name == "Tin_Set_0" and 4 not in got
         else:
             assert len(got) == 2000 and got[1][some]
+
+
+def test_data_of_a_set_of_scopes_is_gathered_once(spark):
+    """Before, 2,000 flows met 1,000 entities. Sets that overlap count each entity once, and the first rank with any data decides."""
+    n = spark.range(1000)
+    scopes = spark.range(2000).select(F.col("id").alias("flow_id"), F.lit(2).alias("rank"), F.lit("s").alias("scope"))
+    more = [(5, 2, "t"), (6, 1, "t"), (6, 0, "nothing"), (7, 2, "t"), (7, 2, "t"), (9000, 0, "nothing"), (None, 2, "s")]
+    scopes = scopes.union(spark.createDataFrame(more, "flow_id long, rank int, scope string"))
+    access = n.select(F.lit(2).alias("rank"), F.lit("s").alias("scope"), F.format_string("%05d", "id").alias("entity"), F.when(F.col("id") == 0, "write").otherwise("unknown").alias("operation"))
+    access = access.union(spark.createDataFrame([(2, "t", "00000", "read"), (2, "t", "00000", "write"), (2, "t", "x", "read"), (1, "t", "y", "read"), (1, "t", None, "unknown")], "rank int, scope string, entity string, operation string"))
+    got, rows, _ = shuffled(spark, lambda: flows.flow_data_access(scopes, access, 2).collect())
+    of = lambda i: sorted(((r.entity, r.operations, r.indirect, r.more) for r in got if r.flow_id == i), key=str)
+    assert of(4) == [("00000", ["write"], True, 998), ("00001", [], True, 998)] and of(5) == of(7) == [("00000", ["read", "write"], True, 999), ("00001", [], True, 999)]
+    assert of(6) == [("y", ["read"], False, 0), (None, [], False, 0)] and not of(9000) and not of(None) and len(got) == 4000 and rows < 60_000
