@@ -101,9 +101,9 @@ own AS (SELECT *, 'root-' || substr(id, 1, 1) AS root_name, id || '.go' AS rel_p
 
 def graph_facts(spark, sf_dir) -> dict[str, DataFrame]:
     """The supply graph as a code graph; files whose name ends in 7 are not in the inventory."""
-    e = ad.supply_graph(spark, sf_dir)
+    e = graphs.cut(ad.supply_graph(spark, sf_dir))
     i = F.col("id")
-    n = e.select(F.col("caller_id").alias("id")).where("caller_id not like 'n%'").distinct()
+    n = graphs.cut(e.select(F.col("caller_id").alias("id")).where("caller_id not like 'n%'").distinct())
     kind = F.when(i.startswith("p"), "import").when(i.startswith("s"), "route").otherwise("function")
     n = n.select("id", kind.alias("kind"), F.when(i.startswith("s"), F.concat(F.lit("GET /"), i)).otherwise(F.concat(F.lit("f-"), i)).alias("name"), F.concat(F.substring(i, 1, 1), F.lit("/"), i, F.lit(".go")).alias("file_path"))
     roots = n.select(F.substring("file_path", 1, 1).alias("prefix")).distinct().withColumn("root_name", F.concat(F.lit("root-"), "prefix"))
@@ -115,17 +115,15 @@ def graph_facts(spark, sf_dir) -> dict[str, DataFrame]:
 
 @query(f"""WITH {GRAPH_NODES_SQL} SELECT 'symbols' AS records, root_name, id AS what FROM own WHERE kind = 'function' UNION ALL SELECT 'imports', root_name, name FROM own WHERE kind = 'import' UNION ALL SELECT 'routes', root_name, 'GET /' || id FROM own WHERE kind = 'route'""")
 def s4_graph_records(spark, sf_dir):
-    g = graph_facts(spark, sf_dir)
-    row = lambda k, what: g[k].select(F.lit(k).alias("records"), "root_name", what.alias("what"))
-    return row("symbols", F.col("id")).unionByName(row("imports", F.col("specifier"))).unionByName(row("routes", F.concat_ws(" ", "method", "path")))
+    r = F.col("records")
+    what = F.when(r == "symbols", F.col("id")).when(r == "imports", F.col("name")).otherwise(F.concat_ws(" ", "method", "path"))
+    return graph_facts(spark, sf_dir)["nodes"].select("records", "root_name", what.alias("what"))
 
 
 @query(f"""WITH {GRAPH_NODES_SQL} SELECT CASE e.kind WHEN 'calls' THEN 'call_edges' WHEN 'extends' THEN 'type_relations' ELSE 'references' END AS records, own.root_name, CASE e.kind WHEN 'instantiates' THEN 'instantiate' ELSE e.kind END AS kind, count(*) AS n, count(nodes.id) AS resolved
 FROM e JOIN own ON own.id = e.f LEFT JOIN nodes ON nodes.id = e.t GROUP BY ALL""")
 def s4_graph_edges(spark, sf_dir):
-    g = graph_facts(spark, sf_dir)
-    one = lambda k: g[k].groupBy(F.lit(k).alias("records"), "root_name", "kind").agg(F.count("*").alias("n"), F.count("to_id").alias("resolved"))
-    return one("call_edges").unionByName(one("type_relations")).unionByName(one("references"))
+    return graph_facts(spark, sf_dir)["edges"].groupBy("records", "root_name", "kind").agg(F.count("*").alias("n"), F.count("to_id").alias("resolved"))
 
 
 # Expressions ------------------------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import paths
 from factloom.operators import flows, history, link, routes, rules, wiring
+from factloom.sources import code_graph
 
 
 def shuffled(spark, make):
@@ -165,3 +166,18 @@ def test_data_of_a_set_of_scopes_is_gathered_once(spark):
     of = lambda i: sorted(((r.entity, r.operations, r.indirect, r.more) for r in got if r.flow_id == i), key=str)
     assert of(4) == [("00000", ["write"], True, 998), ("00001", [], True, 998)] and of(5) == of(7) == [("00000", ["read", "write"], True, 999), ("00001", [], True, 999)]
     assert of(6) == [("y", ["read"], False, 0), (None, [], False, 0)] and not of(9000) and not of(None) and len(got) == 4000 and rows < 60_000
+
+
+def test_roots_of_nodes_are_looked_up_by_folder(spark):
+    """Before, each of 5,000 nodes met the roots on each of its ancestors, and came back by its id. All edges and all records come from one reading."""
+    n = spark.range(5000).repartition(2)
+    i = F.col("id").cast("string")
+    nodes = n.select(i.alias("id"), F.when(F.col("id") % 5 == 0, "import").when(F.col("id") % 5 == 1, "route").otherwise("function").alias("kind"), F.when(F.col("id") % 5 == 1, F.concat(F.lit("GET /"), i)).otherwise(i).alias("name"), F.concat(F.lit("ws/api/sub/"), i, F.lit(".go")).alias("file_path"))
+    edges = n.select(i.alias("from_id"), F.when(F.col("id") % 2 == 0, F.lit("7")).otherwise("gone").alias("to_id"), F.when(F.col("id") < 10, "calls").when(F.col("id") < 30, "extends").otherwise("reads").alias("kind"))
+    roots = spark.createDataFrame([("ws", "w"), ("ws/api", "api")], "prefix string, root_name string")
+    got, rows, _ = shuffled(spark, lambda: code_graph.owned_nodes(nodes, roots).groupBy("root_name").agg(F.count("*").alias("n"), F.min("rel_path").alias("least")).collect())
+    assert [tuple(r) for r in got] == [("api", 5000, "sub/0.go")] and rows < 12_000
+    made = code_graph.graph_to_facts(nodes, edges, roots, n.select(F.lit("api").alias("root_name"), F.concat(F.lit("sub/"), i, F.lit(".go")).alias("rel_path")))
+    of = made["edges"].groupBy("records").agg(F.count("*").alias("n"), F.count("to_id").alias("resolved"))
+    assert {tuple(r) for r in of.collect()} == {("call_edges", 10, 5), ("type_relations", 20, 10), ("references", 4970, 2485)} and made["type_relations"].count() == 20
+    assert {tuple(r) for r in made["nodes"].groupBy("records").count().collect()} == {("symbols", 3000), ("imports", 1000), ("routes", 1000)} and made["routes"].where("method = 'GET' and path like '/%'").count() == 1000
