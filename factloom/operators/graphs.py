@@ -234,7 +234,7 @@ def nodes_on_cycles(edges: DataFrame) -> DataFrame:
 
 def transitive_scope(scoped: DataFrame, references: DataFrame) -> DataFrame:
     """(name): the tables of scoped(name) and all that reach them over references(child, parent)."""
-    references = cut(references.select("child", "parent").where("parent is not null").distinct())
+    references = cut(references.select("child", "parent").where("parent is not null"))  # each level is made distinct, so repeated ones do no harm
     level = cut(scoped.select("name").distinct())
     levels = [level]
     while True:

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.operators import flows, history, link, routes, rules, wiring
+from factloom.operators import flows, graphs, history, link, routes, rules, wiring
 from factloom.sources import code_graph
 
 
@@ -181,3 +181,10 @@ def test_roots_of_nodes_are_looked_up_by_folder(spark):
     of = made["edges"].groupBy("records").agg(F.count("*").alias("n"), F.count("to_id").alias("resolved"))
     assert {tuple(r) for r in of.collect()} == {("call_edges", 10, 5), ("type_relations", 20, 10), ("references", 4970, 2485)} and made["type_relations"].count() == 20
     assert {tuple(r) for r in made["nodes"].groupBy("records").count().collect()} == {("symbols", 3000), ("imports", 1000), ("routes", 1000)} and made["routes"].where("method = 'GET' and path like '/%'").count() == 1000
+
+
+def test_references_are_not_shuffled_to_be_distinct(spark):
+    """Before, all of 5,000 references were shuffled before the first level; repeated ones and cycles end alike."""
+    refs = spark.range(5000).repartition(2).select(F.concat(F.lit("c"), "id").alias("child"), F.concat(F.lit("p"), "id").alias("parent")).union(spark.createDataFrame([("x", "root"), ("x", "root"), ("y", "x"), ("root", "y"), ("z", None)], "child string, parent string"))
+    got, rows, _ = shuffled(spark, lambda: graphs.transitive_scope(spark.createDataFrame([("root",), ("root",)], "name string"), refs).collect())
+    assert sorted(r.name for r in got) == ["root", "x", "y"] and rows < 6_000
