@@ -46,13 +46,15 @@ def decision_facts(decisions: DataFrame, branches: DataFrame) -> tuple[DataFrame
     """(facts, relations) of decisions(decision_id, root_name, rel_path, start_line, end_line, subject, truncated) and their branches(decision_id, branch_idx, branch_line, test,
     outcome) (B3): a decision without branches goes; every branch is a condition of its own, named under its decision, guarded where it leaves, and the relation
     decision-branch joins both with the outcome as role."""
-    both = decisions.join(branches, "decision_id")
-    of = fact_id("behavioral", "decision", "root_name", "rel_path", "start_line", "end_line", "subject")
-    branch = fact_id("behavioral", "condition", "root_name", "rel_path", "start_line", "end_line", "branch_idx", "branch_line", "test")
+    place = ("root_name", "rel_path", "start_line", "end_line")
+    both = decisions.join(branches, "decision_id").select(*place, "subject", "branch_idx", "branch_line", "test", "outcome")
+    # rows are told apart by the columns of their ids, before these long texts are made; a missing text is an empty one there
+    made = both.select(*(F.coalesce(c.name, F.lit("")).alias(c.name) if c.dataType.simpleString() == "string" and c.name != "outcome" else c.name for c in both.schema)).distinct()
+    of = fact_id("behavioral", "decision", *place, "subject")
+    branch = fact_id("behavioral", "condition", *place, "branch_idx", "branch_line", "test")
     leaves = F.when(F.col("outcome") == "leaves", "guarded").otherwise("conditional")
-    made = both.select(of.alias("from_id"), branch.alias("to_id"), "outcome", leaves.alias("activation")).distinct()
-    facts = made.select(F.col("from_id").alias("fact_id"), F.lit("decision").alias("kind"), F.lit("conditional").alias("activation")).distinct().unionByName(made.select(F.col("to_id").alias("fact_id"), F.lit("condition").alias("kind"), "activation"))
-    return facts, made.select("from_id", "to_id", F.lit("decision-branch").alias("relation"), F.col("outcome").alias("role"))
+    facts = made.select(*place, "subject").distinct().select(of.alias("fact_id"), F.lit("decision").alias("kind"), F.lit("conditional").alias("activation")).unionByName(made.select(branch.alias("fact_id"), F.lit("condition").alias("kind"), leaves.alias("activation")))
+    return facts, made.select(of.alias("from_id"), branch.alias("to_id"), F.lit("decision-branch").alias("relation"), F.col("outcome").alias("role"))
 
 
 def promote_guards(guards: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.operators import flows, graphs, history, link, routes, rules, wiring
+from factloom.operators import effects, flows, graphs, history, link, routes, rules, wiring
 from factloom.sources import code_graph
 
 
@@ -188,3 +188,15 @@ def test_references_are_not_shuffled_to_be_distinct(spark):
     refs = spark.range(5000).repartition(2).select(F.concat(F.lit("c"), "id").alias("child"), F.concat(F.lit("p"), "id").alias("parent")).union(spark.createDataFrame([("x", "root"), ("x", "root"), ("y", "x"), ("root", "y"), ("z", None)], "child string, parent string"))
     got, rows, _ = shuffled(spark, lambda: graphs.transitive_scope(spark.createDataFrame([("root",), ("root",)], "name string"), refs).collect())
     assert sorted(r.name for r in got) == ["root", "x", "y"] and rows < 6_000
+
+
+def test_branches_are_told_apart_before_their_ids_are_made(spark):
+    """Before, the ids, long texts, were the keys of the aggregate. Repeated rows, decisions alike and missing texts beside empty ones are one."""
+    d = spark.createDataFrame([(1, "r", "f", 1, 9, "s", False), (2, "r", "f", 1, 9, "s", False), (3, None, "f", 1, 9, "a|b", False), (4, "", "f", 1, 9, "a|b", False), (5, "r", "f", 2, 9, "none", False)], "decision_id int, root_name string, rel_path string, start_line int, end_line int, subject string, truncated boolean")
+    b = spark.createDataFrame([(1, 0, 4, "t", "leaves"), (1, 0, 4, "t", "leaves"), (2, 0, 4, "t", "leaves"), (2, 1, 5, None, None), (3, 0, None, "t", "x"), (4, 0, None, "t", "x")], "decision_id int, branch_idx int, branch_line int, test string, outcome string")
+    facts, relations = effects.decision_facts(d, b)
+    one, two = "behavioral|decision|r|f|1|9|s", r"behavioral|decision||f|1|9|a\|b"
+    assert sorted(((r.from_id, r.to_id, r.role) for r in relations.collect()), key=str) == sorted([(one, "behavioral|condition|r|f|1|9|0|4|t", "leaves"), (one, "behavioral|condition|r|f|1|9|1|5|", None), (two, "behavioral|condition||f|1|9|0||t", "x")], key=str)
+    assert sorted((r.kind, r.activation) for r in facts.collect()) == [("condition", "conditional"), ("condition", "conditional"), ("condition", "guarded"), ("decision", "conditional"), ("decision", "conditional")]
+    plan = [line.split("Aggregate", 1)[1] for line in relations._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
+    assert plan and not any("to_id" in line.split("]")[0] for line in plan)
