@@ -52,7 +52,7 @@ UI_CALL = (
 )
 BASE_ALIAS = r"(?:const|let|var)\s+([\w$]+)\s*=\s*`\$\{\s*([\w.$]+)\s*\}([^`$]*)`"
 
-ORM_CALL = r"\b(?:models|db|sequelize)\.([A-Za-z_$][\w$]*)\.(\w+)\s*\("
+ORM_CALL = r"(?=[dms])\b(?:models|db|sequelize)\.([A-Za-z_$][\w$]*)\.(\w+)\s*\("
 GO_TABLE = r"\.Table\s*\(\s*([\w.]+)"
 OPERATIONS = {
     "find": "read", "findall": "read", "findone": "read", "findbypk": "read", "findandcountall": "read", "count": "read", "aggregate": "read", "create": "write", "bulkcreate": "write", "update": "write",
@@ -145,24 +145,24 @@ def declared_tables(files: DataFrame) -> DataFrame:
     return both.groupBy("root_name", "style", "name").agg(F.max_by("table_name", F.struct("rel_path", "start")).alias("table_name"))
 
 
+#: What a statement is made of: strings, brackets, line ends and all between them.
+STATEMENT_PARTS = r"""'(?:[^'\\]|\\[\s\S])*+\\?(?:'|\z)|"(?:[^"\\]|\\[\s\S])*+\\?(?:"|\z)|`[^`]*+(?:`|\z)|[(\[{]|[)\]}]|\n|[^'"`()\[\]{}\n]++"""
+
+
 def statement(text: Column) -> Column:
-    """The text up to the end of its statement: a line's end outside quotes and brackets after something else than a dot, an open parenthesis or a comma. A fold that carries a
-    few characters of state, and no text."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("quote"), F.lit(False).alias("skip"), F.lit("").alias("last"), F.lit(-1).alias("stop"))
-
-    def step(s: Column, c: Column) -> Column:
-        quoted, held = s["quote"] != "", s["skip"]
-        opens = ~held & ~quoted & c.isin("'", '"', "`")
-        closes = ~held & quoted & (c == s["quote"])
-        ends = ~held & ~quoted & (c == "\n") & (s["depth"] <= 0) & ~s["last"].isin(".", "(", ",")
-        moved = F.when(held | quoted, 0).when(c.isin("(", "[", "{"), 1).when(c.isin(")", "]", "}"), -1).otherwise(0)
-        after = F.struct(
-            (s["at"] + 1).alias("at"), (s["depth"] + moved).alias("depth"), F.when(opens, c).when(closes, "").otherwise(s["quote"]).alias("quote"), (~held & quoted & (c == "\\") & (s["quote"] != "`")).alias("skip"),
-            F.when(c == "\n", "").when(c.rlike(r"\s"), s["last"]).otherwise(c).alias("last"), F.when(ends, s["at"]).otherwise(F.lit(-1)).alias("stop"),
-        )
+    """The text up to the end of its statement: a line's end outside quotes and brackets after something else than a dot, an open parenthesis or a comma. A fold over the parts of
+    the text that carries a few characters of state, and no text."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit("").alias("last"), F.lit(-1).alias("stop"))
+
+    def step(s: Column, part: Column) -> Column:
+        first, seen = F.left(part, F.lit(1)), F.right(F.rtrim(part, F.lit(" \t\x0b\f\r")), F.lit(1))
+        ends = (part == "\n") & (s["depth"] <= 0) & ~s["last"].isin(".", "(", ",")
+        moved = F.when(first.isin("(", "[", "{"), 1).when(first.isin(")", "]", "}"), -1).otherwise(0)
+        last = F.when(part == "\n", "").when(seen == "", s["last"]).otherwise(seen)
+        after = F.struct((s["at"] + F.length(part)).alias("at"), (s["depth"] + moved).alias("depth"), last.alias("last"), F.when(ends, s["at"]).otherwise(F.lit(-1)).alias("stop"))
         return F.when(s["stop"] >= 0, s).otherwise(after)
 
-    stop = F.aggregate(F.split(text, ""), start, step, lambda s: s["stop"])
+    stop = F.aggregate(F.regexp_extract_all(text, F.lit(STATEMENT_PARTS), F.lit(0)), start, step, lambda s: s["stop"])
     return F.left(text, F.when(stop < 0, F.length(text)).otherwise(stop))
 
 
@@ -172,9 +172,11 @@ def data_usage(files: DataFrame) -> DataFrame:
     characters of it: the first write or deletion, else a read."""
     code = with_extension(files, ("go", "js", "ts", "cjs", "mjs"))
     is_go, tables = F.col("rel_path").endswith(".go"), declared_tables(files)
-    spans = lexing.comments(code, hash_comments=False)
+    # only files that can hold a call are read for it and for comments
+    models = code.where(~is_go & reduce(Column.__or__, (F.contains("content", F.lit(f"{n}.")) for n in ("models", "db", "sequelize"))))
+    chained = code.where(is_go & F.contains("content", F.lit(".Table")))
     named = F.create_map(*(F.lit(x) for kv in OPERATIONS.items() for x in kv))
-    calls = lexing.outside(lexing.locate(code.where(~is_go), ORM_CALL, ("model", "verb")).select(*FILE, *lexing.PLACE, "model", "verb"), spans)
+    calls = lexing.outside(lexing.locate(models, ORM_CALL, ("model", "verb")).select(*FILE, *lexing.PLACE, "model", "verb"), lexing.comments(models, hash_comments=False))
     calls = calls.withColumns({"name": F.lower("model"), "operation": F.try_element_at(named, F.lower("verb"))}).where("operation is not null")
     calls = calls.join(tables.where("style = 'orm'").drop("style"), ["root_name", "name"], "left")
     missing = F.concat(F.lit('no table name is declared for model "'), "name", F.lit('"; the model name is kept in its place'))
@@ -183,8 +185,8 @@ def data_usage(files: DataFrame) -> DataFrame:
     verbs = F.regexp_extract_all(statement(F.left(F.concat("match", "ahead"), F.lit(2000))), F.lit(r"\.\s*(\w+)\s*\("), F.lit(1))
     changes = F.filter(F.transform("verbs", lambda v: F.when(v.isin(*GO_WRITES), "write").when(v.isin(*GO_DELETES), "delete")), lambda v: v.isNotNull())
     operation = F.coalesce(F.get(changes, F.lit(0)), F.when(F.exists("verbs", lambda v: v.isin(*GO_READS)), "read"), F.lit("unknown"))
-    found = lexing.locate(code.where(is_go), GO_TABLE, ("expression",), ahead=2000, more={"verbs": verbs}).select(*FILE, *lexing.PLACE, "expression", "verbs")
-    chains = lexing.outside(found, spans)
+    found = lexing.locate(chained, GO_TABLE, ("expression",), ahead=2000, more={"verbs": verbs}).select(*FILE, *lexing.PLACE, "expression", "verbs")
+    chains = lexing.outside(found, lexing.comments(chained, hash_comments=False))
     segments = chains.select(*FILE, "start", F.posexplode(F.split("expression", r"\.")).alias("at", "name"))
     right = segments.join(tables.where("style = 'go'").drop("style"), ["root_name", "name"]).groupBy(*FILE, "start").agg(F.max_by("table_name", "at").alias("table_name"))
     known = F.col("table_name").isNotNull()

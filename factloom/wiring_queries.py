@@ -442,7 +442,7 @@ def x13_gaps(spark, sf_dir):
 
 def code_files(spark, sf_dir, ext, *parts):
     """One file a document: lines made of its id, and its text on one line behind a comment mark."""
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\r]", " ")
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit("\r"), F.lit(" "))
     return ad.table(spark, sf_dir, "documents").select(F.lit("r").alias("root_name"), F.concat(F.col("doc_id").cast("string"), F.lit(ext)).alias("rel_path"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts), F.lit("\n// "), text).alias("content"))
 
 

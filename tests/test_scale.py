@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from factloom.functions import paths
-from factloom.operators import effects, flows, graphs, history, link, routes, rules, wiring
+from factloom.operators import effects, flows, graphs, history, link, reads, routes, rules, wiring
 from factloom.sources import code_graph
 
 
@@ -200,3 +200,12 @@ def test_branches_are_told_apart_before_their_ids_are_made(spark):
     assert sorted((r.kind, r.activation) for r in facts.collect()) == [("condition", "conditional"), ("condition", "conditional"), ("condition", "guarded"), ("decision", "conditional"), ("decision", "conditional")]
     plan = [line.split("Aggregate", 1)[1] for line in relations._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in line]
     assert plan and not any("to_id" in line.split("]")[0] for line in plan)
+
+
+def test_comments_are_read_in_files_with_calls_only(spark):
+    """Before, the 10,000 comments of files that hold no call were shuffled, and twice. A statement ends as before: after strings, brackets and lines that go on."""
+    rows = [(f"a{i}.{e}", "// x\n" * 5) for i in range(1000) for e in ("js", "go")]
+    rows += [("b.js", "// models.A.create()\nmodels.B.destroy({})"), ("table.go", 'T1 = "t_one"'), ("b.go", "// db.Table(T1)\ndb.Table(T1).Where(\"\\\")\n\", `\n`).\n  Delete(x)\ndb.Create(y)")]
+    files = spark.createDataFrame([("r", *row) for row in rows], "root_name string, rel_path string, content string").repartition(2)
+    plan, n, _ = shuffled(spark, lambda: reads.data_usage(files).collect())
+    assert sorted((r.rel_path, r.line, r.entity, r.operation) for r in plan) == [("b.go", 2, "t_one", "delete"), ("b.js", 2, "b", "delete")] and n < 10_000
