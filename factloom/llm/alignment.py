@@ -80,7 +80,6 @@ class TokenPair:
         n_a, n_b = len(self.len_a), len(self.pieces)
         # how a token is written in the digested text, by 2 * id + whether it is the last of its group
         self.written = [f"{i}{stop}".encode() for i in range(n_a) for stop in ",|"] + [f"{i}{stop}".encode() for i in range(n_b) for stop in ",;"]
-        self.len_written = np.array([len(w) for w in self.written])
         self.n_a, self.n_b = n_a, n_b
 
     def ids_a(self, chunks: list[str], n_bytes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +169,7 @@ def align_slice(texts: list[str], vocabularies: TokenPair) -> dict:
     codes = np.array([known.setdefault(c, len(known)) for own in per_text for c in own], np.int64)
     n_chunks = np.array([len(own) for own in per_text])
     chunks = list(known)
+    del per_text, known  # what follows holds arrays a few times the size of the text, so nothing is kept beyond its last use
     n_bytes = np.array([len(c.encode()) for c in chunks], np.int64)
     flat_a, size_a = vocabularies.ids_a(chunks, n_bytes) if chunks else (np.empty(0, np.int64), np.empty(0, np.int64))
     flat_b, size_b, good = vocabularies.ids_b(chunks, n_bytes) if chunks else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
@@ -183,21 +183,25 @@ def align_slice(texts: list[str], vocabularies: TokenPair) -> dict:
         return np.bincount(text_of, size[codes], len(texts)).astype(np.int64)
 
     n_a, n_b, upto = per(size_a), per(size_b), np.cumsum(per(n_bytes))
-    a, b = gather(flat_a, size_a, codes), gather(flat_b, size_b, codes)
+    a, b = gather(flat_a.astype(np.int32), size_a, codes), gather(flat_b.astype(np.int32), size_b, codes)
+    del codes, text_of, kept, chunks
     ends_a = np.cumsum(vocabularies.len_a[a])
     at_a, at_b = common_ends(ends_a, np.cumsum(vocabularies.len_b[b]))
     groups = np.diff(np.searchsorted(ends_a[at_a], upto, "right"), prepend=0)
-    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    last_a[at_a], last_b[at_b] = 1, 1
-    of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b  # the group of each token
-    written = np.empty(len(a) + len(b), np.int64)
-    written[np.arange(len(a)) + np.append(0, at_b + 1)[of_a]] = 2 * a + last_a
-    written[np.arange(len(b)) + (at_a + 1)[of_b]] = 2 * (vocabularies.n_a + b) + last_b
-    upto_text = np.cumsum(n_a + n_b)
-    at_byte = np.append(0, np.cumsum(vocabularies.len_written[written]))[np.append(0, upto_text)]
-    whole = memoryview(b"".join(map(vocabularies.written.__getitem__, written.tolist())))
-    digests = [hashlib.sha256(whole[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at_byte[:-1].tolist(), at_byte[1:].tolist())]
-    pairs, links, counts = np.unique(a[at_a] * vocabularies.n_b + b[at_b], return_inverse=True, return_counts=True)
+    del ends_a
+    written = np.empty(len(a) + len(b), np.int32)
+    for own, at, before, first in ((a, at_a, np.append(0, at_b + 1), 0), (b, at_b, at_a + 1, vocabularies.n_a)):
+        last = np.zeros(len(own), np.int32)
+        last[at] = 1
+        group = np.cumsum(last) - last  # of each token
+        written[np.arange(len(own)) + before[group]] = 2 * (first + own) + last
+    pairs = a[at_a].astype(np.int64) * vocabularies.n_b + b[at_b]
+    del a, b, at_a, at_b, last, group, own, at, before
+    ends = np.append(0, np.cumsum(n_a + n_b)).tolist()
+    # text by text, for the numbers and parts of all texts as Python objects take many times their space
+    digests = [hashlib.sha256(b"".join(map(vocabularies.written.__getitem__, written[x:y].tolist()))[:-1]).hexdigest() if y > x else "" for x, y in zip(ends[:-1], ends[1:])]
+    del written
+    pairs, links, counts = np.unique(pairs, return_inverse=True, return_counts=True)
     return {"n_a": n_a, "n_b": n_b, "n_groups": groups, "digests": digests, "links": links.astype(np.int32), "pairs": pairs, "counts": counts.astype(np.int64)}
 
 

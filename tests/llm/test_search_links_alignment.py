@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from functools import cache
 
@@ -305,3 +306,16 @@ def test_empty_tables(spark, docs, no_docs):
     assert lexical.ranked_search(no_docs, items).collect() == [] == lexical.ranked_search(docs, items.where("item_id > 1")).collect() == lexical.ranked_search(docs, spark.createDataFrame([(1, "!!")], items.schema)).collect()
     assert url_filter.filter_urls(spark.createDataFrame([], PAGES)).collect() == []
     assert alignment.align_tokenizers(no_docs, A, B).collect() == []
+
+
+def test_a_slice_is_aligned_in_a_few_dozen_times_its_bytes():
+    """Before, numbers and parts of all tokens of a slice were Python objects at once."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(r.choices(words, k=2000)) for _ in range(60)]
+    pair = alignment.token_pair(A, B)
+    tracemalloc.start()
+    got = alignment.align_slice(texts, pair)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(got["digests"])) == 60 and peak < 75 * sum(map(len, texts))
