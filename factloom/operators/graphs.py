@@ -65,30 +65,37 @@ def build_traces(entries: DataFrame, symbols: DataFrame, edges: DataFrame, max_d
     known = symbols.select(F.col("id").alias("callee_id")).distinct().withColumn("known", F.lit(True))
     edges = cut(edges.select("caller_id", "callee_id", "edge_ord").join(known, "callee_id", "left"))
     degree = cut(edges.groupBy(F.col("caller_id").alias("node")).agg(F.count("*").alias("degree")))
-    level = cut(entries.select("entry_id", "node", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.array("node").alias("path"), *(F.lit(None).cast(edges.schema[c].dataType).alias(o) for c, o in zip(("caller_id", "edge_ord"), came))))
-    levels, events = [level], []
-    for depth in range(max_depth + 1):
-        here = level.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+
+    def bounded(level: DataFrame, depth: int) -> DataFrame:
+        """The level with the bound that stops a row, written once; the last level needs no degrees."""
+        here = level.withColumn("degree", F.lit(0)) if depth == max_depth else level.join(degree, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
         bound = F.when(F.col("pos") >= max_steps - 1, "max-steps").when(F.lit(depth == max_depth), "max-depth").when(F.col("degree") > max_branches, "max-branches")
-        here = cut(here.withColumn("bound", bound))
+        return cut(here.withColumn("bound", bound).drop("degree"))
+
+    first = entries.select("entry_id", "node", F.lit(0).cast("long").alias("pos"), F.lit(0).alias("depth"), F.array("node").alias("path"), *(F.lit(None).cast(edges.schema[c].dataType).alias(o) for c, o in zip(("caller_id", "edge_ord"), came)))
+    here = bounded(first, 0)
+    levels, events = [here], []
+    for depth in range(max_depth + 1):
         events.append(here.where((F.col("pos") < max_steps) & F.col("bound").isNotNull()).select("entry_id", F.lit(0).alias("rank"), "pos", F.lit(0).cast("long").alias("edge_ord"), F.col("bound").alias("what"), F.col("node").alias("where")))
         if depth == max_depth:
             break
         ended = here.where("bound = 'max-steps'").select("entry_id")
-        out = here.where("bound is null").join(ended, "entry_id", "left_anti").drop(*came).withColumnRenamed("node", "caller_id").join(edges, "caller_id")
+        out = here.where("bound is null").join(ended, "entry_id", "left_anti").drop("bound", "depth", *came).withColumnRenamed("node", "caller_id").join(edges, "caller_id")
         visited = union([t.select("entry_id", F.col("node").alias("callee_id"), F.lit(True).alias("seen")) for t in levels])
         out = out.join(visited, ["entry_id", "callee_id"], "left")
-        first = F.row_number().over(Window.partitionBy("entry_id", "callee_id").orderBy("pos", "edge_ord"))
-        out = cut(out.withColumn("nth", F.when(F.col("known") & F.col("seen").isNull(), first)).select("entry_id", "caller_id", "callee_id", "pos", "edge_ord", "path", "known", "nth"))
+        nth = F.row_number().over(Window.partitionBy("entry_id", "callee_id").orderBy("pos", "edge_ord"))
+        out = out.withColumn("nth", F.when(F.col("known") & F.col("seen").isNull(), nth))
         what = F.when(F.col("callee_id").isNull(), "unresolved-edge").when(F.col("known") & (F.col("nth").isNull() | (F.col("nth") > 1)) & F.array_contains("path", F.col("callee_id")), "cycle")
-        events.append(out.withColumn("what", what).where("what is not null").select("entry_id", F.lit(1).alias("rank"), "pos", "edge_ord", "what", F.col("caller_id").alias("where")))
-        total = level.groupBy("entry_id").agg((F.max("pos") + 1).alias("total"))  # positions have no gaps
+        path = F.concat("path", F.array("callee_id")) if depth + 1 < max_depth else F.lit(None).cast("array<string>")  # nothing follows the last level
+        out = cut(out.withColumn("what", what).where("nth = 1 or what is not null").select("entry_id", "caller_id", "callee_id", "pos", "edge_ord", F.when(F.col("nth") == 1, path).alias("path"), "what", "nth"))
+        events.append(out.where("what is not null").select("entry_id", F.lit(1).alias("rank"), "pos", "edge_ord", "what", F.col("caller_id").alias("where")))
+        total = here.groupBy("entry_id").agg((F.max("pos") + 1).alias("total"))  # positions have no gaps
         place = F.row_number().over(Window.partitionBy("entry_id").orderBy("pos", "edge_ord")) - 1 + F.col("total")
         taken = out.where("nth = 1").join(total, "entry_id")
-        level = cut(taken.select("entry_id", F.col("callee_id").alias("node"), place.cast("long").alias("pos"), F.lit(depth + 1).alias("depth"), F.concat("path", F.array("callee_id")).alias("path"), *(F.col(c).alias(o) for c, o in zip(("caller_id", "edge_ord"), came))))
-        if level.isEmpty():
+        here = bounded(taken.select("entry_id", F.col("callee_id").alias("node"), place.cast("long").alias("pos"), F.lit(depth + 1).alias("depth"), "path", *(F.col(c).alias(o) for c, o in zip(("caller_id", "edge_ord"), came))), depth + 1)
+        if here.isEmpty():
             break
-        levels.append(level)
+        levels.append(here)
     hard = F.max(F.when(F.col("rank") == 0, F.struct("pos", "what", "where")))
     soft = F.min(F.when(F.col("rank") == 1, F.struct("pos", "edge_ord", "what", "where")))
     verdict = union(events).groupBy("entry_id").agg(hard.alias("h"), soft.alias("s")).select("entry_id", F.coalesce("h.what", "s.what").alias("truncation"), F.coalesce("h.where", "s.where").alias("detail"))

@@ -209,3 +209,13 @@ def test_comments_are_read_in_files_with_calls_only(spark):
     files = spark.createDataFrame([("r", *row) for row in rows], "root_name string, rel_path string, content string").repartition(2)
     plan, n, _ = shuffled(spark, lambda: reads.data_usage(files).collect())
     assert sorted((r.rel_path, r.line, r.entity, r.operation) for r in plan) == [("b.go", 2, "t_one", "delete"), ("b.js", 2, "b", "delete")] and n < 10_000
+
+
+def test_each_level_of_a_trace_is_written_once(spark, monkeypatch):
+    """Before, seven tables were written here: every level a second time with its bounds."""
+    written, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(1) or cut(df))
+    edges = spark.createDataFrame([("A", "B", 1), ("A", "C", 2), ("B", "A", 1)], "caller_id string, callee_id string, edge_ord long")
+    ids = spark.createDataFrame([("A",), ("B",), ("C",)], "id string")
+    got = graphs.build_traces(spark.createDataFrame([("e", "A")], "entry_id string, node string"), ids, edges, max_depth=1).first()
+    assert [s.node for s in got.steps] == ["A", "B", "C"] and (got.truncation, got.detail) == ("max-depth", "C") and len(written) == 5
