@@ -20,8 +20,8 @@ LENGTH, SCORED = 47, 40
 FIRST = LENGTH - SCORED
 MASK = np.where(np.arange(LENGTH)[None, :] <= np.arange(FIRST, LENGTH)[:, None], 0, -np.inf).astype(np.float32)
 SCALE = np.float32(1 / np.sqrt(DIM))
-#: What float32 exponentials sum without overflow or loss; beyond it the row's maximum is taken off first.
-SAFE = 60
+#: Between these, sums of plain float32 exponentials lost nothing; beyond them the row's maximum is taken off first.
+LEAST, MOST = 1e-18, 1e18
 
 
 @dataclass
@@ -62,7 +62,7 @@ def windows(ids: np.ndarray, begin: int) -> np.ndarray:
     flat = np.full(FIRST + 1 + n * SCORED, -1, np.int32)
     flat[: FIRST + 1] = begin
     flat[FIRST + 1 : FIRST + 1 + len(ids)] = ids
-    return np.lib.stride_tricks.sliding_window_view(flat, LENGTH + 1)[::SCORED]
+    return np.ndarray((n, LENGTH + 1), np.int32, flat, 0, (SCORED * flat.itemsize, flat.itemsize))
 
 
 def window_blocks(texts: Iterable[np.ndarray], begin: int, most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -80,22 +80,45 @@ def window_blocks(texts: Iterable[np.ndarray], begin: int, most: int = 4096) ->
         yield tuple(np.concatenate(c) for c in zip(*part))
 
 
-def exp_rows(t: np.ndarray) -> np.ndarray:
-    """Exponentials in place, each row up to a factor."""
-    if not -SAFE < t.min() <= t.max() < SAFE:
+def safe(total: np.ndarray) -> bool:
+    return bool(LEAST < total.min() <= total.max() < MOST)
+
+
+def exp_rows(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials, each row up to a factor, and the rows' sums."""
+    ones = np.ones(t.shape[-1], np.float32)
+    with np.errstate(over="ignore"):
+        e = np.exp(t)
+        total = e @ ones
+    if not safe(total):
         t -= t.max(-1, keepdims=True)
-    return np.exp(t, out=t)
+        total = np.exp(t, out=e) @ ones
+    return e, total
+
+
+def log_softmax_at(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ln of the share of one column a row under exp(z + bias). The bias is kept out of the rows, whose small numbers round less."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        total = np.exp(z) @ np.exp(bias)
+    if not safe(total):
+        z += bias
+        z -= z.max(-1, keepdims=True)
+        total, bias = np.exp(z).sum(-1), np.zeros_like(bias)
+    chosen = z.ravel().take(np.arange(0, z.size, z.shape[-1]) + at)
+    return chosen.astype(np.float64) + bias.take(at) - np.log(total, dtype=np.float64)
 
 
-def attend(q: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Attention weights up to a factor a row."""
+def attend(q: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Attention weights up to a factor a row, and the rows' sums."""
     a = q @ k.transpose(0, 2, 1)
-    if not -SAFE < a.min() <= a.max() < SAFE:
-        a += MASK
-        a -= a.max(-1, keepdims=True)
-        return np.exp(a, out=a)
     a += MASK
-    return np.exp(a, out=a)
+    e, total = exp_rows(a)
+    return e, total[..., None]
+
+
+def with_bias(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For a product with rows that end with a 1."""
+    return np.concatenate([w, b[None]])
 
 
 class Scorer:
@@ -109,69 +132,73 @@ class Scorer:
 
     def class_log_probs(self, symbols: np.ndarray, klass: np.ndarray) -> np.ndarray:
         """ln P(class) of each scored place of each window."""
-        kv, qu = self.kv[symbols], self.qu[symbols[:, FIRST:]]
+        kv, qu = self.kv.take(symbols, 0), self.qu.take(symbols[:, FIRST:], 0)
         kv += self.place_kv
         qu += self.place_qu
-        a = attend(qu[..., :DIM], kv[..., :DIM])
+        a, total = attend(qu[..., :DIM], kv[..., :DIM])
         context = a @ kv[..., DIM:]
-        context /= a.sum(-1, keepdims=True)
-        h = qu[..., DIM:].reshape(-1, HIDDEN) + context.reshape(-1, DIM) @ self.p["W1"][DIM:]
-        z = np.maximum(h, 0, out=h) @ self.p["W2"]
-        z += self.p["b2"]
-        if not -SAFE < z.min() <= z.max() < SAFE:
-            z -= z.max(-1, keepdims=True)
-        chosen = z[np.arange(len(z)), klass.ravel()]
-        return (chosen - np.log(np.exp(z, out=z).sum(-1))).reshape(klass.shape)
+        context /= total
+        h = context.reshape(-1, DIM) @ self.p["W1"][DIM:]
+        h += qu[..., DIM:].reshape(-1, HIDDEN)
+        return log_softmax_at(np.maximum(h, 0, out=h) @ self.p["W2"], self.p["b2"], klass.ravel()).reshape(klass.shape)
 
 
 def gradient(p: dict[str, np.ndarray], symbols: np.ndarray, klass: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean of -ln P(class) over the places of weight 1."""
     n = len(symbols)
-    x = p["E"][symbols]
+    x = p["E"].take(symbols, 0)
     x += p["P"]
     flat, own = x.reshape(-1, DIM), np.ascontiguousarray(x[:, FIRST:]).reshape(-1, DIM)
-    keys = np.concatenate([p["Wk"], p["Wv"]], 1)
+    keys, asks = np.concatenate([p["Wk"], p["Wv"]], 1), p["Wq"] * SCALE
     kv = (flat @ keys).reshape(n, LENGTH, 2 * DIM)
     k, v = kv[..., :DIM], kv[..., DIM:]
-    q = (own @ (p["Wq"] * SCALE)).reshape(n, SCORED, DIM)
-    a = attend(q, k)
-    a /= a.sum(-1, keepdims=True)
+    q = (own @ asks).reshape(n, SCORED, DIM)
+    a, total = attend(q, k)
     context = a @ v
-    seen = context.reshape(-1, DIM)
-    h = own @ p["W1"][:DIM] + seen @ p["W1"][DIM:] + p["b1"]
-    on = h > 0
-    h *= on
-    dz = h @ p["W2"]
-    dz += p["b2"]
-    exp_rows(dz)
-    dz /= dz.sum(-1, keepdims=True)
-    dz[np.arange(len(dz)), klass.ravel()] -= 1
-    dz *= weight.reshape(-1, 1) / max(1.0, weight.sum())
+    context /= total
+    seen = np.concatenate([own, context.reshape(-1, DIM), np.ones((len(own), 1), np.float32)], 1)
+    h = np.ones((len(own), HIDDEN + 1), np.float32)
+    np.maximum(seen @ with_bias(p["W1"], p["b1"]), 0, out=h[:, :HIDDEN])
+    dz, sums = exp_rows(h @ with_bias(p["W2"], p["b2"]))
+    share = weight.ravel() / np.float32(max(1.0, weight.sum()))
+    dz *= (share / sums)[:, None]
+    dz.ravel()[np.arange(0, dz.size, CLASSES) + klass.ravel()] -= share
     dh = dz @ p["W2"].T
-    dh *= on
+    dh *= h[:, :HIDDEN] > 0
     down = dh @ p["W1"].T
-    dcontext = np.ascontiguousarray(down[:, DIM:]).reshape(n, SCORED, DIM)
+    dcontext = down[:, DIM:].reshape(n, SCORED, DIM) / total
     da = dcontext @ v.transpose(0, 2, 1)
-    da -= (dcontext * context).sum(-1, keepdims=True)
+    da -= np.einsum("nij,nij->ni", dcontext, context)[..., None]
     da *= a
     dq = (da @ k).reshape(-1, DIM)
-    dkv = np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dcontext], -1).reshape(-1, 2 * DIM)
+    dkv = np.empty((n, LENGTH, 2 * DIM), np.float32)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+    np.matmul(a.transpose(0, 2, 1), dcontext, out=dkv[..., DIM:])
+    dkv = dkv.reshape(-1, 2 * DIM)
     dx = (dkv @ keys.T).reshape(n, LENGTH, DIM)
-    dx[:, FIRST:] += (down[:, :DIM] + dq @ (p["Wq"].T * SCALE)).reshape(n, SCORED, DIM)
-    into = (symbols.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    dkeys = flat.T @ dkv
+    dx[:, FIRST:] += (down[:, :DIM] + dq @ asks.T).reshape(n, SCORED, DIM)
+    dkeys, dw1, dw2 = flat.T @ dkv, seen.T @ dh, (dz.T @ h[:, :HIDDEN]).T
     return {
-        "E": np.bincount(into, dx.ravel(), p["E"].size).reshape(p["E"].shape).astype(np.float32), "P": dx.sum(0), "Wq": own.T @ dq * SCALE, "Wk": dkeys[:, :DIM], "Wv": dkeys[:, DIM:],
-        "W1": np.concatenate([own.T @ dh, seen.T @ dh]), "b1": dh.sum(0), "W2": h.T @ dz, "b2": dz.sum(0),
+        "E": summed_rows(symbols.ravel(), dx.reshape(-1, DIM), len(p["E"])), "P": dx.sum(0), "Wq": own.T @ dq * SCALE, "Wk": dkeys[:, :DIM], "Wv": dkeys[:, DIM:],
+        "W1": dw1[:-1], "b1": dw1[-1], "W2": dw2, "b2": np.ones(len(dz), np.float32) @ dz,
     }
 
 
+def summed_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """(n, width): the sums of the rows of each number."""
+    width = rows.shape[1]
+    return np.bincount(((at * width)[:, None] + np.arange(width)).ravel(), rows.ravel(), n * width).reshape(n, width).astype(np.float32)
+
+
 class Trainer:
-    """Adam from the given parameters; the rate falls with the square root of the steps."""
+    """Adam from the given parameters, which lie one after another in one array; the rate falls with the square root of the steps."""
 
     def __init__(self, p: dict[str, np.ndarray], vocab: Vocabulary, rate: float = 0.01, batch: int = 32) -> None:
-        self.p, self.vocab, self.rate, self.batch, self.steps = {k: v.copy() for k, v in p.items()}, vocab, rate, batch, 0
-        self.m, self.s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.vocab, self.rate, self.batch, self.steps = vocab, rate, batch, 0
+        self.flat = np.concatenate([v.ravel() for v in p.values()])
+        ends = np.cumsum([v.size for v in p.values()])
+        self.p = {k: part.reshape(p[k].shape) for k, part in zip(p, np.split(self.flat, ends[:-1]))}
+        self.m, self.s, self.g, self.t = (np.zeros_like(self.flat) for _ in range(4))
 
     def learn(self, rows: np.ndarray) -> None:
         """One pass over window rows, in an order that their number fixes."""
@@ -180,15 +207,21 @@ class Trainer:
             w = rows[at : at + self.batch]
             target = w[:, -SCORED:]
             g = gradient(self.p, self.vocab.symbol[np.maximum(w[:, :-1], 0)], self.vocab.klass[np.maximum(target, 0)], (target >= 0).astype(np.float32))
-            self.steps += 1
-            t = self.steps
-            rate = np.float32(self.rate / np.sqrt(1 + t / 200) / (1 - 0.9**t))
-            bias = np.float32(1 - 0.99**t)
-            for k, v in self.p.items():
-                m, s = self.m[k], self.s[k]
-                m += (g[k] - m) * np.float32(0.1)
-                s += (g[k] * g[k] - s) * np.float32(0.01)
-                v -= rate * m / (np.sqrt(s / bias) + np.float32(1e-6))
+            self.step(np.concatenate([g[k].ravel() for k in self.p], out=self.g))
+
+    def step(self, g: np.ndarray) -> None:
+        self.steps += 1
+        rate = np.float32(self.rate / np.sqrt(1 + self.steps / 200) / (1 - 0.9**self.steps))
+        m, s, t = self.m, self.s, self.t
+        m *= np.float32(0.9)
+        m += np.multiply(g, np.float32(0.1), out=t)
+        s *= np.float32(0.99)
+        s += np.multiply(np.multiply(g, g, out=t), np.float32(0.01), out=t)
+        np.sqrt(np.divide(s, np.float32(1 - 0.99**self.steps), out=t), out=t)
+        t += np.float32(1e-6)
+        np.divide(m, t, out=t)
+        t *= rate
+        self.flat -= t
 
 
 def log_probs(scorer: Scorer, vocab: Vocabulary, rows: np.ndarray, batch: int = 32) -> np.ndarray:

@@ -107,6 +107,36 @@ class WordEncoder:
         return next(self.many([text]))
 
 
+def ragged(lists: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of arrays of ids, and all ids."""
+    lists = list(lists)
+    return np.array([len(i) for i in lists], np.int64), np.concatenate([np.empty(0, np.uint32), *lists])
+
+
+def neighbours(size: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word of each id, the pair that each id but the last makes with the next one as one number, and whether both are of one word."""
+    word = np.repeat(np.arange(len(size)), size)
+    return word, (flat[:-1].astype(np.int64) << 32) | flat[1:], word[1:] == word[:-1]
+
+
+def join_pairs(size: np.ndarray, flat: np.ndarray, rounds: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Words (lengths, all ids) with neighbouring ids joined to one. A round is the sorted pairs that it joins and their new ids; of pairs that
+    overlap, the first, third and so on are joined."""
+    for pairs, ids in rounds:
+        if len(flat) < 2 or not len(pairs):
+            continue
+        word, pair, hit = neighbours(size, flat)
+        at = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+        hit &= pairs[at] == pair
+        place = np.arange(len(hit))
+        hit &= (place - np.maximum.accumulate(np.where(hit, 0, place + 1))) % 2 == 0
+        flat = flat.copy()
+        flat[:-1][hit] = ids[at[hit]]
+        kept = np.append(True, ~hit)
+        size, flat = np.bincount(word[kept], minlength=len(size)), flat[kept]
+    return size, flat
+
+
 @cache
 def word_encoder(path: str) -> WordEncoder:
     """One per Python worker and path."""

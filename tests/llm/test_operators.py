@@ -300,6 +300,52 @@ def test_all_training_windows_reach_the_model(spark, monkeypatch):
     assert sorted(seen) == sorted(r.doc_id for r in out if not r.held_out) and len(out) == 30
 
 
+@pytest.mark.parametrize("head", [0, 3, 300_000])
+def test_kept_ids_are_the_texts_ids_with_pairs_joined(spark, monkeypatch, head):
+    """Each joined id stands for the pair that it names, so a text's ids are the vocabulary file's again; and they are fewer."""
+    path, kept, read = tokenizer_path("word_bpe_49k.json"), [], lm.read_texts
+    monkeypatch.setattr(lm, "read_texts", lambda docs, words, joins, *a: kept.extend([joins, read(docs, words, joins, *a)]) or kept[1])
+    texts = ["Thheingble ndtionth, thheingble\nNDTIONTH", "thheingble ciónadoñ ciónadoñ 漢字 <|x", "unseen zzqxv", "", None] * 4
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lm.score_texts(df, path, head=head).collect()
+    joins, rows = kept[0], kept[1].collect()
+    pair = {int(i): (int(p) >> 32, int(p) & 0xFFFFFFFF) for pairs, ids in joins for p, i in zip(pairs, ids)}
+    spread = lambda i: [k for j in pair[i] for k in spread(j)] if i in pair else [i]
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = [*attention_ids(path, texts[r.doc_id]), lm.END]
+        got = lm.numbers(bytes(r.ids)).tolist()
+        assert [k for i in got for k in spread(i)] == want and (len(got) < len(want) or not texts[r.doc_id])
+
+
+def attention_ids(path, text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
+
+
+def test_pairs_are_joined_from_the_left_within_words():
+    from factloom.llm.tokens import join_pairs
+
+    r = np.random.default_rng(4)
+    rounds = [(np.sort(r.choice(16, 6, False)), np.arange(4, 10)), (np.array([4 << 32 | 1, 9 << 32 | 9]), np.array([20, 21]))]
+    rounds[0] = (rounds[0][0] // 4 << 32 | rounds[0][0] % 4, rounds[0][1])
+
+    def brute(ids):
+        for pairs, new in rounds:
+            table, out, i = dict(zip(pairs.tolist(), new.tolist())), [], 0
+            while i < len(ids):
+                found = table.get(ids[i] << 32 | ids[i + 1]) if i + 1 < len(ids) else None
+                out.append(ids[i] if found is None else found)
+                i += 1 + (found is not None)
+            ids = out
+        return ids
+
+    words = [r.integers(0, 4, n).tolist() for n in r.integers(0, 9, 400)]
+    size, flat = join_pairs(np.array(list(map(len, words))), np.array(sum(words, []), np.uint32), rounds)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(size)[:-1])] == [brute(w) for w in words]
+
+
 def brute_log_prob(p, vocab, ids):
     """Token by token, from the model's description."""
     A, total = attention, 0.0
