@@ -203,10 +203,11 @@ class Trainer:
     def learn(self, rows: np.ndarray) -> None:
         """One pass over window rows, in an order that their number fixes."""
         rows = rows[np.random.default_rng(len(rows)).permutation(len(rows))]
+        target = rows[:, -SCORED:]
+        symbols, klass, there = self.vocab.symbol[np.maximum(rows[:, :-1], 0)], self.vocab.klass[np.maximum(target, 0)], (target >= 0).astype(np.float32)
         for at in range(0, len(rows), self.batch):
-            w = rows[at : at + self.batch]
-            target = w[:, -SCORED:]
-            g = gradient(self.p, self.vocab.symbol[np.maximum(w[:, :-1], 0)], self.vocab.klass[np.maximum(target, 0)], (target >= 0).astype(np.float32))
+            part = slice(at, at + self.batch)
+            g = gradient(self.p, symbols[part], klass[part], there[part])
             self.step(np.concatenate([g[k].ravel() for k in self.p], out=self.g))
 
     def step(self, g: np.ndarray) -> None:

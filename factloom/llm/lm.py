@@ -102,7 +102,7 @@ def word_ids(counts: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, packed(*ragged(encoder.many(values(b.column(0)))))], names=["key", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns, packed(*encoder.words(b.column(0)))], names=["key", "n", "ids"])
 
     return counts.mapInArrow(run, "key string, n long, ids binary")
 
@@ -239,7 +239,7 @@ def read_texts(docs: DataFrame, head: pa.Table, rounds: list[tuple[np.ndarray, n
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(b.num_rows + 1)), pa.int32()), rest)
             # a table of the ids of the head words, the end and the other words
             others = np.flatnonzero(place == len(known))
-            more, their = join_pairs(*ragged(encoder.many(distinct.take(pa.array(others)).to_pylist())), rounds)
+            more, their = join_pairs(*encoder.words(distinct.take(pa.array(others))), rounds)
             place[others] = len(known) + 1 + np.arange(len(others))
             all_size, all_flat = np.append(size, more), np.append(flat, their)
             start = np.cumsum(all_size) - all_size

@@ -86,6 +86,24 @@ class WordEncoder:
         known.update((c, np.array(e.ids, np.uint32)) for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)))
         return np.concatenate([np.empty(0, np.uint32), *map(known.__getitem__, chunks)])
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each of an array of words, which hold no ASCII white space, and all the ids."""
+        if not len(words):
+            return np.empty(0, np.int64), np.empty(0, np.uint32)
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), " ")[0].as_py()
+        if not NOT_PLAIN.search(joined):
+            return self.plain(joined.lower())
+        chunks = joined.split(" ")
+        other = np.array([bool(NOT_PLAIN.search(c)) for c in chunks])
+        lists = [e.ids for e in self.tokenizer.encode_batch([c for c, o in zip(chunks, other) if o], add_special_tokens=False)]
+        size = np.empty(len(chunks), np.int64)
+        size[other] = [len(i) for i in lists]
+        size[~other], plain = self.plain(" ".join(c for c, o in zip(chunks, other) if not o).lower()) if not other.all() else ([], [])
+        from_library = np.repeat(other, size)
+        flat = np.empty(len(from_library), np.uint32)
+        flat[from_library], flat[~from_library] = [i for ids in lists for i in ids], plain
+        return size, flat
+
     def many(self, texts: Iterable[str | None], step: int = 4 << 20) -> Iterator[np.ndarray]:
         """The ids of each text, null as empty, in order; texts are worked off together in steps of about that many characters."""
         part, held = [], 0

@@ -324,6 +324,19 @@ def attention_ids(path, text):
     return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids
 
 
+def test_words_have_the_ids_of_texts():
+    import pyarrow as pa
+
+    from factloom.llm.tokens import WordEncoder
+
+    path = tokenizer_path("word_bpe_49k.json")
+    encoder = WordEncoder(path)
+    odd = ["漢字", "a<|x", "<|endoftext|>", "İstanbul", "x\x00y", "́"]
+    for words in ([], ["a"], odd, ["Größe", "don't", "x\xa0y", "a\x85", "1,234.5", "ÀB"], ["one", *odd, "two", "漢", "ciónado"]):
+        size, flat = encoder.words(pa.array(words, pa.string()))
+        assert [p.tolist() for p in np.split(flat, np.cumsum(size)[:-1])][: len(words)] == [attention_ids(path, w) for w in words]
+
+
 def test_pairs_are_joined_from_the_left_within_words():
     from factloom.llm.tokens import join_pairs
 
