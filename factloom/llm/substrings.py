@@ -23,17 +23,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, slices, values
 from .hashing import BYTE_CODE, mix, reuse_freed_memory
-from .suffix import equal_classes
+from .suffix import equal_classes, opens
 
 MATCH, GRAM = 100, 32
 WINDOW = MATCH - GRAM + 1
 HOT = 20_000
+#: At so many neighbouring places of a hot anchor the strings that hold it there are dealt out together.
+PIECE = 12
+#: Large pieces are broadcast up to so many.
+FEW = 200_000
 #: Strings of a text that are looked at together; a longer text is worked off in such steps.
 STEP = 1 << 22
 
@@ -117,6 +122,63 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
 
 
 CONTEXT = "repeat boolean, h long, sub long, r long, k long, th long, start long, stop long, context binary"
+NUMBERS = ("h", "sub", "r", "k", "th", "start", "stop")
+
+
+def earliest(code: np.ndarray, k: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two masks over strings with codes: the first of each code by (k, th, start), and those that another string of their code comes before."""
+    first, again = np.ones(len(code), bool), np.zeros(len(code), bool)
+    some = np.flatnonzero(np.bincount(code)[code] > 1)
+    by = some[np.lexsort((start[some], th[some], k[some], code[some]))]
+    new = opens(code[by])
+    lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+    first[by] = new
+    again[by] = (k[by] != k[lead]) | (th[by] != th[lead]) | (start[by] != start[lead])
+    return first, again
+
+
+def pieces(texts: pa.Array, row: np.ndarray, p: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(index, first, last, sub, context) of the pieces into which the strings starting in [lo, hi] of texts[row], with an anchor at p, are cut: strings that hold the anchor
+    at one of width neighbouring places are a piece. sub is a hash of what all of them share, so equal strings have equal subs; 0 where the strings are one piece."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2].slice(int(offsets[0]), int(offsets[-1] - offsets[0])).to_pybytes()
+    q = (p - hi) // width
+    n = (p - lo) // width - q + 1
+    i = np.repeat(np.arange(len(n)), n)
+    q = q[i] + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    at, p, width = (offsets[:-1] - offsets[0])[row[i]], p[i], width[i]
+    first, last = np.maximum(lo[i], p - width * (q + 1) + 1), np.minimum(hi[i], p - width * q)
+    sub, some = np.zeros(len(i), np.int64), np.flatnonzero(width < WINDOW)
+    shared = (at + p - width * q)[some]
+    sub[some] = [xxhash.xxh3_64_intdigest(data[a:b], c) >> 1 | 1 for a, b, c in zip(shared.tolist(), (shared - width[some] + 1 + MATCH).tolist(), q[some].tolist())]
+    return i, first, last, sub, pa.array([data[a:b] for a, b in zip((at + first).tolist(), (at + last + MATCH).tolist())], pa.binary())
+
+
+def merged(parts: Iterator[tuple[tuple[np.ndarray, ...], pa.Array]]) -> Iterator[pa.RecordBatch]:
+    """CONTEXT rows of parts (the columns NUMBERS, the contexts). Of equal contexts among some 64 MB of them the earliest goes on, the others are repeats. A context
+    is known by its bytes: those of its first string tell its anchor and the anchor's place."""
+
+    def batches(held: list) -> Iterator[pa.RecordBatch]:
+        numbers, context = [np.concatenate(c) for c in zip(*(n for n, _ in held))], pa.concat_arrays([c for _, c in held])
+        held.clear()
+        first, again = earliest(context.dictionary_encode().indices.to_numpy(), *(numbers[i] for i in (3, 4, 5)))
+        for some, left in ((first, context.filter(pa.array(first))), (again, None)):
+            n = int(some.sum())
+            columns = [c[some] if left is not None or i > 2 else np.zeros(n, np.int64) for i, c in enumerate(numbers)]
+            out = [pa.array(np.full(n, left is None)), *map(pa.array, columns), pa.array([b""] * n, pa.binary()) if left is None else left]
+            for at in range(0, n, 20_000):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 20_000) for c in out], names=["repeat", *NUMBERS, "context"])
+
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part[1].nbytes + 60 * len(part[1])
+        if size > 64 << 20:
+            yield from batches(held)
+            size = 0
+    if held:
+        yield from batches(held)
 
 
 def contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
@@ -124,93 +186,81 @@ def contexts(docs: DataFrame, marked: DataFrame) -> DataFrame:
     strings that an equal context of the same task already repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple, tuple[int, int, int]] = {}
-
-        def batch(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.bool_(), *[pa.int64()] * 7, pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=["repeat", "h", "sub", "r", "k", "th", "start", "stop", "context"])
-
-        def rest() -> Iterator[pa.RecordBatch]:
-            items = list(seen.items())
-            seen.clear()
-            for i in range(0, len(items), 20_000):
-                yield batch([(False, h, sub, r, k, th, start, start + len(c) - MATCH, c) for (h, sub, r, c), (k, th, start) in items[i : i + 20_000]])
+        reuse_freed_memory()
 
-        held = 0
-        for b in slices(batches, 2, 8 << 20):
-            out: list[tuple] = []
-            for k, th, text, marks in zip(*map(values, b.columns)):
-                for m in marks:
-                    place, x = m["place"], m["h"]
-                    p = place >> 14
-                    lo = p - (place >> 7 & 127)
-                    hi = lo + (place & 127)
-                    if not x & 1:
-                        cuts = [(x, 0, p - lo, text[lo : hi + MATCH], lo)]
-                    else:
-                        strings = [(s, text[s : s + MATCH]) for s in range(lo, hi + 1)]
-                        cuts = [(x, xxhash.xxh3_64_intdigest(c) >> 1, p - s, c, s) for s, c in strings]
-                    for *key, start in cuts:
-                        key, me = tuple(key), (k, th, start)
-                        if (old := seen.get(key)) is None:
-                            seen[key] = me
-                            held += len(key[3]) + 200
-                        elif old != me:
-                            if me < old:
-                                seen[key], old, me = me, me, old
-                            out.append((True, 0, 0, 0, *me, me[2] + len(key[3]) - MATCH, b""))
-            yield batch(out)
-            if held > 100 << 20:
-                yield from rest()
-                held = 0
-        yield from rest()
+        def parts() -> Iterator[tuple]:
+            for b in slices(batches, 2, 2 << 20):
+                marks = b.column(3).flatten()
+                row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(3)).to_numpy())
+                place, h = marks.field("place").to_numpy(), marks.field("h").to_numpy()
+                for at in range(0, len(row), 1 << 17):  # a long text's marks in parts
+                    m, x, of = (c[at : at + (1 << 17)] for c in (place, h, row))
+                    p = m >> 14
+                    lo = p - (m >> 7 & 127)
+                    i, first, last, sub, context = pieces(b.column(2), of, p, lo, lo + (m & 127), np.where(x & 1, PIECE, 128))
+                    k, th = (b.column(c).to_numpy()[of[i]] for c in (0, 1))
+                    yield (x[i], sub, p[i] - first, k, th, first, last), context
+
+        yield from merged(parts())
 
     picked = docs.join(marked, ["k", "th"]).select("k", "th", "text", "marks")
     return materialize(picked.mapInArrow(run, CONTEXT), "contexts")
 
 
+def dealt(found: DataFrame) -> DataFrame:
+    """CONTEXT rows with pieces of which over HOT contexts differ cut into their strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reuse_freed_memory()
+
+        def parts() -> Iterator[tuple]:
+            for b in slices(batches, 8):
+                h, r, k, th, start, stop = (b.column(c).to_numpy() for c in ("h", "r", "k", "th", "start", "stop"))
+                i, first, last, sub, context = pieces(b.column(8), np.arange(len(r)), r, np.zeros_like(r), stop - start, np.ones_like(r))
+                yield (h[i], sub, r[i] - first, k[i], th[i], start[i] + first, start[i] + last), context
+
+        yield from merged(parts())
+
+    cut = found.where("sub <> 0")
+    large = materialize(cut.groupBy("h", "sub").count().where(F.col("count") > HOT).select("h", "sub"), "large")
+    n = large.count()
+    if not n:
+        return found
+    large = F.broadcast(large) if n <= FEW else large
+    strings = materialize(cut.join(large, ["h", "sub"], "left_semi").select(*found.columns).mapInArrow(run, CONTEXT), "strings")
+    return found.join(large, ["h", "sub"], "left_anti").select(*found.columns).union(strings)
+
+
 SPANS = pa.schema([(c, pa.int64()) for c in ("k", "th", "start", "stop")])
 
 
 def repeats_in(t: pa.Table) -> pa.RecordBatch:
     """SPANS of the strings of context rows, whole groups of (h, sub), that start earlier in another or the same document."""
-    h, sub, r, k, th, start, stop = (t[c].to_numpy() for c in ("h", "sub", "r", "k", "th", "start", "stop"))
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (sub[1:] != sub[:-1])])
-    group = np.cumsum(new)
+    h, sub, r, k, th, start, stop = (t[c].to_numpy() for c in NUMBERS)
+    group = np.cumsum(opens(h, sub))
     shared = np.bincount(group)[group] > 1
-    h, r, k, th, start, stop, group = (c[shared] for c in (h, r, k, th, start, stop, group))
-    if not len(h):
+    r, k, th, start, stop, group = (c[shared] for c in (r, k, th, start, stop, group))
+    if not len(r):
         return pa.RecordBatch.from_pylist([], SPANS)
-    parts = t["context"].filter(pa.array(shared)).to_pylist()
-    seen: dict[tuple, int] = {}
-    first, again = [], []
-    for i in np.lexsort((start, th, k)).tolist():  # of equal contexts all but the earliest are repeats as a whole
-        lead = seen.setdefault((group[i], r[i], parts[i]), i)
-        if lead == i:
-            first.append(i)
-        elif (k[i], th[i], start[i]) != (k[lead], th[lead], start[lead]):
-            again.append(i)
+    parts = t["context"].filter(pa.array(shared)).combine_chunks().dictionary_encode()
+    code = parts.indices.to_numpy()
+    first, again = earliest(code, k, th, start)  # of equal contexts all but the earliest are repeats as a whole
     whole = [c[again] for c in (k, th, start, stop)]
-    first = np.array(first)[np.argsort(group[first], kind="stable")]
+    first = np.flatnonzero(first)
     first = first[np.bincount(group[first])[group[first]] > 1]
     if not len(first):
         return pa.RecordBatch.from_arrays([pa.array(c) for c in whole], schema=SPANS)
-    r, k, th, start, stop, group = (c[first] for c in (r, k, th, start, stop, group))
-    parts = [parts[i] for i in first.tolist()]
-    base = np.concatenate([[0], np.cumsum([len(c) for c in parts])[:-1]])
+    offsets, data = np.frombuffer(parts.dictionary.buffers()[1], np.int32), np.frombuffer(parts.dictionary.buffers()[2], np.uint8)
+    r, k, th, start, stop, group, base = (c[first] for c in (r, k, th, start, stop, group, offsets[code].astype(np.int64)))
     n = stop - start + 1
     row = np.repeat(np.arange(len(n)), n)
     j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    classes = equal_classes(np.frombuffer(b"".join(parts), np.uint8), base[row] + j, group[row] * 128 + r[row] - j, MATCH)
+    classes = equal_classes(data, base[row] + j, group[row] * 128 + r[row] - j, MATCH)
     where = start[row] + j
-    order = np.lexsort((where, th[row], k[row], classes))
-    head = np.concatenate([[True], classes[order][1:] != classes[order][:-1]])
-    lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-    later = np.zeros(len(row), bool)
-    later[order] = (k[row[order]] != k[row[lead]]) | (th[row[order]] != th[row[lead]]) | (where[order] != where[lead])
-    opens = later & ~np.concatenate([[False], later[:-1] & (row[1:] == row[:-1])])
-    closes = later & ~np.concatenate([later[1:] & (row[1:] == row[:-1]), [False]])
-    some = (k[row[opens]], th[row[opens]], where[opens], where[closes])
+    _, later = earliest(classes, k[row], th[row], where)
+    opening = later & ~np.concatenate([[False], later[:-1] & (row[1:] == row[:-1])])
+    closing = later & ~np.concatenate([later[1:] & (row[1:] == row[:-1]), [False]])
+    some = (k[row[opening]], th[row[opening]], where[opening], where[closing])
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(whole, some)], schema=SPANS)
 
 
@@ -242,7 +292,7 @@ def repeated_starts(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text] for each row of docs(doc_id, text)."""
     docs = keyed(docs)
-    found = contexts(docs, repeated_anchors(docs))
+    found = dealt(contexts(docs, repeated_anchors(docs)))
     spans = repeated_starts(found).union(found.where("repeat").select("k", "th", "start", "stop"))
     spans = materialize(spans.groupBy("k", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 

@@ -1,102 +1,44 @@
-"""Suffix sorting by hash comparison, for many short texts at once.
+"""Suffix sorting by words of eight bytes, for many short texts at once.
 
-Prefix polynomial hashes give the hash of any substring in constant time, so the longest common extension of two suffixes is
-found by binary search in a logarithmic number of probes, and a bottom-up mergesort needs no other comparison. All
-steps work on arrays: one merge level of all groups is a few array operations. Equal neighbours are verified byte by byte.
+An MSD radix sort: the suffixes of all groups are sorted by their first word, those that are alike so far by their next one, and so on. A suffix that has no
+like leaves at once, and suffixes that all share a word are not sorted by it, so only what repeats is read to its end. Words are compared as they are, no hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-PRIME = np.uint64((1 << 31) - 1)
-BASES = (np.uint64(1_103_515_245 % ((1 << 31) - 1)), np.uint64(214_013_777))
+WORD = 8
 
 
-class Extensions:
-    """Longest common extensions of at most ``depth`` (< 128) bytes between positions of a text."""
-
-    def __init__(self, text: np.ndarray, depth: int) -> None:
-        self.text, self.depth, n = np.concatenate([text, np.zeros(1, np.uint8)]), depth, len(text)
-        self.sums, self.powers = [], []
-        for base in BASES:
-            powers = np.ones(n + 1, np.uint64)
-            have, step = 1, base
-            while have <= n:  # powers[have:2*have] = powers[:have] * base**have
-                more = min(have, n + 1 - have)
-                powers[have : have + more] = powers[:more] * step % PRIME
-                have, step = have + more, step * step % PRIME
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:n] % PRIME)]) % PRIME
-            self.sums.append(sums)
-            self.powers.append(powers)
-
-    def equal(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Whether the hashes of length bytes from a and from b agree."""
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        out = np.ones(len(a), bool)
-        for sums, powers in zip(self.sums, self.powers):
-            first = (sums[low + length] + PRIME - sums[low]) % PRIME * powers[high - low] % PRIME
-            out &= first == (sums[high + length] + PRIME - sums[high]) % PRIME
-        return out
-
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        got = np.zeros(len(a), np.int64)
-        for step in (64, 32, 16, 8, 4, 2, 1):
-            try_ = got + step
-            fits = np.flatnonzero(try_ <= self.depth)
-            fits = fits[self.equal(a[fits], b[fits], try_[fits])]
-            got[fits] = try_[fits]
-        return got
-
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """a's suffix before b's, by their first depth bytes; equal ones count where or_equal."""
-        n = self.common(a, b)
-        same = n >= self.depth
-        return np.where(same, or_equal, self.text[a + np.where(same, 0, n)] < self.text[b + np.where(same, 0, n)])
-
-
-def sort_groups(ext: Extensions, starts: np.ndarray, size: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """starts, sorted by suffix inside each group; size and begin give each element's group: its length and first index."""
-    order = np.arange(len(starts))
-    within = order - begin
-    run = 1
-    while len(todo := np.flatnonzero(size > run)):
-        at = within[todo] // run
-        other = begin[todo] + (at ^ 1) * run  # the sibling run
-        count = np.clip(begin[todo] + size[todo] - other, 0, run)
-        right = (at & 1).astype(bool)
-        mine = starts[order[todo]]
-        lo, hi = np.zeros(len(todo), np.int64), count.copy()
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_]) // 2
-            theirs = starts[order[other[open_] + mid]]
-            # of equal ones those of the left run come first, so the order is stable
-            before = ext.less(theirs, mine[open_], right[open_])
-            lo[open_] = np.where(before, mid + 1, lo[open_])
-            hi[open_] = np.where(before, hi[open_], mid)
-        target = begin[todo] + (at & ~1) * run + within[todo] - at * run + lo
-        moved = order.copy()
-        moved[target] = order[todo]
-        order = moved
-        run *= 2
-    return order
+def opens(*keys: np.ndarray) -> np.ndarray:
+    """Where a run of equal keys begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for key in keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
 
 
 def equal_classes(text: np.ndarray, starts: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
     """A class number for each start: equal exactly for starts of one group whose depth bytes are equal."""
-    by = np.argsort(group, kind="stable")
-    _, first, counts = np.unique(group[by], return_index=True, return_counts=True)
-    size, begin = np.repeat(counts, counts), np.repeat(first, counts)
-    ext, sorted_starts = Extensions(text, depth), starts[by]
-    order = sort_groups(ext, sorted_starts, size, begin)
-    here = sorted_starts[order]
-    same = np.zeros(len(here), bool)
-    pair = np.flatnonzero(begin[1:] == begin[:-1]) + 1
-    same[pair] = ext.common(here[pair - 1], here[pair]) >= depth
-    for part in np.array_split(np.flatnonzero(same), 1 + same.sum() // 200_000):  # collision verification
-        if (text[here[part - 1, None] + np.arange(depth)] != text[here[part, None] + np.arange(depth)]).any():
-            window = np.stack([text[s : s + depth] for s in starts]).view(f"V{depth}").ravel()
-            return np.unique(np.rec.fromarrays([group, window]), return_inverse=True)[1]
-    classes = np.empty(len(starts), np.int64)
-    classes[by[order]] = np.cumsum(~same)
-    return classes
+    words = np.ndarray(len(text) + 1, ">u8", np.concatenate([text, np.zeros(WORD, np.uint8)]), 0, (1,))
+    out = np.arange(len(starts)) + len(starts)
+    rest = np.argsort(group, kind="stable")
+    new = opens(group[rest])
+    for at in range(0, depth, WORD):
+        alone = new & np.append(new[1:], True)
+        rest, new = rest[~alone], new[~alone]
+        if not len(rest):
+            return out
+        word = words[starts[rest] + at].astype(np.uint64) >> np.uint64(8 * max(0, at + WORD - depth))
+        run = np.cumsum(new) - 1
+        first = word[np.flatnonzero(new)]
+        mixed = np.zeros(len(first), bool)
+        mixed[run[word != first[run]]] = True
+        part = np.flatnonzero(mixed[run])
+        by = part[np.lexsort((word[part], run[part]))]
+        rest[part], word[part] = rest[by], word[by]
+        new |= opens(word)
+    out[rest] = np.cumsum(new)
+    return out

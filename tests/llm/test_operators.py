@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import unicodedata
 import zlib
@@ -640,6 +641,25 @@ def test_repeated_strings(docs, rows, monkeypatch, hot):
     assert counted(tuple(r) for r in got) == counted(brute_removal(rows))
 
 
+def test_a_hot_anchor_is_dealt_in_pieces(spark, monkeypatch):
+    """Before, each string around a hot anchor was a row: 16,297 of them here."""
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, passage = prose(95), prose(130)
+    rows = [(i, prose(r.randint(120, 160)) + line + prose(150) + (passage if i % 2 else "") + prose(r.randint(0, 40))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substrings, "HOT", 50)
+    keyed = substrings.keyed(docs)
+    found = substrings.contexts(keyed, substrings.repeated_anchors(keyed))
+    largest = lambda df: df.where("not repeat").groupBy("h", "sub").count().agg(F.max("count")).first()[0]
+    assert 200 < found.count() < 4000 and largest(found) > 50 and largest(substrings.dealt(found)) <= 50
+    want = brute_removal(rows)
+    for few in (200_000, 0):
+        monkeypatch.setattr(substrings, "FEW", few)
+        assert counted(tuple(x) for x in substrings.remove_repeats(docs).collect()) == counted(want)
+    assert sum(n for _, _, n, *_ in want) >= 99 * 130
+
+
 def test_anchors_do_not_depend_on_the_step(monkeypatch):
     text = bytes(np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)) + b"a" * 500
     whole = [c.tolist() for c in substrings.anchors(text)]
