@@ -9,7 +9,7 @@ document. Sorting every suffix of the corpus is not needed: each match-byte stri
    before the shuffle, all but the earliest being repeats already, so a passage in a third of all documents costs one row a task.
 3. Contexts of one anchor meet; the suffixes at all their string starts are sorted (suffix.py), equal neighbours form a class, and all
    but its earliest start are repeats. An anchor with over ``HOT`` occurrences is dealt out string by string, under the string's hash.
-4. The covered spans are joined back to the texts.
+4. The covered spans are joined back to the texts. A text that an earlier document has as a whole is one span; only the first of such texts goes through 2 and 3.
 
 Defined cases: a null or empty text has no bytes; texts under match bytes are never touched and repeat nothing; a null doc_id comes
 after all others; rows that repeat an id with the same text are one document and get equal results, with other texts they
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices, values
+from .common import dealt_lookup, discard, materialize, slices, values
 from .hashing import BYTE_CODE, mix, reuse_freed_memory
 from .suffix import equal_classes, opens
 
@@ -88,12 +88,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("doc_id", last).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.col("text").cast("binary").alias("text"))
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """(k, th, start, stop): the strings of documents whose whole text, known by its SHA-256, an earlier document has."""
+    named = docs.where(F.octet_length("text") >= MATCH).select("k", "th", F.lit(0).cast("long").alias("start"), (F.octet_length("text") - MATCH).cast("long").alias("stop"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    named = materialize(named, "named")
+    firsts = named.groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").select("digest", "first")
+    out = materialize(dealt_lookup(named, firsts, "digest", ["k", "th"]).where("k > first").select("k", "th", "start", "stop").distinct(), "copies")
+    discard(named)
+    return out
+
+
+def repeated_anchors(docs: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     """(k, th, marks): the anchors (place, h) of each document whose hash occurs more than once. place packs the anchor's position, how far before it
     its first string starts and how many more start there; h is the hash, its last bit telling whether it occurs over HOT times.
 
     Of the equal anchors of one slice of texts one stands for all when occurrences are counted, so an anchor in a third of all documents is one row a
-    slice there; the others learn the count from it, met on slice and hash."""
+    slice there; the others learn the count from it, met on slice and hash. The copies have no marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reuse_freed_memory()
@@ -116,6 +126,7 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
     rest = found.where("times = 0").join(stand.where("times > 1").select("slice", "h", "hot"), ["slice", "h"])
     marked = F.shiftleft(F.shiftright("h", 1), 1).bitwiseOR(F.col("hot").cast("long"))
     every = stand.unionByName(rest, allowMissingColumns=True).select("k", "th", F.struct("place", marked.alias("h")).alias("mark"))
+    every = every.join(copies, ["k", "th"], "left_anti") if copies else every
     out = materialize(every.groupBy("k", "th").agg(F.collect_set("mark").alias("marks")), "anchors")
     discard(found, stand)
     return out
@@ -289,25 +300,43 @@ def repeated_starts(found: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "k long, th long, start long, stop long")
 
 
+def removed(spans: pa.Array) -> list[list[tuple[int, int]]]:
+    """The maximal removed runs (first byte, end) of each list of spans, in order; spans that overlap or touch are one run."""
+    n = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    flat, row = spans.flatten(), np.repeat(np.arange(len(n)), n)
+    first, end = flat.field("start").to_numpy(), flat.field("stop").to_numpy() + MATCH
+    by = np.lexsort((first, row))
+    row, first, end = row[by], first[by], end[by]
+    if not len(row):
+        return [[] for _ in n]
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + row * far)  # a text's ends lie behind those of the text before
+    new = np.concatenate([[True], first[1:] + row[1:] * far > reach[:-1]])
+    new[1:] |= row[1:] != row[:-1]
+    runs = np.flatnonzero(new)
+    ends = (reach - row * far)[np.append(runs[1:], len(row)) - 1]
+    pairs, upto = list(zip(first[runs].tolist(), ends.tolist())), np.searchsorted(row[runs], np.arange(len(n) + 1)).tolist()
+    return [pairs[a:b] for a, b in zip(upto, upto[1:])]
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept_text] for each row of docs(doc_id, text)."""
     docs = keyed(docs)
-    found = dealt(contexts(docs, repeated_anchors(docs)))
-    spans = repeated_starts(found).union(found.where("repeat").select("k", "th", "start", "stop"))
+    copies = whole_copies(docs)
+    found = dealt(contexts(docs, repeated_anchors(docs, copies)))
+    spans = repeated_starts(found).union(found.where("repeat").select("k", "th", "start", "stop")).union(copies)
     spans = materialize(spans.groupBy("k", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, spans in zip(values(b.column(1)), values(b.column(2))):
-                text, at, runs, kept = text or b"", 0, 0, []
-                for s in sorted((s["start"], s["stop"] + MATCH) for s in spans or ()):
-                    if s[0] > at or (s[0] == 0 and not runs):
-                        kept.append(text[at : s[0]])
-                        runs += 1
-                    at = max(at, s[1])
+            for text, cuts in zip(values(b.column(1)), removed(b.column(2))):
+                text, at, kept = text or b"", 0, []
+                for first, end in cuts:
+                    kept.append(text[at:first])
+                    at = end
                 kept = b"".join([*kept, text[at:]])
-                rows.append((len(text), len(text) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((len(text), len(text) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*rows)) if rows else [[]] * 5
             kinds = [*[pa.int64()] * 3, pa.string(), pa.binary()][: 4 + keep_text]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + keep_text])

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -660,6 +661,24 @@ def test_a_hot_anchor_is_dealt_in_pieces(spark, monkeypatch):
     assert sum(n for _, _, n, *_ in want) >= 99 * 130
 
 
+def test_whole_copies_are_not_searched(spark):
+    """Before, each of five copies of a text had its contexts cut and met."""
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefghij ") for _ in range(r.randint(90, 400))) for _ in range(20)]
+    many = [(i, texts[i % 20]) for i in range(100)] + [(None, texts[3]), (None, texts[4] + "x"), (7, texts[8])]
+    df = spark.createDataFrame(many, "doc_id long, text string").repartition(4)
+    keyed = substrings.keyed(df)
+    found = substrings.contexts(keyed, substrings.repeated_anchors(keyed, substrings.whole_copies(keyed)))
+    assert {x.k for x in found.select("k").distinct().collect()} <= {*range(20), (1 << 63) - 1}
+    assert counted(tuple(x) for x in substrings.remove_repeats(df).collect()) == counted(brute_removal(many))
+
+
+def test_removed_runs():
+    """Runs that overlap or touch are one, whatever their order; lists that are null or empty have none."""
+    spans = pa.array([[(9, 9)], [(300, 310), (5, 20), (120, 130), (0, 0)], None, [], [(0, 3), (104, 104), (2, 2)]], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+    assert substrings.removed(spans.slice(1)) == [[(0, 230), (300, 410)], [], [], [(0, 103), (104, 204)]]
+
+
 def test_anchors_do_not_depend_on_the_step(monkeypatch):
     text = bytes(np.random.default_rng(3).integers(97, 100, 3000).astype(np.uint8)) + b"a" * 500
     whole = [c.tolist() for c in substrings.anchors(text)]
